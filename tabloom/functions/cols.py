@@ -47,13 +47,24 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def rnd(c: Column, digits: int) -> Column:
+    """Round the binary double half away from zero at ``digits`` dp: round(x * 10^d) / 10^d.
+
+    Spark's ``round`` works on the shortest decimal text of the double, which
+    differs from rounding the binary value at exact .5 boundaries (9/60000 =
+    1.5E-4 is really 1.4999..e-4).  Scaling first makes both agree; + 0.0
+    folds -0.0 so hashes compare across engines.
+    """
+    scale = float(10 ** digits)
+    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
+
+
 def r6(c: Column) -> Column:
-    """Round to 6 dp and fold -0.0 to 0.0 so hashes compare across engines."""
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    return rnd(c, 6)
 
 
 def r4(c: Column) -> Column:
-    return F.round(c.cast("double"), 4) + F.lit(0.0)
+    return rnd(c, 4)
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
