@@ -27,10 +27,13 @@ def line_fx(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(1.0).alias("const_col"),
         F.when(c("l_orderkey") % 250 == 0, F.lit(2.0)).otherwise(F.lit(1.0)).alias("near_const"),
         F.concat(F.lit(" "), F.upper(c("l_returnflag")), F.lit(" ")).alias("flag_padded"),
-        F.when(c("l_linenumber") % 20 == 0, F.lit("x")).otherwise(c("l_extendedprice").cast("string"))
+        F.when(c("l_orderkey") % 20 == 0, F.lit("x")).otherwise(c("l_extendedprice").cast("string"))
         .alias("price_text"),
-        F.when(c("l_linenumber") % 5 == 0, F.lit("x")).otherwise(c("l_tax").cast("string")).alias("tax_text"),
+        F.when(c("l_orderkey") % 5 == 0, F.lit("x")).otherwise(c("l_tax").cast("string")).alias("tax_text"),
         F.date_format(c("l_shipdate"), "yyyy-MM-dd").alias("ship_text"),
+        F.when(c("l_linenumber") == 3, F.lit(None)).otherwise(c("l_linestatus")).alias("status_nulls"),
+        F.concat(F.lit("k"), c("l_orderkey").cast("string"), F.lit("-"), c("l_linenumber").cast("string"),
+                 F.lit("-"), c("l_partkey").cast("string")).alias("row_code"),
     )
 
 
@@ -42,9 +45,12 @@ line_fx AS (
          1.0::DOUBLE AS const_col,
          CASE WHEN l_orderkey % 250 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS near_const,
          ' ' || upper(l_returnflag) || ' ' AS flag_padded,
-         CASE WHEN l_linenumber % 20 = 0 THEN 'x' ELSE CAST(l_extendedprice AS VARCHAR) END AS price_text,
-         CASE WHEN l_linenumber % 5 = 0 THEN 'x' ELSE CAST(l_tax AS VARCHAR) END AS tax_text,
-         strftime(l_shipdate, '%Y-%m-%d') AS ship_text
+         CASE WHEN l_orderkey % 20 = 0 THEN 'x' ELSE CAST(l_extendedprice AS VARCHAR) END AS price_text,
+         CASE WHEN l_orderkey % 5 = 0 THEN 'x' ELSE CAST(l_tax AS VARCHAR) END AS tax_text,
+         strftime(l_shipdate, '%Y-%m-%d') AS ship_text,
+         CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linestatus END AS status_nulls,
+         'k' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)
+           AS row_code
   FROM line)"""
 
 
