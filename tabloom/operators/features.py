@@ -308,12 +308,13 @@ def cooccurrence(name: str, train: DataFrame, a: str, b: str) -> Fitted:
 
 
 # F16 ------------------------------------------------------------------------------------------
-def log1p(name: str, train: DataFrame, column: str) -> Fitted | None:
+def log1p(name: str, train: DataFrame, column: str, median: float | None = None,
+          minimum: float | None = None) -> Fitted | None:
     """log1p(x) with train-median fill; only when the train minimum is >= 0."""
-    mn = _one(train, F.min(col(column).cast("double")).alias("m"))["m"]
+    mn = minimum if minimum is not None else _one(train, F.min(col(column).cast("double")).alias("m"))["m"]
     if mn is None or mn < 0:
         return None
-    med = exact_median(train, column)
+    med = median if median is not None else exact_median(train, column)
 
     def fn(df):
         x = F.coalesce(col(column).cast("double"), F.lit(med)) if column in df.columns else F.lit(med)
@@ -321,8 +322,8 @@ def log1p(name: str, train: DataFrame, column: str) -> Fitted | None:
     return Fitted(name, fn, {"median": med})
 
 
-def square(name: str, train: DataFrame, column: str) -> Fitted:
-    med = exact_median(train, column)
+def square(name: str, train: DataFrame, column: str, median: float | None = None) -> Fitted:
+    med = median if median is not None else exact_median(train, column)
 
     def fn(df):
         x = F.coalesce(col(column).cast("double"), F.lit(med)) if column in df.columns else F.lit(med)
@@ -347,3 +348,15 @@ def apply_all(df: DataFrame, fitted: list[Fitted]) -> DataFrame:
     for f in fitted:
         df = f.transform(df)
     return df
+
+
+def median_ratio(name: str, train: DataFrame, a: str, b: str, medians: dict | None = None) -> Fitted:
+    """F05 fallback variant: both sides filled with train medians; b = 0 -> 0."""
+    from .kernels import quantile_wide
+    med = medians or {r["column"]: r["m"] for r in quantile_wide(train, [a, b], {"m": 0.5}).collect()}
+
+    def fn(df):
+        x = F.coalesce(col(a).cast("double"), F.lit(med.get(a)))
+        y = F.coalesce(col(b).cast("double"), F.lit(med.get(b)))
+        return df.withColumn(name, _finish(F.try_divide(x, F.nullif(y, F.lit(0.0)))))
+    return Fitted(name, fn, {"medians": med})
