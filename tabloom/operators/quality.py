@@ -272,3 +272,53 @@ def ranked(scored: DataFrame, k: int | None = 5) -> DataFrame:
     w = Window.orderBy(F.desc("score"), F.desc("mutual_info"), F.desc(F.abs("pearson")), F.asc("feature"))
     out = scored.withColumn("rank", F.row_number().over(w))
     return out.where(F.col("rank") <= k) if k else out
+
+
+def holdout_filter(matrix: DataFrame, features: list[str], target: str, fold: str, holdout: int,
+                   min_holdout: float = 0.001, ratio: float = 0.2, min_full: float = 0.01) -> DataFrame:
+    """Binned MI on all training rows vs on one hold-out fold.
+
+    keep = not (holdout MI < 0.001 or (full MI > 0.01 and holdout MI < 0.2 full MI));
+    when every feature would be dropped, all are kept.
+    """
+    enc = encoded(matrix, features, [target, fold])
+    full = mi_binned(enc, features, target).withColumnRenamed("mutual_info", "mi_full")
+    hold = mi_binned(enc.where(col(fold) == holdout), features, target).withColumnRenamed("mutual_info", "mi_holdout")
+    d = full.join(hold, "feature")
+    keep0 = ~((F.col("mi_holdout") < min_holdout)
+              | ((F.col("mi_full") > min_full) & (F.col("mi_holdout") < ratio * F.col("mi_full"))))
+    anyk = F.max(F.col("_k").cast("int")).over(Window.partitionBy())  # one row per feature
+    return (d.withColumn("_k", keep0).withColumn("keep", F.when(anyk == 1, F.col("_k")).otherwise(F.lit(True)))
+            .drop("_k"))
+
+
+def compare_sets(stats: DataFrame, sets: dict) -> DataFrame:
+    """Per candidate set: leak flag, summed MI and |pearson| of non-leaky features; rank:
+    no leak first, then summed MI (to 1e-6), then summed |pearson|, ties to the earlier set."""
+    spark = stats.sparkSession
+    members = spark.createDataFrame([(int(k), f) for k, fs in sets.items() for f in fs], "set_id int, feature string")
+    leak = (F.abs(F.col("pearson")) > LEAK_PEARSON) | (F.col("mutual_info") > LEAK_MI)
+    agg = members.join(stats, "feature").groupBy("set_id").agg(
+        F.max(leak.cast("int")).alias("has_leak"),
+        F.sum(F.when(leak, F.lit(0.0)).otherwise(F.col("mutual_info"))).alias("sum_mi"),
+        F.sum(F.when(leak, F.lit(0.0)).otherwise(F.abs(F.col("pearson")))).alias("sum_abs_pearson"))
+    from ..functions.cols import r6
+    agg = agg.withColumn("sum_mi", r6(F.col("sum_mi"))).withColumn("sum_abs_pearson", r6(F.col("sum_abs_pearson")))
+    w = Window.orderBy("has_leak", F.desc("sum_mi"), F.desc("sum_abs_pearson"), "set_id")  # one row per set
+    return agg.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
+def best_originals(train: DataFrame, numeric: list[str], categorical: list[str], target: str,
+                   k_num: int = 10, k_cat: int = 5, max_card: int = 10) -> DataFrame:
+    """Top numeric columns by |pearson| and top low-cardinality categoricals by target-rate spread."""
+    nums = pearson_table(train, numeric, target).select(
+        F.col("feature").alias("column"), F.lit("numeric").alias("kind"),
+        F.abs(F.coalesce(F.col("pearson"), F.lit(0.0))).alias("score"))
+    vc = value_counts(train, categorical, target).where(F.col("value").isNotNull())
+    rate = F.col("sum_y") / F.col("n")
+    cats = (vc.groupBy("column").agg((F.max(rate) - F.min(rate)).alias("score"), F.count(F.lit(1)).alias("_k"))
+            .where(F.col("_k") <= max_card).select("column", F.lit("categorical").alias("kind"), "score"))
+    w = Window.partitionBy("kind").orderBy(F.desc("score"), "column")  # one row per column
+    r = nums.unionByName(cats).withColumn("rnk", F.row_number().over(w))
+    return r.where(((F.col("kind") == "numeric") & (F.col("rnk") <= k_num))
+                   | ((F.col("kind") == "categorical") & (F.col("rnk") <= k_cat)))
