@@ -1,5 +1,138 @@
-"""Queries: q_scans."""
+"""Queries: sources and sinks S01-S11 (CSV round trips go through the shared checkpoint folder)."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import joins as JN
+from ..session import scratch_path
+from ..sources import files as FS
+from ..sources.tables import TABLES, Catalog, load
+from . import problems
+from .registry import query
+
+
+def _roundtrip(spark, sf, sep: str) -> str:
+    """Write the customer table as delimited text into the shared scratch folder."""
+    return _write_sep(load(spark, sf, "customer"), scratch_path(spark, "csv"), sep)
+
+
+def _write_sep(df, path, sep):
+    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    return path
+
+
+@query("s01_csv_scan", "SELECT * FROM customer")
+def s01(spark, sf):
+    schema = load(spark, sf, "customer").schema
+    path = _roundtrip(spark, sf, ",")
+    return FS.read_csv(spark, path, ",", schema=schema)
+
+
+@query("s02_delimiter_try_list", "SELECT * FROM customer")
+def s02(spark, sf):
+    schema = load(spark, sf, "customer").schema
+    path = _roundtrip(spark, sf, ";")
+    return FS.read_csv(spark, path, FS.detect_separator_try(spark, path), schema=schema)
+
+
+@query("s03_delimiter_sniff", "SELECT * FROM customer")
+def s03(spark, sf):
+    schema = load(spark, sf, "customer").schema
+    path = _roundtrip(spark, sf, "|")
+    return FS.read_csv(spark, path, FS.detect_separator_sniff(spark, path), schema=schema)
+
+
+CATALOG_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows, {{n_{t}}} AS cols, '{{c_{t}}}' AS columns FROM {t}" for t in TABLES)
+
+
+def _catalog_sql():
+    # column lists are schema facts of the given tables
+    spec = {
+        "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+        "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+        "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+        "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+        "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+        "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+        "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+        "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+        "embeddings": ["vec_id", "embedding", "label"], "pages": ["page_id", "url", "html"],
+        "benchmark": ["item_id", "text"], "labels": ["doc_id", "quality", "toxic"],
+        "conversations": ["conv_id", "turn", "role", "text"],
+    }
+    kw = {}
+    for t, cs in spec.items():
+        kw[f"n_{t}"] = len(cs)
+        kw[f"c_{t}"] = ",".join(cs)
+    return CATALOG_SQL.format(**kw)
+
+
+@query("s04_table_catalog", _catalog_sql())
+def s04(spark, sf):
+    return FS.table_catalog({t: load(spark, sf, t) for t in TABLES})
+
+
+@query("s05_header_probe")
+def s05(spark, sf):
+    path = _roundtrip(spark, sf, "|")
+    cols = FS.header_columns(spark, path)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "position int, column string")
+
+
+@query("s06_drop_index_artefacts", "SELECT * FROM customer")
+def s06(spark, sf):
+    cust = load(spark, sf, "customer")
+    path = _write_sep(cust.select((F.col("c_custkey") - 1).alias("Unnamed: 0"), "*"), scratch_path(spark, "csv"), ",")
+    raw = FS.read_csv(spark, path, ",", infer=True)
+    clean = FS.drop_index_artefacts(raw)
+    return clean.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in cust.schema.fields])
+
+
+@query("s07_named_registry", """
+SELECT c.c_mktsegment, count(*) AS n FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+GROUP BY c.c_mktsegment""")
+def s07(spark, sf):
+    cat = Catalog.from_dir(spark, sf, ["orders", "customer"])
+    cat.register("orders_customer", JN.join(cat.table("orders"), cat.table("customer"), "o_custkey", "c_custkey"))
+    return spark.table("orders_customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s08_peek_rows", """
+(SELECT 'head' AS mode, o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5)
+UNION ALL (SELECT 'tail', o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 5)
+UNION ALL (SELECT 'sample', o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey
+           LIMIT 5)""")
+def s08(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    parts = [FS.peek(o, "o_orderkey", 5, m).select(F.lit(m).alias("mode"), "*") for m in ("head", "tail", "sample")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s09_sink_train_test")
+def s09(spark, sf):
+    p = problems.docs(spark, sf)
+    rows = []
+    for name, df in (("train", p.train), ("test", p.test)):
+        for fmt in ("csv", "parquet"):
+            path = FS.write_table(df, scratch_path(spark, f"{name}_{fmt}"), fmt)
+            back = FS.read_csv(spark, path) if fmt == "csv" else spark.read.parquet(path)
+            rows.append(back.agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(name).alias("side"), F.lit(fmt).alias("format"), "rows"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("s10_drop_target", problems.with_sql("docs") + " SELECT doc_id, toxic FROM docs_folds WHERE fold = 0")
+def s10(spark, sf):
+    f = problems.docs(spark, sf).folds
+    return FS.drop_column(f.where(F.col("fold") == 0), "quality").drop("fold")
+
+
+@query("s11_random_baseline")
+def s11(spark, sf):
+    return FS.random_baseline(problems.docs(spark, sf).train.select("doc_id"), "doc_id", 5, 42)
