@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import features as FE
-from ..operators.kernels import moments, quantile_wide
+from ..operators.kernels import moments, quantile_wide, value_counts
 
 #: fallback limits: pair ratios over the first six numeric columns
 PAIR_COLUMNS = 6
@@ -27,3 +27,92 @@ def auto_candidates(train: DataFrame, numeric: list[str]) -> list[FE.Fitted]:
         for b in head[i + 1:]:
             fits.append(FE.median_ratio(f"fb_{a}_div_{b}", train, a, b, medians=med))
     return fits
+
+
+# M09 --------------------------------------------------------------------------------------------
+def _pick_aux_columns(aux: DataFrame, key: str, lo: int, hi: int | None, numeric_only: bool) -> list[str]:
+    from pyspark.sql import functions as F
+    from ..functions.cols import numeric_columns
+    cols = [c for c in aux.columns if c != key]
+    if numeric_only:
+        nums = set(numeric_columns(aux))
+        cols = [c for c in cols if c in nums]
+    cols = cols[:5]  # T04: the first five candidate columns in file order
+    if not cols:
+        return []
+    vc = value_counts(aux, cols).where(F.col("value").isNotNull())
+    nd = {r["column"]: r["k"] for r in vc.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    return [c for c in cols if nd.get(c, 0) >= lo and (hi is None or nd.get(c, 0) <= hi)]
+
+
+def fallback_ladder(train: DataFrame, test: DataFrame, aux: dict, keys: dict, id_col: str, max_features: int = 5):
+    """L1 frequency encodings (2 <= nunique <= 50) -> L2 numeric lookups (nunique >= 2) -> L3
+    random normals; the first level whose outputs pass the M08 checks wins.
+
+    ``keys``: aux name -> (left key in train/test, key in aux).  Returns (level, train_out, test_out, features).
+    """
+    from ..operators.validate import validate_outputs
+    from ..sources.files import random_baseline
+    from pyspark.sql import functions as F
+
+    def attempt(level):
+        fits = []
+        for name, df in aux.items():
+            lk, ak = keys[name]
+            if level == 1:
+                for c in _pick_aux_columns(df, ak, 2, 50, False):
+                    fits.append(FE.freq_encoding(f"fb_freq_{c}"[:50], df, c, key=lk, aux_key=ak))
+            elif level == 2:
+                for c in _pick_aux_columns(df, ak, 2, None, True):
+                    fits.append(FE.numeric_map(f"fb_map_{c}"[:50], df, ak, c, left_key=lk))
+        fits = fits[:max_features]
+        if not fits:
+            return None
+        return FE.apply_all(train, fits), FE.apply_all(test, fits), [f.name for f in fits]
+
+    for level in (1, 2):
+        got = attempt(level)
+        if got is None:
+            continue
+        tr, te, feats = got
+        checks = validate_outputs(train, test, tr, te, feats)
+        if checks.where(F.col("check").isin("feature_count_1_to_5", "no_all_null_feature") & ~F.col("ok")).count() == 0:
+            return level, tr, te, feats
+    feats = [f"fb_rand_{i}" for i in range(1, 6)]
+    return 3, random_baseline(train, id_col), random_baseline(test, id_col), feats
+
+
+# M12 --------------------------------------------------------------------------------------------
+def two_round(train: DataFrame, target: str, fold: str, holdout: int, round1: list, round2_pool: list,
+              k: int = 5):
+    """Propose -> hold-out leak filter (A26) -> stats (A20) -> rubric (A28) -> second set without
+    the weak names (P24) -> deterministic comparison (A27) -> the best ``k`` of the winning set.
+
+    round1 / round2_pool are lists of fitted features (``FE.Fitted``).  Returns
+    (winner set id, report DataFrame of the winning set's top ``k``).
+    """
+    from pyspark.sql import functions as F
+    from ..operators import quality as Q
+
+    def evaluate(fits):
+        m = FE.apply_all(train, fits).persist()
+        names = [f.name for f in fits]
+        hf = Q.holdout_filter(m, names, target, fold, holdout)
+        kept = [r["feature"] for r in hf.where("keep").select("feature").collect()]  # one row per feature
+        st = Q.feature_stats(m, kept, target)
+        return kept, Q.verdicts(st)
+
+    kept1, v1 = evaluate(round1)
+    weak = {r["feature"] for r in v1.where(F.col("verdict").isin("weak", "suspicious_leakage")).collect()}
+    round2 = [f for f in round2_pool if f.name not in weak] + [f for f in round1 if f.name not in weak]
+    seen, uniq = set(), []
+    for f in round2:
+        if f.name not in seen:
+            seen.add(f.name)
+            uniq.append(f)
+    kept2, v2 = evaluate(uniq)
+    both = v1.unionByName(v2).dropDuplicates(["feature"])
+    cmp = Q.compare_sets(both, {1: kept1, 2: kept2})
+    winner = cmp.where(F.col("rank") == 1).first()["set_id"]
+    chosen = v1 if winner == 1 else v2
+    return winner, Q.ranked(chosen, k)
