@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None):
 
 def _load_all():
     # importing the modules registers their queries
-    from . import q_flagship, q_scans, q_clean, q_joins, q_profile, q_features, q_quality, q_model  # noqa: F401
+    from . import (q_flagship, q_scans, q_clean, q_joins, q_profile, q_features, q_quality,  # noqa: F401
+                   q_model, q_shape)
 
 
 def queries() -> dict[str, QueryFn]:
