@@ -46,6 +46,20 @@ def exact_median(df: DataFrame, column: str) -> float | None:
     return None if q is None else q["value"]
 
 
+def median_frame(df: DataFrame, column: str, name: str = "_med") -> DataFrame:
+    """One-row DataFrame holding the exact median of ``column`` (NULL when there is no value)."""
+    q = quantiles(df, [column], [0.5]).select(F.col("value").alias(name))
+    return df.sparkSession.range(1).select(F.lit(1).alias("_one")).join(
+        q.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+
+
+def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row DataFrame to every row (equi-join on a constant key;
+    the right side is one row, so broadcasting it is bounded)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one") \
+        .drop("_one")
+
+
 def lookup(aux: DataFrame, key: str, column: str, order_by: list | None = None) -> DataFrame:
     """First ``column`` per ``key`` of ``aux`` (order_by defaults to the value)."""
     sub = aux.select(col(key).alias("_k"), col(column).alias("_v"))
@@ -56,25 +70,26 @@ def lookup(aux: DataFrame, key: str, column: str, order_by: list | None = None)
 def numeric_map(name: str, aux: DataFrame, key: str, column: str, left_key: str | None = None) -> Fitted:
     """Value of ``aux.column`` for the row's key; unmatched -> median of the deduplicated column."""
     table = lookup(aux, key, column)
-    med = exact_median(table.select(F.col("_v").cast("double").alias("v")), "v")
+    med = median_frame(table.select(F.col("_v").cast("double").alias("v")), "v")
     lk = left_key or key
 
     def fn(df):
-        j = df.join(table, col(lk) == F.col("_k"), "left")
-        val = F.coalesce(F.col("_v").cast("double"), F.lit(med).cast("double"))
-        return j.withColumn(name, _finish(val)).drop("_k", "_v")
+        j = with_scalars(df.join(table, col(lk) == F.col("_k"), "left"), med)
+        val = F.coalesce(F.col("_v").cast("double"), F.col("_med"))
+        return j.withColumn(name, _finish(val)).drop("_k", "_v", "_med")
     return Fitted(name, fn, {"median": med})
 
 
 # F02 / F19 ------------------------------------------------------------------------------------
 def _freq_fitted(name, src, column, key, aux_key, share):
     """Share (or count) of each category in ``src``; rows reach it directly or via ``key``."""
-    n_total = None
     vc = (src.where(col(column).isNotNull())
           .groupBy(col(column).alias("_c")).agg(F.count(F.lit(1)).alias("_n")))
     if share:
-        n_total = _one(src, F.count(col(column)).alias("t"))["t"]
-    table = vc.select("_c", (F.col("_n") / F.lit(n_total) if share else F.col("_n").cast("double")).alias("_f"))
+        total = src.agg(F.count(col(column)).alias("_t"))
+        table = with_scalars(vc, total).select("_c", (F.col("_n") / F.col("_t")).alias("_f"))
+    else:
+        table = vc.select("_c", F.col("_n").cast("double").alias("_f"))
     via = lookup(src, aux_key or key, column) if key else None
 
     def fn(df):
@@ -84,7 +99,7 @@ def _freq_fitted(name, src, column, key, aux_key, share):
             j = (df.join(via, col(key) == F.col("_k"), "left")
                  .join(table, F.col("_v") == F.col("_c"), "left").drop("_k", "_v"))
         return j.withColumn(name, _finish(F.col("_f"))).drop("_c", "_f")
-    return Fitted(name, fn, {"rows": n_total})
+    return Fitted(name, fn, {"table": table})
 
 
 def freq_encoding(name: str, src: DataFrame, column: str, key: str | None = None,
@@ -119,12 +134,12 @@ def target_encoding(name: str, train: DataFrame, column: str | list[str], target
         return df.join(table, col(key) == F.col("_k"), "left").withColumnRenamed("_v", "_cat").drop("_k")
 
     tr = with_cat(train)
-    g = _one(tr, F.avg(col(target).cast("double")).alias("m"))["m"]
+    g = train.agg(F.avg(col(target).cast("double")).alias("_g"))
     means = tr.groupBy("_cat").agg(F.avg(col(target).cast("double")).alias("_te"))
     if fold is None:
         def fn(df):
-            j = with_cat(df).join(means, "_cat", "left")
-            return j.withColumn(name, _finish(F.coalesce(F.col("_te"), F.lit(g)))).drop("_cat", "_te")
+            j = with_scalars(with_cat(df).join(means, "_cat", "left"), g)
+            return j.withColumn(name, _finish(F.coalesce(F.col("_te"), F.col("_g")))).drop("_cat", "_te", "_g")
         return Fitted(name, fn, {"global_mean": g})
 
     per = tr.groupBy("_cat", col(fold).alias("_fold")).agg(
@@ -140,7 +155,8 @@ def target_encoding(name: str, train: DataFrame, column: str | list[str], target
                 .drop(oof["_cat"]).drop("_fold")
         else:
             j = x.join(means, "_cat", "left")
-        return j.withColumn(name, _finish(F.coalesce(F.col("_te"), F.lit(g)))).drop("_cat", "_te")
+        j = with_scalars(j, g)
+        return j.withColumn(name, _finish(F.coalesce(F.col("_te"), F.col("_g")))).drop("_cat", "_te", "_g")
     return Fitted(name, fn_oof, {"global_mean": g})
 
 
@@ -204,22 +220,24 @@ def group_zscore(name: str, train: DataFrame, column: str, group: str) -> Fitted
 # F08 ------------------------------------------------------------------------------------------
 def quantile_bin(name: str, train: DataFrame, column: str, n_bins: int = 4) -> Fitted:
     """Bin index = number of train quantile edges (k / n_bins) strictly below x."""
+    from .kernels import quantile_edges, numeric_value_counts, cumulative_counts
     probs = [k / n_bins for k in range(1, n_bins)]
-    rows = quantiles(train, [column], probs).orderBy("q").collect()
-    edges = [r["value"] for r in rows]
-    arr = F.array(*[F.lit(float(e)) for e in edges])
+    edges = quantile_edges(cumulative_counts(numeric_value_counts(train, [column]).select("column", "value", "n")),
+                           probs).select("_edges")
 
     def fn(df):
         x = col(column).cast("double")
-        return df.withColumn(name, F.when(x.isNull(), F.lit(0.0))
-                             .otherwise(F.size(F.filter(arr, lambda e: e < x)).cast("double")))
+        j = with_scalars(df, edges)
+        return j.withColumn(name, F.when(x.isNull(), F.lit(0.0))
+                            .otherwise(F.size(F.filter("_edges", lambda e: e < x)).cast("double"))).drop("_edges")
     return Fitted(name, fn, {"edges": edges})
 
 
 def above_median(name: str, train: DataFrame, column: str) -> Fitted:
-    med = exact_median(train, column)
-    return Fitted(name, lambda df: df.withColumn(
-        name, F.coalesce((col(column).cast("double") > F.lit(med)).cast("double"), F.lit(0.0))), {"median": med})
+    med = median_frame(train, column)
+    return Fitted(name, lambda df: with_scalars(df, med).withColumn(
+        name, F.coalesce((col(column).cast("double") > F.col("_med")).cast("double"), F.lit(0.0))).drop("_med"),
+        {"median": med})
 
 
 # F09 ------------------------------------------------------------------------------------------
@@ -233,11 +251,13 @@ def flag(name: str, column: str, kind: str, value=None, train: DataFrame | None
     elif kind == "equals":
         e = F.coalesce((c == F.lit(value)).cast("double"), F.lit(0.0))
     elif kind == "is_outlier":
-        q = {r["q"]: r["value"] for r in quantiles(train, [column], [0.25, 0.75]).collect()}
-        iqr = q[0.75] - q[0.25]
-        lo, hi = q[0.25] - 1.5 * iqr, q[0.75] + 1.5 * iqr
+        from .kernels import quantile_wide
+        q = quantile_wide(train, [column], {"_q1": 0.25, "_q3": 0.75}).select(
+            (F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
+            (F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
         x = c.cast("double")
-        e = F.coalesce(((x < F.lit(lo)) | (x > F.lit(hi))).cast("double"), F.lit(0.0))
+        e = F.coalesce(((x < F.col("_lo")) | (x > F.col("_hi"))).cast("double"), F.lit(0.0))
+        return Fitted(name, lambda df: with_scalars(df, q).withColumn(name, e).drop("_lo", "_hi"))
     else:
         raise ValueError(f"unknown flag kind {kind}")
     return Fitted(name, lambda df: df.withColumn(name, e))

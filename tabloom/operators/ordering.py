@@ -26,6 +26,18 @@ from ..functions.cols import col
 ROWS_PER_SLICE = 4_000_000
 #: percentile_approx accuracy used for slice edges (edges need not be exact)
 _EDGE_ACCURACY = 10_000
+#: inputs whose optimizer size estimate (times a safety factor for stacked long forms)
+#: stays under this many bytes skip the slicing job: any group fits one task
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+_SAFETY = 64
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (no job is run); None if unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
 
 
 def _as_col(c) -> Column:
@@ -46,10 +58,13 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list, weight
     order = [_as_col(c) for c in order_cols]
     w_expr = F.lit(1).cast("long") if weight is None else col(weight)
     base = df.withColumn("_rt_w", w_expr)
+    est = estimated_bytes(df) if group_rows is None else None
+    if est is not None and est * _SAFETY <= SMALL_INPUT_BYTES:
+        group_rows = {}
     if group_rows is None:
         counts = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).collect()
     else:
-        counts = [dict(**k, _n=v) for k, v in group_rows.items()]
+        counts = [{"_n": v} for v in group_rows.values()]
     big = [r for r in counts if r["_n"] > rows_per_slice]
     if not big:
         win = (Window.partitionBy(*[col(g) for g in group_cols]).orderBy(*order)

@@ -210,8 +210,10 @@ def feature_stats(train: DataFrame, features: list[str], target: str, bins: int
         return train.sparkSession.createDataFrame(
             [], "feature string, pearson double, spearman double, mutual_info double, auc double, "
                 "null_pct double, nunique long, max_corr_with_others double, high_collinearity boolean")
+    # the candidate matrix is the expensive part (joins, fitted lookups): materialise it once in
+    # the checkpoint folder; every statistic below then plans against a short lineage
     base = label_codes(train.where(col(target).isNotNull()).select(col(target), *[col(f) for f in features]),
-                       features).persist()
+                       features).checkpoint(eager=True)
     fills = {f: sentinel_of(train, f) for f in features}
     vc0 = value_counts(base, features, target, "double")
     nu = vc0.groupBy(F.col("column").alias("feature")).agg(

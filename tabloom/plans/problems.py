@@ -50,7 +50,9 @@ def stratified_folds(df: DataFrame, id_col: str, target: str, k: int = N_FOLDS,
 
 
 def _split(name, folds: DataFrame, roles: Roles, aux) -> Problem:
-    folds = folds.persist()  # reused by train, test and every fitted state of the problem
+    # reused by train, test and every fitted state: written once to the shared checkpoint
+    # folder, which also cuts the lineage (short plans, recovery without recomputing the split)
+    folds = folds.checkpoint(eager=True)
     train = folds.where(F.col("fold") != 0).drop("fold")
     test = folds.where(F.col("fold") == 0).drop("fold", roles.target)
     return Problem(name, train, test, roles, aux, folds)
