@@ -20,6 +20,14 @@ from .ordering import first_per_key
 # try_cast would also take '1d' / '1f', so the regex guards it) and the datetime formats tried.
 NUMERIC_TEXT = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?)|(\.[0-9]+))([eE][+-]?[0-9]+)?\s*$"
 DATETIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy"]
+# shape of each format: a parse is only attempted on matching text (failed parses are slow)
+DATETIME_SHAPES = {
+    "yyyy-MM-dd HH:mm:ss": r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{2}:[0-9]{2}\s*$",
+    "yyyy-MM-dd": r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\s*$",
+    "yyyy/MM/dd": r"^\s*[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\s*$",
+    "dd.MM.yyyy": r"^\s*[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\s*$",
+    "MM/dd/yyyy": r"^\s*[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\s*$",
+}
 
 
 def _string_cols(df: DataFrame, columns=None) -> list[str]:
@@ -31,6 +39,10 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(NUMERIC_TEXT), F.trim(c).try_cast("double"))
 
 
+def parse_datetime(c: Column, fmt: str) -> Column:
+    return F.when(c.rlike(DATETIME_SHAPES[fmt]), F.try_to_timestamp(F.trim(c), F.lit(fmt)))
+
+
 # P01 / P02 ------------------------------------------------------------------------------------
 def type_repair_plan(df: DataFrame, columns=None, num_share: float = 0.9, dt_share: float = 0.9) -> dict:
     """Decide per string column: 'numeric' (parseable share of all rows >= 0.9), else
@@ -43,17 +55,26 @@ def type_repair_plan(df: DataFrame, columns=None, num_share: float = 0.9, dt_sha
         aggs.append(F.count(parse_number(col(c))).alias(f"n{i}"))
         aggs.append(F.count(col(c)).alias(f"nn{i}"))
         for j, fmt in enumerate(DATETIME_FORMATS):
-            aggs.append(F.count(F.try_to_timestamp(col(c), F.lit(fmt))).alias(f"d{i}_{j}"))
+            aggs.append(F.count_if(col(c).rlike(DATETIME_SHAPES[fmt])).alias(f"s{i}_{j}"))
     r = df.agg(*aggs).first()
-    plan = {}
+    plan, probe = {}, []
     for i, c in enumerate(cols):
         rows, nn = r["_rows"], r[f"nn{i}"]
         if rows and r[f"n{i}"] / rows >= num_share:
             plan[c] = ("numeric", None)
-            continue
-        best = max(range(len(DATETIME_FORMATS)), key=lambda j: (r[f"d{i}_{j}"], -j))
-        if nn and r[f"d{i}_{best}"] / nn >= dt_share:
-            plan[c] = ("datetime", DATETIME_FORMATS[best])
+        elif nn:
+            # parse only formats whose shape alone could reach the share
+            probe += [(c, fmt) for j, fmt in enumerate(DATETIME_FORMATS) if r[f"s{i}_{j}"] / nn >= dt_share]
+    if probe:
+        r2 = df.agg(*[F.count(parse_datetime(col(c), fmt)).alias(f"d{k}") for k, (c, fmt) in enumerate(probe)],
+                    *[F.count(col(c)).alias(f"nn{k}") for k, (c, fmt) in enumerate(probe)]).first()
+        best = {}
+        for k, (c, fmt) in enumerate(probe):
+            share = r2[f"d{k}"] / r2[f"nn{k}"] if r2[f"nn{k}"] else 0.0
+            if share >= dt_share and (c not in best or share > best[c][0]):
+                best[c] = (share, fmt)
+        for c, (_, fmt) in best.items():
+            plan[c] = ("datetime", fmt)
     return plan
 
 
@@ -66,7 +87,7 @@ def apply_type_repair(df: DataFrame, plan: dict) -> DataFrame:
         elif kind[0] == "numeric":
             out.append(parse_number(col(c)).alias(c))
         else:
-            out.append(F.try_to_timestamp(col(c), F.lit(kind[1])).alias(c))
+            out.append(parse_datetime(col(c), kind[1]).alias(c))
     return df.select(*out)
 
 

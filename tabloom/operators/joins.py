@@ -152,14 +152,14 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str | None = None, order
     rest = [c for c in r.columns if c != key]
     r = first_per_key(r, [key], order_by or rest)
     clashes = [c for c in rest if c in left.columns]
-    ren = r.select(col(key), *[col(c).alias(c + "__r") if c in clashes else col(c) for c in rest])
+    ren = r.select(col(key), *[col(c).alias(c + "__r") if c in clashes else col(c) for c in rest],
+                   F.lit(True).alias("__matched"))
     j = left.join(ren, key, "left")
     if not clashes:
         return j.select(*left.columns, *[c for c in rest])
-    # a clash collapses when left and right agree on every row that found a partner
-    eq = j.agg(*[F.coalesce(F.bool_and(F.when(col(c + "__r").isNotNull() | col(c).isNotNull(),
-                                                col(c).eqNullSafe(col(c + "__r")))), F.lit(True)).alias(c)
-                 for c in clashes]).first().asDict()
+    # a clash collapses when left and right agree (NULL = NULL) on every row that found a partner
+    eq = j.agg(*[F.coalesce(F.bool_and(F.when(F.col("__matched"), col(c).eqNullSafe(col(c + "__r")))),
+                            F.lit(True)).alias(c) for c in clashes]).first().asDict()
     out = []
     for c in left.columns:
         out.append(col(c).alias(c) if c not in clashes or eq[c] else col(c).alias(c + "_1"))
