@@ -137,3 +137,25 @@ def t04(spark, sf):
 def t05(spark, sf):
     st = Q.feature_stats(orders_matrix(spark, sf), FEATURES, "target")
     return report(st, None).orderBy("rank")
+
+
+@query("a22_knn_mutual_info")
+def a22(spark, sf):
+    from ..operators.knn_mi import knn_mutual_info
+    m = orders_matrix(spark, sf)
+    feats = [f for f in FEATURES if f != "fe_constant"]
+    return knn_mutual_info(m, feats, "target", "o_orderkey").select(
+        "feature", r6(F.col("mutual_info")).alias("mutual_info"), "n")
+
+
+@query("a19_candidate_report_with_importance")
+def a19(spark, sf):
+    from ..operators import model as MD
+    from .q_model import QUERY_ITERATIONS
+    m = orders_matrix(spark, sf)
+    st = Q.feature_stats(m, FEATURES, "target")
+    imp = MD.importance_ranking(m, FEATURES, "target", max_iter=QUERY_ITERATIONS)
+    return (st.join(imp, "feature", "left")
+            .select("feature", r6(F.col("pearson")).alias("pearson"), r6(F.col("mutual_info")).alias("mutual_info"),
+                    r6(F.col("null_pct")).alias("null_pct"), "nunique", r6(F.col("importance")).alias("importance"))
+            .orderBy(F.desc("importance"), "feature"))
