@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cols import col
 from ..functions import stats as S
@@ -33,15 +34,38 @@ def long_form(df: DataFrame, columns: list[str], value_type: str = "string",
     return casted.select(*[col(k) for k in keep], F.inline(pairs))
 
 
+def _family(dt: T.DataType) -> str:
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "long"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "double"
+    return "string"
+
+
 def value_counts(df: DataFrame, columns: list[str], target: str | None = None,
                  value_type: str = "string") -> DataFrame:
-    """(column, value, n[, n_y, sum_y]); NULL values form their own row."""
+    """(column, value, n[, n_y, sum_y]); NULL values form their own row.
+
+    With ``value_type="string"`` the grouping still happens on the native type
+    family (integral / fractional / other) and only the distinct values are
+    turned into text afterwards, so rows are never formatted one by one.
+    """
     keep = [target] if target else []
-    lf = long_form(df, columns, value_type, keep)
     aggs = [F.count(F.lit(1)).alias("n")]
     if target:
         aggs += [F.count(col(target)).alias("n_y"), F.sum(col(target).cast("double")).alias("sum_y")]
-    return lf.groupBy("column", "value").agg(*aggs)
+    if value_type != "string":
+        return long_form(df, columns, value_type, keep).groupBy("column", "value").agg(*aggs)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fams: dict[str, list[str]] = {}
+    for c in columns:
+        fams.setdefault(_family(types[c]), []).append(c)
+    out = None
+    for fam, cs in fams.items():
+        part = (long_form(df, cs, fam, keep).groupBy("column", "value").agg(*aggs)
+                .withColumn("value", F.col("value").cast("string")))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def moments(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ def prepare_data(df: DataFrame, key: str | None = None, order_by=None, target: s
     plan = CL.type_repair_plan(df)
     out = CL.normalize_categories(CL.apply_type_repair(df, plan))
     out, dropped = CL.drop_duplicates(out, key, order_by)
+    # three more passes read the deduplicated table: write it once (shared checkpoint folder)
+    out = out.checkpoint(eager=True)
     excl = [target] if target else []
     const = CL.constant_columns(out, const_threshold, exclude=excl)
     out = CL.drop_flagged(out, const)
