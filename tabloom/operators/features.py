@@ -380,3 +380,14 @@ def median_ratio(name: str, train: DataFrame, a: str, b: str, medians: dict | No
         y = F.coalesce(col(b).cast("double"), F.lit(med.get(b)))
         return df.withColumn(name, _finish(F.try_divide(x, F.nullif(y, F.lit(0.0)))))
     return Fitted(name, fn, {"medians": med})
+
+
+def fill_with_median(name: str, column: str, src: DataFrame, src_column: str) -> Fitted:
+    """F01 after an attach: the attached value, else the median of ``src_column`` in ``src``
+    (pass the deduplicated auxiliary table for the reference's numeric-map semantics)."""
+    med = median_frame(src.select(col(src_column).cast("double").alias("v")), "v")
+
+    def fn(df):
+        j = with_scalars(df, med)
+        return j.withColumn(name, _finish(F.coalesce(col(column).cast("double"), F.col("_med")))).drop("_med")
+    return Fitted(name, fn, {"median": med})

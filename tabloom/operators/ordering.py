@@ -119,3 +119,27 @@ def first_per_key(df: DataFrame, key_cols: list[str], order_cols: list, keep: st
     agg = df.groupBy(*[col(k) for k in key_cols]).agg(pick.alias("_pick"))
     return agg.select(*[col(k) for k in key_cols], *[F.col("_pick")[c].alias(c) for c in others]) \
         .select(*df.columns)
+
+
+def dense_codes(values: DataFrame, column: str, out: str = "_code") -> DataFrame:
+    """0-based code of each distinct value of ``column`` in sorted order, without a single-task window.
+
+    Small inputs (by the optimizer's size estimate) use one window.  Otherwise the
+    distinct values are range-partitioned, written once with their partition id
+    (so every later read sees the same assignment), numbered inside each range and
+    shifted by the sizes of the earlier ranges (one row per range).
+    """
+    from ..session import materialize
+    d = values.select(col(column).alias("_lv")).where(F.col("_lv").isNotNull()).distinct()
+    est = estimated_bytes(d)
+    if est is not None and est * _SAFETY <= SMALL_INPUT_BYTES:
+        return d.select(F.col("_lv").alias(column),
+                        (F.row_number().over(Window.orderBy("_lv")) - 1).cast("long").alias(out))
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(d.repartitionByRange(n, "_lv").withColumn("_pid", F.spark_partition_id()), "codes")
+    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_pid").orderBy("_lv")))
+    sizes = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_s"))
+    offs = sizes.select("_pid", F.coalesce(F.sum("_s").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # one row per range
+    return local.join(F.broadcast(offs), "_pid").select(
+        F.col("_lv").alias(column), (F.col("_o") + F.col("_r") - 1).cast("long").alias(out))

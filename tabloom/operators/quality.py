@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import col
 from ..functions import stats as S
+from ..session import materialize
 from .kernels import cumulative_counts, long_form, quantile_edges, quantiles, value_counts
 
 SENTINEL = -999.0
@@ -28,12 +29,12 @@ def label_codes(df: DataFrame, features: list[str]) -> DataFrame:
     """
     types = dict(df.dtypes)
     base = df
+    from .ordering import dense_codes
     for f in [f for f in features if types[f] in ("string", "boolean")]:
-        w = Window.orderBy(F.col("_lv"))
-        dic = (df.select(col(f).cast("string").alias("_lv")).where(F.col("_lv").isNotNull()).distinct()
-               .withColumn("_code", (F.row_number().over(w) - 1).cast("double")))
-        base = base.join(F.broadcast(dic), col(f).cast("string") == F.col("_lv"), "left") \
-            .withColumn(f, F.col("_code")).drop("_lv", "_code")
+        dic = dense_codes(df.select(col(f).cast("string").alias("_lv")), "_lv")
+        # dictionary size grows with the column's cardinality: the join strategy is left to AQE
+        base = base.join(dic, col(f).cast("string") == F.col("_lv"), "left") \
+            .withColumn(f, F.col("_code").cast("double")).drop("_lv", "_code")
     return base
 
 
@@ -213,7 +214,8 @@ def feature_stats(train: DataFrame, features: list[str], target: str, bins: int
     # the candidate matrix is the expensive part (joins, fitted lookups): materialise it once in
     # the checkpoint folder; every statistic below then plans against a short lineage
     base = label_codes(train.where(col(target).isNotNull()).select(col(target), *[col(f) for f in features]),
-                       features).checkpoint(eager=True)
+                       features)
+    base = materialize(base, "candidates")
     fills = {f: sentinel_of(train, f) for f in features}
     vc0 = value_counts(base, features, target, "double")
     nu = vc0.groupBy(F.col("column").alias("feature")).agg(

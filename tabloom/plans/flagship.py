@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import r6
 from ..operators import features as FE
+from ..operators import joins as JN
 from ..operators import quality as Q
 from . import problems
 
@@ -21,17 +22,23 @@ REPORT_COLUMNS = ["rank", "feature", "pearson", "spearman", "mutual_info", "auc"
                   "max_corr_with_others", "high_collinearity", "verdict", "score"]
 
 
-def docs_candidates(p: problems.Problem) -> list[FE.Fitted]:
+def docs_candidates(p: problems.Problem) -> tuple[list[FE.Fitted], DataFrame]:
+    """Attach the auxiliary columns once (dedup per key + one left join), then encode them.
+
+    Returns the fitted candidates and the attached training frame they apply to.
+    """
     docs = p.aux["documents"]
     y = p.roles.target
-    return [
-        FE.freq_encoding("fe_freq_source", docs, "source", key="doc_id"),
-        FE.freq_encoding("fe_freq_lang", docs, "lang", key="doc_id"),
-        FE.count_encoding("fe_cnt_source", docs, "source", key="doc_id"),
-        FE.target_encoding("fe_te_lang", p.train, "lang", y, via=(docs, "doc_id", "doc_id")),
-        FE.target_encoding("fe_te_source", p.train, "source", y, via=(docs, "doc_id", "doc_id")),
-        FE.numeric_map("fe_n_chars", docs, "doc_id", "n_chars"),
+    attached = JN.lookup_join(p.train, docs, key="doc_id")
+    fits = [
+        FE.freq_encoding("fe_freq_source", docs, "source"),
+        FE.freq_encoding("fe_freq_lang", docs, "lang"),
+        FE.count_encoding("fe_cnt_source", docs, "source"),
+        FE.target_encoding("fe_te_lang", attached, "lang", y),
+        FE.target_encoding("fe_te_source", attached, "source", y),
+        FE.fill_with_median("fe_n_chars", "n_chars", FE.lookup(docs, "doc_id", "n_chars"), "_v"),
     ]
+    return fits, attached
 
 
 def report(stats: DataFrame, k: int | None = 5) -> DataFrame:
@@ -46,8 +53,8 @@ def report(stats: DataFrame, k: int | None = 5) -> DataFrame:
 
 def docs_feature_report(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     p = problems.docs(spark, sf_dir)
-    fitted = docs_candidates(p)
-    train = FE.apply_all(p.train, fitted)
+    fitted, attached = docs_candidates(p)
+    train = FE.apply_all(attached, fitted)
     feats = [f.name for f in fitted] + ["toxic"]
     stats = Q.feature_stats(train, feats, p.roles.target)
     return report(stats, k)

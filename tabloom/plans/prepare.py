@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions.cols import numeric_columns
 from ..operators import clean as CL
 from ..operators import quality as Q
+from ..session import materialize
 
 
 def prepare_data(df: DataFrame, key: str | None = None, order_by=None, target: str | None = None,
@@ -16,7 +17,7 @@ def prepare_data(df: DataFrame, key: str | None = None, order_by=None, target: s
     out = CL.normalize_categories(CL.apply_type_repair(df, plan))
     out, dropped = CL.drop_duplicates(out, key, order_by)
     # three more passes read the deduplicated table: write it once (shared checkpoint folder)
-    out = out.checkpoint(eager=True)
+    out = materialize(out, "prepared")
     excl = [target] if target else []
     const = CL.constant_columns(out, const_threshold, exclude=excl)
     out = CL.drop_flagged(out, const)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import col, md5_order_key
 from ..operators.ordering import row_number_in
+from ..session import materialize
 from ..sources.tables import load
 
 N_FOLDS = 5
@@ -52,7 +53,7 @@ def stratified_folds(df: DataFrame, id_col: str, target: str, k: int = N_FOLDS,
 def _split(name, folds: DataFrame, roles: Roles, aux) -> Problem:
     # reused by train, test and every fitted state: written once to the shared checkpoint
     # folder, which also cuts the lineage (short plans, recovery without recomputing the split)
-    folds = folds.checkpoint(eager=True)
+    folds = materialize(folds, f"problem-{name}")
     train = folds.where(F.col("fold") != 0).drop("fold")
     test = folds.where(F.col("fold") == 0).drop("fold", roles.target)
     return Problem(name, train, test, roles, aux, folds)

@@ -31,6 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.locality.wait", os.environ.get("TABLOOM_LOCALITY_WAIT", "0s"))
         .config("spark.driver.memory", os.environ.get("TABLOOM_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -68,3 +69,15 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (recovery reads the files instead of
+    recomputing upstream joins) but computes the plan only once, and the re-read
+    table carries file statistics for the optimizer.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -25,3 +25,12 @@ def test_first_per_key_keep_first_and_last(spark):
     first = {r["k"]: r["v"] for r in first_per_key(df, ["k"], ["o"]).collect()}
     last = {r["k"]: r["v"] for r in first_per_key(df, ["k"], ["o"], keep="last").collect()}
     assert first == {1: "a", None: "y"} and last == {1: "c", None: "x"}
+
+
+def test_dense_codes_large_path_matches_window(spark, monkeypatch):
+    from tabloom.operators import ordering
+    vals = spark.createDataFrame([(f"v{i % 97:03d}",) for i in range(2000)], "s string")
+    small = {r["s"]: r["_code"] for r in ordering.dense_codes(vals, "s").collect()}
+    monkeypatch.setattr(ordering, "SMALL_INPUT_BYTES", 0)
+    large = {r["s"]: r["_code"] for r in ordering.dense_codes(vals, "s").collect()}
+    assert small == large and sorted(small.values()) == list(range(97))
