@@ -115,18 +115,36 @@ def datetime_counts(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 
 
 def datetime_trend(df: DataFrame, column: str) -> DataFrame:
-    """Regress the sorted epoch seconds on their position: slope, r2 (and n).
-
-    The position comes from the sliced running total (no single-task global sort).
+    """Regress the sorted epoch seconds on their position: (n, slope, r2).
+
+    Rows sharing a timestamp occupy a consecutive range of positions, and the
+    regression only needs that range, so everything comes from the value counts
+    of the timestamps plus their cumulative counts: no row-level window, and a
+    timestamp holding a third of the rows is one row of the count table.
+    With mean position m = (N + 1) / 2:
+      Sxx = N (N^2 - 1) / 12,  Sxy = sum_t n_t (t - mean_t)(avg_pos_t - m),
+      Syy = sum_t n_t (t - mean_t)^2,  slope = Sxy / Sxx,  r2 = Sxy^2 / (Sxx Syy).
     """
+    from .kernels import cumulative_counts
     c = col(column)
-    x = (df.where(c.isNotNull()).select(F.unix_micros(c.cast("timestamp")).cast("double").alias("_t"))
-         .withColumn("_g", F.lit(0)))
-    ranked = row_number_in(x, ["_g"], ["_t"], out="_pos")
-    return ranked.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.regr_slope(F.col("_t") / 1e6, F.col("_pos").cast("double")).alias("slope"),
-        F.regr_r2(F.col("_t") / 1e6, F.col("_pos").cast("double")).alias("r2"))
+    t = F.unix_micros(c.cast("timestamp")).cast("double") / 1e6
+    vc = (df.where(c.isNotNull()).groupBy(t.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+          .withColumn("column", F.lit(column)))
+    cum = cumulative_counts(vc.select("column", "value", "n"))
+    tot = vc.groupBy("column").agg(F.sum("n").alias("_N"), (F.sum(F.col("n") * F.col("value")) / F.sum("n"))
+                                   .alias("_mt"))
+    j = cum.join(F.broadcast(tot), "column")  # one row per column
+    avg_pos = F.col("cum_before") + (F.col("n") + 1) / 2.0
+    m = (F.col("_N") + 1) / 2.0
+    s = j.groupBy("column", "_N").agg(
+        F.sum(F.col("n") * (F.col("value") - F.col("_mt")) * (avg_pos - m)).alias("_sxy"),
+        F.sum(F.col("n") * (F.col("value") - F.col("_mt")) * (F.col("value") - F.col("_mt"))).alias("_syy"))
+    n = F.col("_N").cast("double")
+    sxx = n * (n * n - 1) / 12.0
+    return s.select(F.col("_N").cast("long").alias("n"),
+                    F.try_divide(F.col("_sxy"), F.nullif(sxx, F.lit(0.0))).alias("slope"),
+                    F.try_divide(F.col("_sxy") * F.col("_sxy"), F.nullif(sxx * F.col("_syy"), F.lit(0.0)))
+                    .alias("r2"))
 
 
 def trend_pvalue(n: int, r2: float | None) -> float | None:
