@@ -42,6 +42,11 @@ class Problem:
     folds: DataFrame | None = None  # every labelled row with its fold number
 
 
+# The labelled table of a problem (ids, target, folds) is an input every query of the problem
+# reads: it is written once under spark.checkpoint.dir, which also cuts the lineage (short
+# plans; recovery reads the files instead of recomputing the split).
+
+
 def stratified_folds(df: DataFrame, id_col: str, target: str, k: int = N_FOLDS,
                      out: str = "fold") -> DataFrame:
     """fold = (row number within class by md5(id) - 1) % k."""
@@ -50,10 +55,24 @@ def stratified_folds(df: DataFrame, id_col: str, target: str, k: int = N_FOLDS,
     return ranked.withColumn(out, (F.col("_rn") - 1) % k).drop("_h", "_hs", "_rn")
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _folds_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The labelled table with folds, written once per session and data folder, then re-read."""
+    key = (id(spark), spark.conf.get("spark.checkpoint.dir", ""), sf_dir, name)
+    path = _WRITTEN.get(key)
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001  (folder cleaned up: rebuild)
+            _WRITTEN.pop(key, None)
+    df = materialize(build(), f"problem-{name}")
+    _WRITTEN[key] = df.inputFiles()[0].rsplit("/", 1)[0]
+    return df
+
+
 def _split(name, folds: DataFrame, roles: Roles, aux) -> Problem:
-    # reused by train, test and every fitted state: written once to the shared checkpoint
-    # folder, which also cuts the lineage (short plans, recovery without recomputing the split)
-    folds = materialize(folds, f"problem-{name}")
     train = folds.where(F.col("fold") != 0).drop("fold")
     test = folds.where(F.col("fold") == 0).drop("fold", roles.target)
     return Problem(name, train, test, roles, aux, folds)
@@ -63,7 +82,7 @@ def docs(spark: SparkSession, sf_dir: str) -> Problem:
     """labels (doc_id, quality, toxic) + documents 1:1; target quality."""
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     documents = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    folds = stratified_folds(labels, "doc_id", "quality")
+    folds = _folds_table(spark, sf_dir, "docs", lambda: stratified_folds(labels, "doc_id", "quality"))
     return _split("docs", folds, Roles("doc_id", "quality"), {"documents": documents})
 
 
@@ -72,7 +91,7 @@ def orders(spark: SparkSession, sf_dir: str) -> Problem:
     o = load(spark, sf_dir, "orders")
     base = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                     (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("target"))
-    folds = stratified_folds(base, "o_orderkey", "target")
+    folds = _folds_table(spark, sf_dir, "orders", lambda: stratified_folds(base, "o_orderkey", "target"))
     aux = {
         "customer": load(spark, sf_dir, "customer"),
         "lineitem": load(spark, sf_dir, "lineitem"),
@@ -88,7 +107,7 @@ def users(spark: SparkSession, sf_dir: str) -> Problem:
     base = ev.groupBy("user_id").agg(
         F.max(F.when((F.col("event_type") == "purchase") & (F.col("ts") >= cutoff), 1).otherwise(0))
         .cast("int").alias("target"))
-    folds = stratified_folds(base, "user_id", "target")
+    folds = _folds_table(spark, sf_dir, "users", lambda: stratified_folds(base, "user_id", "target"))
     history = ev.where(F.col("ts") < cutoff)
     return _split("users", folds, Roles("user_id", "target"), {"events": history})
 

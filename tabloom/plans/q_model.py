@@ -16,7 +16,7 @@ from .q_quality import FEATURES, orders_matrix
 from .registry import query
 
 #: boosting rounds for the registered queries (the library default is the reference's 300)
-QUERY_ITERATIONS = 20
+QUERY_ITERATIONS = 10
 
 
 def _cv_matrix(spark, sf):
