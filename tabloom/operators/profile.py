@@ -46,11 +46,21 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     columns = columns or df.columns
     nums = [c for c in numeric_columns(df) if c in columns]
     others = [c for c in columns if c not in nums]
-    vc = value_counts(df, columns).persist()
-    base = vc.groupBy("column").agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"),
-        F.count("value").alias("unique_count"))
+    # one raw pass per type family: numeric columns as doubles (NULLs kept), others as text
+    parts = []
+    if nums:
+        nvc_all = value_counts(df, nums, value_type="double").persist()
+        parts.append(nvc_all)
+    if others:
+        svc = value_counts(df, others).persist()
+        parts.append(svc)
+    base = None
+    for vc in parts:
+        b = vc.groupBy("column").agg(
+            F.sum("n").alias("total"),
+            F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"),
+            F.count("value").alias("unique_count"))
+        base = b if base is None else base.unionByName(b)
     base = base.select(
         "column", F.col("total").cast("long").alias("total"), F.col("non_null").cast("long").alias("non_null"),
         (F.col("total") - F.col("non_null")).cast("long").alias("null_count"),
@@ -61,8 +71,10 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         .alias("unique_ratio"))
     out = base
     if nums:
+        nvc = nvc_all.where(F.col("value").isNotNull())
+        # moments from the rows: a row-level sum matches an exactly rounded mean where a sum of
+        # n * value over distinct values can land on the other side of a 6-dp tie
         m = moments(df, nums).select("column", "mean", "std", "min", "max", "skew", "kurt")
-        nvc = numeric_value_counts(df, nums).persist()
         qs = quantile_wide(None, None, QUARTILES, vc=nvc)
         oc = outlier_counts(nvc, qs)
         out = out.join(m, "column", "left").join(qs, "column", "left").join(oc, "column", "left")
@@ -71,8 +83,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
             out = out.withColumn(c, F.lit(None).cast("double"))
         out = out.withColumn("outliers", F.lit(None).cast("long"))
     if others:
-        t5 = top5_text(vc.where(F.col("column").isin(others)))
-        out = out.join(t5, "column", "left")
+        out = out.join(top5_text(svc), "column", "left")
     else:
         out = out.withColumn("mode", F.lit(None).cast("string")).withColumn("top5", F.lit(None).cast("string"))
     return out
