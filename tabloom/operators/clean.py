@@ -112,9 +112,10 @@ def drop_duplicates(df: DataFrame, key: str | None = None, order_by: list | None
         if key not in df.columns:
             raise KeyError(key)
         out = first_per_key(df, [key], order_by or [c for c in df.columns if c != key], keep)
-    a = df.agg(F.count(F.lit(1)).alias("_a")).withColumn("_one", F.lit(1))
-    b = out.agg(F.count(F.lit(1)).alias("_b")).withColumn("_one", F.lit(1))
-    dropped = a.join(b, "_one").select((F.col("_a") - F.col("_b")).alias("dropped"))
+    from .joins import one_row_join
+    a = df.agg(F.count(F.lit(1)).alias("_a"))
+    b = out.agg(F.count(F.lit(1)).alias("_b"))
+    dropped = one_row_join(a, b).select((F.col("_a") - F.col("_b")).alias("dropped"))
     return out, dropped
 
 

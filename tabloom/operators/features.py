@@ -48,16 +48,19 @@ def exact_median(df: DataFrame, column: str) -> float | None:
 
 def median_frame(df: DataFrame, column: str, name: str = "_med") -> DataFrame:
     """One-row DataFrame holding the exact median of ``column`` (NULL when there is no value)."""
-    q = quantiles(df, [column], [0.5]).select(F.col("value").alias(name))
-    return df.sparkSession.range(1).select(F.lit(1).alias("_one")).join(
-        q.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    # zero rows when the column has no value: attached as a scalar subquery it reads as NULL
+    return quantiles(df, [column], [0.5]).select(F.col("value").alias(name))
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row DataFrame to every row (equi-join on a constant key;
-    the right side is one row, so broadcasting it is bounded)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one") \
-        .drop("_one")
+    """Attach the columns of a one-row DataFrame to every row as a scalar subquery.
+
+    The subquery runs once and is inlined as a value: no join, no shuffle.  An
+    empty ``scalars`` yields NULLs.
+    """
+    names = scalars.columns
+    packed = scalars.select(F.struct(*[F.col(c) for c in names]).alias("_sc")).scalar()
+    return df.withColumn("_sc", packed).select("*", *[F.col("_sc")[c].alias(c) for c in names]).drop("_sc")
 
 
 def lookup(aux: DataFrame, key: str, column: str, order_by: list | None = None) -> DataFrame:

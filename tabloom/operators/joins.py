@@ -29,8 +29,9 @@ class JoinSpec:
 
 
 def one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side-by-side columns of two one-row aggregates (equi-join on a constant key)."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Side-by-side columns of two one-row aggregates (b enters as a scalar subquery)."""
+    packed = b.select(F.struct(*[F.col(c) for c in b.columns]).alias("_sc")).scalar()
+    return a.withColumn("_sc", packed).select("*", *[F.col("_sc")[c].alias(c) for c in b.columns]).drop("_sc")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ def with_balanced_weight(df: DataFrame, target: str, out: str = "_w") -> DataFra
     """weight = largest class count / own class count (two-row aggregate joined back)."""
     counts = df.groupBy(col(target).alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
     mx = counts.agg(F.max("_n").alias("_mx"))
-    w = counts.withColumn("_one", F.lit(1)).join(mx.withColumn("_one", F.lit(1)), "_one") \
-        .select("_cls", (F.col("_mx") / F.col("_n")).alias(out))
+    from .features import with_scalars
+    w = with_scalars(counts, mx).select("_cls", (F.col("_mx") / F.col("_n")).alias(out))
     return df.join(F.broadcast(w), col(target) == F.col("_cls")).drop("_cls")  # one row per class
 
 

@@ -144,7 +144,8 @@ def datetime_trend(df: DataFrame, column: str) -> DataFrame:
     cum = cumulative_counts(vc.select("column", "value", "n"))
     tot = vc.groupBy("column").agg(F.sum("n").alias("_N"), (F.sum(F.col("n") * F.col("value")) / F.sum("n"))
                                    .alias("_mt"))
-    j = cum.join(F.broadcast(tot), "column")  # one row per column
+    from .features import with_scalars
+    j = with_scalars(cum, tot.drop("column"))  # one profiled column: its totals enter as scalars
     avg_pos = F.col("cum_before") + (F.col("n") + 1) / 2.0
     m = (F.col("_N") + 1) / 2.0
     s = j.groupBy("column", "_N").agg(

@@ -87,7 +87,8 @@ def table_catalog(tables: dict[str, DataFrame], with_size: bool = False) -> Data
         if with_size:
             size = (df.select("_metadata.file_path", "_metadata.file_size").distinct()
                     .agg(F.round(F.sum("file_size") / 1024.0, 1).alias("size_kb")))
-            row = row.withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one").drop("_one")
+            from ..operators.joins import one_row_join
+            row = one_row_join(row, size)
         out = row if out is None else out.unionByName(row)
     return out
 
