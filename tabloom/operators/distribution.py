@@ -88,14 +88,9 @@ def _sw_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def shapiro_table(df: DataFrame, columns: list[str], min_n: int = 8, max_n: int = 5000) -> DataFrame:
-    """(column, n, w, normal_p (4 dp), is_normal) for columns with min_n..max_n values."""
-    lf = long_form(df, columns, "double").where(F.col("value").isNotNull())
-    sizes = lf.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
-    ok = sizes.where((F.col("_n") >= min_n) & (F.col("_n") <= max_n)).select("column")
-    # only bounded groups reach the pandas function
-    small = lf.join(F.broadcast(ok), "column")
-    return small.groupBy("column").applyInPandas(
-        _sw_group, "column string, n long, w double, normal_p double, is_normal boolean")
+    """A10: (column, n, w, normal_p (4 dp), is_normal) for columns with min_n..max_n values."""
+    return per_column_pandas(df, columns, _sw_group, "column string, n long, w double, normal_p double, "
+                             "is_normal boolean", min_n, max_n)
 
 
 def modality(df: DataFrame, columns: list[str], grid: int = 200, max_bins: int = 2000) -> DataFrame:
@@ -105,6 +100,28 @@ def modality(df: DataFrame, columns: list[str], grid: int = 200, max_bins: int =
     Columns with more than ``max_bins`` distinct values are pre-binned to equal-width
     bin centres, so the work is at most max_bins x grid per column.
     """
+    st = moments(df, columns).select("column", F.col("n").alias("n_all"), "std")
+    dens = kde_density(df, columns, grid, max_bins)
+    peaks = (local_maxima(dens, "column", "i", "d")
+             .groupBy("column").agg(F.count(F.lit(1)).alias("peaks")))
+    out = st.join(peaks, "column", "left").select(
+        "column", F.when((F.col("n_all") < 2) | F.col("std").isNull() | (F.col("std") == 0), F.lit(1))
+        .otherwise(F.coalesce(F.col("peaks"), F.lit(0))).cast("long").alias("peaks"))
+    return out.withColumn("multimodal", F.col("peaks") > 1)
+
+
+def local_maxima(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Rows whose ``value`` is strictly above both neighbours in ``order`` within ``group``.
+
+    Meant for bounded series (a KDE grid: 200 points per column), so one window per group is fine.
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    return (df.withColumn("_prev", F.lag(value).over(w)).withColumn("_next", F.lead(value).over(w))
+            .where((F.col(value) > F.col("_prev")) & (F.col(value) > F.col("_next"))).drop("_prev", "_next"))
+
+
+def kde_density(df: DataFrame, columns: list[str], grid: int = 200, max_bins: int = 2000) -> DataFrame:
+    """(column, i, g, d): the unnormalised KDE of ``modality`` on its grid."""
     vc = numeric_value_counts(df, columns).select("column", "value", "n")
     st = moments(df, columns).select("column", F.col("n").alias("n_all"), "std", "min", "max")
     nd = vc.groupBy("column").agg(F.count(F.lit(1)).alias("_d"))
@@ -119,16 +136,21 @@ def modality(df: DataFrame, columns: list[str], grid: int = 200, max_bins: int =
                    F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
            .withColumn("g", F.col("min") + F.col("i") * (F.col("max") - F.col("min")) / (grid - 1)))
     z = (F.col("g") - F.col("value")) / F.col("h")
-    dens = (pts.join(binned, "column").groupBy("column", "i")
+    return (pts.join(binned, "column").groupBy("column", "i", "g")
             .agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("d")))
-    w = Window.partitionBy("column").orderBy("i")  # grid points of one column: bounded
-    peaks = (dens.withColumn("_p", F.lag("d").over(w)).withColumn("_q", F.lead("d").over(w))
-             .groupBy("column").agg(F.sum(((F.col("d") > F.col("_p")) & (F.col("d") > F.col("_q"))).cast("int"))
-                                    .alias("peaks")))
-    out = st.join(peaks, "column", "left").select(
-        "column", F.when((F.col("n_all") < 2) | F.col("std").isNull() | (F.col("std") == 0), F.lit(1))
-        .otherwise(F.coalesce(F.col("peaks"), F.lit(0))).cast("long").alias("peaks"))
-    return out.withColumn("multimodal", F.col("peaks") > 1)
+
+
+def per_column_pandas(df: DataFrame, columns: list[str], fn, schema: str, min_n: int = 1,
+                      max_n: int = 5000) -> DataFrame:
+    """Run a pandas function on each column's non-null values (one group per column).
+
+    Only columns with ``min_n``..``max_n`` values are handed to pandas, so a group is
+    bounded by construction; ``fn(pdf)`` gets (column, value) and returns rows of ``schema``.
+    """
+    lf = long_form(df, columns, "double").where(F.col("value").isNotNull())
+    sizes = lf.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
+    ok = sizes.where((F.col("_n") >= min_n) & (F.col("_n") <= max_n)).select("column")
+    return lf.join(F.broadcast(ok), "column").groupBy("column").applyInPandas(fn, schema)
 
 
 def vif(df: DataFrame, features: list[str]) -> DataFrame:

@@ -159,3 +159,48 @@ def a19(spark, sf):
             .select("feature", r6(F.col("pearson")).alias("pearson"), r6(F.col("mutual_info")).alias("mutual_info"),
                     r6(F.col("null_pct")).alias("null_pct"), "nunique", r6(F.col("importance")).alias("importance"))
             .orderBy(F.desc("importance"), "feature"))
+
+
+# W03 / W04 / X02 ------------------------------------------------------------------------------
+@query("w03_positions_for_trend", """
+WITH vc AS (SELECT epoch(o_orderdate) AS value, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)
+SELECT value, n, sum(n) OVER (ORDER BY value) - n + 1 AS first_pos, sum(n) OVER (ORDER BY value) AS last_pos FROM vc""")
+def w03(spark, sf):
+    """Rows sharing a timestamp occupy consecutive sorted positions: (value, n, first_pos, last_pos)."""
+    from ..operators.kernels import cumulative_counts
+    o = load(spark, sf, "orders").where(F.col("o_orderdate").isNotNull())
+    vc = (o.groupBy((F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double") / 1e6).alias("value"))
+          .agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.lit("o_orderdate")))
+    cum = cumulative_counts(vc.select("column", "value", "n"))
+    return cum.select("value", "n", (F.col("cum_before") + 1).alias("first_pos"), F.col("cum").alias("last_pos"))
+
+
+W04_SQL = A11_SQL[:A11_SQL.rindex("pk AS (")] + """
+peaks AS (SELECT "column", i FROM (
+            SELECT *, lag(d) OVER (PARTITION BY "column" ORDER BY i) AS lg,
+                   lead(d) OVER (PARTITION BY "column" ORDER BY i) AS ld FROM dens) WHERE d > lg AND d > ld)
+SELECT "column", CAST(i AS INTEGER) AS i FROM peaks"""
+
+
+@query("w04_kde_local_maxima", W04_SQL)
+def w04(spark, sf):
+    dens = D.kde_density(line_fx(spark, sf), KDE_COLS)
+    return D.local_maxima(dens, "column", "i", "d").select("column", F.col("i").cast("int").alias("i"))
+
+
+def _summary_group(pdf):
+    import pandas as pd
+    x = pdf["value"]
+    return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [len(x)],
+                         "iqr": [float(x.quantile(0.75) - x.quantile(0.25))],
+                         "mad": [float((x - x.median()).abs().median())]})
+
+
+@query("x02_per_column_pandas")
+def x02(spark, sf):
+    """The grouped-pandas hook on bounded per-column groups (supplier and part numerics)."""
+    s = load(spark, sf, "supplier")
+    p = load(spark, sf, "part")
+    schema = "column string, n long, iqr double, mad double"
+    return D.per_column_pandas(s, ["s_acctbal"], _summary_group, schema).unionByName(
+        D.per_column_pandas(p, ["p_retailprice", "p_size"], _summary_group, schema))
