@@ -30,9 +30,18 @@ def _load_all():
                    q_model, q_shape)
 
 
+def _prepared(fn: QueryFn) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..session import prepare_session
+        return fn(prepare_session(spark), sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     _load_all()
-    return dict(_QUERIES)
+    return {k: _prepared(v) for k, v in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

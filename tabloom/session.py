@@ -81,3 +81,17 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Settings every query relies on, applied to a session we did not create.
+
+    Timestamps in the data are zone-less; converting them to epochs or comparing
+    them with literals must not depend on the caller's zone, so the session zone
+    is pinned to UTC.  The shared checkpoint folder is taken from the session
+    (set only when absent).
+    """
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark

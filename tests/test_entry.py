@@ -14,3 +14,12 @@ def test_oracles_have_queries():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
     assert len(q) >= 100
+
+
+def test_queries_pin_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = E.queries()["a14_datetime_trend"](spark, "/root/testdata/sf0.001").collect()
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC" and len(rows) == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
