@@ -35,6 +35,11 @@ def _string_cols(df: DataFrame, columns=None) -> list[str]:
             if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
 
 
+# any of the shapes above (one regex gates the five per-format checks)
+DATE_LIKE = (r"^\s*([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}:[0-9]{2})?"
+             r"|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})\s*$")
+
+
 def parse_number(c: Column) -> Column:
     return F.when(c.rlike(NUMERIC_TEXT), F.trim(c).try_cast("double"))
 
@@ -51,12 +56,15 @@ def type_repair_plan(df: DataFrame, columns=None, num_share: float = 0.9, dt_sha
     if not cols:
         return {}
     aggs = [F.count(F.lit(1)).alias("_rows")]
+    probe = df.select(*[col(c).alias(f"_c{i}") for i, c in enumerate(cols)],
+                      *[col(c).rlike(DATE_LIKE).alias(f"_d{i}") for i, c in enumerate(cols)])
     for i, c in enumerate(cols):
-        aggs.append(F.count(parse_number(col(c))).alias(f"n{i}"))
-        aggs.append(F.count(col(c)).alias(f"nn{i}"))
+        x = F.col(f"_c{i}")
+        aggs.append(F.count(parse_number(x)).alias(f"n{i}"))
+        aggs.append(F.count(x).alias(f"nn{i}"))
         for j, fmt in enumerate(DATETIME_FORMATS):
-            aggs.append(F.count_if(col(c).rlike(DATETIME_SHAPES[fmt])).alias(f"s{i}_{j}"))
-    r = df.agg(*aggs).first()
+            aggs.append(F.count_if(F.col(f"_d{i}") & x.rlike(DATETIME_SHAPES[fmt])).alias(f"s{i}_{j}"))
+    r = probe.agg(*aggs).first()
     plan, probe = {}, []
     for i, c in enumerate(cols):
         rows, nn = r["_rows"], r[f"nn{i}"]

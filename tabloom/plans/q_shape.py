@@ -85,7 +85,10 @@ SELECT "column", count(value) AS non_null, count(DISTINCT value) AS unique_count
 
 @query("p19_prepare_pipeline", P19_SQL)
 def p19(spark, sf):
-    out, _ = prepare_data(line_fx(spark, sf).select(*P19_IN))
+    from ..session import materialize
+    # the raw text table is the input of the prepare pipeline: written once like an input file
+    raw = materialize(line_fx(spark, sf).select(*P19_IN), "p19-input")
+    out, _ = prepare_data(raw)
     vc = value_counts(out, out.columns)
     return vc.groupBy("column").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
                                     .cast("long").alias("non_null"), F.count("value").alias("unique_count"))
