@@ -50,8 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="tabloom-ckpt-", dir="/tmp")
         spark.conf.set(_CKPT_KEY, current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    try:  # classic sessions: also register it for RDD checkpoints; Connect sessions have no context
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(current)
+    except Exception:  # noqa: BLE001
+        pass
     return current
 
 
