@@ -122,15 +122,16 @@ def quantiles(df: DataFrame | None, columns: list[str] | None, probs: list[float
               .withColumn("lo", F.floor("h").cast("long"))
               .withColumn("hi", F.ceil("h").cast("long"))
               .withColumn("frac", F.col("h") - F.col("lo")))
-    ranks = probes.select("column", "q", F.explode(F.array(F.col("lo"), F.col("hi"))).alias("k")).distinct()
-    # equi-join on column; each value row meets only the few probes of its column
-    hit = (cum.select("column", "value", "cum_before", "cum").join(F.broadcast(ranks), "column")
-           .where((F.col("cum_before") <= F.col("k")) & (F.col("k") < F.col("cum")))
-           .select("column", "q", "k", F.col("value").alias("x")))
-    lo = hit.select("column", "q", F.col("k").alias("lo"), F.col("x").alias("x_lo"))
-    hi = hit.select("column", "q", F.col("k").alias("hi"), F.col("x").alias("x_hi"))
-    return (probes.join(lo, ["column", "q", "lo"]).join(hi, ["column", "q", "hi"])
-            .select("column", "q", (F.col("x_lo") + F.col("frac") * (F.col("x_hi") - F.col("x_lo"))).alias("value")))
+    # equi-join on column; each value row meets only the few probes of its column (two per
+    # quantile), and the value at both probe positions is picked in one aggregation
+    hit = (cum.select("column", "value", "cum_before", "cum").join(F.broadcast(probes), "column")
+           .where(((F.col("cum_before") <= F.col("lo")) & (F.col("lo") < F.col("cum")))
+                  | ((F.col("cum_before") <= F.col("hi")) & (F.col("hi") < F.col("cum")))))
+    inside = lambda k: (F.col("cum_before") <= F.col(k)) & (F.col(k) < F.col("cum"))
+    picked = hit.groupBy("column", "q", "frac").agg(F.max(F.when(inside("lo"), F.col("value"))).alias("x_lo"),
+                                                    F.max(F.when(inside("hi"), F.col("value"))).alias("x_hi"))
+    return picked.select("column", "q",
+                         (F.col("x_lo") + F.col("frac") * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
 
 
 def quantile_edges(cum: DataFrame, probs: list[float]) -> DataFrame:

@@ -193,9 +193,17 @@ def vc_stats(vc: DataFrame, bins: int = 10) -> DataFrame:
     binned = (cum.join(F.broadcast(edges), "column")
               .withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col("value"))))
               .groupBy("column", "bin").agg(F.sum("sum_y").alias("n1"), F.sum(F.col("n") - F.col("sum_y")).alias("n0")))
-    counts = binned.select("column", "bin", F.inline(F.array(
-        F.struct(F.lit(1).alias("_y"), F.col("n1").alias("n")), F.struct(F.lit(0).alias("_y"), F.col("n0").alias("n")))))
-    mi = mi_from_counts(counts.where(F.col("n") > 0), "column", "bin", "_y").withColumnRenamed("column", "feature")
+    # plug-in MI straight from (bin, n1, n0): the bin total is n1 + n0 and the class totals are
+    # known per column, so one aggregation replaces the per-marginal windows
+    nb = F.col("n1") + F.col("n0")
+    big_n, pos = F.col("n_tot"), F.col("n_pos")
+
+    def term(nc, ny):
+        return F.when(nc > 0, nc / big_n * F.log(nc * big_n / (nb * ny))).otherwise(F.lit(0.0))
+    mi = (binned.join(F.broadcast(tot.select("column", "n_tot", "n_pos")), "column")  # one row per column
+          .groupBy(F.col("column").alias("feature"))
+          .agg(F.greatest(F.sum(term(F.col("n1"), pos) + term(F.col("n0"), big_n - pos)), F.lit(0.0))
+               .alias("mutual_info")))
     return corr.join(mi, "feature", "left")
 
 
@@ -217,13 +225,17 @@ def feature_stats(train: DataFrame, features: list[str], target: str, bins: int
                        features)
     base = materialize(base, "candidates")
     fills = {f: sentinel_of(train, f) for f in features}
-    vc0 = value_counts(base, features, target, "double")
-    nu = vc0.groupBy(F.col("column").alias("feature")).agg(
-        (F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) * 100.0 / F.sum("n")).alias("null_pct"),
-        F.count("value").alias("nunique"))
     fill = F.create_map(*[x for f, v in fills.items() for x in (F.lit(f), F.lit(v))])
-    vc = (vc0.withColumn("value", F.coalesce(F.col("value"), F.element_at(fill, F.col("column"))))
-          .groupBy("column", "value").agg(F.sum("n").alias("n"), F.sum("sum_y").alias("sum_y")))
+    # one aggregation: NULLs take the sentinel value but are counted apart, so null_pct and
+    # nunique (values with at least one non-NULL row) come from the same table
+    lf = long_form(base, features, "double", [target])
+    vc = (lf.withColumn("_null", F.col("value").isNull().cast("long"))
+          .withColumn("value", F.coalesce(F.col("value"), F.element_at(fill, F.col("column"))))
+          .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(col(target).cast("double")).alias("sum_y"),
+                                          F.sum("_null").alias("n_null")))
+    nu = vc.groupBy(F.col("column").alias("feature")).agg(
+        (F.sum("n_null") * 100.0 / F.sum("n")).alias("null_pct"),
+        F.count(F.when(F.col("n") > F.col("n_null"), F.lit(1))).alias("nunique"))
     st = vc_stats(vc, bins)
     enc = base.select(*[F.coalesce(col(f), F.lit(fills[f])).alias(f) for f in features])
     mc = max_corr_table(enc, features)
