@@ -68,6 +68,18 @@ def value_counts(df: DataFrame, columns: list[str], target: str | None = None,
     return out
 
 
+def exact_mean(x) -> "F.Column":
+    """Mean from an exact decimal sum: the same value for any partitioning or merge order.
+
+    A double sum depends on the order partial sums are merged, which decides the last
+    digit when the true mean sits on a rounding tie.  Values are summed as DECIMAL(38,18)
+    (exact, order-free) and divided once in double; if a value or the sum does not fit,
+    the plain double average is used.
+    """
+    dsum = F.try_sum(x.try_cast("decimal(38,18)"))
+    return F.coalesce(dsum.cast("double") / F.count(x), F.avg(x))
+
+
 def moments(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
     """(column[, by], n, mean, std, var, min, max, skew, kurt, m_skew, m_kurt) over non-null values.
 
@@ -80,7 +92,7 @@ def moments(df: DataFrame, columns: list[str], by: str | None = None) -> DataFra
     keys = ["column"] + keep
     agg = lf.groupBy(*keys).agg(
         F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
+        exact_mean(F.col("value")).alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.var_samp("value").alias("var"),
         F.min("value").alias("min"),

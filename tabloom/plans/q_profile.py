@@ -34,7 +34,7 @@ base AS (SELECT "column", count(*) AS total, count(value) AS non_null, count(*)
                 count(DISTINCT value) AS unique_count,
                 round(coalesce(count(DISTINCT value) / nullif(count(value), 0), 0.0), 4) AS unique_ratio
          FROM allv GROUP BY "column"),
-mom AS (SELECT "column", fsum(value) / count(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max,
+mom AS (SELECT "column", CAST(sum(TRY_CAST(value AS DECIMAL(38,18))) AS DOUBLE) / count(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max,
                {SKEW_SQL} AS skew, {KURT_SQL} AS kurt,
                quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS median,
                quantile_cont(value, 0.75) AS q75
@@ -72,7 +72,7 @@ A02_SQL = line_fx_sql() + f""", {NUM_LONG}, {ALL_LONG},
 base AS (SELECT "column", count(value) AS non_null,
                 round(coalesce((count(*) - count(value)) / nullif(count(*), 0), 0.0), 4) + 0.0 AS null_ratio
          FROM allv GROUP BY "column"),
-mom AS (SELECT "column", round(fsum(value) / count(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std FROM num GROUP BY "column"),
+mom AS (SELECT "column", round(CAST(sum(TRY_CAST(value AS DECIMAL(38,18))) AS DOUBLE) / count(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std FROM num GROUP BY "column"),
 vcs AS (SELECT "column", value, count(*) AS n FROM allv
         WHERE value IS NOT NULL AND "column" IN ('l_returnflag', 'l_linestatus', 'flag_padded') GROUP BY "column", value),
 t5 AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rnk FROM vcs QUALIFY rnk <= 5),
@@ -118,7 +118,7 @@ base AS (SELECT "column", count(*) - count(value) AS null_count,
                 round(100.0 * (count(*) - count(value)) / count(*), 2) + 0.0 AS null_pct,
                 count(DISTINCT value) AS nunique FROM allv GROUP BY "column"),
 mom AS (SELECT "column", round(min(value), 4) + 0.0 AS min, round(max(value), 4) + 0.0 AS max,
-               round(avg(value), 4) + 0.0 AS mean, round(stddev_samp(value), 4) + 0.0 AS std FROM num GROUP BY "column"),
+               round(CAST(sum(TRY_CAST(value AS DECIMAL(38,18))) AS DOUBLE) / count(value), 4) + 0.0 AS mean, round(stddev_samp(value), 4) + 0.0 AS std FROM num GROUP BY "column"),
 vcs AS (SELECT "column", value, count(*) AS n FROM allv WHERE value IS NOT NULL
         AND "column" IN ('o_orderstatus', 'o_orderpriority') GROUP BY "column", value),
 t5 AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rnk FROM vcs QUALIFY rnk <= 5),
@@ -198,7 +198,7 @@ def a07(spark, sf):
 
 A08_SQL = line_fx_sql() + f""",
 {unpivot_sql("numt", f"SELECT target, {NUM_COLS} FROM line_fx", LINE_NUMERIC)}
-SELECT "column", target AS class, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std
+SELECT "column", target AS class, round(CAST(sum(TRY_CAST(value AS DECIMAL(38,18))) AS DOUBLE) / count(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std
 FROM numt GROUP BY "column", target"""
 
 
@@ -300,7 +300,7 @@ A17_SQL = line_fx_sql() + f""",
 {unpivot_sql("numt", "SELECT target, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in EDA_NUMS) + " FROM line_fx",
              EDA_NUMS)},
 {unpivot_sql("strt", "SELECT target, " + ", ".join(EDA_STRS) + " FROM line_fx", EDA_STRS)},
-nrep AS (SELECT "column", 'numeric' AS kind, (count(*) - count(value)) / count(*) AS null_ratio, fsum(value) / count(value) AS mean,
+nrep AS (SELECT "column", 'numeric' AS kind, (count(*) - count(value)) / count(*) AS null_ratio, CAST(sum(TRY_CAST(value AS DECIMAL(38,18))) AS DOUBLE) / count(value) AS mean,
                 stddev_samp(value) AS std, min(value) AS min, max(value) AS max, {SKEW_SQL} AS skew,
                 covar_samp(CASE WHEN value IS NOT NULL THEN target END, CASE WHEN value IS NOT NULL THEN value END)
                   / nullif(stddev_samp(CASE WHEN value IS NOT NULL THEN target END) * stddev_samp(value), 0) AS corr,
