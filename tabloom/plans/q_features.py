@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import r6
 from ..operators import features as FE
 from ..operators import joins as JN
+from ..operators.kernels import exact_mean
 from ..sources.tables import load
 from . import problems
 from .fixtures import line_fx, line_fx_sql
@@ -326,14 +327,14 @@ def f13(spark, sf):
 
 
 @query("a29_group_aggregates", """
-SELECT user_id, count(*) AS n, round(sum(value), 6) + 0.0 AS sum_value, round(avg(value), 6) + 0.0 AS mean_value,
+SELECT user_id, count(*) AS n, round(sum(value), 6) + 0.0 AS sum_value, round(CAST(sum(TRY_CAST(value AS DECIMAL(38,18))) AS DOUBLE) / count(value), 6) + 0.0 AS mean_value,
        round(stddev_samp(value), 6) + 0.0 AS std_value, max(value) AS max_value, min(value) AS min_value,
        count(DISTINCT event_type) AS nunique_type
 FROM events GROUP BY user_id""")
 def a29(spark, sf):
     ev = load(spark, sf, "events")
     return ev.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("sum_value"), r6(F.avg("value")).alias("mean_value"),
+        F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("sum_value"), r6(exact_mean(F.col("value"))).alias("mean_value"),
         r6(F.stddev_samp("value")).alias("std_value"), F.max("value").alias("max_value"),
         F.min("value").alias("min_value"), F.count_distinct("event_type").alias("nunique_type"))
 
