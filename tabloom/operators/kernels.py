@@ -80,6 +80,16 @@ def exact_mean(x) -> "F.Column":
     return F.coalesce(dsum.cast("double") / F.count(x), F.avg(x))
 
 
+def exact_mean_from_counts(vc: DataFrame) -> DataFrame:
+    """(column, mean) from numeric value counts: exact decimal sum of n * value over the distinct
+    values (same result as ``exact_mean`` on the rows, at the cost of one row per distinct value)."""
+    x = F.col("value").try_cast("decimal(38,18)")
+    nn = vc.where(F.col("value").isNotNull())
+    dsum = F.try_sum(F.try_multiply(x, F.col("n").cast("decimal(20,0)")))
+    return nn.groupBy("column").agg(
+        F.coalesce(dsum.cast("double") / F.sum("n"), F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+
+
 def moments(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
     """(column[, by], n, mean, std, var, min, max, skew, kurt, m_skew, m_kurt) over non-null values.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import rnd, col, numeric_columns
 from ..functions import stats as S
-from .kernels import moments, numeric_value_counts, quantile_wide, top_values, value_counts
+from .kernels import exact_mean_from_counts, moments, numeric_value_counts, quantile_wide, top_values, value_counts
 from .ordering import row_number_in
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -74,7 +74,10 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         nvc = nvc_all.where(F.col("value").isNotNull())
         # moments from the rows: a row-level sum matches an exactly rounded mean where a sum of
         # n * value over distinct values can land on the other side of a 6-dp tie
-        m = moments(df, nums).select("column", "mean", "std", "min", "max", "skew", "kurt")
+        # the exact (order-free) mean is summed over the distinct values already counted;
+        # the row-level pass only keeps the double moments (its mean output is pruned away)
+        m = (moments(df, nums).select("column", "std", "min", "max", "skew", "kurt")
+             .join(exact_mean_from_counts(nvc), "column"))
         qs = quantile_wide(None, None, QUARTILES, vc=nvc)
         oc = outlier_counts(nvc, qs)
         out = out.join(m, "column", "left").join(qs, "column", "left").join(oc, "column", "left")
