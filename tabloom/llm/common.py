@@ -142,3 +142,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def per_process(key: str, make):
+    """An object kept for the life of the Python worker, across tasks (word caches and the like)."""
+    import sys
+    store = sys.modules.setdefault("_tabloom_process_store", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def share(spark: SparkSession, value):
+    """Broadcast of an object whose classes the executors may not be able to import."""
+    from pyspark import cloudpickle
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(b):
+    import pickle
+    return pickle.loads(b.value)

@@ -33,3 +33,127 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprints
     return fingerprints(table(spark, sf_dir, "documents"))
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, greatest(len(w), 2))]) AS s
+  FROM w WHERE len(w) > 0
+), x AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles,
+       least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(m.b, w.doc_id)) AS kept
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
+"""
+
+
+@query("op1_minhash_near_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query("op2_lm_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+    return scores(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import scan
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def word_tokenizer() -> str:
+    """Definition of the word BPE tokenizer (its path comes from the tokenizers' own package)."""
+    import public_tokenizers
+
+    from .packing import read_definition
+    return read_definition(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_retrieval_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import report
+    return report(table(spark, sf_dir, "documents"))
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT CAST(page_id AS BIGINT) AS p, coalesce(html, '') AS body, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag,
+         regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+  FROM pages WHERE page_id IS NOT NULL
+), c AS (
+  SELECT p, body, tag, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '')
+         || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '')) AS q FROM p)
+), r AS (
+  SELECT p * 3 AS id, url, p * 10 + 86400 AS ts, 'response' AS kind, tag AS etag, p, body, tag FROM c
+  UNION ALL SELECT p * 3 + 1, url, p * 10 + 172800, 'again', tag, p, body, tag FROM c
+  UNION ALL SELECT p * 3 + 2, url, CASE WHEN p % 11 = 5 THEN p * 10 ELSE p * 10 + 259200 END, 'odd',
+         CASE WHEN p % 7 = 3 THEN '"other"' WHEN p % 7 = 4 THEN NULL ELSE tag END, p, body, tag FROM c
+), f AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN id END IGNORE NULLS) OVER
+    (PARTITION BY url ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref FROM r
+), j AS (
+  SELECT f.*, s.tag AS stag, s.body AS sbody, s.ts AS sts,
+         CASE WHEN f.kind = 'response' THEN 'response' WHEN f.ref IS NULL THEN 'orphan' WHEN f.etag IS NULL THEN 'unchecked'
+              WHEN f.etag = s.tag THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM f LEFT JOIN r s ON f.kind <> 'response' AND s.id = f.ref
+)
+SELECT id AS record_id, url AS canonical_url, outcome, CASE WHEN kind <> 'response' THEN ref END AS refers_to,
+  CASE WHEN kind = 'response' THEN 'cache-control: max-age=60|content-length: ' || strlen(body) ||
+            '|content-type: text/html|date: d' || ts || '|etag: ' || tag
+       WHEN outcome IN ('resolved', 'unchecked') THEN
+            'cache-control: ' || CASE WHEN kind = 'again' THEN 'max-age=120' ELSE 'max-age=60' END ||
+            '|content-length: ' || strlen(sbody) || '|content-type: text/html|date: ' ||
+            CASE WHEN kind = 'again' THEN 'd' || ts WHEN etag IS NULL THEN 'later' ELSE 'd' || sts END ||
+            '|etag: ' || CASE WHEN kind = 'again' THEN 'W/' || tag WHEN etag IS NULL THEN stag ELSE etag END ||
+            CASE WHEN kind = 'odd' AND etag IS NOT NULL THEN '|expires: never' ELSE '' END
+       WHEN kind = 'again' THEN 'cache-control: max-age=120|content-length: 0|date: d' || ts || '|etag: W/' || tag
+       WHEN p % 7 = 3 THEN 'date: later|etag: "other"'
+       WHEN p % 7 = 4 THEN 'date: later|server: x' ELSE 'etag: ' || tag || '|expires: never' END AS headers,
+  CASE WHEN kind = 'response' THEN md5(body) WHEN outcome IN ('resolved', 'unchecked') THEN md5(sbody) END AS payload_md5,
+  CAST(CASE WHEN kind = 'response' THEN strlen(body) WHEN outcome IN ('resolved', 'unchecked') THEN strlen(sbody) ELSE 0 END
+       AS BIGINT) AS payload_bytes
+FROM j
+"""
+
+
+@query("op3_warc_revisits", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import resolved_pages
+    return resolved_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op9_piece_sampling")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations without replacement of every document."""
+    import public_tokenizers
+
+    from .pieces import sample_encode
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        proto = f.read()
+    return sample_encode(table(spark, sf_dir, "documents"), proto, ("doc_id",), digest=True)
