@@ -34,6 +34,7 @@ MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ALPHA = 1.0
 SAMPLES = 2
+GATHER_BYTES = 6 << 20
 _STEP, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HASH = 0xA0761D6478BD642F
 
@@ -66,7 +67,7 @@ class Vocabulary:
                 h = h * np.uint64(_HASH) + code[:, j] + np.uint64(1)
             o = np.argsort(h)
             seen = np.zeros(1 << 20, bool)
-            seen[(mix(h) >> np.uint64(44)).astype(np.int64)] = True
+            seen[(h * _STEP >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((h[o], np.array([text[own[i]] for i in o], np.int32),
                                 np.array([weight[own[i]] for i in o]), seen))
         size = n
@@ -98,55 +99,80 @@ class Lattices:
         code[at] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
         left = np.zeros(total, np.int64)
         left[at] = np.repeat(self.end, lens) - at
-        k = voc.most
-        w = np.full((total, k), -np.inf)
-        self.ids = np.full((total, k), -1, np.int32)
-        h = np.zeros(total, np.uint64)
+        # the cells of a place: one for every piece length that still fits its chunk
+        k = max(1, min(voc.most, int(lens.max(initial=0))))
+        room = np.minimum(left, k)
+        self.off = off = np.cumsum(room) - room
+        cells = int(room.sum())
+        w, self.ids = np.full(cells, -np.inf), np.full(cells, -1, np.int32)
+        h, ok, reach = np.zeros(total, np.uint64), np.flatnonzero(left > 0), []
         for j in range(k):
-            ok = np.flatnonzero(left > j)
-            if not len(ok):
-                break
-            h[ok] = h[ok] * np.uint64(_HASH) + code[ok + j] + np.uint64(1)
+            if j:
+                ok = ok[left[ok] > j]
+            reach.append(ok)
+            x = h[ok] * np.uint64(_HASH) + code[ok + j] + np.uint64(1)
+            h[ok] = x
             table, ids, weight, seen = voc.tables[j]
-            c = ok[seen[(mix(h[ok]) >> np.uint64(44)).astype(np.int64)]]
-            if not len(table) or not len(c):
+            if not len(table):
                 continue
-            i = np.minimum(np.searchsorted(table, h[c]), len(table) - 1)
-            hit = table[i] == h[c]
-            w[c[hit], j], self.ids[c[hit], j] = weight[i[hit]], ids[i[hit]]
-        lone = np.flatnonzero((left > 0) & ~np.isfinite(w[:, 0]))
-        w[lone, 0] = voc.fallback
+            f = seen[(x * _STEP >> np.uint64(44)).astype(np.int64)]
+            c, x = ok[f], x[f]
+            i = np.minimum(np.searchsorted(table, x), len(table) - 1)
+            hit = table[i] == x
+            cell = off[c[hit]] + j
+            w[cell], self.ids[cell] = weight[i[hit]], ids[i[hit]]
+        some = off[reach[0]]
+        w[some[~np.isfinite(w[some])]] = voc.fallback
         beta = np.zeros(total)
         order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, left.max() + 2)) if total else []
+        bounds = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
         for r in range(1, len(bounds)):
             p = order[bounds[r - 1]: bounds[r]]
             m = min(k, r)
-            x = w[p, :m] + beta[p[:, None] + np.arange(1, m + 1)]
-            top = x.max(axis=1)
-            beta[p] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-            w[p, :m] = x - beta[p][:, None]  # now log conditional probabilities
-        self.logp, self.code = w, code
-        self.cum = np.cumsum(np.exp(w), axis=1).astype(np.float32)
-        self.last = k - 1 - np.argmax(np.isfinite(w[:, ::-1]), axis=1)
+            step = np.arange(m)[:, None]
+            x = w[off[p] + step] + beta[p + 1 + step]
+            top = x.max(axis=0)
+            beta[p] = top + np.log(np.exp(x - top).sum(axis=0))
+            w[off[p] + step] = x - beta[p]  # now log conditional probabilities
+        self.logp, self.code, self.room = w, code, room
+        mass = np.exp(w)
+        self.cum, self.last = mass.astype(np.float32), np.zeros(total, np.int8)
+        for j, ok in enumerate(reach):
+            cell = off[ok] + j
+            if j:
+                self.cum[cell] += self.cum[cell - 1]
+            self.last[ok[mass[cell] > 0]] = j
+
+    def edges(self, pos: int) -> np.ndarray:
+        """Log probabilities of the pieces of length 1, 2, ... from a place."""
+        return self.logp[self.off[pos]: self.off[pos] + self.room[pos]]
 
     def draw(self, chunk: np.ndarray, key: np.ndarray, stream: int):
         """A segmentation of every chunk occurrence: its log probability and, in order of occurrence,
         (owner, place, length) of the pieces."""
         pos, logp = self.begin[chunk].copy(), np.zeros(len(chunk))
-        live = np.flatnonzero(pos < self.end[chunk])
+        stop = self.end[chunk]
+        live = np.flatnonzero(pos < stop)
         own, where, size = [], [], []
         step = 0
         while len(live):
             u = uniform(key[live] + np.uint64((step * int(_STEP) + stream * int(_WORD)) & 0xFFFFFFFFFFFFFFFF))
             p = pos[live]
-            j = np.minimum((self.cum[p] < u[:, None]).sum(axis=1), self.last[p])
+            j = np.zeros(len(live), np.int64)
+            cell, last = self.off[p], self.last[p]
+            more = np.flatnonzero((u > self.cum[cell]) & (last > 0))
+            n = 1
+            while len(more):
+                j[more] = n
+                more = more[(u[more] > self.cum[cell[more] + n]) & (last[more] > n)]
+                n += 1
             own.append(live)
             where.append(p)
             size.append(j + 1)
-            logp[live] += self.logp[p, j]
-            pos[live] = p + j + 1
-            live = live[pos[live] < self.end[chunk[live]]]
+            logp[live] += self.logp[cell + j]
+            p = p + j + 1
+            pos[live] = p
+            live = live[p < stop[live]]
             step += 1
         if not own:
             return logp, (np.zeros(0, np.int64),) * 3
@@ -158,22 +184,22 @@ class Lattices:
         """One segmentation (piece lengths) other than those taken, and its log probability."""
         pos, end, path, logp = int(self.begin[chunk]), int(self.end[chunk]), [], 0.0
         while pos < end:
-            probs = np.exp(self.logp[pos])
+            probs = np.exp(self.edges(pos))
             mine = [t for t in taken if list(t[: len(path)]) == path]
             for t in mine:
                 q, at = 0.0, pos
                 for n in t[len(path):]:
-                    q += self.logp[at, n - 1]
+                    q += float(self.logp[self.off[at] + n - 1])
                     at += n
                 probs[t[len(path)] - 1] -= math.exp(q)
             probs = np.maximum(probs, 0)
             # an edge that only leads to taken segmentations has no mass left
-            for n in {t[len(path)] for t in mine}:
+            for n in {t[len(path)] for t in mine if probs[t[len(path)] - 1] < 1e-5}:
                 if self._paths(pos + n, end, len(mine) + 1) <= sum(t[len(path)] == n for t in mine):
                     probs[n - 1] = 0
             c = np.cumsum(probs)
             j = int(min(np.searchsorted(c, rng() * c[-1], "right"), np.flatnonzero(probs)[-1]))
-            logp += self.logp[pos, j]
+            logp += float(self.logp[self.off[pos] + j])
             path.append(j + 1)
             pos += j + 1
         return path, logp
@@ -182,12 +208,12 @@ class Lattices:
         """Number of segmentations from a place on, counted up to ``most``."""
         n = {end: 1}
         for p in range(end - 1, pos - 1, -1):
-            n[p] = min(most, sum(n.get(p + j + 1, 0) for j in np.flatnonzero(np.isfinite(self.logp[p]))))
+            n[p] = min(most, sum(n.get(p + j + 1, 0) for j in np.flatnonzero(np.isfinite(self.edges(p)))))
         return n[pos]
 
     def piece_ids(self, where: np.ndarray, size: np.ndarray, voc: Vocabulary):
         """Ids of the pieces (bytes where a character has none) and how many ids each piece gives."""
-        ids = self.ids[where, size - 1]
+        ids = self.ids[self.off[where] + size - 1]
         n = np.ones(len(ids), np.int64)
         miss = np.flatnonzero(ids < 0)
         if not len(miss):
@@ -212,7 +238,7 @@ def truncated(phi, limit, key):
 
 def _others(logp: np.ndarray) -> np.ndarray:
     """Log of the mass beside a choice of log probability logp (minus infinity when there is none)."""
-    rest = -np.expm1(logp)
+    rest = -np.expm1(np.minimum(logp, 0.0))
     return np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
 
 
@@ -294,8 +320,8 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, voc: Vocabulary):
             start[d] = occ
             # the node's remaining choices stay open beside the new path
             rest = 1.0 - sum(math.exp(_log_of(lat, int(chunk[occ]), x)) for x in node)
-            many = lat._paths(int(lat.begin[chunk[occ]]), int(lat.end[chunk[occ]]), len(node) + 1) > len(node)
-            if many and rest > 1e-12:
+            if rest > 1e-5 or rest > 1e-12 and lat._paths(
+                    int(lat.begin[chunk[occ]]), int(lat.end[chunk[occ]]), len(node) + 1) > len(node):
                 pre = float(paths[path][0][a:occ].sum())
                 opened[path][occ] = truncated(np.array([pre + math.log(rest)]), v[d],
                                               np.array([mix(key[occ: occ + 1])[0] + np.uint64(500 + s)]))[0]
@@ -348,11 +374,25 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, voc: Vocabulary):
 def _log_of(lat: Lattices, chunk: int, seg) -> float:
     at, q = int(lat.begin[chunk]), 0.0
     for n in seg:
-        q += lat.logp[at, n - 1]
+        q += float(lat.logp[lat.off[at] + n - 1])
         at += n
     return q
 
 
+def gathered(batches, text_at: int, size: int = GATHER_BYTES):
+    """Batches put together until they hold ``size`` bytes of text: chunks that come again share a lattice."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.column(text_at).nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def sample_encode(rows: DataFrame, proto: bytes, key_cols: tuple[str, ...], text_col: str = "text", k: int = SAMPLES,
                   alpha: float = ALPHA, seed: int = 0, digest: bool = False) -> DataFrame:
     """Up to k rows for every row: its key columns, sample (from 1), ids (or with ``digest`` n_pieces,
@@ -364,9 +404,7 @@ def sample_encode(rows: DataFrame, proto: bytes, key_cols: tuple[str, ...], text
     def run(batches):
         import zlib
         voc = per_process(f"pieces-{alpha}-{zlib.crc32(shared.value)}", lambda: Vocabulary(shared.value, alpha))
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches, m + 1):
             texts = [t or "" for t in b.column(m + 1).to_pylist()]
             got = sample_texts(texts, b.column(m).to_numpy().view(np.uint64), k, voc)
             row = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))

@@ -19,8 +19,7 @@ sorted runs: their windows are aggregated to the smallest document (combined map
 Surviving ranks are kept in a filter of at most ``FILTER_MB`` megabytes for the second scan; its false
 positives only add rows.
 
-Exact copies are settled by their digest: all bytes of a copy of at least 50 bytes are removed.  Null
-text counts as empty.  Rows without an id neither remove nor lose bytes.  Rows that share an id do not
+Null text counts as empty.  Rows without an id neither remove nor lose bytes.  Rows that share an id do not
 match each other.
 """
 
@@ -39,7 +38,7 @@ from .common import cut, fresh, map_batches, mix, release
 
 LENGTH = 50
 FIRST = 18
-HOT_SHARE = 50_000
+HOT_SHARE, HOT_FLOOR = 50_000, 5000
 FILTER_MB = 64
 RUN = 60  # windows in one row at most (their answers are bits of a long)
 PIECE = 1 << 18
@@ -189,7 +188,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, first: int = FIRST)
     total, count = ranks.agg(F.sum("n"), F.count("*")).first()
     filt = bloom.build(ranks.select("rank", F.lit(1).alias("q")), bloom.shards_for(count or 0, 10, FILTER_MB),
                        lambda k: mix(k.view(np.uint64)))
-    hot_at = max(5000, (total or 0) // HOT_SHARE)
+    hot_at = max(HOT_FLOOR, (total or 0) // HOT_SHARE)
     hot = np.sort(np.array([r["rank"] for r in ranks.where(F.col("n") > hot_at).select("rank").collect()], np.int64))
     release(spark)
     shared = spark.sparkContext.broadcast((filt.bits, filt.shards, hot))
@@ -259,27 +258,17 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     SHA-256 of what is left, and what is left as text (a character cut in two is left out)."""
     spark = docs.sparkSession
     names = fresh(docs, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "dd_id", "dd_places", "dd_masks",
-                  "dd_copy", "dd_tag")
-    nb, nr, ns, sha, kept, did, places, masks, copy, tag = names
+                  "dd_tag")
+    did, places, masks, tag = names[5:]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = base.where("doc_id is not null")
-    digest = named.select("doc_id", F.md5("text").alias("x"))
-    low = digest.groupBy("x").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    # a copy's tag: rows that share its id but not its text are other documents
-    copies = cut(digest.join(low.select("x", "low"), "x").where("doc_id > low")
-                 .select("doc_id", "x").distinct(), "copies")
-    firsts = (named.withColumn("x", F.md5("text")).join(copies, ["doc_id", "x"], "left_anti")
-              .where(F.octet_length("text") >= length).select("doc_id", "text"))
-    found = repeated_windows(firsts, length)
+    named = base.where("doc_id is not null").where(F.octet_length("text") >= length)
+    found = repeated_windows(named, length)
     release(spark)
     by_doc = found.groupBy("doc", "tag").agg(F.collect_list("place").alias("p"), F.collect_list("mask").alias("m"))
     by_doc = by_doc.groupBy("doc").agg(F.collect_list("tag").alias(tag), F.collect_list("p").alias(places),
                                        F.collect_list("m").alias(masks))
-    again = copies.groupBy("doc_id").agg(F.collect_set("x").alias(copy))
-    full = (docs.withColumn(did, F.col(id_col).cast("long"))
-            .join(by_doc.withColumnRenamed("doc", did), did, "left")
-            .join(again.withColumnRenamed("doc_id", did), did, "left"))
-    full = full.select(*[F.col(f"`{c}`") for c in docs.columns], tag, places, masks, copy)
+    full = docs.withColumn(did, F.col(id_col).cast("long")).join(by_doc.withColumnRenamed("doc", did), did, "left")
+    full = full.select(*[F.col(f"`{c}`") for c in docs.columns], tag, places, masks)
     t_at = docs.columns.index(text_col)
     k = len(docs.columns)
 
@@ -287,11 +276,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         import xxhash
         for b in batches:
             cols = [[], [], [], [], []]
-            for text, tags, ps, ms, cp in zip(_bytes_of(b.column(t_at)), *(b.column(k + i).to_pylist() for i in range(4))):
+            for text, tags, ps, ms in zip(_bytes_of(b.column(t_at)), *(b.column(k + i).to_pylist() for i in range(3))):
                 gone = np.zeros(len(text), bool)
-                if cp and len(text) >= length and hashlib.md5(text).hexdigest() in cp:
-                    gone[:] = True
-                elif tags:
+                if tags:
                     mine = int(np.uint32(xxhash.xxh32_intdigest(text)).view(np.int32))
                     if mine in tags:
                         i = tags.index(mine)
