@@ -3,7 +3,7 @@
 Terms are words without surrounding punctuation (A-Z lower-cased) and their prefixes of 3 to 7 code
 points.  A bounded sample of labelled documents (``examples``, half of it at most toxic, taken in the
 order of a hash of the id) gives the vocabulary (the ``vocabulary`` terms with the highest chi-square
-against the label) and the example vectors: TF-IDF with (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), N and
+against the label, where chance does not explain it) and the example vectors: TF-IDF with (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), N and
 df counted over all documents, scaled to length one.
 
 Neighbours are exact.  Examples are laid out in blocks; the inverted index keeps, per term and block, the
@@ -183,7 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabula
     total = float(m0 + m1)
     e = F.col("a") * (m0 - F.col("b")) - F.col("b") * (m1 - F.col("a"))
     chi = total * e * e / ((F.col("a") + F.col("b")) * (total - F.col("a") - F.col("b")) * m0 * m1)
-    voc = [r["term"] for r in t.where(F.col("a") + F.col("b") < total).withColumn("chi", chi).where("chi > 6.63")
+    t = cut(t.where(F.col("a") + F.col("b") < total).withColumn("chi", chi), "terms")
+    # so high that hardly any of so many terms gets there by chance
+    least = 2 * math.log(1 + t.count())
+    voc = [r["term"] for r in t.where(F.col("chi") > least)
            .orderBy(F.col("chi").desc(), "term").limit(vocabulary).select("term").collect()]
     shared = spark.sparkContext.broadcast(voc)
 
