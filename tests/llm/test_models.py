@@ -145,7 +145,7 @@ def test_secrets_base_and_field(llm, no_docs):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[1] == k for x in base) for k in range(3))
         assert [s for s in r["spans"].split(",") if s and not s.startswith("crf")] == [s for s in text.split(",") if s]
     assert sum(r["n_crf"] for i, r in got.items() if i is not None and i % 50 == 2 and i < 400) >= 4  # the field's own finds
-    assert sum(r["n_crf"] for i, r in got.items() if i is not None and i % 50 != 2) == 0
+    assert sum(r["n_crf"] for i, r in got.items() if i is not None and i % 50 != 2 and i < 900) == 0
     out = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
     assert 'token = "[SECRET]"' in out[0] and "AKIA" not in out[1] and out[901] == "" and out[None] == "api_key='[SECRET]'"
     assert scan(no_docs).collect() == []
