@@ -7,11 +7,12 @@ with probability equal to their Jaccard similarity.  Bands of ``rows`` values ar
 permutations and bands of 5 a pair at similarity 0.8 is missed with probability 3e-6.
 
 Documents with equal sets are one class (the 64-bit digest of the set); only classes meet.  Inside a
-key the classes are compared with a pivot (the least digest; one row per class, never all pairs), links
-are confirmed on full sets (100 * intersection >= ``percent`` * union), and components are formed.
-Keys whose classes still lie in several components get further pivots, chosen outside the component of
-the first; what remains after ``star_rounds`` is compared exactly across components, so no link that
-shares a key is lost.
+key the classes are compared with a pivot, the class that shares keys with the most others (one row per
+class, never all pairs); links are confirmed on full sets (100 * intersection >= ``percent`` * union), and
+components are formed.  Keys whose classes still lie in several components go through their members in
+blocks of at most ``BLOCK``: pairs across components whose signatures agree in at least the threshold
+less SLACK standard deviations are confirmed on full sets too (a true link fails that with probability
+2e-5).  A pair is looked at under the first key it shares.  No member is left out of a block.
 
 Null text counts as empty.  Rows with a repeated id are classified each by its own text.  Rows without
 an id take part through their set; their component is null when no document of it has an id, and such
@@ -29,7 +30,8 @@ from .common import WordHash, connected_components, cut, map_batches, mix, relea
 
 PERMS, ROWS = 80, 5
 WIDTH, PERCENT = 5, 80
-STAR_ROUNDS = 3
+BLOCK = 4096
+SLACK = 4.1
 
 
 def minmax_signature(s: np.ndarray, mult: np.ndarray, flip: np.ndarray) -> np.ndarray:
@@ -55,21 +57,24 @@ def _digest(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int, perms: int = PERMS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, digest, bands): set size, set digest and band keys; digest null for empty sets."""
+    """(doc_id, n, digest, bands, sig): set size, set digest, band keys and one byte of every signature
+    value; the last three null for empty sets."""
     def run(batches):
         mult, flip = _family(perms)
         hashes = WordHash()
         salt = np.arange(2 * perms // rows, dtype=np.uint64)
         for b in batches:
-            n, dig, bands = [], [], []
+            n, dig, bands, sig = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_hashes(np.array([hashes[w] for w in words_of(t)], np.uint64), width)
                 n.append(len(s))
                 if not len(s):
                     dig.append(None)
                     bands.append(None)
+                    sig.append(None)
                     continue
                 v = minmax_signature(s, mult, flip)
+                sig.append((v * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(56)).astype(np.uint8).tobytes())
                 v = v[: len(salt) * rows].reshape(-1, rows)
                 k = mix(salt + np.uint64(1))
                 for j in range(rows):
@@ -78,9 +83,10 @@ def signatures(docs: DataFrame, width: int, perms: int = PERMS, rows: int = ROWS
                 bands.append(k.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "bands"])
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                names=["doc_id", "n", "digest", "bands", "sig"])
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run,
-                       "doc_id long, n long, digest long, bands array<long>")
+                       "doc_id long, n long, digest long, bands array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -111,61 +117,77 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
-                    star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def likely_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b) of ``members`` (key, m, digest, root, n, bands, sig; m rows per key) across roots whose
+    signatures and sizes allow the threshold, each under the first key it shares."""
+    share = percent / 100
+    least = share - SLACK * (share * (1 - share) / (2 * PERMS)) ** 0.5
+
+    def run(t: pa.Table) -> pa.Table:
+        key = t.column("key")[0].as_py()
+        dig, root = t.column("digest").to_numpy(), t.column("root").to_numpy()
+        n, half = t.column("n").to_numpy(), t.column("half").to_numpy()
+        sig = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()])
+        bands = np.stack(t.column("bands").to_numpy(zero_copy_only=False))
+        cross = half.min() != half.max()  # a cell of two blocks: pairs inside a block belong to another cell
+        out = []
+        for i in range(0, len(dig), 64):
+            u = np.arange(i, min(i + 64, len(dig)))
+            ok = (root[u, None] != root[None]) & (100 * np.minimum(n[u, None], n) >= percent * np.maximum(n[u, None], n))
+            ok &= (half[u, None] < half) if cross else (dig[u, None] < dig)
+            rows = np.flatnonzero(ok.any(axis=1))
+            for x in rows:
+                y = np.flatnonzero(ok[x])
+                y = y[(sig[u[x]] == sig[y]).mean(axis=1) >= least]
+                if len(y):
+                    same = bands[u[x]] == bands[y]
+                    y = y[bands[u[x]][same.argmax(axis=1)] == key]
+                    out.append(np.stack([np.full(len(y), dig[u[x]]), dig[y]]))
+        pair = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(pair.min(axis=0) if out else pair[0], pa.int64()),
+                         "b": pa.array(pair.max(axis=0) if out else pair[1], pa.int64())})
+
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    cells = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    # a key of more than one block: every pair of blocks is one cell, and a row goes to the cells of its block
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("blk", "other").alias("c1"), F.greatest("blk", "other").alias("c2"),
+                         (F.col("blk") > F.col("other")).cast("int").alias("half"), "digest", "root", "n", "bands", "sig")
+    return cells.groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     sig = cut(signatures(docs, width), "sig")
     classes = sig.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("low"), F.max("n").alias("n"), F.first("bands").alias("bands"))
-    keyed = classes.select("digest", "low", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+        F.min("doc_id").alias("low"), F.max("n").cast("int").alias("n"), F.first("bands").alias("bands"),
+        F.first("sig").alias("sig"))
+    classes = cut(classes, "classes")
+    keyed = classes.select("digest", "low", "n", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     keyed = cut(keyed.join(shared, "key"), "keyed")  # only keys that two classes share
-    wanted = keyed.groupBy("low").agg(F.max("digest").alias("x")).select(F.col("low").alias("doc_id"))
+    wanted = keyed.select(F.col("low").alias("doc_id")).distinct()
     sets = cut(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"),
                          width).dropDuplicates(["digest"]), "sets")
     release(spark)
-    edges = done = None
-    rooted = keyed.select("key", "digest", "n", F.col("digest").alias("root"))
-    for step in range(star_rounds + 1):
-        if step < star_rounds:
-            # pivot: the least digest; later any class outside that one's component
-            lead = rooted.groupBy("key").agg(F.min_by("root", "digest").alias("r0"))
-            pick = rooted if step == 0 else rooted.join(lead, "key").where("root <> r0")
-            order = F.col("digest") if step == 0 else F.xxhash64("digest", F.lit(step))
-            pivot = pick.groupBy("key").agg(F.min_by(F.struct("digest", "n", "root"), order).alias("p"))
-            pairs = (rooted.join(pivot, "key").where("digest <> p.digest")
-                     .where(F.lit(step == 0) | (F.col("root") != F.col("p.root")))
-                     .select("digest", "n", F.col("p.digest").alias("other"), F.col("p.n").alias("m")))
-        else:  # whatever is left, across components only
-            right = rooted.select("key", F.col("digest").alias("other"), F.col("n").alias("m"),
-                                  F.col("root").alias("oroot"))
-            pairs = (rooted.join(right, "key").where("digest < other and root <> oroot")
-                     .select("digest", "n", "other", "m"))
-        first = F.col("digest") < F.col("other")
-        pairs = pairs.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"),
-                             F.when(first, F.col("n")).otherwise(F.col("m")).alias("na"),
-                             F.when(first, F.col("m")).otherwise(F.col("n")).alias("nb"))
-        pairs = pairs.where(_size_ok(percent)).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        links = cut(confirmed(pairs, sets, percent), "links")
-        done = pairs.select("a", "b") if done is None else done.union(pairs.select("a", "b"))
-        edges = links if edges is None else edges.union(links)
-        roots = cut(connected_components(edges), "roots")
-        now = (keyed.select("key", "digest", "n")
-               .join(roots, F.col("digest") == F.col("node"), "left")
-               .select("key", "digest", "n", F.coalesce("root", "digest").alias("root")))
-        if step == star_rounds:
-            break
-        open_keys = (now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"),
-                                            F.max("root").alias("r1"))
-                     .where(F.col("r0") != F.col("r1")).where(F.col("m") > 2).select("key"))
-        rooted = cut(now.join(open_keys, "key"), "open")
-        release(spark)
-        if rooted.isEmpty():
-            break
+    central = keyed.groupBy("digest").agg(F.sum("m").alias("near"))
+    pivot = keyed.join(central, "digest").groupBy("key").agg(
+        F.max_by(F.struct("digest", "n"), F.struct("near", "digest")).alias("p"))
+    star = (keyed.join(pivot, "key").where("digest <> p.digest")
+            .select(F.least("digest", "p.digest").alias("a"), F.greatest("digest", "p.digest").alias("b"),
+                    F.col("n").alias("na"), F.col("p.n").alias("nb")).where(_size_ok(percent)).select("a", "b").distinct())
+    links = cut(confirmed(star, sets, percent), "links")
+    roots = cut(connected_components(links), "roots")
+    now = (keyed.where("m > 2").select("key", "m", "digest")
+           .join(roots, F.col("digest") == F.col("node"), "left")
+           .select("key", "m", "digest", F.coalesce("root", "digest").alias("root")))
+    several = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    members = now.join(several, "key").join(classes.select("digest", "n", "bands", "sig"), "digest")
+    more = cut(confirmed(cut(likely_pairs(members, percent, block), "likely"), sets, percent), "more")
+    if not more.isEmpty():
+        roots = cut(connected_components(links.union(more)), "roots")
+    release(spark)
     rows = sig.select("doc_id", "n", "digest").join(roots, F.col("digest") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "digest", F.coalesce("root", "digest").alias("root"))
     ids = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

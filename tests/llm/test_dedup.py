@@ -58,8 +58,18 @@ def test_near_duplicates_chain_and_hot_group(llm):
         t = list(other)
         t[i] = "edit%d" % i
         rows.append((500 + i, " ".join(t)))
-    got = near_duplicates(llm.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 2, 80)
+    r = __import__("random").Random(3)
+    for i in range(200):  # copies edited so much that many are unlike the middle one
+        t = list(other)
+        for _ in range(r.randrange(24)):
+            t[r.randrange(150)] = "far%d" % r.randrange(10 ** 6)
+        rows.append((2000 + i, " ".join(t)))
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 2, 80)
+    assert len({c for _, _, c in want}) > 20
+    for block in (4096, 40):  # members of one key in one block, and in several
+        got = near_duplicates(df, width=2, block=block).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
 
 
 def test_near_duplicates_empty(no_docs):
