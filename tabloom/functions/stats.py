@@ -59,6 +59,45 @@ def normaltest_p(n: Column, g: Column, k: Column) -> Column:
     return F.exp(-(z1 * z1 + z2 * z2) / 2)
 
 
+# Coefficients of Acklam's rational approximation of the normal quantile (relative error
+# 1.2e-9), and of the complementary error function (Numerical Recipes, relative error 1.2e-7).
+QUANTILE_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
+              -3.066479806614716e+01, 2.506628277459239e+00]
+QUANTILE_B = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
+              -1.328068155288572e+01, 1.0]
+QUANTILE_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
+              4.374664141464968e+00, 2.938163982698783e+00]
+QUANTILE_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00, 1.0]
+ERFC = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196,
+        1.00002368, -1.26551223]
+
+
+def horner(c: list[float], x: Column) -> Column:
+    """Polynomial with the highest coefficient first."""
+    out = F.lit(c[0])
+    for k in c[1:]:
+        out = out * x + F.lit(k)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution function for 0 < p < 1."""
+    low = F.least(p, 1 - p)
+    q = F.sqrt(-2 * F.log(low))
+    tail = horner(QUANTILE_C, q) / horner(QUANTILE_D, q)
+    r = (p - 0.5) * (p - 0.5)
+    middle = horner(QUANTILE_A, r) * (p - 0.5) / horner(QUANTILE_B, r)
+    return F.when(low < 0.02425, F.when(p < 0.5, tail).otherwise(-tail)).otherwise(middle)
+
+
+def normal_tail(z: Column) -> Column:
+    """Upper tail probability of the standard normal distribution."""
+    x = F.abs(z) / math.sqrt(2.0)
+    t = 1 / (1 + 0.5 * x)
+    upper = 0.5 * t * F.exp(-x * x + horner(ERFC, t))
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
 def t_two_sided_p(t: float, df: int) -> float:
     """Two-sided Student t p-value (regularised incomplete beta, driver-side scalar)."""
     if df <= 0 or t is None or math.isnan(t):

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,17 +19,26 @@ from .ordering import first_per_key
 
 # What counts as a number (pandas to_numeric accepts these forms; Spark's
 # try_cast would also take '1d' / '1f', so the regex guards it) and the datetime formats tried.
-NUMERIC_TEXT = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?)|(\.[0-9]+))([eE][+-]?[0-9]+)?\s*$"
+NUMERIC_TEXT = r"^\s*[+-]?((([0-9]+(\.[0-9]*)?)|(\.[0-9]+))([eE][+-]?[0-9]+)?|(?i:inf(inity)?))\s*$"
 DATETIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy"]
 # shape of each format: a parse is only attempted on matching text (failed parses are slow)
 DATETIME_SHAPES = {
-    "yyyy-MM-dd HH:mm:ss": r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{2}:[0-9]{2}\s*$",
+    "yyyy-MM-dd HH:mm:ss": r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?\s*$",
     "yyyy-MM-dd": r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\s*$",
     "yyyy/MM/dd": r"^\s*[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\s*$",
     "dd.MM.yyyy": r"^\s*[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\s*$",
     "MM/dd/yyyy": r"^\s*[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\s*$",
 }
 
+# what is parsed for each format: one- and two-digit parts, a fraction of a second
+DATETIME_PATTERNS = {
+    "yyyy-MM-dd HH:mm:ss": "yyyy-M-d H:mm:ss[.SSSSSSSSS]",
+    "yyyy-MM-dd": "yyyy-M-d",
+    "yyyy/MM/dd": "yyyy/M/d",
+    "dd.MM.yyyy": "d.M.yyyy",
+    "MM/dd/yyyy": "M/d/yyyy",
+}
+
 
 def _string_cols(df: DataFrame, columns=None) -> list[str]:
     return [f.name for f in df.schema.fields
@@ -36,16 +46,18 @@ def _string_cols(df: DataFrame, columns=None) -> list[str]:
 
 
 # any of the shapes above (one regex gates the five per-format checks)
-DATE_LIKE = (r"^\s*([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}:[0-9]{2})?"
+DATE_LIKE = (r"^\s*([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?)?"
              r"|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})\s*$")
 
 
 def parse_number(c: Column) -> Column:
+    """Number in a text, else NULL; infinities are numbers."""
     return F.when(c.rlike(NUMERIC_TEXT), F.trim(c).try_cast("double"))
 
 
 def parse_datetime(c: Column, fmt: str) -> Column:
-    return F.when(c.rlike(DATETIME_SHAPES[fmt]), F.try_to_timestamp(F.trim(c), F.lit(fmt)))
+    text = F.translate(F.trim(c), "T", " ")
+    return F.when(c.rlike(DATETIME_SHAPES[fmt]), F.try_to_timestamp(text, F.lit(DATETIME_PATTERNS[fmt])))
 
 
 # P01 / P02 ------------------------------------------------------------------------------------
@@ -171,8 +183,9 @@ def impute_plan(train: DataFrame, numeric: list[str], categorical: list[str]) ->
             plan[r["column"]] = r["median"]
     if categorical:
         vc = value_counts(train, categorical).where(F.col("value").isNotNull())
-        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-        for r in vc.withColumn("_r", F.row_number().over(w)).where("_r = 1").collect():
+        # most frequent, ties to the smaller value; combined map-side
+        mode = vc.groupBy("column").agg(F.min_by("value", F.struct((-F.col("n")).alias("n"), "value")).alias("value"))
+        for r in mode.collect():
             plan[r["column"]] = r["value"]
         for c in categorical:
             plan.setdefault(c, "unknown")
@@ -234,33 +247,28 @@ def column_kinds(df: DataFrame) -> dict[str, list[str]]:
 
 # P15 / P16 ------------------------------------------------------------------------------------
 def ascii_name(name: str, letter_prefix: bool = False) -> str:
-    """NFKD, non-ASCII -> '_', collapse runs of '_', strip; empty -> 'feat'.
-    ``letter_prefix``: prefix 'f_' unless the first character is a letter or '_'."""
-    s = unicodedata.normalize("NFKD", str(name))
-    s = "".join(ch if ord(ch) < 128 else "?" for ch in s)
-    s = re.sub(r"[^0-9A-Za-z_]", "_", s)
-    s = re.sub(r"_+", "_", s).strip("_")
-    if not s:
-        s = "feat"
-    if letter_prefix and not (s[0].isalpha() or s[0] == "_"):
-        s = "f_" + s
-    return s
+    """The runs of ASCII letters and digits of the decomposed name, joined by '_'; 'feat' without any.
+    ``letter_prefix`` puts 'f_' before a name that starts with a digit."""
+    runs = re.findall("[0-9A-Za-z]+", unicodedata.normalize("NFKD", str(name)))
+    joined = "_".join(runs) or "feat"
+    return f"f_{joined}" if letter_prefix and joined[0].isdigit() else joined
 
 
 def ascii_mapping(names: list[str], letter_prefix: bool = False) -> dict[str, str]:
-    """One mapping over a union of names; collisions get _1, _2 ..."""
-    out, used = {}, set()
-    for n in names:
-        if n in out:
-            continue
-        base = ascii_name(n, letter_prefix)
-        cand, k = base, 0
-        while cand in used:
-            k += 1
-            cand = f"{base}_{k}"
-        used.add(cand)
-        out[n] = cand
-    return out
+    """Old name -> ASCII name over a union of names.  The n-th further name with one ASCII form gets the
+    suffix _n; a number that some other name already bears is passed over."""
+    forms = {n: ascii_name(n, letter_prefix) for n in dict.fromkeys(names)}
+    mapping: dict[str, str] = {}
+    taken: set[str] = set()
+    repeats: Counter[str] = Counter()
+    for old, form in forms.items():
+        new = form
+        while new in taken:
+            repeats[form] += 1
+            new = f"{form}_{repeats[form]}"
+        taken.add(new)
+        mapping[old] = new
+    return mapping
 
 
 def rename_pair(train: DataFrame, test: DataFrame, letter_prefix: bool = False):

@@ -1,28 +1,25 @@
-"""Distribution shape: A10 Shapiro-Wilk (X02), A11 KDE modality, A25 VIF.
+"""Distribution shape: A09/A10 normality, A11 KDE modality, A25 VIF.
 
-A10 is the only place where non-SQL maths runs on data: each column with
-8..5000 values is one ``applyInPandas`` group (bounded by definition; larger
-columns use the closed-form A09 test).  A11 evaluates a Gaussian KDE on a
-fixed grid from the value counts, pre-binned so its cost does not grow with
-rows.  A25 inverts the k x k correlation matrix of a candidate set.
+Normality is one table for columns of any size: Shapiro-Wilk up to 5 000
+values, D'Agostino-Pearson above, both as engine expressions over the value
+counts.  A11 sums Gaussian kernels on a fixed grid.  A25 takes R^2 from the
+k x k correlation matrix of a candidate set.
 """
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import long_form, moments, numeric_value_counts
-from .quality import corr_pairs
+from ..functions import stats as S
+from .kernels import cumulative_counts, long_form, moments, numeric_value_counts
+from .profile import normality as large_normality
 
-_N = NormalDist()
-
-# Polynomial coefficients of Royston's (1995) approximation (algorithm AS R94).
+# Polynomial coefficients of Royston's (1995) approximation (algorithm AS R94),
+# lowest power first.
 C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
 C2 = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
 C3 = [0.5440, -0.39978, 0.025054, -6.714e-4]
@@ -31,77 +28,70 @@ C5 = [-1.5861, -0.31082, -0.083751, 0.0038915]
 C6 = [-0.4803, -0.082676, 0.0030302]
 G = [-2.273, 0.459]
 
+SMALL_N = 5000  # up to here the Shapiro-Wilk test is the fitting one
+NORMAL_P = 0.05
+
 
 def _poly(c, x):
-    return sum(ci * x ** i for i, ci in enumerate(c))
+    return S.horner(c[::-1], x)
 
 
-def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
-    """W and p for 8 <= n <= 5000 values (Royston 1995, algorithm AS R94).
+def shapiro_wilk(df: DataFrame, columns: list[str], max_n: int = SMALL_N) -> DataFrame:
+    """(column, n, w, p) of the Shapiro-Wilk test for columns with 8..``max_n`` values.
 
-    W is the squared correlation between the sorted data and the antisymmetric
-    coefficient vector; p is the upper normal tail of the transformed log(1 - W).
+    All expressions of the engine: the value counts' cumulative counts give every distinct value its
+    ranks, and W needs only plain sums over them - of the squared expected order statistics m_i, and of
+    m_i x_i between the two outer values of each side, which have coefficients of their own.
     """
-    x = np.sort(np.asarray(x, dtype=float))
-    n = len(x)
-    if n < 3 or x[-1] - x[0] <= 0:
-        return 1.0, 1.0
-    half = n // 2
-    # Blom scores of the lower half: m_i = Phi^-1((i - 3/8) / (n + 1/4)) < 0
-    m = np.array([_N.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, half + 1)])
-    summ2 = 2.0 * float(np.sum(m * m))
-    ssumm2 = math.sqrt(summ2)
-    rsn = 1.0 / math.sqrt(n)
-    a = np.empty(half)
-    a1 = _poly(C1, rsn) - m[0] / ssumm2
-    a2 = _poly(C2, rsn) - m[1] / ssumm2
-    fac = math.sqrt((summ2 - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))
-    a[0], a[1] = a1, a2
-    a[2:] = -m[2:] / fac
-    c = np.zeros(n)
-    c[:half] = -a
-    c[n - half:] = a[::-1]
-    cc, xc = c - c.mean(), x - x.mean()
-    w = float(np.dot(cc, xc) ** 2 / (np.dot(cc, cc) * np.dot(xc, xc)))
-    w = min(w, 1.0)
-    w1 = math.log(1.0 - w) if w < 1 else -math.inf
-    if n <= 11:
-        gamma = _poly(G, n)
-        if w1 >= gamma:
-            return w, 0.0
-        y = -math.log(gamma - w1)
-        mu, sigma = _poly(C3, n), math.exp(_poly(C4, n))
-    else:
-        ln_n = math.log(n)
-        y = w1
-        mu, sigma = _poly(C5, ln_n), math.exp(_poly(C6, ln_n))
-    if y == -math.inf:
-        return w, 1.0
-    return w, 1.0 - _N.cdf((y - mu) / sigma)
-
-
-def _sw_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = pdf["value"].to_numpy()
-    w, p = shapiro_wilk(x)
-    return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [len(x)], "w": [w],
-                         "normal_p": [round(p, 4)], "is_normal": [p > 0.05]})
-
-
-def shapiro_table(df: DataFrame, columns: list[str], min_n: int = 8, max_n: int = 5000) -> DataFrame:
-    """A10: (column, n, w, normal_p (4 dp), is_normal) for columns with min_n..max_n values."""
-    return per_column_pandas(df, columns, _sw_group, "column string, n long, w double, normal_p double, "
-                             "is_normal boolean", min_n, max_n)
-
-
-def modality(df: DataFrame, columns: list[str], grid: int = 200, max_bins: int = 2000) -> DataFrame:
+    st = moments(df, columns).where((F.col("n") >= 8) & (F.col("n") <= max_n) & (F.col("var") > 0)).select(
+        "column", F.col("n").cast("double").alias("nd"), F.col("var"))
+    cum = cumulative_counts(numeric_value_counts(df, columns).select("column", "value", "n"))
+    # at most max_n ranks per column that takes part
+    ranks = (cum.join(F.broadcast(st), "column")
+             .withColumn("i", F.explode(F.sequence(F.col("cum_before") + 1, F.col("cum"))))
+             .withColumn("m", S.normal_quantile((F.col("i") - 0.375) / (F.col("nd") + 0.25))))
+    at = lambda k: F.max(F.when(F.col("i") == k, F.col("value")))
+    mid = (F.col("i") > 2) & (F.col("i") <= F.col("nd") - 2)
+    sums = ranks.groupBy("column", "nd", "var").agg(
+        F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.when(mid, F.col("m") * F.col("value"))).alias("mx"),
+        at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"), at(F.col("nd") - 1).alias("y2"), at(F.col("nd")).alias("y1"),
+        F.max("m").alias("m1"), F.max(F.when(F.col("i") == F.col("nd") - 1, F.col("m"))).alias("m2"))
+    u = 1 / F.sqrt(F.col("nd"))
+    t = (sums.withColumn("a1", F.col("m1") / F.sqrt("mm") + _poly(C1, u))
+         .withColumn("a2", F.col("m2") / F.sqrt("mm") + _poly(C2, u)))
+    phi = ((F.col("mm") - 2 * F.col("m1") * F.col("m1") - 2 * F.col("m2") * F.col("m2"))
+           / (1 - 2 * F.col("a1") * F.col("a1") - 2 * F.col("a2") * F.col("a2")))
+    dot = F.col("a1") * (F.col("y1") - F.col("x1")) + F.col("a2") * (F.col("y2") - F.col("x2")) + F.col("mx") / F.sqrt(phi)
+    t = t.withColumn("w", F.least(F.lit(1.0), dot * dot / (F.col("var") * (F.col("nd") - 1))))
+    n, ln, left = F.col("nd"), F.log("nd"), F.log(1 - F.col("w"))
+    gamma = _poly(G, n)
+    z = (F.when(n <= 11, (-F.log(gamma - left) - _poly(C3, n)) / F.exp(_poly(C4, n)))
+         .otherwise((left - _poly(C5, ln)) / F.exp(_poly(C6, ln))))
+    p = F.when(F.col("w") >= 1, F.lit(1.0)).when((n <= 11) & (left >= gamma), F.lit(0.0)).otherwise(S.normal_tail(z))
+    return t.select("column", n.cast("long").alias("n"), "w", p.alias("p"))
+
+
+def normality(df: DataFrame, columns: list[str], small_n: int = SMALL_N) -> DataFrame:
+    """One row per column, whatever its size: (column, n, method, normal_p, is_normal).
+
+    Shapiro-Wilk for 8..``small_n`` values, D'Agostino-Pearson above; fewer than 8 values or a constant
+    column: method and p NULL, not normal.
+    """
+    big = large_normality(df, columns, small_n).select("column", "n", F.col("normal_p").alias("large_p"))
+    small = shapiro_wilk(df, columns, small_n).select("column", F.col("p").alias("small_p"))
+    p = F.coalesce("small_p", "large_p")
+    return big.join(small, "column", "left").select(
+        "column", F.col("n").cast("long").alias("n"),
+        F.when(F.col("small_p").isNotNull(), "shapiro").when(F.col("large_p").isNotNull(), "dagostino").alias("method"),
+        p.alias("normal_p"), F.coalesce(p > NORMAL_P, F.lit(False)).alias("is_normal"))
+
+
+def modality(df: DataFrame, columns: list[str], grid: int = 200) -> DataFrame:
     """Number of strict interior local maxima of a Gaussian KDE (Scott bandwidth
     std * n^(-1/5)) on ``grid`` points from min to max; n < 2 or std = 0 -> 1 peak.
-
-    Columns with more than ``max_bins`` distinct values are pre-binned to equal-width
-    bin centres, so the work is at most max_bins x grid per column.
     """
     st = moments(df, columns).select("column", F.col("n").alias("n_all"), "std")
-    dens = kde_density(df, columns, grid, max_bins)
+    dens = kde_density(df, columns, grid)
     peaks = (local_maxima(dens, "column", "i", "d")
              .groupBy("column").agg(F.count(F.lit(1)).alias("peaks")))
     out = st.join(peaks, "column", "left").select(
@@ -120,59 +110,64 @@ def local_maxima(df: DataFrame, group: str, order: str, value: str) -> DataFrame
             .where((F.col(value) > F.col("_prev")) & (F.col(value) > F.col("_next"))).drop("_prev", "_next"))
 
 
-def kde_density(df: DataFrame, columns: list[str], grid: int = 200, max_bins: int = 2000) -> DataFrame:
-    """(column, i, g, d): the unnormalised KDE of ``modality`` on its grid."""
+def kde_density(df: DataFrame, columns: list[str], grid: int = 200) -> DataFrame:
+    """(column, i, g, d): the unnormalised KDE of ``modality`` on its grid.
+
+    Every distinct value adds its kernel to the grid points of its column; the sums are combined
+    map-side, so work is linear in the distinct values and nothing of a column meets in one task.
+    """
     vc = numeric_value_counts(df, columns).select("column", "value", "n")
-    st = moments(df, columns).select("column", F.col("n").alias("n_all"), "std", "min", "max")
-    nd = vc.groupBy("column").agg(F.count(F.lit(1)).alias("_d"))
-    width = (F.col("max") - F.col("min")) / max_bins
-    idx = F.least(F.floor((F.col("value") - F.col("min")) / width), F.lit(max_bins - 1))
-    binned = (vc.join(F.broadcast(st.join(nd, "column")), "column")
-              .withColumn("value", F.when(F.col("_d") > max_bins, F.col("min") + (idx + 0.5) * width)
-                          .otherwise(F.col("value")))
-              .groupBy("column", "value").agg(F.sum("n").alias("n")))
-    pts = (st.where((F.col("n_all") >= 2) & (F.col("std") > 0))
-           .select("column", "min", "max", (F.col("std") * F.pow(F.col("n_all").cast("double"), -0.2)).alias("h"),
-                   F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
-           .withColumn("g", F.col("min") + F.col("i") * (F.col("max") - F.col("min")) / (grid - 1)))
+    st = (moments(df, columns).where((F.col("n") >= 2) & (F.col("std") > 0))
+          .select("column", "min", "max", (F.col("std") * F.pow(F.col("n").cast("double"), -0.2)).alias("h")))
+    at = (vc.join(F.broadcast(st), "column")  # one row per profiled column
+          .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+          .withColumn("g", F.col("min") + F.col("i") * (F.col("max") - F.col("min")) / (grid - 1)))
     z = (F.col("g") - F.col("value")) / F.col("h")
-    return (pts.join(binned, "column").groupBy("column", "i", "g")
-            .agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("d")))
+    return at.groupBy("column", "i", "g").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("d"))
 
 
 def per_column_pandas(df: DataFrame, columns: list[str], fn, schema: str, min_n: int = 1,
-                      max_n: int = 5000) -> DataFrame:
+                      max_n: int | None = None) -> DataFrame:
     """Run a pandas function on each column's non-null values (one group per column).
 
-    Only columns with ``min_n``..``max_n`` values are handed to pandas, so a group is
-    bounded by construction; ``fn(pdf)`` gets (column, value) and returns rows of ``schema``.
+    ``fn(pdf)`` gets (column, value) and returns rows of ``schema``.  A pandas group is held by one
+    task: when a column has more than ``max_n`` values the call fails before any group is formed,
+    rather than leaving the column out.
     """
     lf = long_form(df, columns, "double").where(F.col("value").isNotNull())
-    sizes = lf.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
-    ok = sizes.where((F.col("_n") >= min_n) & (F.col("_n") <= max_n)).select("column")
-    return lf.join(F.broadcast(ok), "column").groupBy("column").applyInPandas(fn, schema)
+    sizes = {r["column"]: r["n"] for r in lf.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    over = [c for c, n in sizes.items() if max_n is not None and n > max_n]
+    if over:
+        raise ValueError(f"more than {max_n} values for one pandas group: {over}")
+    few = [c for c in columns if sizes.get(c, 0) < min_n]
+    return lf.where(~F.col("column").isin(few) if few else F.lit(True)).groupBy("column").applyInPandas(fn, schema)
 
 
 def vif(df: DataFrame, features: list[str]) -> DataFrame:
-    """Variance inflation factors = diagonal of the inverse correlation matrix.
+    """Variance inflation factors 1 / (1 - R^2), R^2 of each feature on the others.
 
-    The k x k matrix comes from one Spark aggregation (A24, signed); only the
-    k x k inversion runs on the driver.
+    The k x k correlation matrix comes from one Spark aggregation (A24, signed); only the k small
+    regressions run on the driver.  A feature that the others determine gets infinity, a constant
+    one NULL (and takes no part in the others' regressions).
     """
-    from .. import functions as _f  # noqa: F401
-    from ..functions import stats as S
     from ..functions.cols import col
-    k = len(features)
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    row = df.agg(*[S.pearson(col(a), col(b)).alias(f"p{j}") for j, (a, b) in enumerate(pairs)]).first()
-    r = np.eye(k)
-    for j, (a, b) in enumerate(pairs):
-        v = row[f"p{j}"]
-        ia, ib = features.index(a), features.index(b)
-        r[ia, ib] = r[ib, ia] = 0.0 if v is None else v
-    inv = np.linalg.pinv(r)
-    return df.sparkSession.createDataFrame([(f, float(inv[i, i])) for i, f in enumerate(features)],
-                                           "feature string, vif double")
-
-
-__all__ = ["shapiro_wilk", "shapiro_table", "modality", "vif", "corr_pairs"]
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    row = df.agg(*[F.var_pop(col(f)).alias(f"v{i}") for i, f in enumerate(features)],
+                 *[S.pearson(col(features[i]), col(features[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    r = np.eye(len(features))
+    for i, j in pairs:
+        r[i, j] = r[j, i] = row[f"p{i}_{j}"] or 0.0
+    varies = [i for i in range(len(features)) if row[f"v{i}"]]
+    out = []
+    for i, f in enumerate(features):
+        others = [j for j in varies if j != i]
+        value = None
+        if i in varies:
+            c = r[others, i]
+            left = 1.0 - float(c @ np.linalg.pinv(r[np.ix_(others, others)], hermitian=True) @ c) if others else 1.0
+            value = math.inf if left < 1e-9 else 1.0 / left
+        out.append((f, value))
+    return df.sparkSession.createDataFrame(out, "feature string, vif double")
+
+
+__all__ = ["normality", "shapiro_wilk", "modality", "local_maxima", "vif"]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cols import col, finite, safe_div
-from .kernels import quantiles
+from .kernels import exact_mean, quantiles
 from .ordering import first_per_key
 
 EPS = 1e-9
@@ -127,7 +127,9 @@ def target_encoding(name: str, train: DataFrame, column: str | list[str], target
     other folds (sum and count per category and fold, minus its own fold).
     """
     cols = [column] if isinstance(column, str) else list(column)
-    cat = F.concat_ws("_", *[col(c).cast("string") for c in cols]) if len(cols) > 1 else col(cols[0])
+    # a missing part is text of its own, so that (a, NULL) and (NULL, a) stay apart
+    cat = (F.concat_ws("_", *[F.coalesce(col(c).cast("string"), F.lit("nan")) for c in cols]) if len(cols) > 1
+           else col(cols[0]))
 
     def with_cat(df):
         if via is None:
@@ -148,7 +150,8 @@ def target_encoding(name: str, train: DataFrame, column: str | list[str], target
     per = tr.groupBy("_cat", col(fold).alias("_fold")).agg(
         F.sum(col(target).cast("double")).alias("_s"), F.count(F.lit(1)).alias("_c"))
     tot = per.groupBy("_cat").agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
-    oof = (per.join(tot, "_cat")
+    # null-safe: rows without a category are a category of their own
+    oof = (per.join(tot.withColumnRenamed("_cat", "_tcat"), F.col("_cat").eqNullSafe(F.col("_tcat")))
            .select("_cat", "_fold", safe_div(F.col("_ts") - F.col("_s"), F.col("_tc") - F.col("_c")).alias("_te")))
 
     def fn_oof(df):
@@ -293,14 +296,15 @@ def group_aggregate(name: str, aux: DataFrame, key: str, column: str | None, how
     """One 1:N aggregate per key of ``aux`` attached by a left join; no partner -> 0.
 
     how: count | sum | mean | std | max | min | nunique | share (col == value) |
-    recency (days from max(col) to ``ref``) | window_sum (sum over the last
+    per_day (sum per distinct day of ``ts``) | recency (days from max(col) to ``ref``) | window_sum (sum over the last
     ``days`` before ``ref`` on ``ts``).
     """
     c = col(column) if column else None
     aggs = {
         "count": lambda: F.count(F.lit(1)),
         "sum": lambda: F.sum(c.cast("double")),
-        "mean": lambda: F.avg(c.cast("double")),
+        "mean": lambda: exact_mean(c.cast("double")),
+        "per_day": lambda: safe_div(F.sum(c.cast("double")), F.count_distinct(F.to_date(col(ts)))),
         "std": lambda: F.stddev_samp(c.cast("double")),
         "max": lambda: F.max(c.cast("double")),
         "min": lambda: F.min(c.cast("double")),
@@ -310,13 +314,19 @@ def group_aggregate(name: str, aux: DataFrame, key: str, column: str | None, how
         "window_sum": lambda: F.sum(F.when(col(ts) >= F.lit(ref).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"),
                                            c.cast("double")).otherwise(F.lit(0.0))),
     }
-    table = aux.groupBy(col(key).alias("_k")).agg(aggs[how]().cast("double").alias("_a"))
-    lk = left_key or key
+    group = {"aux": aux, "key": key, "left_key": left_key or key, "agg": aggs[how]().cast("double")}
+    fitted = Fitted(name, lambda df: attach_groups(df, [fitted]), {"group": group})
+    return fitted
 
-    def fn(df):
-        j = df.join(table, col(lk) == F.col("_k"), "left")
-        return j.withColumn(name, _finish(F.col("_a"))).drop("_k", "_a")
-    return Fitted(name, fn)
+
+def attach_groups(df: DataFrame, fits: list[Fitted]) -> DataFrame:
+    """Aggregates of one auxiliary table and key: one aggregation, one join."""
+    g = fits[0].state["group"]
+    cols = {f"_a{i}": f for i, f in enumerate(fits)}
+    table = g["aux"].groupBy(col(g["key"]).alias("_k")).agg(
+        *[f.state["group"]["agg"].alias(c) for c, f in cols.items()])
+    j = df.join(table, col(g["left_key"]) == F.col("_k"), "left")
+    return j.withColumns({f.name: _finish(F.col(c)) for c, f in cols.items()}).drop("_k", *cols)
 
 
 # F15 ------------------------------------------------------------------------------------------
@@ -368,11 +378,25 @@ def rare_group(name: str, train: DataFrame, column: str, min_share: float, other
 
 
 def apply_all(df: DataFrame, fitted: list[Fitted]) -> DataFrame:
-    for f in fitted:
-        df = f.transform(df)
+    """All features in their order; neighbouring aggregates of one table and key share one pass over it."""
+    at = 0
+    while at < len(fitted):
+        g = fitted[at].state.get("group")
+        end = at + 1
+        if g is not None:
+            while end < len(fitted) and _same_group(g, fitted[end].state.get("group")):
+                end += 1
+            df = attach_groups(df, fitted[at:end])
+        else:
+            df = fitted[at].transform(df)
+        at = end
     return df
 
 
+def _same_group(a: dict, b: dict | None) -> bool:
+    return b is not None and a["aux"] is b["aux"] and (a["key"], a["left_key"]) == (b["key"], b["left_key"])
+
+
 def median_ratio(name: str, train: DataFrame, a: str, b: str, medians: dict | None = None) -> Fitted:
     """F05 fallback variant: both sides filled with train medians; b = 0 -> 0."""
     from .kernels import quantile_wide

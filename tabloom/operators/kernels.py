@@ -27,8 +27,10 @@ def long_form(df: DataFrame, columns: list[str], value_type: str = "string",
     """(keep..., column, value) with every listed column stacked into ``value``."""
     if not columns:
         raise ValueError("no columns to stack")
-    casted = df.select(*[col(k) for k in keep],
-                       *[col(c).cast(value_type).alias(f"_v{i}") for i, c in enumerate(columns)])
+    def typed(c):
+        v = col(c).cast(value_type)
+        return F.when(~F.isnan(v), v) if value_type == "double" else v  # NaN is a missing value
+    casted = df.select(*[col(k) for k in keep], *[typed(c).alias(f"_v{i}") for i, c in enumerate(columns)])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_v{i}").alias("value"))
                       for i, c in enumerate(columns)])
     return casted.select(*[col(k) for k in keep], F.inline(pairs))
@@ -76,6 +78,7 @@ def exact_mean(x) -> "F.Column":
     (exact, order-free) and divided once in double; if a value or the sum does not fit,
     the plain double average is used.
     """
+    x = F.when(~F.isnan(x.cast("double")), x)  # NaN is a missing value
     dsum = F.try_sum(x.try_cast("decimal(38,18)"))
     return F.coalesce(dsum.cast("double") / F.count(x), F.avg(x))
 

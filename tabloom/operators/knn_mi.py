@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import col
 from ..functions.stats import digamma_int
+from ..session import materialize
 from .kernels import long_form
 from .ordering import row_number_in, running_total
 
@@ -54,8 +55,9 @@ def knn_mutual_info(df: DataFrame, features: list[str], target: str, id_col: str
     lf = lf.select("column", "_y", "_id", "x")
     # class sizes; classes of one point are dropped
     nc = lf.groupBy("column", "_y").agg(F.count(F.lit(1)).alias("_nc")).where(F.col("_nc") > 1)
-    pts = lf.join(F.broadcast(nc), ["column", "_y"]).withColumn("_k", F.least(F.lit(k), F.col("_nc") - 1))
-    pts = row_number_in(pts, ["column", "_y"], ["x", "_id"], out="_p").persist()
+    pts = lf.join(nc, ["column", "_y"]).withColumn("_k", F.least(F.lit(k), F.col("_nc") - 1))
+    pts = row_number_in(pts, ["column", "_y"], ["x", "_id"], out="_p")
+    pts = materialize(pts, "positions")
     # r_i: k_i-th smallest distance among the 2k positional neighbours
     offs = F.array(*[F.lit(d) for d in range(-k, k + 1) if d != 0])
     cand = pts.select("column", "_y", "_p", "x", "_k", F.explode(offs).alias("_d")) \
@@ -67,16 +69,16 @@ def knn_mutual_info(df: DataFrame, features: list[str], target: str, id_col: str
          .select("column", "_y", "_p", "x", "_k", F.element_at("_ds", F.col("_k").cast("int")).alias("_r")))
     # m_i from one running count over points and probes
     points = pts.select("column", F.col("x").alias("_v"), F.lit(1).alias("_tie"), F.lit(1).cast("long").alias("_w"),
-                        F.lit(None).cast("int").alias("_py"), F.lit(None).cast("long").alias("_pp"),
+                        F.lit(None).cast("string").alias("_py"), F.lit(None).cast("long").alias("_pp"),
                         F.lit(None).cast("string").alias("_side"))
     # probes just inside the radius: the k-th neighbour at exactly r must not be counted even
     # when x + r rounds past it (shrink 1e-12 relative, far below the tie jitter)
     rr = F.col("_r") * (1 - 1e-12)
     up = r.select("column", (F.col("x") + rr).alias("_v"), F.lit(0).alias("_tie"),
-                  F.lit(0).cast("long").alias("_w"), F.col("_y").cast("int").alias("_py"), F.col("_p").alias("_pp"),
+                  F.lit(0).cast("long").alias("_w"), F.col("_y").cast("string").alias("_py"), F.col("_p").alias("_pp"),
                   F.lit("up").alias("_side"))
     lo = r.select("column", (F.col("x") - rr).alias("_v"), F.lit(2).alias("_tie"),
-                  F.lit(0).cast("long").alias("_w"), F.col("_y").cast("int").alias("_py"), F.col("_p").alias("_pp"),
+                  F.lit(0).cast("long").alias("_w"), F.col("_y").cast("string").alias("_py"), F.col("_p").alias("_pp"),
                   F.lit("lo").alias("_side"))
     swept = running_total(points.unionByName(up).unionByName(lo), ["column"], ["_v", "_tie"], weight="_w",
                           out="_cum")
@@ -84,8 +86,8 @@ def knn_mutual_info(df: DataFrame, features: list[str], target: str, id_col: str
          .groupBy("column", "_py", "_pp")
          .agg((F.sum(F.when(F.col("_side") == "up", F.col("_cum"))) -
                F.sum(F.when(F.col("_side") == "lo", F.col("_cum")))).alias("_m")))
-    per = (r.join(m, (r["column"] == m["column"]) & (r["_y"].cast("int") == m["_py"]) & (r["_p"] == m["_pp"]))
-           .drop(m["column"]).join(F.broadcast(nc), ["column", "_y"]))
+    per = (r.join(m, (r["column"] == m["column"]) & (r["_y"].cast("string") == m["_py"]) & (r["_p"] == m["_pp"]))
+           .drop(m["column"]).join(nc, ["column", "_y"]))
     agg = per.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(digamma_int(F.col("_k"))).alias("_pk"), F.avg(digamma_int(F.col("_nc"))).alias("_pn"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import rnd, col, numeric_columns
 from ..functions import stats as S
 from .kernels import exact_mean_from_counts, moments, numeric_value_counts, quantile_wide, top_values, value_counts
-from .ordering import row_number_in
+from ..session import materialize
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -49,10 +49,10 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     # one raw pass per type family: numeric columns as doubles (NULLs kept), others as text
     parts = []
     if nums:
-        nvc_all = value_counts(df, nums, value_type="double").persist()
+        nvc_all = materialize(value_counts(df, nums, value_type="double"), "value-counts")
         parts.append(nvc_all)
     if others:
-        svc = value_counts(df, others).persist()
+        svc = materialize(value_counts(df, others), "value-counts")
         parts.append(svc)
     base = None
     for vc in parts:
@@ -115,9 +115,10 @@ def normality(df: DataFrame, columns: list[str], large_n: int = 5000) -> DataFra
 def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
     """Natural-log Shannon entropy of the non-null values of each column."""
     vc = value_counts(df, columns).where(F.col("value").isNotNull())
-    w = Window.partitionBy("column")
-    p = F.col("n") / F.sum("n").over(w)
-    return vc.withColumn("p", p).groupBy("column").agg((-F.sum(F.col("p") * F.log(F.col("p")))).alias("entropy"))
+    # -sum(n/N ln(n/N)) = ln N - sum(n ln n) / N: plain sums, combined map-side
+    total = F.sum("n").cast("double")
+    return vc.groupBy("column").agg((F.log(total) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / total)
+                                    .alias("entropy"))
 
 
 def datetime_counts(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -162,6 +163,21 @@ def datetime_trend(df: DataFrame, column: str) -> DataFrame:
                     .alias("r2"))
 
 
+def datetime_report(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
+    """A14 for every datetime column: (column, n, slope, r2, p, has_trend).
+
+    p is the two-sided test of the slope (one scalar per column on the driver); a trend holds when
+    p < ``alpha``.  Fewer than three values: p NULL, no trend."""
+    rows = []
+    for c in columns:
+        r = datetime_trend(df, c).first()
+        n, slope, r2 = (r["n"], r["slope"], r["r2"]) if r is not None else (0, None, None)
+        p = trend_pvalue(n, r2)
+        rows.append((c, int(n), slope, r2, p, p is not None and p < alpha))
+    return df.sparkSession.createDataFrame(
+        rows, "column string, n long, slope double, r2 double, p double, has_trend boolean")
+
+
 def trend_pvalue(n: int, r2: float | None) -> float | None:
     """Two-sided p of the slope from r2 (t = r sqrt((n-2)/(1-r2))), driver-side scalar."""
     if r2 is None or n is None or n < 3:

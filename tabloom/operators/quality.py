@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import col
+from ..functions.cols import col, finite
 from ..functions import stats as S
 from ..session import materialize
 from .kernels import cumulative_counts, long_form, quantile_edges, quantiles, value_counts
 
+# The sentinel for missing numbers, the leak and the collinearity bounds.
 SENTINEL = -999.0
 LEAK_PEARSON = 0.9
 LEAK_MI = 0.5
@@ -139,9 +140,23 @@ def corr_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     return row.select(F.inline(arr))
 
 
+def gram_pairs(df: DataFrame, features: list[str]) -> DataFrame:
+    """A24 for wide sets without NULLs: one pass builds the Gram matrix, k x k numbers reach the driver."""
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    names = [f"_g{i}" for i in range(len(features))]  # the assembler does not take dotted names
+    plain = df.select(*[col(f).cast("double").alias(n) for f, n in zip(features, names)])
+    r = Correlation.corr(VectorAssembler(inputCols=names, outputCol="_v").transform(plain), "_v").first()[0].toArray()
+    rows = [(a, b, None if math.isnan(r[i, i + 1 + j]) else float(abs(r[i, i + 1 + j])))
+            for i, a in enumerate(features) for j, b in enumerate(features[i + 1:])]
+    return df.sparkSession.createDataFrame(rows, "feature_i string, feature_j string, abs_corr double")
+
+
 def max_corr_table(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, max_corr_with_others, high_collinearity); single feature -> 0."""
-    pairs = corr_pairs(df, features)
+    pairs = gram_pairs(df, features) if len(features) > 12 else corr_pairs(df, features)
     both = pairs.select(F.col("feature_i").alias("feature"), "abs_corr").unionByName(
         pairs.select(F.col("feature_j").alias("feature"), "abs_corr"))
     names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
@@ -164,10 +179,9 @@ def vc_stats(vc: DataFrame, bins: int = 10) -> DataFrame:
     (column, value, n, sum_y) alone.  The table holds one row per distinct value, so
     after the single aggregation that built it no statistic touches the rows again.
     """
-    # one row per (feature, distinct value): small next to the rows, reused by four statistics
-    vc = vc.select("column", "value", "n", "sum_y").persist()
-    cum = cumulative_counts(vc)
-    cum = cum.withColumn("avg_rank", F.col("cum_before") + (F.col("n") + 1) / 2.0).persist()
+    # one row per (feature, distinct value): small next to the rows, written once for four statistics
+    cum = cumulative_counts(vc.select("column", "value", "n", "sum_y"))
+    cum = materialize(cum.withColumn("avg_rank", F.col("cum_before") + (F.col("n") + 1) / 2.0), "ranks")
     tot = cum.groupBy("column").agg(F.sum("n").alias("n_tot"), F.sum("sum_y").alias("n_pos"),
                                     F.sum(F.col("n") * F.col("value")).alias("s_x"))
     j = cum.join(F.broadcast(tot), "column")
@@ -207,6 +221,29 @@ def vc_stats(vc: DataFrame, bins: int = 10) -> DataFrame:
     return corr.join(mi, "feature", "left")
 
 
+def graded_stats(enc: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
+    """The statistics of ``vc_stats`` for a target that is not 0/1: Pearson and Spearman on its numbers and
+    average ranks, mutual information on its values as classes; an AUC is not defined (NULL)."""
+    y = enc.groupBy(col(target).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = cumulative_counts(y.withColumn("column", F.lit("y"))).select(
+        F.col("value").alias("_yv"), (F.col("cum_before") + (F.col("n") + 1) / 2.0).alias("_ry"))
+    lf = long_form(enc, features, "double", [target])
+    byx = (lf.join(ranks, col(target).cast("double") == F.col("_yv"))
+           .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("_ry").alias("s"),
+                                           F.sum(F.col("_ry") * F.col("_ry")).alias("ss")))
+    x = cumulative_counts(byx.select("column", "value", "n", "s", "ss")).withColumn(
+        "r", F.col("cum_before") + (F.col("n") + 1) / 2.0)
+    t = x.groupBy("column").agg(
+        F.sum("n").cast("double").alias("m"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("rr"), F.sum("ss").alias("yy"),
+        F.sum(F.col("r") * F.col("s")).alias("ry"))
+    mid = F.col("m") * (F.col("m") + 1) / 2.0 * (F.col("m") + 1) / 2.0  # m times the squared mean rank
+    spear = t.select(F.col("column").alias("feature"), F.try_divide(
+        F.col("ry") - mid, F.nullif(F.sqrt((F.col("rr") - mid) * (F.col("yy") - mid)), F.lit(0.0))).alias("spearman"))
+    return (pearson_table(enc, features, target).join(spear, "feature", "left")
+            .withColumn("auc", F.lit(None).cast("double"))
+            .join(mi_binned(enc, features, target, bins), "feature", "left"))
+
+
 def feature_stats(train: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
     """Pearson, spearman, mutual_info, auc, null_pct, nunique, max |corr| with others.
 
@@ -233,11 +270,13 @@ def feature_stats(train: DataFrame, features: list[str], target: str, bins: int
           .withColumn("value", F.coalesce(F.col("value"), F.element_at(fill, F.col("column"))))
           .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(col(target).cast("double")).alias("sum_y"),
                                           F.sum("_null").alias("n_null")))
+    vc = materialize(vc, "value-counts")
     nu = vc.groupBy(F.col("column").alias("feature")).agg(
         (F.sum("n_null") * 100.0 / F.sum("n")).alias("null_pct"),
         F.count(F.when(F.col("n") > F.col("n_null"), F.lit(1))).alias("nunique"))
-    st = vc_stats(vc, bins)
-    enc = base.select(*[F.coalesce(col(f), F.lit(fills[f])).alias(f) for f in features])
+    enc = base.select(col(target), *[F.coalesce(col(f), F.lit(fills[f])).cast("double").alias(f) for f in features])
+    classes = {r[0] for r in base.select(col(target).cast("double")).distinct().limit(3).collect()}
+    st = vc_stats(vc, bins) if classes <= {0.0, 1.0} else graded_stats(enc, features, target, bins)
     mc = max_corr_table(enc, features)
     return (st.join(nu, "feature").join(mc, "feature")
             .select("feature",
@@ -297,7 +336,9 @@ def holdout_filter(matrix: DataFrame, features: list[str], target: str, fold: st
     keep = not (holdout MI < 0.001 or (full MI > 0.01 and holdout MI < 0.2 full MI));
     when every feature would be dropped, all are kept.
     """
-    enc = encoded(matrix, features, [target, fold])
+    # values that are no number count as missing, and missing is 0 here
+    enc = matrix.select(col(target), col(fold), *[
+        F.coalesce(finite(col(f).try_cast("double")), F.lit(0.0)).alias(f) for f in features])
     full = mi_binned(enc, features, target).withColumnRenamed("mutual_info", "mi_full")
     hold = mi_binned(enc.where(col(fold) == holdout), features, target).withColumnRenamed("mutual_info", "mi_holdout")
     d = full.join(hold, "feature")

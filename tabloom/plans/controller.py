@@ -7,13 +7,9 @@ from pyspark.sql import DataFrame
 from ..operators import features as FE
 from ..operators.kernels import moments, quantile_wide, value_counts
 
-#: fallback limits: pair ratios over the first six numeric columns
-PAIR_COLUMNS = 6
-
-
-def auto_candidates(train: DataFrame, numeric: list[str]) -> list[FE.Fitted]:
+def auto_candidates(train: DataFrame, numeric: list[str], pair_columns: list[str] | None = None) -> list[FE.Fitted]:
     """log1p (when the train minimum is >= 0) and square of every numeric column,
-    plus median-filled ratios a/b for pairs i < j of the first six."""
+    plus median-filled ratios a/b for pairs i < j of ``pair_columns`` (default: all)."""
     # every median and minimum in two small jobs, not one per feature
     med = {r["column"]: r["m"] for r in quantile_wide(train, numeric, {"m": 0.5}).collect()}
     mins = {r["column"]: r["min"] for r in moments(train, numeric).select("column", "min").collect()}
@@ -22,7 +18,7 @@ def auto_candidates(train: DataFrame, numeric: list[str]) -> list[FE.Fitted]:
         if mins.get(c) is not None and mins[c] >= 0:
             fits.append(FE.log1p(f"fb_log1p_{c}", train, c, median=med.get(c), minimum=mins[c]))
         fits.append(FE.square(f"fb_sq_{c}", train, c, median=med.get(c)))
-    head = numeric[:PAIR_COLUMNS]
+    head = numeric if pair_columns is None else pair_columns
     for i, a in enumerate(head):
         for b in head[i + 1:]:
             fits.append(FE.median_ratio(f"fb_{a}_div_{b}", train, a, b, medians=med))
@@ -31,13 +27,11 @@ def auto_candidates(train: DataFrame, numeric: list[str]) -> list[FE.Fitted]:
 
 # M09 --------------------------------------------------------------------------------------------
 def _pick_aux_columns(aux: DataFrame, key: str, lo: int, hi: int | None, numeric_only: bool) -> list[str]:
+    """Columns of the right type with lo..hi distinct values, in file order (all of them)."""
     from pyspark.sql import functions as F
-    from ..functions.cols import numeric_columns
-    cols = [c for c in aux.columns if c != key]
-    if numeric_only:
-        nums = set(numeric_columns(aux))
-        cols = [c for c in cols if c in nums]
-    cols = cols[:5]  # T04: the first five candidate columns in file order
+    from ..functions.cols import categorical_columns, numeric_columns
+    kind = set(numeric_columns(aux) if numeric_only else categorical_columns(aux))
+    cols = [c for c in aux.columns if c != key and c in kind]
     if not cols:
         return []
     vc = value_counts(aux, cols).where(F.col("value").isNotNull())
@@ -56,15 +50,23 @@ def fallback_ladder(train: DataFrame, test: DataFrame, aux: dict, keys: dict, id
     from pyspark.sql import functions as F
 
     def attempt(level):
-        fits = []
+        fits, names = [], set()
+
+        def named(stem):
+            name, k = stem[:50], 1
+            while name in names:  # two long names may share their first 50 characters
+                k += 1
+                name = f"{stem[:46]}_{k}"
+            names.add(name)
+            return name
         for name, df in aux.items():
             lk, ak = keys[name]
             if level == 1:
                 for c in _pick_aux_columns(df, ak, 2, 50, False):
-                    fits.append(FE.freq_encoding(f"fb_freq_{c}"[:50], df, c, key=lk, aux_key=ak))
+                    fits.append(FE.freq_encoding(named(f"fb_freq_{c}"), df, c, key=lk, aux_key=ak))
             elif level == 2:
                 for c in _pick_aux_columns(df, ak, 2, None, True):
-                    fits.append(FE.numeric_map(f"fb_map_{c}"[:50], df, ak, c, left_key=lk))
+                    fits.append(FE.numeric_map(named(f"fb_map_{c}"), df, ak, c, left_key=lk))
         fits = fits[:max_features]
         if not fits:
             return None
@@ -75,44 +77,51 @@ def fallback_ladder(train: DataFrame, test: DataFrame, aux: dict, keys: dict, id
         if got is None:
             continue
         tr, te, feats = got
+        # every check decides (the null report is information, not a check)
         checks = validate_outputs(train, test, tr, te, feats)
-        if checks.where(F.col("check").isin("feature_count_1_to_5", "no_all_null_feature") & ~F.col("ok")).count() == 0:
+        if checks.where((F.col("check") != "feature_null_cells") & ~F.col("ok")).count() == 0:
             return level, tr, te, feats
     feats = [f"fb_rand_{i}" for i in range(1, 6)]
     return 3, random_baseline(train, id_col), random_baseline(test, id_col), feats
 
 
 # M12 --------------------------------------------------------------------------------------------
+#: a first round whose set score (A28) reaches this needs no second one
+ROUND_GATE = 0.75
+
+
 def two_round(train: DataFrame, target: str, fold: str, holdout: int, round1: list, round2_pool: list,
-              k: int = 5):
-    """Propose -> hold-out leak filter (A26) -> stats (A20) -> rubric (A28) -> second set without
-    the weak names (P24) -> deterministic comparison (A27) -> the best ``k`` of the winning set.
+              k: int = 5, gate: float = ROUND_GATE):
+    """Propose -> hold-out leak filter (A26) -> stats (A20) -> rubric (A28) -> the best ``k`` of the round.
+
+    A second round runs only when the first set's overall score stays below ``gate``.  It has candidates of
+    its own (``round2_pool`` without the names the first round judged weak or leaky) and a set of at most
+    ``k`` of them; the two sets are compared (A27) and the winner is returned.
 
     round1 / round2_pool are lists of fitted features (``FE.Fitted``).  Returns
-    (winner set id, report DataFrame of the winning set's top ``k``).
+    (winner set id, report DataFrame of the winning set).
     """
     from pyspark.sql import functions as F
     from ..operators import quality as Q
+    from ..session import materialize
 
     def evaluate(fits):
-        m = FE.apply_all(train, fits).persist()
-        names = [f.name for f in fits]
-        hf = Q.holdout_filter(m, names, target, fold, holdout)
+        m = materialize(FE.apply_all(train, fits), "round")
+        hf = Q.holdout_filter(m, [f.name for f in fits], target, fold, holdout)
         kept = [r["feature"] for r in hf.where("keep").select("feature").collect()]  # one row per feature
-        st = Q.feature_stats(m, kept, target)
-        return kept, Q.verdicts(st)
-
-    kept1, v1 = evaluate(round1)
-    weak = {r["feature"] for r in v1.where(F.col("verdict").isin("weak", "suspicious_leakage")).collect()}
-    round2 = [f for f in round2_pool if f.name not in weak] + [f for f in round1 if f.name not in weak]
-    seen, uniq = set(), []
-    for f in round2:
-        if f.name not in seen:
-            seen.add(f.name)
-            uniq.append(f)
-    kept2, v2 = evaluate(uniq)
-    both = v1.unionByName(v2).dropDuplicates(["feature"])
-    cmp = Q.compare_sets(both, {1: kept1, 2: kept2})
-    winner = cmp.where(F.col("rank") == 1).first()["set_id"]
-    chosen = v1 if winner == 1 else v2
-    return winner, Q.ranked(chosen, k)
+        v = Q.verdicts(Q.feature_stats(m, kept, target))
+        best = materialize(Q.ranked(v, k), "round-set")  # at most k rows
+        return v, best, [r["feature"] for r in best.select("feature").collect()]
+
+    judged, best1, set1 = evaluate(round1)
+    score = Q.overall_score(best1).first()["overall_score"]
+    if score >= gate:
+        return 1, best1
+    weak = {r["feature"] for r in judged.where(F.col("verdict").isin("weak", "suspicious_leakage")).collect()}
+    pool = {f.name: f for f in round2_pool if f.name not in weak and f.name not in set1}
+    if not pool:
+        return 1, best1
+    _, best2, set2 = evaluate(list(pool.values()))
+    both = best1.unionByName(best2).dropDuplicates(["feature"])
+    winner = Q.compare_sets(both, {1: set1, 2: set2}).where(F.col("rank") == 1).first()["set_id"]
+    return winner, best1 if winner == 1 else best2

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.cols import numeric_columns
+from ..functions.cols import datetime_columns, numeric_columns
 from ..operators import clean as CL
+from ..operators import distribution as DI
+from ..operators import profile as PR
 from ..operators import quality as Q
 from ..session import materialize
 
 
 def prepare_data(df: DataFrame, key: str | None = None, order_by=None, target: str | None = None,
                  const_threshold: float = 0.995, card_threshold: float = 0.95) -> tuple[DataFrame, dict]:
-    """Type repair -> normalise -> dedup -> drop near-constant -> drop high-cardinality strings."""
+    """Type repair -> normalise -> dedup -> drop near-constant -> drop high-cardinality strings.
+
+    The report holds the type plan, the number of duplicates, the dropped columns with their reason, and
+    the profile bundle of the result: column profile, class balance (with a target), modality and
+    normality of the numeric columns, trends of the datetime columns.  Its tables are not computed until
+    they are read (``datetimes`` is a function to call)."""
     plan = CL.type_repair_plan(df)
     out = CL.normalize_categories(CL.apply_type_repair(df, plan))
     out, dropped = CL.drop_duplicates(out, key, order_by)
@@ -23,7 +31,25 @@ def prepare_data(df: DataFrame, key: str | None = None, order_by=None, target: s
     out = CL.drop_flagged(out, const)
     card = CL.high_cardinality_columns(out, card_threshold, exclude=excl)
     out = CL.drop_flagged(out, card)
-    return out, {"type_plan": plan, "duplicates": dropped}
+    reasons = (const.where("drop").select("column", F.lit("constant").alias("reason"), F.col("top_share").alias("share"))
+               .unionByName(card.where("drop").select("column", F.lit("high_cardinality").alias("reason"),
+                                                      F.col("unique_ratio").alias("share"))))
+    report = {"type_plan": plan, "duplicates": dropped, "dropped": reasons}
+    return out, report | profile_bundle(out, target)
+
+
+def profile_bundle(df: DataFrame, target: str | None = None) -> dict:
+    """Tables that describe a prepared frame, by name."""
+    nums = [c for c in numeric_columns(df) if c != target]
+    bundle = {"profile": PR.column_profile(df)}
+    if target:
+        bundle["class_balance"] = PR.class_balance(df, target)
+    if nums:
+        bundle["modality"] = DI.modality(df, nums)
+        bundle["normality"] = DI.normality(df, nums)
+    dates = datetime_columns(df)
+    bundle["datetimes"] = lambda: PR.datetime_report(df, dates)  # a job per column: run when called
+    return bundle
 
 
 def process_pair(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:

@@ -55,21 +55,10 @@ def stratified_folds(df: DataFrame, id_col: str, target: str, k: int = N_FOLDS,
     return ranked.withColumn(out, (F.col("_rn") - 1) % k).drop("_h", "_hs", "_rn")
 
 
-_WRITTEN: dict[tuple, str] = {}
-
-
 def _folds_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """The labelled table with folds, written once per session and data folder, then re-read."""
-    key = (id(spark), spark.conf.get("spark.checkpoint.dir", ""), sf_dir, name)
-    path = _WRITTEN.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  (folder cleaned up: rebuild)
-            _WRITTEN.pop(key, None)
-    df = materialize(build(), f"problem-{name}")
-    _WRITTEN[key] = df.inputFiles()[0].rsplit("/", 1)[0]
-    return df
+    """The labelled table with folds, written and re-read; built anew for every query, so a changed
+    source is seen and every timing holds the whole work."""
+    return materialize(build(), f"problem-{name}")
 
 
 def _split(name, folds: DataFrame, roles: Roles, aux) -> Problem:

@@ -202,29 +202,47 @@ def p15(spark, sf):
     return named.toDF(*[m[x] for x in named.columns])
 
 
-@query("p16_rename_pair")
+def both_sides(train, test):
+    """Train and test rows in one frame; a column of one side only is NULL on the other."""
+    return (train.withColumn("side", F.lit("train"))
+            .unionByName(test.withColumn("side", F.lit("test")), allowMissingColumns=True))
+
+
+@query("p16_rename_pair", problems.with_sql("orders") + """
+SELECT 'train' AS side, o_orderkey, o_custkey, o_orderstatus, o_totalprice AS total_price, o_orderdate, target FROM orders_train
+UNION ALL SELECT 'test', o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, NULL FROM orders_test""")
 def p16(spark, sf):
     p = problems.orders(spark, sf)
     tr = p.train.withColumnRenamed("o_totalprice", "total price €")
     te = p.test.withColumnRenamed("o_totalprice", "total price €")
     a, b, _ = CL.rename_pair(tr, te)
-    return b
+    return both_sides(a, b)
 
 
 @query("p17_align_train_test", problems.with_sql("orders") + """
-SELECT o_orderkey, o_totalprice, 0.0 AS fe_train_only, o_custkey FROM orders_test""")
+SELECT 'train' AS side, o_orderkey, o_totalprice, 1.0 AS fe_train_only, o_custkey FROM orders_train
+UNION ALL SELECT 'test', o_orderkey, o_totalprice, 0.0, o_custkey FROM orders_test""")
 def p17(spark, sf):
     p = problems.orders(spark, sf)
     tr = p.train.withColumn("fe_train_only", F.lit(1.0))
-    _, te = CL.align(tr, p.test, ["o_totalprice", "fe_train_only", "o_custkey"], keep=["o_orderkey"])
-    return te
+    return both_sides(*CL.align(tr, p.test, ["o_totalprice", "fe_train_only", "o_custkey"], keep=["o_orderkey"]))
 
 
-@query("p18_json_safe_records")
+@query("p18_json_safe_records", """
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS ratio, c_custkey % 4 <> 3 AS ratio_is_null,
+       CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS nested
+FROM customer""")
 def p18(spark, sf):
+    """NaN and both infinities, also inside arrays, read back from the JSON text."""
     c = load(spark, sf, "customer")
-    noisy = c.withColumn("ratio", F.try_divide(F.col("c_acctbal"), F.lit(0.0)))
-    return CL.to_json_safe(noisy)
+    k = F.col("c_custkey") % 4
+    bad = (F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).otherwise(F.col("c_acctbal")))
+    noisy = c.withColumn("ratio", bad).withColumn("list", F.array(F.lit(1.0), bad))
+    at = lambda path: F.get_json_object("json", path)
+    return CL.to_json_safe(noisy).select(
+        at("$.c_custkey").cast("long").alias("c_custkey"), at("$.c_name").alias("c_name"),
+        at("$.ratio").cast("double").alias("ratio"), F.col("json").contains('"ratio":null').alias("ratio_is_null"),
+        F.nullif(at("$.list[1]"), F.lit("null")).cast("double").alias("nested"))
 
 
 # P21 / P23 ------------------------------------------------------------------------------------

@@ -333,10 +333,13 @@ SELECT user_id, count(*) AS n, round(sum(value), 6) + 0.0 AS sum_value, round(CA
 FROM events GROUP BY user_id""")
 def a29(spark, sf):
     ev = load(spark, sf, "events")
-    return ev.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("sum_value"), r6(exact_mean(F.col("value"))).alias("mean_value"),
-        r6(F.stddev_samp("value")).alias("std_value"), F.max("value").alias("max_value"),
-        F.min("value").alias("min_value"), F.count_distinct("event_type").alias("nunique_type"))
+    g = lambda name, column, how: FE.group_aggregate(name, ev, "user_id", column, how)
+    fits = [g("n", None, "count"), *[g(f"{h}_value", "value", h) for h in ("sum", "mean", "std", "max", "min")],
+            g("nunique_type", "event_type", "nunique")]
+    out = FE.apply_all(ev.select("user_id").distinct(), fits)
+    return out.select("user_id", F.col("n").cast("long").alias("n"),
+                      *[r6(F.col(f"{h}_value")).alias(f"{h}_value") for h in ("sum", "mean", "std")], "max_value", "min_value",
+                      F.col("nunique_type").cast("long").alias("nunique_type"))
 
 
 @query("a30_value_share", """
@@ -344,15 +347,17 @@ SELECT user_id, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 EN
 FROM events GROUP BY user_id""")
 def a30(spark, sf):
     ev = load(spark, sf, "events")
-    return ev.groupBy("user_id").agg(r6(F.avg((F.col("event_type") == "purchase").cast("double"))).alias("purchase_share"))
+    f = FE.group_aggregate("purchase_share", ev, "user_id", "event_type", "share", value="purchase")
+    return FE.apply_all(ev.select("user_id").distinct(), [f]).select("user_id", r6(F.col("purchase_share")).alias("purchase_share"))
 
 
 @query("a31_recency", """
 SELECT user_id, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') AS recency_days FROM events GROUP BY user_id""")
 def a31(spark, sf):
     ev = load(spark, sf, "events")
-    return ev.groupBy("user_id").agg(F.datediff(F.lit("2024-02-01").cast("date"), F.max("ts")).cast("long")
-                                     .alias("recency_days"))
+    f = FE.group_aggregate("recency_days", ev, "user_id", "ts", "recency", ref="2024-02-01 00:00:00")
+    return FE.apply_all(ev.select("user_id").distinct(), [f]).select(
+        "user_id", F.col("recency_days").cast("long").alias("recency_days"))
 
 
 @query("a32_time_window", """
@@ -362,10 +367,10 @@ SELECT user_id,
 FROM events GROUP BY user_id""")
 def a32(spark, sf):
     ev = load(spark, sf, "events")
-    return ev.groupBy("user_id").agg(
-        r6(F.sum(F.when(F.col("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp"), F.col("value"))
-                 .otherwise(F.lit(0.0)))).alias("value_last7"),
-        r6(F.sum("value") / F.count_distinct(F.to_date("ts"))).alias("value_per_active_day"))
+    fits = [FE.group_aggregate("value_last7", ev, "user_id", "value", "window_sum", ref="2024-01-31 00:00:00", days=7, ts="ts"),
+            FE.group_aggregate("value_per_active_day", ev, "user_id", "value", "per_day", ts="ts")]
+    return FE.apply_all(ev.select("user_id").distinct(), fits).select(
+        "user_id", *[r6(F.col(f.name)).alias(f.name) for f in fits])
 
 
 # F20 ------------------------------------------------------------------------------------------

@@ -11,13 +11,11 @@ from ..operators import validate as V
 from ..sources.tables import load
 from . import problems
 from .controller import fallback_ladder, two_round
+from .q_clean import both_sides
 from .q_features import OC_SQL, orders_with_customer
 from .q_quality import FEATURES, orders_matrix
 from .registry import query
 
-#: boosting rounds for the registered queries (the library default is the reference's 300)
-QUERY_ITERATIONS = 10
-
 
 def _cv_matrix(spark, sf):
     m = orders_matrix(spark, sf)
@@ -27,25 +25,25 @@ def _cv_matrix(spark, sf):
 @query("m01_set_scoring")
 def m01(spark, sf):
     feats = ["o_totalprice", "c_acctbal", "fe_te_status", "fe_freq_segment", "fe_price_z"]
-    summary, _ = MD.score_set(_cv_matrix(spark, sf), feats, "target", "cv_fold", max_iter=QUERY_ITERATIONS)
+    summary, _ = MD.score_set(_cv_matrix(spark, sf), feats, "target", "cv_fold")
     return summary
 
 
 @query("t03_top20_importances")
 def t03(spark, sf):
     feats = ["o_totalprice", "c_acctbal", "fe_te_status", "fe_freq_segment", "fe_price_z"]
-    _, imp = MD.score_set(_cv_matrix(spark, sf), feats, "target", "cv_fold", max_iter=QUERY_ITERATIONS, n_folds=0)
+    _, imp = MD.score_set(_cv_matrix(spark, sf), feats, "target", "cv_fold", n_folds=0)
     return imp.orderBy(F.desc("importance"), "feature").limit(20)
 
 
 @query("m05_importance_ranking")
 def m05(spark, sf):
-    return MD.importance_ranking(orders_matrix(spark, sf), FEATURES, "target", max_iter=QUERY_ITERATIONS)
+    return MD.importance_ranking(orders_matrix(spark, sf), FEATURES, "target")
 
 
 @query("m06_recursive_elimination")
 def m06(spark, sf):
-    return MD.recursive_elimination(orders_matrix(spark, sf), FEATURES, "target", keep=5, num_trees=30)
+    return MD.recursive_elimination(orders_matrix(spark, sf), FEATURES, "target", keep=5)
 
 
 # M08 / M09 ------------------------------------------------------------------------------------
@@ -58,19 +56,27 @@ def _docs_outputs(spark, sf):
 
 
 @query("m08_output_validation", problems.with_sql("docs") + """,
-n AS (SELECT (SELECT count(*) FROM docs_train) AS tr, (SELECT count(*) FROM docs_test) AS te)
-SELECT * FROM (VALUES ('train_rows_kept', true), ('test_rows_kept', true), ('feature_count_1_to_5', true),
-                      ('train_originals_kept', true), ('test_originals_kept', true), ('same_features_same_order', true),
-                      ('no_all_null_feature', true), ('unique_names', true), ('feature_null_cells', true)) v("check", ok)
-JOIN (SELECT 'train_rows_kept' AS "check", tr || '/' || tr AS detail FROM n
-      UNION ALL SELECT 'test_rows_kept', te || '/' || te FROM n
-      UNION ALL SELECT 'feature_count_1_to_5', '2' UNION ALL SELECT 'train_originals_kept', ''
-      UNION ALL SELECT 'test_originals_kept', '' UNION ALL SELECT 'same_features_same_order', ''
-      UNION ALL SELECT 'no_all_null_feature', '' UNION ALL SELECT 'unique_names', ''
-      UNION ALL SELECT 'feature_null_cells', '0/0') d USING ("check")""")
+n AS (SELECT (SELECT count(*) FROM docs_train) AS tr, (SELECT count(*) FROM docs_test) AS te,
+             (SELECT count(*) FROM docs_train WHERE doc_id % 2 = 0) AS half)
+SELECT v.outputs, v."check", v.ok, v.detail FROM n, LATERAL (VALUES
+  ('good', 'train_rows_kept', true, tr || '/' || tr), ('bad', 'train_rows_kept', half = tr, half || '/' || tr),
+  ('good', 'test_rows_kept', true, te || '/' || te), ('bad', 'test_rows_kept', true, te || '/' || te),
+  ('good', 'feature_count_1_to_5', true, '2'), ('bad', 'feature_count_1_to_5', true, '3'),
+  ('good', 'train_originals_kept', true, ''), ('bad', 'train_originals_kept', true, ''),
+  ('good', 'test_originals_kept', true, ''), ('bad', 'test_originals_kept', false, ''),
+  ('good', 'same_features_same_order', true, ''), ('bad', 'same_features_same_order', false, ''),
+  ('good', 'no_all_null_feature', true, ''), ('bad', 'no_all_null_feature', false, 'fe_null,fe_null'),
+  ('good', 'unique_names', true, ''), ('bad', 'unique_names', true, ''),
+  ('good', 'feature_null_cells', true, '0/0'), ('bad', 'feature_null_cells', false, half || '/' || te)) v(outputs, "check", ok, detail)""")
 def m08(spark, sf):
+    """Outputs as they should be, and ones with lost rows, a lost column, another order and an empty feature."""
     p, tr, te, feats = _docs_outputs(spark, sf)
-    return V.validate_outputs(p.train, p.test, tr, te, feats)
+    good = V.validate_outputs(p.train, p.test, tr, te, feats)
+    empty = F.lit(None).cast("double")
+    bad_tr = tr.where(F.col("doc_id") % 2 == 0).withColumn("fe_null", empty)
+    bad_te = te.withColumn("fe_null", empty).select("doc_id", "fe_null", *reversed(feats))
+    bad = V.validate_outputs(p.train, p.test, bad_tr, bad_te, [*feats, "fe_null"])
+    return good.withColumn("outputs", F.lit("good")).unionByName(bad.withColumn("outputs", F.lit("bad")))
 
 
 @query("m09_fallback_ladder", problems.with_sql("docs") + """,
@@ -79,16 +85,17 @@ fl AS (SELECT lang AS c, count(*) / (SELECT count(lang) FROM documents) AS f FRO
        WHERE lang IS NOT NULL GROUP BY lang),
 fs AS (SELECT source AS c, count(*) / (SELECT count(source) FROM documents) AS f FROM documents
        WHERE source IS NOT NULL GROUP BY source)
-SELECT 1 AS level, t.doc_id, t.quality, t.toxic, round(coalesce(fl.f, 0.0), 6) + 0.0 AS fb_freq_lang,
+SELECT 1 AS level, t.side, t.doc_id, t.quality, t.toxic, round(coalesce(fl.f, 0.0), 6) + 0.0 AS fb_freq_lang,
        round(coalesce(fs.f, 0.0), 6) + 0.0 AS fb_freq_source
-FROM docs_train t LEFT JOIN d USING (doc_id) LEFT JOIN fl ON d.lang = fl.c LEFT JOIN fs ON d.source = fs.c""")
+FROM (SELECT 'train' AS side, doc_id, quality, toxic FROM docs_train
+      UNION ALL SELECT 'test', doc_id, NULL, toxic FROM docs_test) t LEFT JOIN d USING (doc_id) LEFT JOIN fl ON d.lang = fl.c LEFT JOIN fs ON d.source = fs.c""")
 def m09(spark, sf):
     p = problems.docs(spark, sf)
     docs = load(spark, sf, "documents")
     level, tr, te, feats = fallback_ladder(p.train, p.test, {"documents": docs}, {"documents": ("doc_id", "doc_id")},
                                            "doc_id")
-    return tr.select(F.lit(level).alias("level"), "doc_id", "quality", "toxic",
-                     *[r6(F.col(f)).alias(f) for f in feats])
+    return both_sides(tr, te).select(F.lit(level).alias("level"), "side", "doc_id", "quality", "toxic",
+                                     *[r6(F.col(f)).alias(f) for f in feats])
 
 
 # M10 / M11 / M13 ------------------------------------------------------------------------------

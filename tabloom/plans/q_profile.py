@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.cols import rnd, r6
+from ..functions.cols import datetime_columns, rnd, r6
 from ..operators import profile as PR
 from ..operators.kernels import moments, quantile_wide, numeric_value_counts, top_values, value_counts
+from ..session import materialize
 from ..sources.tables import load
 from . import problems
 from .fixtures import LINE_NUMERIC, LINE_STRINGS, line_fx, line_fx_sql, unpivot_sql
@@ -177,7 +178,7 @@ def a05(spark, sf):
 
 @query("a06_iqr_outliers", A06_SQL)
 def a06(spark, sf):
-    nvc = numeric_value_counts(line_fx(spark, sf), LINE_NUMERIC).persist()
+    nvc = materialize(numeric_value_counts(line_fx(spark, sf), LINE_NUMERIC), "value-counts")
     q = quantile_wide(None, None, {"q25": 0.25, "q75": 0.75}, vc=nvc)
     oc = PR.outlier_counts(nvc, q)
     return q.join(oc, "column").select("column", r6(F.col("q25")).alias("q25"), r6(F.col("q75")).alias("q75"),
@@ -276,6 +277,17 @@ def a14(spark, sf):
     return t.select("n", r6(F.col("slope")).alias("slope"), r6(F.col("r2")).alias("r2"))
 
 
+@query("a14_datetime_report")
+def a14_report(spark, sf):
+    """Slope, r2, p and trend flag of every datetime column of orders and lineitem."""
+    out = None
+    for t in ("orders", "lineitem"):
+        df = load(spark, sf, t)
+        part = PR.datetime_report(df, datetime_columns(df)).withColumn("table", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return out.select("table", "column", "n", *[r6(F.col(c)).alias(c) for c in ("slope", "r2", "p")], "has_trend")
+
+
 # A16 / A17 / A18 ------------------------------------------------------------------------------
 A16_SQL = line_fx_sql() + f""",
 {unpivot_sql("strt", "SELECT target, l_linestatus, flag_padded FROM line_fx", ["l_linestatus", "flag_padded"])},
@@ -315,7 +327,12 @@ crep AS (SELECT s."column", 'other' AS kind, (count(*) - count(s.value)) / count
 rep AS (SELECT * FROM nrep UNION ALL SELECT * FROM crep)
 SELECT "column", kind, round(null_ratio, 6) + 0.0 AS null_ratio, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std,
        round(min, 6) + 0.0 AS min, round(max, 6) + 0.0 AS max, round(skew, 6) + 0.0 AS skew,
-       round(corr, 6) + 0.0 AS corr, unique_count, round(spread, 6) + 0.0 AS spread FROM rep"""
+       round(corr, 6) + 0.0 AS corr, unique_count, round(spread, 6) + 0.0 AS spread,
+       CASE WHEN kind = 'other' THEN (
+         SELECT string_agg(value || '=' || CAST(CAST(round(n * 100.0 / t) AS INTEGER) AS VARCHAR), ',' ORDER BY n DESC, value)
+         FROM (SELECT value, n, sum(n) OVER () AS t, row_number() OVER (ORDER BY n DESC, value) AS k
+               FROM (SELECT value, count(*) AS n FROM strt WHERE strt."column" = rep."column" AND value IS NOT NULL GROUP BY value))
+         WHERE k <= 5) END AS top5 FROM rep"""
 
 
 def eda_report(df, nums, strs, target):
@@ -328,10 +345,17 @@ def eda_report(df, nums, strs, target):
     m = moments(df, nums).select("column", "mean", "std", "min", "max", "skew")
     p = pearson_table(df, nums, target).withColumnRenamed("feature", "column").withColumnRenamed("pearson", "corr")
     sp = PR.target_rate_spread(df, strs, target).select("column", "spread")
-    out = base.join(m, "column", "left").join(p, "column", "left").join(sp, "column", "left")
+    # the five most frequent values of a categorical column with their whole-percent shares
+    svc = vc.where(F.col("column").isin(strs) & F.col("value").isNotNull())
+    total = svc.groupBy("column").agg(F.sum("n").alias("t"))
+    top = top_values(svc, 5).join(total, "column").groupBy("column").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rnk", "value", F.round(F.col("n") * 100.0 / F.col("t")).cast("int").alias("pct")))),
+        lambda s: F.concat(s["value"], F.lit("="), s["pct"].cast("string"))), ",").alias("top5"))
+    out = (base.join(m, "column", "left").join(p, "column", "left").join(sp, "column", "left")
+           .join(top, "column", "left"))
     return out.select("column", F.when(F.col("column").isin(nums), "numeric").otherwise("other").alias("kind"),
                       *[r6(F.col(c)).alias(c) for c in ("null_ratio", "mean", "std", "min", "max", "skew", "corr")],
-                      F.col("unique_count").cast("long").alias("unique_count"), r6(F.col("spread")).alias("spread"))
+                      F.col("unique_count").cast("long").alias("unique_count"), r6(F.col("spread")).alias("spread"), "top5")
 
 
 @query("a17_eda_report", A17_SQL)

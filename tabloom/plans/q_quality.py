@@ -9,6 +9,7 @@ from ..functions.cols import r6
 from ..operators import features as FE
 from ..operators import quality as Q
 from ..operators.kernels import value_counts
+from ..session import materialize
 from ..sources.tables import load
 from . import problems
 from .flagship import report
@@ -167,7 +168,7 @@ SELECT feature, round(mi_full, 6) + 0.0 AS mi_full, round(mi_holdout, 6) + 0.0 A
 
 @query("a26_holdout_leakage_filter", A26_SQL)
 def a26(spark, sf):
-    m = orders_matrix(spark, sf).persist()
+    m = materialize(orders_matrix(spark, sf), "matrix")
     return Q.holdout_filter(m, FEATURES, "target", "fold", 1).select(
         "feature", r6(F.col("mi_full")).alias("mi_full"), r6(F.col("mi_holdout")).alias("mi_holdout"), "keep")
 

@@ -13,6 +13,7 @@ from ..sources.tables import load
 from . import problems
 from .fixtures import line_fx, line_fx_sql, unpivot_sql
 from .flagship import report
+from .q_clean import both_sides
 from .prepare import assemble_candidates, prepare_data, process_pair
 from .q_features import orders_with_customer
 from .q_model import _docs_outputs
@@ -25,18 +26,10 @@ A11_SQL = line_fx_sql() + ", " + unpivot_sql(
 vc AS (SELECT "column", value, count(*) AS n FROM num WHERE value IS NOT NULL GROUP BY "column", value),
 st AS (SELECT "column", count(value) AS nn, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx
        FROM num GROUP BY "column"),
-nd AS (SELECT "column", count(*) AS d FROM vc GROUP BY "column"),
-b AS (SELECT v."column",
-             CASE WHEN nd.d > 2000
-                  THEN st.mn + (least(floor((v.value - st.mn) / ((st.mx - st.mn) / 2000)), 1999) + 0.5)
-                       * ((st.mx - st.mn) / 2000)
-                  ELSE v.value END AS value, v.n
-      FROM vc v JOIN st USING ("column") JOIN nd USING ("column")),
-bb AS (SELECT "column", value, sum(n) AS n FROM b GROUP BY "column", value),
 pts AS (SELECT st."column", r.i, st.mn + r.i * (st.mx - st.mn) / 199 AS g, st.sd * pow(st.nn, -0.2) AS h
         FROM st CROSS JOIN range(0, 200) r(i) WHERE st.nn >= 2 AND st.sd > 0),
 dens AS (SELECT p."column", p.i, sum(bb.n * exp(-0.5 * ((p.g - bb.value) / p.h) * ((p.g - bb.value) / p.h))) AS d
-         FROM pts p JOIN bb USING ("column") GROUP BY p."column", p.i),
+         FROM pts p JOIN vc AS bb USING ("column") GROUP BY p."column", p.i),
 pk AS (SELECT "column", sum(CASE WHEN d > lg AND d > ld THEN 1 ELSE 0 END) AS peaks FROM (
          SELECT *, lag(d) OVER (PARTITION BY "column" ORDER BY i) AS lg,
                 lead(d) OVER (PARTITION BY "column" ORDER BY i) AS ld FROM dens) GROUP BY "column")
@@ -53,16 +46,20 @@ def a11(spark, sf):
 
 @query("a10_shapiro_wilk")
 def a10(spark, sf):
+    """Normality of columns of every size: the test follows the number of values."""
     c = load(spark, sf, "customer")
     p = load(spark, sf, "part").select(F.col("p_retailprice").alias("c_acctbal_part"))
-    out = D.shapiro_table(c, ["c_acctbal", "c_nationkey", "c_custkey"])
-    return out.unionByName(D.shapiro_table(p, ["c_acctbal_part"]))
+    s = load(spark, sf, "supplier").select("s_acctbal")
+    n = load(spark, sf, "nation").select("n_regionkey")
+    out = D.normality(c, ["c_acctbal", "c_nationkey", "c_custkey"])
+    for df in (p, s, n):
+        out = out.unionByName(D.normality(df, df.columns))
+    return out.withColumn("normal_p", F.round("normal_p", 4))
 
 
 @query("a25_vif")
 def a25(spark, sf):
-    feats = [f for f in FEATURES if f != "fe_constant"]
-    return D.vif(orders_matrix(spark, sf), feats).select("feature", r6(F.col("vif")).alias("vif"))
+    return D.vif(orders_matrix(spark, sf), FEATURES).select("feature", r6(F.col("vif")).alias("vif"))
 
 
 # P19 ------------------------------------------------------------------------------------------
@@ -94,13 +91,28 @@ def p19(spark, sf):
                                     .cast("long").alias("non_null"), F.count("value").alias("unique_count"))
 
 
+@query("p19_dropped_columns", line_fx_sql() + """,
+d AS (SELECT DISTINCT l_orderkey, l_linenumber, const_col, near_const, lower(trim(row_code)) AS row_code, l_returnflag, l_quantity
+      FROM line_fx),
+c AS (SELECT const_col, near_const, count(*) AS n FROM d GROUP BY ALL)
+SELECT 'const_col' AS "column", 'constant' AS reason, 1.0 AS share
+UNION ALL SELECT 'near_const', 'constant', round(max(n) / sum(n), 6) FROM (SELECT near_const, sum(n) AS n FROM c GROUP BY 1)
+          HAVING max(n) / sum(n) >= 0.995
+UNION ALL SELECT 'row_code', 'high_cardinality', round(count(DISTINCT row_code) / count(*), 6) FROM d
+          HAVING count(DISTINCT row_code) / count(*) >= 0.95""")
+def p19_dropped(spark, sf):
+    """The part of the prepare report that says which columns went, and why."""
+    cols = ["l_orderkey", "l_linenumber", "const_col", "near_const", "row_code", "l_returnflag", "l_quantity"]
+    _, rep = prepare_data(line_fx(spark, sf).select(*cols))
+    return rep["dropped"].select("column", "reason", r6(F.col("share")).alias("share"))
+
+
 @query("p20_train_test_processing")
 def p20(spark, sf):
     p = problems.orders(spark, sf)
     tr = p.train.withColumn("price_text", F.col("o_totalprice").cast("string"))
     te = p.test.withColumn("price_text", F.col("o_totalprice").cast("string"))
-    a, b = process_pair(tr, te, "target")
-    return b
+    return both_sides(*process_pair(tr, te, "target"))
 
 
 @query("p21_output_projection", problems.with_sql("docs") + """,
@@ -108,12 +120,14 @@ d AS (SELECT doc_id, min(source) AS source, min(n_chars) AS n_chars FROM documen
 fs AS (SELECT source AS c, count(*) / (SELECT count(source) FROM documents) AS f FROM documents
        WHERE source IS NOT NULL GROUP BY source),
 med AS (SELECT quantile_cont(CAST(n_chars AS DOUBLE), 0.5) AS m FROM d)
-SELECT t.doc_id, t.quality, t.toxic, round(coalesce(fs.f, 0.0), 6) + 0.0 AS fe_freq_source,
+SELECT t.side, t.doc_id, t.quality, t.toxic, round(coalesce(fs.f, 0.0), 6) + 0.0 AS fe_freq_source,
        round(coalesce(CAST(d.n_chars AS DOUBLE), med.m), 6) + 0.0 AS fe_n_chars
-FROM docs_train t LEFT JOIN d USING (doc_id) LEFT JOIN fs ON d.source = fs.c CROSS JOIN med""")
+FROM (SELECT 'train' AS side, doc_id, quality, toxic FROM docs_train
+      UNION ALL SELECT 'test', doc_id, NULL, toxic FROM docs_test) t LEFT JOIN d USING (doc_id) LEFT JOIN fs ON d.source = fs.c CROSS JOIN med""")
 def p21(spark, sf):
     p, tr, te, feats = _docs_outputs(spark, sf)
-    return tr.select(*p.train.columns, *[r6(F.col(f)).alias(f) for f in feats])
+    names = [r6(F.col(f)).alias(f) for f in feats]
+    return both_sides(tr.select(*p.train.columns, *names), te.select(*p.test.columns, *names))
 
 
 @query("p22_candidate_matrix")
@@ -124,7 +138,7 @@ def p22(spark, sf):
     te = te.withColumn("fe_ratio €", F.try_divide(F.col("o_totalprice"), F.col("c_acctbal")))
     a, b, names = assemble_candidates(tr, te, "o_orderkey", "target", ["o_totalprice", "c_acctbal"],
                                       ["o_orderstatus", "c_mktsegment"], ["fe_ratio €"])
-    return a
+    return both_sides(a, b)
 
 
 @query("t04_first_candidate_columns")
@@ -146,18 +160,16 @@ def t05(spark, sf):
 def a22(spark, sf):
     from ..operators.knn_mi import knn_mutual_info
     m = orders_matrix(spark, sf)
-    feats = [f for f in FEATURES if f != "fe_constant"]
-    return knn_mutual_info(m, feats, "target", "o_orderkey").select(
+    return knn_mutual_info(m, FEATURES, "target", "o_orderkey").select(
         "feature", r6(F.col("mutual_info")).alias("mutual_info"), "n")
 
 
 @query("a19_candidate_report_with_importance")
 def a19(spark, sf):
     from ..operators import model as MD
-    from .q_model import QUERY_ITERATIONS
     m = orders_matrix(spark, sf)
     st = Q.feature_stats(m, FEATURES, "target")
-    imp = MD.importance_ranking(m, FEATURES, "target", max_iter=QUERY_ITERATIONS)
+    imp = MD.importance_ranking(m, FEATURES, "target", max_iter=150)
     return (st.join(imp, "feature", "left")
             .select("feature", r6(F.col("pearson")).alias("pearson"), r6(F.col("mutual_info")).alias("mutual_info"),
                     r6(F.col("null_pct")).alias("null_pct"), "nunique", r6(F.col("importance")).alias("importance"))
@@ -201,7 +213,7 @@ def _summary_group(pdf):
 
 @query("x02_per_column_pandas")
 def x02(spark, sf):
-    """The grouped-pandas hook on bounded per-column groups (supplier and part numerics)."""
+    """The grouped-pandas hook: one group per column (supplier and part numerics)."""
     s = load(spark, sf, "supplier")
     p = load(spark, sf, "part")
     schema = "column string, n long, iqr double, mad double"

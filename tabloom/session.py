@@ -43,11 +43,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only pick a scratch folder when
-    the setting is absent, which happens in local tests.
+    A cluster names a shared folder there; without it we refuse to run.  Only a
+    local session (one machine, as in tests) gets a scratch folder of its own.
     """
     current = spark.conf.get(_CKPT_KEY, None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{_CKPT_KEY} is not set: intermediates need a folder that the driver and all "
+                               "executors share")
         current = tempfile.mkdtemp(prefix="tabloom-ckpt-", dir="/tmp")
         spark.conf.set(_CKPT_KEY, current)
     try:  # classic sessions: also register it for RDD checkpoints; Connect sessions have no context

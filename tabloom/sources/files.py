@@ -12,21 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cols import col
+from ..functions.cols import col, normalize_missing
 
 # Separators tried, in order, and the sniff budget in characters.
 SEPARATORS = [",", ";", "\t", "|"]
 SNIFF_CHARS = 4096
+QUOTED = re.compile(r'"(?:[^"]|"")*"')
 INDEX_ARTEFACT = re.compile(r"^(Unnamed:.*|_c\d+)$")
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None,
              infer: bool = True) -> DataFrame:
-    """Header row, comma by default, inferred types unless a schema is given."""
+    """Header row, comma by default, inferred types unless a schema is given; NaN is read as NULL."""
     r = spark.read.option("header", True).option("sep", sep)
     if schema is not None:
-        return r.schema(schema).csv(path)
-    return r.option("inferSchema", infer).csv(path)
+        return normalize_missing(r.schema(schema).csv(path))
+    return normalize_missing(r.option("inferSchema", infer).csv(path))
 
 
 def _head_lines(spark: SparkSession, path: str, max_lines: int = 50) -> list[str]:
@@ -54,8 +55,8 @@ def detect_separator_try(spark: SparkSession, path: str) -> str:
 
 def detect_separator_sniff(spark: SparkSession, path: str) -> str:
     """The separator whose per-line count is constant and > 0 over the sniffed lines
-    (most columns wins); a single-column file -> comma."""
-    lines = [ln for ln in _head_lines(spark, path) if ln.strip()]
+    (most columns wins), quoted fields left out; a single-column file -> comma."""
+    lines = [QUOTED.sub("", ln) for ln in _head_lines(spark, path) if ln.strip()]
     best, best_n = ",", 0
     for s in SEPARATORS:
         counts = {ln.count(s) for ln in lines}
@@ -93,10 +94,37 @@ def table_catalog(tables: dict[str, DataFrame], with_size: bool = False) -> Data
     return out
 
 
+def folder_catalog(spark: SparkSession, folder: str, merged: dict[str, DataFrame] | None = None) -> DataFrame:
+    """S04 of a folder: one row per delimited file with its separator, size, rows and columns; a file that
+    cannot be read has its ``error`` instead.  ``merged`` adds entries of tables joined in memory.
+
+    The listing holds names and sizes only; rows are counted by one Spark job per file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listing = [{"path": f.getPath().toString(), "length": f.getLen()} for f in fs.listStatus(path)
+               if f.getPath().getName().endswith(".csv")]
+    rows = []
+    for f in sorted(listing, key=lambda r: r["path"]):
+        name, size = f["path"].rsplit("/", 1)[-1], round(f["length"] / 1024.0, 1)
+        try:
+            if not f["length"]:
+                raise ValueError("empty file")
+            sep = detect_separator_sniff(spark, f["path"])
+            df = read_csv(spark, f["path"], sep, infer=False)
+            rows.append((name, "file", sep, size, df.count(), len(df.columns), ",".join(df.columns), None))
+        except Exception as e:  # noqa: BLE001 - the entry says what is wrong, the others stay
+            rows.append((name, "file", None, size, None, None, None, str(e).split("\n")[0][:200]))
+    for name, df in (merged or {}).items():
+        rows.append((name, "merged", None, None, df.count(), len(df.columns), ",".join(df.columns), None))
+    return spark.createDataFrame(rows, "table string, kind string, separator string, size_kb double, rows long, "
+                                       "cols int, columns string, error string")
+
+
 def peek(df: DataFrame, order_col: str, n: int = 5, mode: str = "head") -> DataFrame:
     """Head / tail by an explicit order column, or a deterministic sample (bottom-n of md5(id)).
-    n is capped at 50; the limit is the operator."""
-    n = max(0, min(int(n), 50))
+    The limit is the operator: n rows, whatever n is; a negative n is an error."""
+    if n < 0:
+        raise ValueError(f"cannot show {n} rows")
     if mode == "head":
         return df.orderBy(col(order_col).asc()).limit(n)
     if mode == "tail":
