@@ -24,10 +24,10 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def positions(h: np.ndarray, level) -> np.ndarray:
-    """(n, HASHES) bit positions inside the shard."""
+    """(HASHES, n) bit positions inside the shard, all in one 64-byte line of it."""
     g = mix(h + np.asarray(level, np.uint64) * STEP)
-    one, two = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-    return (one[:, None] + np.arange(HASHES, dtype=np.uint64)[None, :] * two[:, None]) & np.uint64(SHARD_BITS - 1)
+    line = (g >> np.uint64(50)) << np.uint64(9)
+    return np.stack([line + ((g >> np.uint64(9 * j)) & np.uint64(511)) for j in range(HASHES)])
 
 
 class LogFrequencyBloom:
@@ -35,16 +35,11 @@ class LogFrequencyBloom:
         self.bits, self.shards = bits, shards
 
     def hit(self, h: np.ndarray, level: int) -> np.ndarray:
-        base = shard_of(h, self.shards) * np.uint64(SHARD_BITS)
-        ok = np.ones(len(h), bool)
-        pos = positions(h, level)
-        for j in range(HASHES):
-            at = np.flatnonzero(ok)
-            if not len(at):
-                break
-            p = base[at] + pos[at, j]
-            ok[at] = (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-        return ok
+        pos = positions(h, level) + shard_of(h, self.shards) * np.uint64(SHARD_BITS)
+        ok = np.ones(len(h), np.uint8)
+        for p in pos:
+            ok &= self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)
+        return (ok & 1).astype(bool)
 
     def count_levels(self, h: np.ndarray, most: int = 1 << 14) -> np.ndarray:
         q = np.zeros(len(h), np.int32)
