@@ -14,6 +14,7 @@ white space, so the ids are those of the whole text.
 
 from __future__ import annotations
 
+import string
 import zlib
 
 import numpy as np
@@ -28,6 +29,7 @@ SHARD_DOCS = 1024
 QUERY_TERMS = 64
 K1, LENGTH_SHARE = 1.2, 0.75
 END_ID = 1
+PUNCTUATION = string.punctuation.replace("'", "")  # an apostrophe may begin a contraction
 
 
 class ChunkIds(dict):
@@ -38,18 +40,55 @@ class ChunkIds(dict):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tok, self.limit = Tokenizer.from_str(definition), limit
+        self.tok, self.limit, self.parts = Tokenizer.from_str(definition), limit, {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]  # found before the splitting
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        for token, i in vocabulary.items():
+            self.last[i] = token.endswith("</w>")
 
     def add(self, chunks) -> None:
+        """Tokenise chunks not seen before.  A chunk of letters between ASCII punctuation is the ids of its
+        three parts (the tokenizer splits there); letter runs are tokenised many at a time, spaces between."""
         new = [c for c in chunks if c not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
+            self.parts.clear()
             new = list(chunks)
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            for c, e in zip(part, self.tok.encode_batch([x.decode("utf-8", "replace") for x in part],
-                                                        add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+        split, whole = [], []
+        for c in new:
+            text = c.decode("utf-8", "replace")
+            core = text.strip(PUNCTUATION)
+            if core.isalpha() and not any(t in text for t in self.special):
+                at = text.index(core)
+                split.append((c, text[:at], core.lower() if core.isascii() else core, text[at + len(core):]))
+            else:
+                whole.append((c, text))
+        parts = self.parts
+        self._letters([w for w in dict.fromkeys(x[2] for x in split) if w not in parts])
+        for p in {y for x in split for y in (x[1], x[3])}:
+            if p not in parts:
+                parts[p] = self._ids(p)
+        for c, lead, core, tail in split:
+            self[c] = parts[lead] + parts[core] + parts[tail]
+        for c, text in whole:
+            self[c] = self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 500):
+            some = words[at: at + 500]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) == len(some):
+                raw, start = ids.tobytes(), 0
+                for w, z in zip(some, (4 * stop).tolist()):
+                    self.parts[w] = raw[start:z]
+                    start = z
+            else:  # some letter run is more than one word to the tokenizer
+                self.parts.update((w, self._ids(w)) for w in some)
 
 
 def tokenised(docs: DataFrame, definition: str, window: int = WINDOW) -> DataFrame:
