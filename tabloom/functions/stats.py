@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -80,22 +80,26 @@ def horner(c: list[float], x: Column) -> Column:
     return out
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution function for 0 < p < 1."""
-    low = F.least(p, 1 - p)
-    q = F.sqrt(-2 * F.log(low))
+def with_normal_quantile(df: DataFrame, p: Column, out: str) -> DataFrame:
+    """Add the inverse of the standard normal distribution function at 0 < p < 1 (steps as columns of their
+    own: each is computed once)."""
+    t = (df.withColumn("_p", p).withColumn("_low", F.least(F.col("_p"), 1 - F.col("_p")))
+         .withColumn("_q", F.sqrt(-2 * F.log("_low"))).withColumn("_d", F.col("_p") - 0.5)
+         .withColumn("_r", F.col("_d") * F.col("_d")))
+    q, r = F.col("_q"), F.col("_r")
     tail = horner(QUANTILE_C, q) / horner(QUANTILE_D, q)
-    r = (p - 0.5) * (p - 0.5)
-    middle = horner(QUANTILE_A, r) * (p - 0.5) / horner(QUANTILE_B, r)
-    return F.when(low < 0.02425, F.when(p < 0.5, tail).otherwise(-tail)).otherwise(middle)
-
-
-def normal_tail(z: Column) -> Column:
-    """Upper tail probability of the standard normal distribution."""
-    x = F.abs(z) / math.sqrt(2.0)
-    t = 1 / (1 + 0.5 * x)
-    upper = 0.5 * t * F.exp(-x * x + horner(ERFC, t))
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+    middle = horner(QUANTILE_A, r) * F.col("_d") / horner(QUANTILE_B, r)
+    value = F.when(F.col("_low") < 0.02425, -F.signum("_d") * tail).otherwise(middle)
+    return t.withColumn(out, value).drop("_p", "_low", "_q", "_d", "_r")
+
+
+def with_normal_tail(df: DataFrame, z: Column, out: str) -> DataFrame:
+    """Add the upper tail probability of the standard normal distribution at z."""
+    t = (df.withColumn("_z", z).withColumn("_x", F.abs("_z") / math.sqrt(2.0))
+         .withColumn("_t", 1 / (1 + 0.5 * F.col("_x"))))
+    upper = 0.5 * F.col("_t") * F.exp(-F.col("_x") * F.col("_x") + horner(ERFC, F.col("_t")))
+    return (t.withColumn("_u", upper).withColumn(out, F.when(F.col("_z") >= 0, F.col("_u")).otherwise(1 - F.col("_u")))
+            .drop("_z", "_x", "_t", "_u"))
 
 
 def t_two_sided_p(t: float, df: int) -> float:

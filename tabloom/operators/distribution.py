@@ -48,8 +48,8 @@ def shapiro_wilk(df: DataFrame, columns: list[str], max_n: int = SMALL_N) -> Dat
     cum = cumulative_counts(numeric_value_counts(df, columns).select("column", "value", "n"))
     # at most max_n ranks per column that takes part
     ranks = (cum.join(F.broadcast(st), "column")
-             .withColumn("i", F.explode(F.sequence(F.col("cum_before") + 1, F.col("cum"))))
-             .withColumn("m", S.normal_quantile((F.col("i") - 0.375) / (F.col("nd") + 0.25))))
+             .withColumn("i", F.explode(F.sequence(F.col("cum_before") + 1, F.col("cum")))))
+    ranks = S.with_normal_quantile(ranks, (F.col("i") - 0.375) / (F.col("nd") + 0.25), "m")
     at = lambda k: F.max(F.when(F.col("i") == k, F.col("value")))
     mid = (F.col("i") > 2) & (F.col("i") <= F.col("nd") - 2)
     sums = ranks.groupBy("column", "nd", "var").agg(
@@ -62,12 +62,15 @@ def shapiro_wilk(df: DataFrame, columns: list[str], max_n: int = SMALL_N) -> Dat
     phi = ((F.col("mm") - 2 * F.col("m1") * F.col("m1") - 2 * F.col("m2") * F.col("m2"))
            / (1 - 2 * F.col("a1") * F.col("a1") - 2 * F.col("a2") * F.col("a2")))
     dot = F.col("a1") * (F.col("y1") - F.col("x1")) + F.col("a2") * (F.col("y2") - F.col("x2")) + F.col("mx") / F.sqrt(phi)
-    t = t.withColumn("w", F.least(F.lit(1.0), dot * dot / (F.col("var") * (F.col("nd") - 1))))
-    n, ln, left = F.col("nd"), F.log("nd"), F.log(1 - F.col("w"))
+    t = t.withColumn("dot", dot)
+    t = (t.withColumn("w", F.least(F.lit(1.0), F.col("dot") * F.col("dot") / (F.col("var") * (F.col("nd") - 1))))
+         .withColumn("left", F.log(1 - F.col("w"))).withColumn("ln", F.log("nd")))
+    n, ln, left = F.col("nd"), F.col("ln"), F.col("left")
     gamma = _poly(G, n)
     z = (F.when(n <= 11, (-F.log(gamma - left) - _poly(C3, n)) / F.exp(_poly(C4, n)))
          .otherwise((left - _poly(C5, ln)) / F.exp(_poly(C6, ln))))
-    p = F.when(F.col("w") >= 1, F.lit(1.0)).when((n <= 11) & (left >= gamma), F.lit(0.0)).otherwise(S.normal_tail(z))
+    t = S.with_normal_tail(t, z, "tail")
+    p = F.when(F.col("w") >= 1, F.lit(1.0)).when((n <= 11) & (left >= gamma), F.lit(0.0)).otherwise(F.col("tail"))
     return t.select("column", n.cast("long").alias("n"), "w", p.alias("p"))
 
 
