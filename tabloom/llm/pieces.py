@@ -34,7 +34,7 @@ MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ALPHA = 1.0
 SAMPLES = 2
-GATHER_BYTES = 6 << 20
+GATHER_BYTES = 3 << 20
 _STEP, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HASH = 0xA0761D6478BD642F
 
