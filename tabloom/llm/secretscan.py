@@ -251,25 +251,23 @@ def decode(field: Field, tables: dict, c: np.ndarray, n: np.ndarray, files: np.n
     place = np.arange(total) - starts[doc]
     pad = len(tables["cur"]) - 1
 
-    def shifted(by):
-        at = np.arange(total) + by
-        ok = (place + by >= 0) & (place + by < n[doc])
-        return np.where(ok, c[np.clip(at, 0, total - 1)], pad)
+    def beside(pos, by):
+        """Classes of the words ``by`` places from pos, the padding class outside their text."""
+        inside = (place[pos] + by >= 0) & (place[pos] + by < n[doc[pos]])
+        return np.where(inside, c[np.clip(pos + by, 0, total - 1)], pad)
 
     # the three scores differ from O's by two numbers per class: look those up
     rel = {k: t[:, 1:] - t[:, :1] for k, t in tables.items()}
     file_rel = field.w["file"][:, 1:] - field.w["file"][:, :1]
-    e = rel["cur"][c]
     limit = rel["p1"].max(0) + rel["p2"].max(0) + rel["n1"].max(0) + file_rel.max(0)
     margin = field.margin()
-    maybe = np.flatnonzero((e + limit).max(1) + margin >= 0)  # others are O whatever surrounds them
-    near = np.zeros(total, bool)
-    near[maybe] = True
+    could = (rel["cur"] + limit).max(1) + margin >= 0  # words of other classes are O whatever surrounds them
+    maybe = np.flatnonzero(could[c])
     out = np.zeros(total, np.int64)
     if not len(maybe):
         return out
-    full = e[maybe] + rel["p1"][shifted(-1)[maybe]] + rel["p2"][shifted(-2)[maybe]] + rel["n1"][shifted(1)[maybe]] \
-        + file_rel[files[doc[maybe]]]
+    full = (rel["cur"][c[maybe]] + rel["p1"][beside(maybe, -1)] + rel["p2"][beside(maybe, -2)] + rel["n1"][beside(maybe, 1)]
+            + file_rel[files[doc[maybe]]])
     stay = full.max(1) + margin >= 0
     maybe, full = maybe[stay], full[stay]
     if not len(maybe):
