@@ -32,6 +32,7 @@ EXAMPLES = 8000
 VOCABULARY = 1024
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST_BLOCKS = 4
 SHRINK = 0.3
 _EDGE = ".,!?;:%$*&#|()[]{}\"'`<>"
 
@@ -77,33 +78,46 @@ class Index:
         post = {}
         for i, o in enumerate(order):
             for t, w in vectors[o].items():
-                post.setdefault((t, i // BLOCK), []).append((i % BLOCK, w))
-        self.post = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for k, v in post.items()}
-        for (t, b), (_, w) in self.post.items():
-            self.top[t, b] = w.max()
+                post.setdefault(t, []).append((i, w))
+        self.post = {}
+        for t, v in post.items():
+            at, w = np.array([x[0] for x in v]), np.array([x[1] for x in v])
+            self.post[t] = (at, w, at // BLOCK)
+            np.maximum.at(self.top[t], at // BLOCK, w)
         self.n = len(order)
 
+    def _add(self, acc: np.ndarray, terms, weight, blocks: np.ndarray) -> None:
+        """Add the products of the examples in the marked blocks."""
+        for t, w in zip(terms, weight):
+            p = self.post.get(t)
+            if p is not None:
+                m = blocks[p[2]]
+                acc[p[0][m]] += w * p[1][m]
+
     def nearest(self, q: dict[int, float], k: int, without: int | None = None):
-        """(positions, cosines) of the k best examples with a positive cosine, best first."""
+        """(positions, cosines) of the k best examples with a positive cosine, best first.
+
+        The blocks with the highest bounds give a first k-th cosine; then every block whose bound
+        reaches it is scored, and no other can hold one of the k best."""
         terms = list(q)
         weight = np.array([q[t] for t in terms])
         bound = weight @ self.top[terms]
-        found = []  # (-cosine, id, position)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= k and bound[b] < -found[k - 1][0] - 1e-12):
-                break
-            acc = np.zeros(BLOCK)
-            for t, w in zip(terms, weight):
-                p = self.post.get((t, int(b)))
-                if p is not None:
-                    acc[p[0]] += w * p[1]
-            for j in np.flatnonzero(acc > 0):
-                i = int(b) * BLOCK + int(j)
-                if i != without:
-                    found.append((-acc[j], int(self.ids[i]), i))
-            found.sort()
-            del found[k:]
-        return [f[2] for f in found], [-f[0] for f in found]
+        acc = np.zeros(self.n)
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        self._add(acc, terms, weight, first)
+        if without is not None:
+            acc[without] = 0
+        kth = np.partition(acc, -k)[-k] if self.n > k else 0.0
+        rest = (bound > 0) & (bound >= kth - 1e-12) & ~first
+        if rest.any():
+            self._add(acc, terms, weight, rest)
+            if without is not None:
+                acc[without] = 0
+            kth = np.partition(acc, -k)[-k] if self.n > k else 0.0
+        at = np.flatnonzero((acc > 0) & (acc >= kth))
+        at = at[np.lexsort((self.ids[at], -acc[at]))[:k]]
+        return at.tolist(), acc[at].tolist()
 
 
 class Model:
