@@ -11,8 +11,9 @@ key the classes are compared with a pivot, the class that shares keys with the m
 class, never all pairs); links are confirmed on full sets (100 * intersection >= ``percent`` * union), and
 components are formed.  Keys whose classes still lie in several components go through their members in
 blocks of at most ``BLOCK``: pairs across components whose signatures agree in at least the threshold
-less SLACK standard deviations are confirmed on full sets too (a true link fails that with probability
-2e-5).  A pair is looked at under the first key it shares.  No member is left out of a block.
+less SLACK standard deviations (a true link fails that with probability 2e-5) are compared on full sets
+in the task, and only links that join components are emitted.  A pair is looked at under the first key it
+shares.  No member is left out of a block.
 
 Null text counts as empty.  Rows with a repeated id are classified each by its own text.  Rows without
 an id take part through their set; their component is null when no document of it has an id, and such
@@ -30,7 +31,7 @@ from .common import WordHash, connected_components, cut, map_batches, mix, relea
 
 PERMS, ROWS = 80, 5
 WIDTH, PERCENT = 5, 80
-BLOCK = 4096
+BLOCK = 1024
 SLACK = 4.1
 
 
@@ -117,9 +118,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def likely_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) of ``members`` (key, m, digest, root, n, bands, sig; m rows per key) across roots whose
-    signatures and sizes allow the threshold, each under the first key it shares."""
+def joining_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of ``members`` (key, m, digest, root, n, bands, sig, s; m rows per key) that join
+    components; a pair is compared under the first key it shares."""
     share = percent / 100
     least = share - SLACK * (share * (1 - share) / (2 * PERMS)) ** 0.5
 
@@ -129,30 +130,43 @@ def likely_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFr
         n, half = t.column("n").to_numpy(), t.column("half").to_numpy()
         sig = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()])
         bands = np.stack(t.column("bands").to_numpy(zero_copy_only=False))
+        sets = [np.sort(x) for x in t.column("s").to_numpy(zero_copy_only=False)]
         cross = half.min() != half.max()  # a cell of two blocks: pairs inside a block belong to another cell
+        up = {}
+
+        def top(x):
+            while x in up:
+                x = up[x]
+            return x
         out = []
-        for i in range(0, len(dig), 64):
-            u = np.arange(i, min(i + 64, len(dig)))
-            ok = (root[u, None] != root[None]) & (100 * np.minimum(n[u, None], n) >= percent * np.maximum(n[u, None], n))
-            ok &= (half[u, None] < half) if cross else (dig[u, None] < dig)
-            rows = np.flatnonzero(ok.any(axis=1))
-            for x in rows:
-                y = np.flatnonzero(ok[x])
-                y = y[(sig[u[x]] == sig[y]).mean(axis=1) >= least]
-                if len(y):
-                    same = bands[u[x]] == bands[y]
-                    y = y[bands[u[x]][same.argmax(axis=1)] == key]
-                    out.append(np.stack([np.full(len(y), dig[u[x]]), dig[y]]))
-        pair = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pair.min(axis=0) if out else pair[0], pa.int64()),
-                         "b": pa.array(pair.max(axis=0) if out else pair[1], pa.int64())})
+        for i in range(len(dig)):
+            y = np.flatnonzero((half[i] < half if cross else dig[i] < dig) & (root != root[i])
+                               & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n)))
+            if not len(y):
+                continue
+            agree = (sig[i] == sig[y]).mean(axis=1)
+            y, agree = y[agree >= least], agree[agree >= least]
+            if not len(y):
+                continue
+            y = y[np.argsort(-agree, kind="stable")]
+            y = y[bands[i][(bands[i] == bands[y]).argmax(axis=1)] == key]
+            for j in y.tolist():
+                a, b = top(root[i]), top(root[j])
+                if a == b:
+                    continue  # joined by a link found before
+                x, z = sets[i], sets[j]
+                both = int((z[np.minimum(np.searchsorted(z, x), len(z) - 1)] == x).sum())
+                if 100 * both >= percent * (len(x) + len(z) - both):
+                    up[a] = b
+                    out.append((min(dig[i], dig[j]), max(dig[i], dig[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     blocks = F.ceil(F.col("m") / block).cast("int")
     cells = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     # a key of more than one block: every pair of blocks is one cell, and a row goes to the cells of its block
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("blk", "other").alias("c1"), F.greatest("blk", "other").alias("c2"),
-                         (F.col("blk") > F.col("other")).cast("int").alias("half"), "digest", "root", "n", "bands", "sig")
+                         (F.col("blk") > F.col("other")).cast("int").alias("half"), "digest", "root", "n", "bands", "sig", "s")
     return cells.groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long")
 
 
@@ -183,8 +197,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
            .join(roots, F.col("digest") == F.col("node"), "left")
            .select("key", "m", "digest", F.coalesce("root", "digest").alias("root")))
     several = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    members = now.join(several, "key").join(classes.select("digest", "n", "bands", "sig"), "digest")
-    more = cut(confirmed(cut(likely_pairs(members, percent, block), "likely"), sets, percent), "more")
+    members = (now.join(several, "key").join(classes.select("digest", "n", "bands", "sig"), "digest")
+               .join(sets, "digest"))
+    more = cut(joining_links(members, percent, block), "more")
     if not more.isEmpty():
         roots = cut(connected_components(links.union(more)), "roots")
     release(spark)
