@@ -34,7 +34,7 @@ MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ALPHA = 1.0
 SAMPLES = 2
-GATHER_BYTES = 3 << 20
+PART_BYTES = 3 << 19
 _STEP, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HASH = 0xA0761D6478BD642F
 
@@ -379,18 +379,17 @@ def _log_of(lat: Lattices, chunk: int, seg) -> float:
     return q
 
 
-def gathered(batches, text_at: int, size: int = GATHER_BYTES):
-    """Batches put together until they hold ``size`` bytes of text: chunks that come again share a lattice."""
-    held, n = [], 0
+def parted(batches, text_at: int, size: int = PART_BYTES):
+    """The rows in parts of about ``size`` bytes of text (a longer text is a part of its own): the lattices of
+    a part are held at once."""
+    import pyarrow.compute as pc
     for b in batches:
         if b.num_rows:
-            held.append(b)
-            n += b.column(text_at).nbytes
-        if n >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            n = pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(n) - n) // size
+            start = np.flatnonzero(np.r_[True, np.diff(part) > 0])
+            for lo, hi in zip(start, np.r_[start[1:], b.num_rows]):
+                yield b.slice(int(lo), int(hi - lo))
 
 
 def sample_encode(rows: DataFrame, proto: bytes, key_cols: tuple[str, ...], text_col: str = "text", k: int = SAMPLES,
@@ -404,7 +403,7 @@ def sample_encode(rows: DataFrame, proto: bytes, key_cols: tuple[str, ...], text
     def run(batches):
         import zlib
         voc = per_process(f"pieces-{alpha}-{zlib.crc32(shared.value)}", lambda: Vocabulary(shared.value, alpha))
-        for b in gathered(batches, m + 1):
+        for b in parted(batches, m + 1):
             texts = [t or "" for t in b.column(m + 1).to_pylist()]
             got = sample_texts(texts, b.column(m).to_numpy().view(np.uint64), k, voc)
             row = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
