@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_batches, share, shared_value
+from .common import fresh, map_batches, per_process, share, shared_value
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -70,10 +70,19 @@ def features(word: str) -> tuple[int, ...]:
     a, b = core_of(word)
     w = word[a:b]
     n = len(w)
+    f = [0, 1 + min(9, int(2 * math.log2(n + 1)) - 1 if n else 0)]  # bias, length
+    if w.isalpha() and (w.islower() or w.isupper() or w[1:].islower()):  # an ordinary word
+        f += [11, 15 if w.islower() else 16 if w.isupper() else 17, 24]
+        if w.isascii():
+            f.append(22 if n >= 16 else 23)
+            if not w.strip("abcdefABCDEF"):
+                f.append(20 if n >= 16 else 21)
+        else:
+            f.append(44)
+        return tuple(sorted({*f, *_marks(word, w)}))
     digits = sum(c.isdigit() for c in w)
     upper = sum(c.isupper() for c in w)
     lower = sum(c.islower() for c in w)
-    f = [0, 1 + min(9, int(2 * math.log2(n + 1)) - 1 if n else 0)]  # bias, length
     f.append(11 + (0 if digits == 0 else 1 if digits == n else 2 if 3 * digits < n else 3))
     f.append(15 + (0 if upper == 0 else 1 if upper == n else 2 if w[:1].isupper() and upper == 1 else 3))
     if digits and (upper or lower):
@@ -84,19 +93,11 @@ def features(word: str) -> tuple[int, ...]:
         f.append(22 if n >= 16 else 23)
     changes = sum((x.isdigit() != y.isdigit()) or (x.isupper() != y.isupper()) for x, y in zip(w, w[1:]))
     f.append(24 + min(4, changes // 3))
-    if n:
+    if digits:
         counts = [w.count(c) for c in set(w)]
         f.append(29 + min(5, int(-sum(c / n * math.log2(c / n) for c in counts))))
-    if _CUE.search(w):
-        f.append(35)
-    if word.strip() in ("=", ":", "=>", ":="):
-        f.append(36)
-    if word.endswith((":", "=")) and n:
-        f.append(37)
     if "=" in w or ":" in w:
         f.append(38)
-    if word[:1] in "\"'`":
-        f.append(39)
     if "@" in w:
         f.append(40)
     if "://" in w or w.startswith("www."):
@@ -111,7 +112,21 @@ def features(word: str) -> tuple[int, ...]:
         f.append(45)
     if upper and lower and digits:
         f.append(46)
-    return tuple(sorted(set(f)))
+    return tuple(sorted({*f, *_marks(word, w)}))
+
+
+def _marks(word: str, w: str) -> list[int]:
+    """Features of cue words and of the punctuation around a word."""
+    f = []
+    if _CUE.search(w):
+        f.append(35)
+    if word in ("=", ":", "=>", ":="):
+        f.append(36)
+    if word[-1:] in (":", "=") and w:
+        f.append(37)
+    if word[:1] in ("\"", "'", "`"):
+        f.append(39)
+    return f
 
 
 class Classes:
@@ -323,8 +338,8 @@ def _windows(texts: list[str], classes: Classes, seed_of: list[int]):
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Field, list]:
-    """Field fitted on at most 2 * ``sample_docs`` documents; also the feature rows of its classes."""
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
+    """Field fitted on at most 2 * ``sample_docs`` documents."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text")).where("text <> ''")
     has = (F.lower("text").rlike(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9+/_.=-]{8}")
@@ -342,7 +357,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Field, list]
     if win:
         c, y, f = (np.array([w[i] for w in win]) for i in range(3))
         field.fit(c, f, y, classes.matrix())
-    return field, classes.rows
+    return field
 
 
 def find_spans(texts: list[str], field: Field, classes: Classes, cache: dict) -> list[list[tuple[int, int, int]]]:
@@ -387,10 +402,8 @@ def _tag(docs: DataFrame, text_col: str, model, make):
     at = docs.columns.index(text_col)
 
     def run(batches):
-        field, rows = shared_value(shared)
-        classes, cache = Classes(), {}
-        classes.rows = list(rows)
-        classes.ids = {f: i for i, f in enumerate(rows)}
+        field = shared_value(shared)
+        classes, cache = per_process("secret-classes", Classes), {}  # classes do not depend on the fit
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             arrays, names = make(texts, find_spans(texts, field, classes, cache))
