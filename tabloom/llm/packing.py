@@ -33,7 +33,8 @@ PUNCTUATION = string.punctuation.replace("'", "")  # an apostrophe may begin a c
 
 
 class ChunkIds(dict):
-    """Token ids of a white-space chunk as little-endian 32-bit bytes; emptied at ``limit`` chunks."""
+    """Token ids of a white-space chunk as little-endian 32-bit bytes; emptied at ``limit`` chunks (the
+    letter runs and punctuation they are made of, at twice as many)."""
 
     def __init__(self, definition: str, limit: int = 600_000):
         super().__init__()
@@ -52,9 +53,10 @@ class ChunkIds(dict):
         three parts (the tokenizer splits there); letter runs are tokenised many at a time, spaces between."""
         new = [c for c in chunks if c not in self]
         if len(self) + len(new) > self.limit:
-            self.clear()
-            self.parts.clear()
+            self.clear()  # the parts stay: chunks are put together again without the tokenizer
             new = list(chunks)
+        if len(self.parts) > 2 * self.limit:
+            self.parts.clear()
         split, whole = [], []
         for c in new:
             text = c.decode("utf-8", "replace")
