@@ -39,6 +39,16 @@ def test_model_probabilities_sum_to_one_at_most(llm):
         assert 0.7 < total < 1.02
 
 
+def test_scores_past_the_broadcast_keep_every_bigram(docs):
+    from tabloom.llm import lm
+    def by_row(got):
+        return sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got.collect())
+    kept, past = by_row(lm.scores(docs)), by_row(lm.scores(docs, max_shards=0))
+    assert [r[:2] for r in past] == [r[:2] for r in kept]
+    # the same counts, but for the false positives of the filter
+    assert np.allclose([r[2] for r in past], [r[2] for r in kept], rtol=0.01)
+
+
 def test_filter_counts_never_too_low(llm):
     from tabloom.llm import bloom
     from tabloom.llm.common import mix
