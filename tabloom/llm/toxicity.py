@@ -2,12 +2,14 @@
 
 Terms are words without surrounding punctuation (A-Z lower-cased) and their prefixes of 3 to 7 code
 points.  A bounded sample of labelled documents (``examples``, half of it at most toxic, taken in the
-order of a hash of the id) gives the vocabulary (the ``vocabulary`` terms with the highest chi-square
-against the label, where chance does not explain it) and the example vectors: TF-IDF with (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), N and
-df counted over all documents, scaled to length one.
-
-Neighbours are exact.  Examples are laid out in blocks; the inverted index keeps, per term and block, the
-largest weight.  A query's bound for a block is the sum of its weights times these maxima; blocks are
+order of a hash of the id) gives the vocabulary (every term of the sample) and the example vectors: TF-IDF
+with (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), N and df counted over all documents, times a factor of the
+term's chi-square against the label (1 where chance does not explain it, at least ``LEAST_FACTOR``), scaled
+to length one.  No term of an example is left out.
+
+Neighbours are exact.  The terms that most examples share are a dense matrix, whose products with a batch of
+queries are taken at once.  For all other terms examples are laid out in blocks; the inverted index keeps, per
+term and block, the postings and their largest weight.  A query's bound for a block is the sum of its weights times these maxima and the largest dense product; blocks are
 scored in descending order of the bound until it falls below the k-th best cosine (ties: smaller id).
 The vote weighs every neighbour by its squared cosine and its class's sampling weight, shrunk to the
 base rate; an isotonic fit on leave-one-out votes of the examples makes it a calibrated score.
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, map_batches, share, shared_value
 
 EXAMPLES = 8000
-VOCABULARY = 1024
+LEAST_FACTOR = 0.1
 NEIGHBOURS = 15
 BLOCK = 64
 FIRST_BLOCKS = 4
+DENSE, DENSE_SHARE, DENSE_ROWS = 1024, 32, 128  # terms at most, in one example of so many, queries at once
 SHRINK = 0.3
 _EDGE = ".,!?;:%$*&#|()[]{}\"'`<>"
 
@@ -64,57 +67,86 @@ class TermIds:
         return out
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .. end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Index:
     """Block-max inverted index over the example vectors."""
 
-    def __init__(self, vectors: list[dict[int, float]], ids: np.ndarray, toxic: np.ndarray, n_terms: int):
+    def __init__(self, vectors, ids: np.ndarray, toxic: np.ndarray, n_terms: int):
+        vectors = [(np.array(list(v), np.int64), np.array(list(v.values()), float)) if isinstance(v, dict) else v
+                   for v in vectors]
         # like examples side by side: order by the heaviest term, so that block maxima are tight
-        key = [max(v, key=lambda t: (v[t], -t)) if v else n_terms for v in vectors]
+        key = [int(t[w == w.max()].min()) if len(t) else n_terms for t, w in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (key[i], ids[i]))
         self.ids, self.toxic = ids[order], toxic[order]
         self.place = {int(ids[o]): i for i, o in enumerate(order)}
-        blocks = -(-max(1, len(order)) // BLOCK)
-        self.top = np.zeros((n_terms, blocks))
-        post = {}
-        for i, o in enumerate(order):
-            for t, w in vectors[o].items():
-                post.setdefault(t, []).append((i, w))
-        self.post = {}
-        for t, v in post.items():
-            at, w = np.array([x[0] for x in v]), np.array([x[1] for x in v])
-            self.post[t] = (at, w, at // BLOCK)
-            np.maximum.at(self.top[t], at // BLOCK, w)
-        self.n = len(order)
-
-    def _add(self, acc: np.ndarray, terms, weight, blocks: np.ndarray) -> None:
-        """Add the products of the examples in the marked blocks."""
-        for t, w in zip(terms, weight):
-            p = self.post.get(t)
-            if p is not None:
-                m = blocks[p[2]]
-                acc[p[0][m]] += w * p[1][m]
-
-    def nearest(self, q: dict[int, float], k: int, without: int | None = None):
+        self.n, self.blocks = len(order), -(-max(1, len(order)) // BLOCK)
+        term = np.concatenate([vectors[o][0] for o in order] or [np.zeros(0, np.int64)]).astype(np.int32)
+        at = np.repeat(np.arange(self.n, dtype=np.int32), [len(vectors[o][0]) for o in order])
+        weight = np.concatenate([vectors[o][1] for o in order] or [np.zeros(0)])
+        df = np.bincount(term, minlength=n_terms)
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        often = often[df[often] * DENSE_SHARE > self.n]
+        self.slot = np.full(n_terms, -1, np.int32)
+        self.slot[often] = np.arange(len(often))
+        slot = self.slot[term]
+        self.dense = np.zeros((len(often), self.n))
+        self.dense[slot[slot >= 0], at[slot >= 0]] = weight[slot >= 0]
+        term, at, weight = term[slot < 0], at[slot < 0], weight[slot < 0]
+        o = np.argsort(term, kind="stable")
+        term, self.at, self.weight = term[o], at[o], weight[o]
+        # segments: the postings of one term in one block
+        cell = term.astype(np.int64) * self.blocks + self.at // BLOCK
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.seg_start, self.seg_size = first.astype(np.int32), np.diff(np.r_[first, len(cell)]).astype(np.int32)
+        self.seg_block = (cell[first] % self.blocks).astype(np.int32)
+        self.seg_top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.term_start = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
+
+    def _add(self, acc: np.ndarray, seg: np.ndarray, weight: np.ndarray) -> None:
+        """Add the products of the examples in the segments."""
+        size = self.seg_size[seg]
+        p = _ranges(self.seg_start[seg], size)
+        acc += np.bincount(self.at[p], np.repeat(weight, size) * self.weight[p], minlength=self.n)
+
+    def products(self, queries) -> np.ndarray:
+        """Products of the dense terms, a row per query (terms, weights)."""
+        m = np.zeros((len(queries), len(self.dense)))
+        for row, (t, w) in zip(m, queries):
+            slot = self.slot[t]
+            row[slot[slot >= 0]] = w[slot >= 0]
+        return m @ self.dense
+
+    def nearest(self, q, k: int, without: int | None = None, acc: np.ndarray | None = None):
         """(positions, cosines) of the k best examples with a positive cosine, best first.
 
         The blocks with the highest bounds give a first k-th cosine; then every block whose bound
-        reaches it is scored, and no other can hold one of the k best."""
-        terms = list(q)
-        weight = np.array([q[t] for t in terms])
-        bound = weight @ self.top[terms]
-        acc = np.zeros(self.n)
-        first = np.zeros(len(bound), bool)
+        reaches it is scored, and no other can hold one of the k best.  ``acc``: the query's ``products``."""
+        terms, weight = (np.array(list(q), np.int64), np.array(list(q.values()))) if isinstance(q, dict) else q
+        acc = self.products([(terms, weight)])[0] if acc is None else acc
+        size = self.term_start[terms + 1] - self.term_start[terms]
+        seg, weight = _ranges(self.term_start[terms], size), np.repeat(weight, size)
+        block = self.seg_block[seg]
+        bound = np.bincount(block, weight * self.seg_top[seg], minlength=self.blocks)
+        bound = bound + np.maximum.reduceat(acc, np.arange(0, self.n, BLOCK))
+        first = np.zeros(self.blocks, bool)
         first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        self._add(acc, terms, weight, first)
+        m = first[block]
+        self._add(acc, seg[m], weight[m])
         if without is not None:
             acc[without] = 0
         kth = np.partition(acc, -k)[-k] if self.n > k else 0.0
         rest = (bound > 0) & (bound >= kth - 1e-12) & ~first
         if rest.any():
-            self._add(acc, terms, weight, rest)
+            m = rest[block]
+            self._add(acc, seg[m], weight[m])
             if without is not None:
                 acc[without] = 0
-            kth = np.partition(acc, -k)[-k] if self.n > k else 0.0
+        acc = np.round(acc, 12)  # equal examples are equal whatever the order of the sums
+        kth = np.partition(acc, -k)[-k] if self.n > k else 0.0
         at = np.flatnonzero((acc > 0) & (acc >= kth))
         at = at[np.lexsort((self.ids[at], -acc[at]))[:k]]
         return at.tolist(), acc[at].tolist()
@@ -125,15 +157,24 @@ class Model:
         self.vocabulary, self.idf, self.index, self.rate, self.weight = vocabulary, idf, index, rate, weight
         self.steps = steps  # isotonic fit: (votes, scores)
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
+    def vector(self, terms, counts):
+        """(terms, weights) of length one."""
+        t = np.array(terms, np.int64)
+        v = (1 + np.log(np.array(counts, float))) * self.idf[t]
+        return t, v / math.sqrt((v * v).sum()) if len(t) else v
+
+    def votes(self, queries, without=None):
+        out = []
+        for lo in range(0, len(queries), DENSE_ROWS):
+            some = queries[lo: lo + DENSE_ROWS]
+            acc = self.index.products(some) if self.index else some
+            out += [self.vote(q, without[lo + i] if without else None, a) for i, (q, a) in enumerate(zip(some, acc))]
+        return out
 
-    def vote(self, q: dict[int, float], without: int | None = None):
-        if not q or self.index is None:
+    def vote(self, q, without: int | None = None, acc=None):
+        if self.index is None or not len(q[0]):
             return self.rate, [], []
-        at, sim = self.index.nearest(q, NEIGHBOURS, without)
+        at, sim = self.index.nearest(q, NEIGHBOURS, without, acc)
         y = self.index.toxic[at]
         w = np.square(sim) * np.where(y > 0, self.weight[1], self.weight[0])
         return float(((w * y).sum() + SHRINK * self.rate) / (w.sum() + SHRINK)), at, sim
@@ -158,8 +199,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray):
     return np.array([e for s in stack for e in s[2:]]), np.array([v for s in stack for v in (s[0], s[0])])
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY,
-          mod: int = 5, held: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int = 5, held: int = 0) -> Model:
     """Model from ``labels`` (doc_id, toxic) of documents outside the held-out remainder."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -193,15 +233,16 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabula
                 [pa.array(list(got), pa.string()), *(pa.array([v[i] for v in got.values()], pa.int64()) for i in (0, 1))],
                 names=["term", "c0", "c1"])
     t = (map_batches(ex.select("text", "toxic"), by_term, "term string, c0 long, c1 long").groupBy("term")
-         .agg(F.sum("c0").cast("double").alias("b"), F.sum("c1").cast("double").alias("a")).where("a + b >= 4"))
+         .agg(F.sum("c0").cast("double").alias("b"), F.sum("c1").cast("double").alias("a")))
     total = float(m0 + m1)
     e = F.col("a") * (m0 - F.col("b")) - F.col("b") * (m1 - F.col("a"))
     chi = total * e * e / ((F.col("a") + F.col("b")) * (total - F.col("a") - F.col("b")) * m0 * m1)
-    t = cut(t.where(F.col("a") + F.col("b") < total).withColumn("chi", chi), "terms")
+    t = cut(t.withColumn("chi", F.when((F.col("a") + F.col("b") >= 4) & (F.col("a") + F.col("b") < total), chi)), "terms")
     # so high that hardly any of so many terms gets there by chance
-    least = 2 * math.log(1 + t.count())
-    voc = [r["term"] for r in t.where(F.col("chi") > least)
-           .orderBy(F.col("chi").desc(), "term").limit(vocabulary).select("term").collect()]
+    least = 2 * math.log(1 + t.where("chi is not null").count())
+    t = t.orderBy("term").select("term", F.coalesce(F.greatest(F.lit(LEAST_FACTOR), F.least(F.lit(1.0), F.col("chi") / least)),
+                                                    F.lit(LEAST_FACTOR)).alias("factor")).toArrow()
+    voc, factor = t.column("term").to_pylist(), t.column("factor").to_numpy()
     shared = spark.sparkContext.broadcast(voc)
 
     def vectors(batches):
@@ -218,32 +259,34 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabula
         for b in batches:
             n += b.num_rows
             for x in b.column(0).to_pylist():
-                for t in ids.counts(x):
-                    df[t] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))],
-                                         names=["n", "df"])
-    part = map_batches(docs.select("text"), frequency, "n long, df array<long>")
-    n_docs = part.agg(F.sum("n")).first()[0] if not voc else 0
-    if voc:
-        got = part.select("n", F.posexplode("df")).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("df")).collect()
-        n_docs = got[0]["n"]
-        df = np.zeros(len(voc))
-        for r in got:
-            df[r["pos"]] = r["df"]
-    else:
-        df = np.zeros(0)
-    idf = 1 + np.log((1 + n_docs) / (1 + df))
+                df[list(ids.counts(x))] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], n])], names=["pos", "df"])
+    got = map_batches(docs.select("text"), frequency, "pos long, df long").groupBy("pos").agg(F.sum("df").alias("df")).toArrow()
+    pos, found = got.column("pos").to_numpy(), got.column("df").to_numpy()
+    n_docs, df = int(found[pos < 0].sum()), np.zeros(len(voc))
+    df[pos[pos >= 0]] = found[pos >= 0]
+    idf = (1 + np.log((1 + n_docs) / (1 + df))) * factor
     sample = map_batches(ex.select("doc_id", "text", "toxic"), vectors,
-                         "doc_id long, toxic int, t array<int>, n array<int>").collect()
+                         "doc_id long, toxic int, t array<int>, n array<int>")
+    got = sample.toArrow().combine_chunks()
     rate = n1 / (n1 + n0)
     weight = ((n0 / m0), (n1 / m1))
     scale = sum(weight) / 2
     model = Model(voc, idf, None, rate, (weight[0] / scale, weight[1] / scale))
-    vec = [model.vector(dict(zip(r["t"], r["n"]))) for r in sample]
-    ids = np.array([r["doc_id"] for r in sample], np.int64)
-    y = np.array([r["toxic"] for r in sample], np.int64)
+    vec = [model.vector(a, n) for a, n in zip(got.column("t").to_numpy(), got.column("n").to_numpy())]
+    ids, y = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
     model.index = Index(vec, ids, y, len(voc))
-    votes = np.array([model.vote(v, model.index.place[int(i)])[0] for v, i in zip(vec, ids)])
+    shared_model = share(spark, model)
+
+    def left_out(batches):
+        m = shared_value(shared_model)
+        for b in batches:
+            queries = [m.vector(a, n) for a, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            votes = [v[0] for v in m.votes(queries, [m.index.place[i] for i in b.column(0).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(votes, pa.float64())], names=["toxic", "vote"])
+    got = map_batches(sample, left_out, "toxic int, vote double").toArrow()
+    votes, y = got.column("vote").to_numpy(), got.column("toxic").to_numpy()
     model.steps = isotonic(votes, y.astype(float), np.where(y > 0, weight[1], weight[0]))
     return model
 
@@ -254,20 +297,20 @@ def with_scores(docs: DataFrame, model: Model, names: tuple[str, ...], text_col:
     at = docs.columns.index(text_col)
 
     def run(batches):
+        import xxhash
         m = shared_value(shared)
         ids, known = TermIds(m.vocabulary), {}
         for b in batches:
-            got = []
-            for text in b.column(at).to_pylist():
-                c = ids.counts(text)
-                key = tuple(sorted(c.items()))
-                r = known.get(key)
-                if r is None:
-                    if len(known) > 50_000:
-                        known.clear()
-                    vote, near, sim = m.vote(m.vector(c))
-                    r = known[key] = (m.score(vote), m.index.ids[near].tolist() if near else [], [round(s, 6) for s in sim])
-                got.append(r)
+            texts = b.column(at).to_pylist()
+            keys = [xxhash.xxh3_128_digest((x or "").encode("utf-8", "replace")) for x in texts]
+            if len(known) > 50_000:
+                known.clear()
+            new = {k: x for k, x in zip(keys, texts) if k not in known}
+            counts = [ids.counts(x) for x in new.values()]
+            votes = m.votes([m.vector(list(c), list(c.values())) for c in counts])
+            for key, (vote, near, sim) in zip(new, votes):
+                known[key] = (m.score(vote), m.index.ids[near].tolist() if near else [], [round(x, 6) for x in sim])
+            got = [known[k] for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([g[0] for g in got], pa.float64()),
                  pa.array([int(g[0] >= 0.5) for g in got], pa.int32()),

@@ -99,6 +99,21 @@ def test_toxicity_held_out(llm, no_docs):
     assert toxicity(no_docs, labels).collect() == []
 
 
+def test_copies_of_toxic_examples_without_telling_words(llm):
+    from tabloom.llm.toxicity import drop_toxic, toxicity
+    docs, labels = labelled(llm)
+    own = {i: " ".join("own%dx%d" % (i, j) for j in range(40)) for i in range(5000, 5020)}  # words of one example each
+    more = llm.createDataFrame([(i + k, t, "en", "s", None) for i, t in own.items() for k in (0, 1000)], DOCS)
+    docs = docs.union(more)
+    labels = labels.union(llm.createDataFrame([(i, 0, 1) for i in own], labels.schema))
+    used = {i for i in own if zlib.crc32(str(i).encode()) % 5}
+    got = {r["doc_id"]: r for r in toxicity(docs, labels).collect()}
+    for i in used:
+        assert i in got[i + 1000]["neighbours"] and got[i + 1000]["cosines"][0] == 1.0
+    assert all(got[i + 1000]["score"] > got[600]["score"] for i in used)
+    assert used and not used & {r["doc_id"] - 1000 for r in drop_toxic(docs, labels).collect() if (r["doc_id"] or 0) > 5999}
+
+
 def test_neighbours_are_exact():
     from tabloom.llm.toxicity import Index
     r = np.random.default_rng(2)
