@@ -178,12 +178,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         F.min("doc_id").alias("low"), F.max("n").cast("int").alias("n"), F.first("bands").alias("bands"),
         F.first("sig").alias("sig"))
     classes = cut(classes, "classes")
-    keyed = classes.select("digest", "low", "n", F.explode("bands").alias("key"))
+    keyed = classes.select("digest", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     keyed = cut(keyed.join(shared, "key"), "keyed")  # only keys that two classes share
-    wanted = keyed.select(F.col("low").alias("doc_id")).distinct()
-    sets = cut(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"),
-                         width).dropDuplicates(["digest"]), "sets")
+    # rows are fetched by id, those without one by the digest of their set
+    wanted = cut(keyed.select("digest").distinct().join(classes.select("digest", "low"), "digest"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    sets = full_sets(texts.join(wanted.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+    no_id = full_sets(texts.where("doc_id is null"), width).join(wanted.where("low is null"), "digest", "left_semi")
+    sets = cut(sets.union(no_id).dropDuplicates(["digest"]), "sets")
     release(spark)
     central = keyed.groupBy("digest").agg(F.sum("m").alias("near"))
     pivot = keyed.join(central, "digest").groupBy("key").agg(

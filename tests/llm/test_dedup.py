@@ -72,6 +72,16 @@ def test_near_duplicates_chain_and_hot_group(llm):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
 
 
+def test_near_duplicates_bridged_by_a_row_without_id(llm):
+    from conftest import make_words
+    base = make_words(60, 100)
+    rows = [(1, " ".join(base)), (None, " ".join(["a%d" % j for j in range(6)] + base[6:])),
+            (2, " ".join(["a%d" % j for j in range(6)] + base[6:91] + ["b%d" % j for j in range(9)])), (3, "far off")]
+    want = brute_components(rows, 2, 80)
+    assert len({c for _, _, c in want}) == 2  # 1 and 2 meet only through the row without id
+    assert run_near(llm.createDataFrame(rows, "doc_id long, text string"), 2) == want
+
+
 def test_near_duplicates_empty(no_docs):
     assert run_near(no_docs, 2) == []
 
