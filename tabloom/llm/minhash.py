@@ -58,8 +58,8 @@ def _digest(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int, perms: int = PERMS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, digest, bands, sig): set size, set digest, band keys and one byte of every signature
-    value; the last three null for empty sets."""
+    """(doc_id, n, digest, bands, sig, text_hash): set size, set digest, band keys and one byte of every signature
+    value (these three null for empty sets) and a hash of the text."""
     def run(batches):
         mult, flip = _family(perms)
         hashes = WordHash()
@@ -84,10 +84,10 @@ def signatures(docs: DataFrame, width: int, perms: int = PERMS, rows: int = ROWS
                 bands.append(k.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                names=["doc_id", "n", "digest", "bands", "sig"])
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run,
-                       "doc_id long, n long, digest long, bands array<long>, sig binary")
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), b.column(2)],
+                names=["doc_id", "n", "digest", "bands", "sig", "text_hash"])
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")), run,
+                       "doc_id long, n long, digest long, bands array<long>, sig binary, text_hash long")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -170,8 +170,10 @@ def joining_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataF
     return cells.groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK,
+                    text_hash: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); with ``text_hash``
+    also xxhash64 of its text, which tells rows of one id apart."""
     spark = docs.sparkSession
     sig = cut(signatures(docs, width), "sig")
     classes = sig.where("digest is not null").groupBy("digest").agg(
@@ -206,10 +208,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     if not more.isEmpty():
         roots = cut(connected_components(links.union(more)), "roots")
     release(spark)
-    rows = sig.select("doc_id", "n", "digest").join(roots, F.col("digest") == F.col("node"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "digest", F.coalesce("root", "digest").alias("root"))
+    more = ["text_hash"] if text_hash else []
+    rows = sig.select("doc_id", "n", "digest", *more).join(roots, F.col("digest") == F.col("node"), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), "digest", F.coalesce("root", "digest").alias("root"), *more)
     ids = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(ids, "root", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

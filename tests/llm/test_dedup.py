@@ -82,6 +82,19 @@ def test_near_duplicates_bridged_by_a_row_without_id(llm):
     assert run_near(llm.createDataFrame(rows, "doc_id long, text string"), 2) == want
 
 
+def test_near_dedup_stage_repeated_ids(llm):
+    from conftest import DOCS, make_words
+    from corpus_pipeline import near_dedup
+    base, clean, twice = make_words(61, 90), " ".join(make_words(62, 90)), " ".join(make_words(63, 90))
+    near = " ".join(base[:89] + ["changed"])
+    rows = [(1, " ".join(base)), (2, near), (2, clean), (3, twice), (3, twice), (None, clean + " more"), (None, None), (None, None)]
+    docs = llm.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
+    got = near_dedup(llm, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect()) == sorted(
+        [("1", " ".join(base)), ("2", clean), ("3", twice), ("None", ""), ("None", "")])
+
+
 def test_near_duplicates_empty(no_docs):
     assert run_near(no_docs, 2) == []
 
