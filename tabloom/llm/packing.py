@@ -1,8 +1,11 @@
 """Packing documents into fixed windows by lexical retrieval.
 
 Every document is tokenised whole and closed with an end id.  Its full windows are sequences of their
-own; the rest (shorter than a window) is packed.  Rests are dealt evenly to shards of about
-``shard_docs`` documents.  A shard holds a BM25 inverted index over the token ids of its rests.  A seed's
+own; the rest (shorter than a window) is packed.  Rests are dealt to shards of about ``shard_docs``
+documents by a lexical key: three tokens of the rest, drawn by weighted min-hash (weight: idf over all
+rests; a token of one rest alone has none), so that rests are alike in a key with the probability of
+their weighted likeness and copies lie side by side; shards are equal ranges of the sorted keys, whose
+last 16 bits are a salt that splits hot ones.  A shard holds a BM25 inverted index over the token ids of its rests.  A seed's
 query (its ``query_terms`` most telling ids) returns its unused neighbours by score, which fill the seed's
 window; the one that no longer fits is cut there, and its remainder is the next seed.  So all windows of
 a shard are full but the last, which is cut into powers of two, which need no padding.
@@ -22,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, per_process
+from .common import cut, map_batches, mix, per_process
 
 WINDOW = 2048
 SHARD_DOCS = 1024
 QUERY_TERMS = 64
+KEY_TOKENS = 3
 K1, LENGTH_SHARE = 1.2, 0.75
 END_ID = 1
 PUNCTUATION = string.punctuation.replace("'", "")  # an apostrophe may begin a contraction
@@ -206,19 +210,78 @@ def powers_of_two(pieces, total: int):
     return out
 
 
+def _rest(r: bytes, total: int, window: int) -> np.ndarray:
+    return np.frombuffer(r, "<u2" if len(r) == 2 * (total % window) else "<u4")
+
+
+def dealt(tok: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
+    """``tok`` with a shard from 0 to ``shards`` - 1 by lexical key."""
+    if shards == 1:
+        return tok.withColumn("shard", F.lit(0).cast("long"))
+    spark = tok.sparkSession
+
+    def frequency(batches):
+        df = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for n, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                u = np.unique(_rest(r, n, window))
+                if len(u) and u[-1] >= len(df):
+                    df = np.r_[df, np.zeros(int(u[-1]) + 1 - len(df), np.int64)]
+                df[u] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["token", "df"])
+    # one row per token of the vocabulary
+    got = (map_batches(tok.select("doc_tokens", "rest"), frequency, "token long, df long")
+           .groupBy("token").agg(F.sum("df").alias("df")).toArrow())
+    token, df = got.column("token").to_numpy(), got.column("df").to_numpy()
+    idf = np.where(df > 1, np.log((1 + tok.count()) / df), 0)
+    # the token with the least of these is drawn with a probability in proportion to its idf
+    rank = np.full((KEY_TOKENS, int(token.max(initial=0)) + 1), np.inf)
+    for k in range(KEY_TOKENS):
+        u = ((mix(token.view(np.uint64) + np.uint64((k + 1) << 40)) >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+        with np.errstate(divide="ignore"):
+            rank[k, token] = -np.log(u) / idf
+    shared = spark.sparkContext.broadcast(rank)
+
+    def key(batches):
+        rank = shared.value
+        for b in batches:
+            out = []
+            for n, r, salt in zip(b.column("doc_tokens").to_pylist(), b.column("rest").to_pylist(), b.column("salt").to_pylist()):
+                x, z = _rest(r, n, window), salt & 0xFFFF
+                for k in range(KEY_TOKENS):
+                    at = rank[k][x]
+                    best = at.argmin() if len(at) else -1
+                    drawn = mix(x[best: best + 1].astype(np.uint64))[0] if best >= 0 and at[best] < np.inf else salt >> 16
+                    z |= (int(drawn) & 0xFFFF) << (48 - 16 * k)
+                out.append(z - (1 << 63))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "key"])
+    salted = tok.withColumn("salt", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    from pyspark.sql import types as T
+    keyed = map_batches(salted, key, T.StructType([*salted.schema.fields, T.StructField("key", T.LongType())]))
+    edges = keyed.agg(F.percentile_approx("key", F.lit([i / shards for i in range(1, shards)]),
+                                          F.lit(max(10_000, 20 * shards))).alias("x")).first()["x"]
+    edges = spark.sparkContext.broadcast(np.array(edges, np.int64))
+
+    def shard(batches):
+        for b in batches:
+            at = np.searchsorted(edges.value, b.column(b.num_columns - 1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(at, pa.int64())], names=[*b.schema.names[:-2], "shard"])
+    return map_batches(keyed, shard, T.StructType([*tok.schema.fields, T.StructField("shard", T.LongType())]))
+
+
 def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_docs: int = SHARD_DOCS,
          query_terms: int = QUERY_TERMS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, seed_id."""
-    shards = max(1, -(-docs.count() // shard_docs))
-    tok = tokenised(docs, definition, window).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
+    tok = cut(tokenised(docs, definition, window), "rests")
+    tok = dealt(tok, max(1, -(-tok.count() // shard_docs)), window)
 
     def run(t: pa.Table) -> pa.Table:
         base = t.column("shard")[0].as_py() << 32
         ids, total = t.column("doc_id").to_pylist(), t.column("doc_tokens").to_pylist()
         rests = []
         for n, r in zip(total, t.column("rest").to_pylist()):
-            rests.append(np.frombuffer(r, "<u2" if len(r) == 2 * (n % window) else "<u4"))
+            rests.append(_rest(r, n, window))
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, total[i]))
         rows, seq = [], 0
         for i, crcs in enumerate(t.column("crcs").to_pylist()):

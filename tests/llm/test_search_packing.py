@@ -89,6 +89,18 @@ def test_packing_prefers_lexical_neighbours():
     assert same == [1, 1, 1, 1]
 
 
+def test_packing_deals_copies_to_one_shard(llm):
+    from conftest import make_words
+    from tabloom.llm.packing import pack
+    from tabloom.llm.queries import word_tokenizer
+    rows = [(i + k, " ".join(make_words(700 + i, 60, 5000))) for i in range(150) for k in (0, 1000)]
+    got = pack(llm.createDataFrame(rows, "doc_id long, text string"), word_tokenizer(), shard_docs=30).collect()
+    check_packing(rows, got)
+    shard = {r["doc_id"]: r["sequence_id"] >> 32 for r in got}
+    assert set(shard.values()) == set(range(10))
+    assert sum(shard[i] == shard[i + 1000] for i in range(150)) > 130
+
+
 def brute_revisits(rows):
     from_url = {"http://www.A.org:80/x/#f": "a.org/x", "https://a.org/x": "a.org/x", "b.org/?z=1&a=2": "b.org?a=2&z=1", None: ""}
     out = {}
