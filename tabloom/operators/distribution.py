@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from .kernels import cumulative_counts, long_form, moments, numeric_value_counts
+from .kernels import cumulative_counts, long_form, moments, numeric_value_counts, quantile_wide
 from .profile import normality as large_normality
 
 # Polynomial coefficients of Royston's (1995) approximation (algorithm AS R94),
@@ -28,6 +28,7 @@ C5 = [-1.5861, -0.31082, -0.083751, 0.0038915]
 C6 = [-0.4803, -0.082676, 0.0030302]
 G = [-2.273, 0.459]
 
+PANDAS_ROWS = 1_000_000  # values a pandas group of one column may hold
 SMALL_N = 5000  # up to here the Shapiro-Wilk test is the fitting one
 NORMAL_P = 0.05
 
@@ -129,8 +130,19 @@ def kde_density(df: DataFrame, columns: list[str], grid: int = 200) -> DataFrame
     return at.groupBy("column", "i", "g").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("d"))
 
 
+def spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, iqr, mad): quartile range and median absolute deviation from the value counts."""
+    vc = numeric_value_counts(df, columns).select("column", "value", "n")
+    q = quantile_wide(None, None, {"q1": 0.25, "med": 0.5, "q3": 0.75}, vc)
+    dev = (vc.join(F.broadcast(q.select("column", "med")), "column")  # one row per profiled column
+           .groupBy("column", F.abs(F.col("value") - F.col("med")).alias("value")).agg(F.sum("n").alias("n")))
+    mad = quantile_wide(None, None, {"mad": 0.5}, dev)
+    n = vc.groupBy("column").agg(F.sum("n").alias("n"))
+    return n.join(q, "column").join(mad, "column").select("column", "n", (F.col("q3") - F.col("q1")).alias("iqr"), "mad")
+
+
 def per_column_pandas(df: DataFrame, columns: list[str], fn, schema: str, min_n: int = 1,
-                      max_n: int | None = None) -> DataFrame:
+                      max_n: int | None = PANDAS_ROWS) -> DataFrame:
     """Run a pandas function on each column's non-null values (one group per column).
 
     ``fn(pdf)`` gets (column, value) and returns rows of ``schema``.  A pandas group is held by one

@@ -203,19 +203,8 @@ def w04(spark, sf):
     return D.local_maxima(dens, "column", "i", "d").select("column", F.col("i").cast("int").alias("i"))
 
 
-def _summary_group(pdf):
-    import pandas as pd
-    x = pdf["value"]
-    return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [len(x)],
-                         "iqr": [float(x.quantile(0.75) - x.quantile(0.25))],
-                         "mad": [float((x - x.median()).abs().median())]})
-
-
 @query("x02_per_column_pandas")
 def x02(spark, sf):
-    """The grouped-pandas hook: one group per column (supplier and part numerics)."""
-    s = load(spark, sf, "supplier")
-    p = load(spark, sf, "part")
-    schema = "column string, n long, iqr double, mad double"
-    return D.per_column_pandas(s, ["s_acctbal"], _summary_group, schema).unionByName(
-        D.per_column_pandas(p, ["p_retailprice", "p_size"], _summary_group, schema))
+    """Spread of every column (supplier and part numerics), of any size."""
+    return D.spread(load(spark, sf, "supplier"), ["s_acctbal"]).unionByName(
+        D.spread(load(spark, sf, "part"), ["p_retailprice", "p_size"]))

@@ -87,6 +87,20 @@ def test_pandas_hook_refuses_rather_than_drops(spark):
         per_column_pandas(df, ["a"], lambda p: p, "column string, value double", max_n=10)
 
 
+def test_x02_spread_without_pandas_groups(spark, monkeypatch):
+    import numpy as np
+    from tabloom.operators import distribution as D
+    from tabloom.plans import q_shape
+    x = {"s_acctbal": [1.0, 2.0, 2.0, 7.5, None, -3.0], "p_retailprice": [4.0, 9.0, 1.0, 1.0, 30.0, 2.0], "p_size": [5.0, 1.0, None, 2.0, 8.0, 8.0]}
+    df = spark.createDataFrame(list(zip(*x.values())), ", ".join(f"{c} double" for c in x))
+    monkeypatch.setattr(q_shape, "load", lambda *a: df)
+    monkeypatch.setattr(D, "per_column_pandas", None)
+    got = {r["column"]: (r["n"], r["iqr"], r["mad"]) for r in q_shape.x02(spark, "").collect()}
+    for c, v in x.items():
+        v = np.array([y for y in v if y is not None])
+        assert np.allclose(got[c], (len(v), np.subtract(*np.percentile(v, [75, 25])), np.median(np.abs(v - np.median(v)))))
+
+
 def test_folder_catalogue(spark, tmpdir_path):
     from tabloom.sources.files import folder_catalog, peek, read_csv
     for name, text in {"a.csv": "x;y\n1;2\n3;4\n", "b.csv": 'p,q\n"1|2|3",NaN\n"4|5|6",2.5\n', "empty.csv": "",
