@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .common import mix
 
 SHARD_BITS = 1 << 23
-HASHES = 4
+HASHES = 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

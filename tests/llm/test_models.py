@@ -49,6 +49,13 @@ def test_scores_past_the_broadcast_keep_every_bigram(docs):
     assert np.allclose([r[2] for r in past], [r[2] for r in kept], rtol=0.01)
 
 
+def test_word_levels_are_a_tenth_apart():
+    from tabloom.llm import lm
+    v = lm.values(lm.B1, 120)
+    v = v[v > 1000]
+    assert (v[1:] / v[:-1]).max() < 1.11
+
+
 def test_filter_counts_never_too_low(llm):
     from tabloom.llm import bloom
     from tabloom.llm.common import mix
