@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, prepare_session
+from ..session import ensure_checkpoint_dir, materialize, prepare_session
 
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
@@ -39,6 +39,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote, once every table made from it is written too."""
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    files = df.inputFiles()
+    if not files:
+        return
+    path = files[0].rsplit("/", 1)[0]
+    if "/llm-" not in path or folder.split(":", 1)[-1].lstrip("/") not in path:
+        raise ValueError(f"not a written intermediate: {path}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished, no longer referenced plans now rather than
     at the driver's next garbage collection; they count against executor disks."""

@@ -157,3 +157,31 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         proto = f.read()
     return sample_encode(table(spark, sf_dir, "documents"), proto, ("doc_id",), digest=True)
+
+
+OP11_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE doc_id IS NOT NULL AND len(w) >= 20)
+), m AS (SELECT g, min({'d': doc_id, 'i': i}) AS m FROM g GROUP BY g HAVING count(*) > 1
+), c AS (
+  SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 20)) AS j FROM g JOIN m USING (g) WHERE {'d': doc_id, 'i': i} > m)
+), k AS (
+  SELECT w.r, w.doc_id, x.i, x.w, c.j IS NOT NULL AS gone
+  FROM (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM w) x JOIN w ON w.r = x.r LEFT JOIN c ON c.r = x.r AND c.j = x.i
+), s AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM k GROUP BY r
+)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s ON s.r = w.r
+"""
+
+
+@query("op11_substring_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recompress import report
+    return report(table(spark, sf_dir, "documents"))
