@@ -83,12 +83,15 @@ def parse(words: np.ndarray, wall: np.ndarray, rounds: int = ROUNDS) -> list[tup
 
 
 def anchors(levels: list[tuple], p: np.ndarray, length: int):
-    """(name, symbol number) of the anchor of the windows that start at p (ascending)."""
-    bits = max(20, int(len(levels[0][0])).bit_length())
+    """(name, symbol number) of the anchor of the windows that start at p (ascending).  The name covers the words of
+    the symbol's context, which all windows it stands for hold."""
+    n, sums = len(levels[0][0]), _sums(levels[0][0])
+    bits = max(20, n.bit_length())
     low, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
     best, name, place = np.full(len(p), _TOP), np.zeros(len(p), np.uint64), np.zeros(len(p), np.int64)
     for number, (a, lo, hi, span, _) in reversed(list(enumerate(levels))):
-        i, j = np.searchsorted(lo, p), np.searchsorted(hi, p + length, "right")
+        i = np.r_[0, np.cumsum(np.bincount(lo, minlength=n))][p]  # symbols whose context begins before the window
+        j = np.cumsum(np.bincount(hi, minlength=n + 1))[p + length]  # whose context ends in it or before
         some = np.flatnonzero(i < j)
         if not len(some):
             continue
@@ -99,7 +102,8 @@ def anchors(levels: list[tuple], p: np.ndarray, length: int):
         take = (least >> shift) < (best[some] >> shift)
         at, least = some[take], least[take]
         index = (least & low).astype(np.int64)
-        best[at], name[at], place[at] = least, a[index], index * len(levels) + number
+        best[at], place[at] = least, index * len(levels) + number
+        name[at] = mix(a[index] + _spans(sums, lo[index], hi[index]))
     return name, place
 
 
@@ -111,33 +115,41 @@ def windows(words: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
-def _hash_word(word: bytes) -> int:
-    import xxhash
-    return xxhash.xxh3_64_intdigest(word)
+def _powers(n: int):
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    store = per_process("recompress-powers", dict)
+    if len(store.get("up", ())) < n:
+        size = 1 << (n - 1).bit_length()
+        for key, base in (("up", 0x9E3779B97F4A7C1B), ("down", pow(0x9E3779B97F4A7C1B, -1, 1 << 64))):
+            store[key] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)])
+    return store["up"], store["down"]
 
 
-class _Words(dict):
-    """Hash of a word, kept for words seen before; emptied when it holds ``limit`` of them."""
+def _spans(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of the values from lo to hi (exclusive) from the running sums of value * power, whatever lo is."""
+    return mix((sums[hi] - sums[lo]) * _powers(len(sums))[1][lo] + (hi - lo).astype(np.uint64) * _RUN)
 
-    limit = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = _hash_word(word)
-        return h
+def _sums(values: np.ndarray) -> np.ndarray:
+    up, _ = _powers(len(values) + 1)
+    return np.r_[np.uint64(0), np.cumsum(values * up[: len(values)])]
+
+
+_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    b = (text or "").encode("utf-8", "replace")
-    known = per_process("recompress-words", _Words)
+    """64-bit hash of every word."""
+    b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     parts, lo = [], 0
     while lo < len(b):
         hi = lo + CHUNK
-        while hi < len(b) and b[hi] not in b" \t\n\v\f\r":
+        while hi < len(b) and _IN_WORD[b[hi]]:
             hi += 1
-        w = b[lo:hi].split()
-        parts.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
+        edge = np.flatnonzero(np.diff(np.r_[False, _IN_WORD[b[lo:hi]], False].view(np.int8)))
+        parts.append(_spans(_sums(_BYTE[b[lo:hi]]), edge[::2], edge[1::2]))
         lo = hi
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
@@ -201,7 +213,6 @@ def interior_symbols(rows: DataFrame, length: int, rounds: int) -> DataFrame:
 def shared_blocks(rows: DataFrame, length: int, rounds: int) -> DataFrame:
     """(name, content, doc, row, start, wins): stretches of windows whose anchor is in ``names`` of the row."""
     def run(batches):
-        import xxhash
         for b in batches:
             ids, docs = b.column(0).to_numpy(), b.column(1).to_numpy()
             names = [np.sort(np.array(x, np.int64)) for x in b.column(3).to_pylist()]
@@ -213,10 +224,9 @@ def shared_blocks(rows: DataFrame, length: int, rounds: int) -> DataFrame:
                 if not len(row):
                     continue
                 s = _runs(row, start, name, place)
-                raw, ends = win.tobytes(), np.r_[s[1:], len(win)]
-                content = [xxhash.xxh3_64_intdigest(raw[8 * lo: 8 * hi]) for lo, hi in zip(s.tolist(), ends.tolist())]
+                content = mix(np.add.reduceat(mix(win + _RUN), s) + np.diff(np.r_[s, len(win)]).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[s]), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(docs[row[s]]),
+                    [pa.array(name[s]), pa.array(content.view(np.int64)), pa.array(docs[row[s]]),
                      pa.array(ids[row[s]]), pa.array(start[s].astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(np.r_[s, len(win)].astype(np.int32)), pa.array(win.view(np.int64)))],
                     names=["name", "content", "doc", "row", "start", "wins"])
@@ -246,13 +256,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, rounds: int = ROUNDS
     low = single.groupBy("name", "win").agg(F.min("at").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = (single.join(low, ["name", "win"]).where("at > low")
              .groupBy("name", "content").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("again")))
-    known = first.select("name", "content", F.struct("doc", "start").alias("first")).join(again, ["name", "content"], "left")
+    known = cut(first.select("name", "content", F.struct("doc", "start").alias("first")).join(again, ["name", "content"], "left"),
+                "known")
+    discard(first)
+    release(spark)
     whole = F.expr("shiftleft(1L, size(wins)) - 1")
     mask = F.when(F.struct("doc", "start") > F.col("first"), whole).otherwise(F.coalesce("again", F.lit(0).cast("long")))
     out = cut(blocks.join(known, ["name", "content"]).select("doc", "row", "start", mask.alias("mask")).where("mask <> 0"),
               "repeats")
     discard(blocks)
-    discard(first)
+    discard(known)
     release(spark)
     return out
 
