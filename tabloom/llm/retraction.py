@@ -120,12 +120,14 @@ def counted_masks(spark: SparkSession, path: str, labels: DataFrame, micro_batch
     """(part, mask, quality, toxic, n) of all documents under ``path`` (Parquet files with doc_id, text, lang).
 
     ``micro_batches``: number of micro-batches that the files are dealt to, unless ``files_per_batch`` is given."""
-    source = spark.read.parquet(path).select(F.col("doc_id").cast("long"), "text", "lang")
-    files = len(source.inputFiles())
+    path = path.rstrip("/")
+    files = len(spark.read.parquet(path).inputFiles())
     per = files_per_batch or max(1, -(-files // micro_batches))
     marks = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max((F.col("quality") == 1).cast("int")).alias("quality"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
-    stream = (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per).parquet(path)
+    # as a pattern: a file stream takes a plain path for a folder, and the table may be one file
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    stream = (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per).parquet(pattern)
               .select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
               .mapInArrow(judge, "key binary, doc_id long, part string, mask int"))
     zero = F.lit(0)

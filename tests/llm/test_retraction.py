@@ -1,5 +1,6 @@
 """Filter interactions by the retraction stream, against brute force over all orders."""
 import itertools
+import os
 import random
 import re
 import tempfile
@@ -80,12 +81,13 @@ def test_all_orders_against_brute_force(llm):
     # one file a micro-batch: smaller ids keep coming after larger ones were counted
     assert got(audit(llm, write(docs.orderBy("doc_id"), 6), marks, files_per_batch=1)) == want
     assert got(audit(llm, write(docs, 3), marks, micro_batches=1)) == want
+    folder = write(docs, 1)
+    (file,) = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert got(audit(llm, f"{folder}/{file}", marks)) == want
 
 
 def test_retraction_of_earlier_masks(llm):
     """Ids arrive in descending order, one file each: every file retracts the mask counted before."""
-    import os
-
     from tabloom.llm.retraction import counted_masks
     text = " ".join(make_words(1, 150))
     path = tempfile.mkdtemp(prefix="tabloom-test-", dir="/tmp") + "/documents.parquet"
