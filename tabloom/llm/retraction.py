@@ -11,12 +11,13 @@ Five filters judge whole texts (null: empty; words: maximal ``[^\\x20\\x09-\\x0D
 The files of the documents are a stream of available-now micro-batches.  A to D are known when a row is read;
 E may change with every later file, since a smaller id of the same text can still come.  The state of a text
 (keyed by its SHA-256) is its smallest id so far and the masks counted for it.  When a smaller id arrives, the
-state retracts the earlier masks from the part counters and counts them again with E set.  Each micro-batch
+state retracts the earlier masks from the part counters and counts them again with E set.  The states of some
+``BUCKET`` texts lie together; the number of buckets follows the rows of the table.  Each micro-batch
 writes its net change of the counters under its batch number, so a repeated batch replaces itself; the sum over
 the batches is the answer, and all 120 orders are read off the 32 masks of a part.
 
 Rows whose text came up with a smaller id in the same task fail E for good; they go on without the text's key,
-dealt by id and combined, so that a hot text sends one row per task to its state.
+dealt by id, so that of a hot text a task sends only rows with ever smaller ids to its state.
 
 Rows without an id never fail E and set it for nobody.  Rows that repeat an id with one text do not set E for each
 other.  An id that is labelled twice has quality or toxic if one of its labels says so.  No rows: no parts.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ from .common import prepare
 LETTERS = "ABCDE"
 E_BIT = 16
 MICRO_BATCHES = 4
-SALTS = 4096  # keys that rows without a state are dealt to
+BUCKET = 500  # texts whose states are kept together; a state of its own takes Python some milliseconds
 _ODD = re.compile(r"[#$%&*|]")
 _CAPITALS = bytes(range(65, 91))
 _DELTA = "part string, mask int, quality int, toxic int, n long"
@@ -79,37 +81,36 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols, (pa.binary(), pa.int64(), pa.string(), pa.int32()))], names=["key", "doc_id", "part", "mask"])
 
 
-def retract(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by the rows of one key.  State: the smallest id, and the (part, mask, quality, toxic,
-    n) that are counted as not failing E, as flat lists."""
+def retract(bucket, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Changes of the counters by the rows of one bucket of texts.  State, per text: the smallest id, and the number of
+    rows by (part, mask, quality, toxic) that are counted as not failing E."""
     changes: dict[tuple, int] = {}
-    low, held = None, {}
-    if state.exists:
-        low, *columns = state.get
-        held = {k: n for *k, n in zip(*columns) for k in [tuple(k)]}
-    before = (low, dict(held))
+    texts: dict[bytes, tuple[int, dict]] = pickle.loads(state.get[0]) if state.exists else {}
+    new = False
 
     def count(k, n):
         changes[k] = changes.get(k, 0) + n
     for frame in frames:
-        for settled, i, part, mask, quality, toxic, n in zip(*(frame[c].tolist() for c in (
-                "settled", "doc_id", "part", "mask", "quality", "toxic", "n"))):
+        for key, i, part, mask, quality, toxic in zip(*(frame[c].tolist() for c in ("key", "doc_id", "part", "mask", "quality", "toxic"))):
             k = (part, mask, quality, toxic)
-            failed = (part, mask | E_BIT, quality, toxic)
-            if settled:
-                count(k, n)
-            elif low is not None and i > low:
-                count(failed, n)
-            else:
-                if low is None or i < low:
-                    for (p, m, q, t), old in held.items():
-                        count((p, m, q, t), -old)
-                        count((p, m | E_BIT, q, t), old)
-                    low, held = i, {}
-                held[k] = held.get(k, 0) + n
-                count(k, n)
-    if low is not None and (low, held) != before:
-        state.update((low, *([list(x) for x in zip(*((*k, n) for k, n in held.items()))])))
+            if key is None:
+                count(k, 1)
+                continue
+            low, held = texts.get(key, (None, {}))
+            if low is not None and i > low:
+                count((part, mask | E_BIT, quality, toxic), 1)
+                continue
+            if low is None or i < low:
+                for (p, m, q, t), n in held.items():
+                    count((p, m, q, t), -n)
+                    count((p, m | E_BIT, q, t), n)
+                held = {}
+            held[k] = held.get(k, 0) + 1
+            texts[key] = (i, held)
+            count(k, 1)
+            new = True
+    if new:
+        state.update((pickle.dumps(texts),))
     rows = [(*k, n) for k, n in changes.items() if n]
     if rows:
         yield pd.DataFrame(rows, columns=["part", "mask", "quality", "toxic", "n"])
@@ -131,14 +132,12 @@ def counted_masks(spark: SparkSession, path: str, labels: DataFrame, micro_batch
               .select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
               .mapInArrow(judge, "key binary, doc_id long, part string, mask int"))
     zero = F.lit(0)
+    buckets = max(1, -(-spark.read.parquet(path).count() // BUCKET))  # counted from the files' footers
     keyed = (stream.join(marks, "doc_id", "left")
-             .select(F.col("key").isNull().alias("settled"),
-                     F.coalesce("key", F.concat(F.lit(b"settled"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("string").cast("binary"))).alias("key"),
+             .select(F.pmod(F.coalesce(F.xxhash64("key"), F.xxhash64("doc_id")), F.lit(buckets)).alias("bucket"), "key",
                      F.coalesce("doc_id", zero).alias("doc_id"), "part", "mask", F.coalesce("quality", zero).alias("quality"),
-                     F.coalesce("toxic", zero).alias("toxic"), F.lit(1).cast("long").alias("n")))
-    deltas = keyed.groupBy("key").applyInPandasWithState(
-        retract, _DELTA, "low long, part array<string>, mask array<int>, quality array<int>, toxic array<int>, n array<long>",
-        "update", GroupStateTimeout.NoTimeout)
+                     F.coalesce("toxic", zero).alias("toxic")))
+    deltas = keyed.groupBy("bucket").applyInPandasWithState(retract, _DELTA, "texts binary", "update", GroupStateTimeout.NoTimeout)
     out = scratch_path(spark, "llm-masks")
 
     def add(batch: DataFrame, number: int):
@@ -157,9 +156,9 @@ def interactions(masks: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("quality")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("bad"))
     steps = [(order, k, 1 << LETTERS.index(letter), sum(1 << LETTERS.index(x) for x in order[: k - 1]))
              for order in map("".join, itertools.permutations(LETTERS)) for k, letter in enumerate(order, 1)]
-    steps = F.array(*[F.struct(F.lit(order).alias("filter_order"), F.lit(k).alias("step"), F.lit(bit).alias("bit"),
-                               F.lit(earlier).alias("earlier")) for order, k, bit, earlier in steps])
-    rows = counts.select("*", F.explode(steps).alias("s")).select("part", "mask", "n", "good", "bad", "s.*")
+    plan = masks.sparkSession.createDataFrame(steps, "filter_order string, step int, bit int, earlier int")  # 600 rows
+    bits = F.explode(F.array(*[F.lit(1 << i) for i in range(len(LETTERS))])).alias("bit")
+    rows = counts.select("*", bits).join(F.broadcast(plan), "bit")
     fails, gone = F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("mask").bitwiseAND(F.col("earlier")) != 0
     removed = fails & ~gone
     zero = F.lit(0).cast("long")
