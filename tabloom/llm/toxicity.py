@@ -15,11 +15,13 @@ The vote weighs every neighbour by its squared cosine and its class's sampling w
 base rate; an isotonic fit on leave-one-out votes of the examples makes it a calibrated score.
 
 Documents without a known term (also empty and null texts) get the calibrated base rate.  Labels of
-documents whose crc32(id as text) mod 5 is 0 are never read.  Without usable labels every score is 0.
+documents whose crc32(id as text) mod 5 is 0 are never read.  Without a labelled document of either class every
+score is 0, so that no document is rejected.  Terms are known by 64-bit hashes; the driver holds arrays only.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 
@@ -38,19 +40,23 @@ FIRST_BLOCKS = 4
 DENSE, DENSE_SHARE, DENSE_ROWS = 1024, 32, 128  # terms at most, in one example of so many, queries at once
 SHRINK = 0.3
 _EDGE = ".,!?;:%$*&#|()[]{}\"'`<>"
+_SIGN = 1 << 63
 
 
-def terms_of(word: bytes) -> list[str]:
+def terms_of(word: bytes) -> list[int]:
+    """64-bit hashes (signed) of a word's terms."""
+    import xxhash
     w = word.decode("utf-8", "replace").strip(_EDGE)
     n = len(w)
-    return [w, *(w[:k] + "*" for k in range(3, min(n, 8)))] if n > 1 else []
+    terms = [w, *(w[:k] + "*" for k in range(3, min(n, 8)))] if n > 1 else []
+    return [(xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) ^ _SIGN) - _SIGN for t in terms]
 
 
 class TermIds:
     """Vocabulary ids of a word's terms, kept for words seen before."""
 
-    def __init__(self, vocabulary: list[str], limit: int = 400_000):
-        self.ids = {t: i for i, t in enumerate(vocabulary)}
+    def __init__(self, vocabulary: np.ndarray, limit: int = 400_000):
+        self.ids = dict(zip(vocabulary.tolist(), range(len(vocabulary))))
         self.seen, self.limit = {}, limit
 
     def counts(self, text: str | None) -> dict[int, int]:
@@ -93,8 +99,8 @@ class Index:
         self.slot = np.full(n_terms, -1, np.int32)
         self.slot[often] = np.arange(len(often))
         slot = self.slot[term]
-        self.dense = np.zeros((len(often), self.n))
-        self.dense[slot[slot >= 0], at[slot >= 0]] = weight[slot >= 0]
+        self.common = (slot[slot >= 0], at[slot >= 0], weight[slot >= 0])
+        self.n_dense = len(often)
         term, at, weight = term[slot < 0], at[slot < 0], weight[slot < 0]
         o = np.argsort(term, kind="stable")
         term, self.at, self.weight = term[o], at[o], weight[o]
@@ -106,6 +112,14 @@ class Index:
         self.seg_top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.term_start = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
 
+    @functools.cached_property
+    def dense(self) -> np.ndarray:
+        """Weights of the common terms by example; laid out where queries are answered, not on the driver."""
+        out = np.zeros((self.n_dense, self.n))
+        slot, at, weight = self.common
+        out[slot, at] = weight
+        return out
+
     def _add(self, acc: np.ndarray, seg: np.ndarray, weight: np.ndarray) -> None:
         """Add the products of the examples in the segments."""
         size = self.seg_size[seg]
@@ -199,6 +213,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray):
     return np.array([e for s in stack for e in s[2:]]), np.array([v for s in stack for v in (s[0], s[0])])
 
 
+def no_model() -> Model:
+    """Without an example of either class nothing can be told apart: every score is 0 and no document is rejected."""
+    return Model(np.zeros(0, np.int64), np.zeros(0), None, 0.0, (1.0, 1.0))
+
+
 def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int = 5, held: int = 0) -> Model:
     """Model from ``labels`` (doc_id, toxic) of documents outside the held-out remainder."""
     spark = docs.sparkSession
@@ -210,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
     size = dict(lab.groupBy("toxic").count().toPandas().itertuples(index=False, name=None))
     n1, n0 = int(size.get(1, 0)), int(size.get(0, 0))
     if not n1 or not n0:
-        return Model([], np.zeros(0), None, float(n1 > 0), (1.0, 1.0))
+        return no_model()
     take1 = min(n1, examples // 2)
     take0 = min(n0, examples - take1)
     picked = spark.createDataFrame(
@@ -221,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
     rows = {r["toxic"]: r["n"] for r in ex.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     m1, m0 = rows.get(1, 0), rows.get(0, 0)
     if not m1 or not m0:
-        return Model([], np.zeros(0), None, n1 / (n1 + n0), (1.0, 1.0))
+        return no_model()
 
     def by_term(batches):
         for b in batches:
@@ -230,9 +249,9 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
                 for t in {t for w in set((text or "").encode("utf-8", "replace").lower().split()) for t in terms_of(w)}:
                     got.setdefault(t, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(got), pa.string()), *(pa.array([v[i] for v in got.values()], pa.int64()) for i in (0, 1))],
+                [pa.array(list(got), pa.int64()), *(pa.array([v[i] for v in got.values()], pa.int64()) for i in (0, 1))],
                 names=["term", "c0", "c1"])
-    t = (map_batches(ex.select("text", "toxic"), by_term, "term string, c0 long, c1 long").groupBy("term")
+    t = (map_batches(ex.select("text", "toxic"), by_term, "term long, c0 long, c1 long").groupBy("term")
          .agg(F.sum("c0").cast("double").alias("b"), F.sum("c1").cast("double").alias("a")))
     total = float(m0 + m1)
     e = F.col("a") * (m0 - F.col("b")) - F.col("b") * (m1 - F.col("a"))
@@ -242,11 +261,11 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
     least = 2 * math.log(1 + t.where("chi is not null").count())
     t = t.orderBy("term").select("term", F.coalesce(F.greatest(F.lit(LEAST_FACTOR), F.least(F.lit(1.0), F.col("chi") / least)),
                                                     F.lit(LEAST_FACTOR)).alias("factor")).toArrow()
-    voc, factor = t.column("term").to_pylist(), t.column("factor").to_numpy()
-    shared = spark.sparkContext.broadcast(voc)
+    voc, factor = t.column("term").to_numpy(), t.column("factor").to_numpy()
+    shared = share(spark, voc)
 
     def vectors(batches):
-        ids = TermIds(shared.value)
+        ids = TermIds(shared_value(shared))
         for b in batches:
             got = [ids.counts(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -254,8 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
                  pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "t", "n"])
 
     def frequency(batches):
-        ids = TermIds(shared.value)
-        df, n = np.zeros(len(shared.value), np.int64), 0
+        ids = TermIds(shared_value(shared))
+        df, n = np.zeros(len(ids.ids), np.int64), 0
         for b in batches:
             n += b.num_rows
             for x in b.column(0).to_pylist():
@@ -277,6 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
     vec = [model.vector(a, n) for a, n in zip(got.column("t").to_numpy(), got.column("n").to_numpy())]
     ids, y = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
     model.index = Index(vec, ids, y, len(voc))
+    del vec, got, t
     shared_model = share(spark, model)
 
     def left_out(batches):

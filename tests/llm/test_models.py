@@ -106,6 +106,17 @@ def test_toxicity_held_out(llm, no_docs):
     assert toxicity(no_docs, labels).collect() == []
 
 
+def test_no_example_of_one_class_rejects_nothing(llm):
+    """Only toxic labels, and a label of the other class whose document is absent."""
+    from tabloom.llm.toxicity import drop_toxic, toxicity
+    docs = llm.createDataFrame([(i, f"plain words number {i} here", "en", "s", 9) for i in range(1, 21)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    for rows in ([(1, 0, 1), (2, 0, 1)], [(1, 0, 1), (999, 0, 0)], [(999, 0, 1), (2, 0, 0)], [(3, 1, 0)]):
+        labels = llm.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        assert drop_toxic(docs, labels).count() == 20
+        assert {(r["score"], r["predicted"]) for r in toxicity(docs, labels).collect()} == {(0.0, 0)}
+
+
 def test_copies_of_toxic_examples_without_telling_words(llm):
     from tabloom.llm.toxicity import drop_toxic, toxicity
     docs, labels = labelled(llm)
