@@ -27,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,30 +83,46 @@ class Index:
     """Block-max inverted index over the example vectors."""
 
     def __init__(self, vectors, ids: np.ndarray, toxic: np.ndarray, n_terms: int):
-        vectors = [(np.array(list(v), np.int64), np.array(list(v.values()), float)) if isinstance(v, dict) else v
-                   for v in vectors]
+        """``vectors``: (terms, weights, terms of each example) end to end, or a list of dictionaries."""
+        if isinstance(vectors, list):
+            sizes = np.array([len(v) for v in vectors], np.int64)
+            vectors = (np.array([t for v in vectors for t in v], np.int32), np.array([w for v in vectors for w in v.values()], float), sizes)
+        term, weight, sizes = vectors
+        self.n, self.blocks = len(sizes), -(-max(1, len(sizes)) // BLOCK)
         # like examples side by side: order by the heaviest term, so that block maxima are tight
-        key = [int(t[w == w.max()].min()) if len(t) else n_terms for t, w in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (key[i], ids[i]))
+        key = np.full(self.n, n_terms, np.int64)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            begin = (np.cumsum(sizes) - sizes)[full]
+            top = np.repeat(np.maximum.reduceat(weight, begin), sizes[full])
+            key[full] = np.minimum.reduceat(np.where(weight == top, term, n_terms), begin)
+            del top
+        order = np.lexsort((ids, key))
         self.ids, self.toxic = ids[order], toxic[order]
-        self.place = {int(ids[o]): i for i, o in enumerate(order)}
-        self.n, self.blocks = len(order), -(-max(1, len(order)) // BLOCK)
-        term = np.concatenate([vectors[o][0] for o in order] or [np.zeros(0, np.int64)]).astype(np.int32)
-        at = np.repeat(np.arange(self.n, dtype=np.int32), [len(vectors[o][0]) for o in order])
-        weight = np.concatenate([vectors[o][1] for o in order] or [np.zeros(0)])
+        self.place = {i: at for at, i in enumerate(self.ids.tolist())}
+        place = np.empty(self.n, np.int32)
+        place[order] = np.arange(self.n, dtype=np.int32)
+        at = np.repeat(place, sizes)
         df = np.bincount(term, minlength=n_terms)
         often = np.argsort(-df, kind="stable")[:DENSE]
         often = often[df[often] * DENSE_SHARE > self.n]
         self.slot = np.full(n_terms, -1, np.int32)
         self.slot[often] = np.arange(len(often))
-        slot = self.slot[term]
-        self.common = (slot[slot >= 0], at[slot >= 0], weight[slot >= 0])
+        slot = self.slot[term] if n_terms else np.zeros(0, np.int32)
+        rare = slot < 0
+        self.common = (slot[~rare], at[~rare], weight[~rare])
         self.n_dense = len(often)
-        term, at, weight = term[slot < 0], at[slot < 0], weight[slot < 0]
-        o = np.argsort(term, kind="stable")
-        term, self.at, self.weight = term[o], at[o], weight[o]
+        # postings by term and example; arrays go as soon as they are used up, an example has some thousand terms
+        key = term[rare].astype(np.int64) * max(1, self.n) + at[rare]
+        weight = weight[rare]
+        del term, at, slot, rare
+        o = np.argsort(key, kind="stable")
+        key, self.weight = key[o], weight[o]
+        del o, weight
+        self.at = (key % max(1, self.n)).astype(np.int32)
         # segments: the postings of one term in one block
-        cell = term.astype(np.int64) * self.blocks + self.at // BLOCK
+        cell = key // max(1, self.n) * self.blocks + self.at // BLOCK
+        del key
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
         self.seg_start, self.seg_size = first.astype(np.int32), np.diff(np.r_[first, len(cell)]).astype(np.int32)
         self.seg_block = (cell[first] % self.blocks).astype(np.int32)
@@ -288,15 +305,22 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
     idf = (1 + np.log((1 + n_docs) / (1 + df))) * factor
     sample = map_batches(ex.select("doc_id", "text", "toxic"), vectors,
                          "doc_id long, toxic int, t array<int>, n array<int>")
-    got = sample.toArrow().combine_chunks()
+    got = sample.toArrow()
     rate = n1 / (n1 + n0)
     weight = ((n0 / m0), (n1 / m1))
     scale = sum(weight) / 2
     model = Model(voc, idf, None, rate, (weight[0] / scale, weight[1] / scale))
-    vec = [model.vector(a, n) for a, n in zip(got.column("t").to_numpy(), got.column("n").to_numpy())]
     ids, y = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
-    model.index = Index(vec, ids, y, len(voc))
-    del vec, got, t
+    sizes = pc.list_value_length(got.column("t")).to_numpy().astype(np.int64)
+    term, n = (np.concatenate([c.flatten().to_numpy() for c in got.column(x).chunks]) for x in ("t", "n"))
+    del got, t
+    w = (1 + np.log(n)) * idf[term]
+    del n
+    full = sizes > 0
+    norm = np.sqrt(np.add.reduceat(w * w, (np.cumsum(sizes) - sizes)[full]))
+    w /= np.repeat(norm, sizes[full])
+    model.index = Index((term, w, sizes), ids, y, len(voc))
+    del term, w
     shared_model = share(spark, model)
 
     def left_out(batches):
