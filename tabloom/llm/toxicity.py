@@ -21,7 +21,6 @@ score is 0, so that no document is rejected.  Terms are known by 64-bit hashes;
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 
@@ -79,63 +78,87 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in two bytes each where they fit."""
+    return x.astype(np.uint16) if x.dtype.kind in "iu" and (not len(x) or x.max() < 1 << 16) else x
+
+
+_LAID_OUT = {"slot", "dense", "at", "weight", "seg_start", "seg_size", "seg_block", "seg_top", "term_start"}
+
+
 class Index:
     """Block-max inverted index over the example vectors."""
 
-    def __init__(self, vectors, ids: np.ndarray, toxic: np.ndarray, n_terms: int):
-        """``vectors``: (terms, weights, terms of each example) end to end, or a list of dictionaries."""
+    def __init__(self, vectors, ids: np.ndarray, toxic: np.ndarray, n_terms: int, idf: np.ndarray | None = None):
+        """``vectors``: a list of {term: weight}, or with ``idf`` the (terms, counts, terms of each example) end to end.
+
+        Kept and sent to tasks are the counts; weights, blocks and the dense matrix are laid out where the first
+        query is answered."""
         if isinstance(vectors, list):
             sizes = np.array([len(v) for v in vectors], np.int64)
-            vectors = (np.array([t for v in vectors for t in v], np.int32), np.array([w for v in vectors for w in v.values()], float), sizes)
-        term, weight, sizes = vectors
-        self.n, self.blocks = len(sizes), -(-max(1, len(sizes)) // BLOCK)
+            term = np.array([t for v in vectors for t in v], np.int32)
+            count = weight = np.array([w for v in vectors for w in v.values()], float)
+            self.norm = None
+        else:
+            term, count, sizes = vectors
+            weight = (1 + np.log(count)) * idf[term]
+        self.idf, self.n, self.blocks, self.n_terms = idf, len(sizes), -(-max(1, len(sizes)) // BLOCK), n_terms
+        full = np.flatnonzero(sizes)
+        begin = (np.cumsum(sizes) - sizes)[full]
+        if idf is not None:
+            norm = np.ones(self.n)
+            if len(full):
+                norm[full] = np.sqrt(np.add.reduceat(weight * weight, begin))
+            weight /= np.repeat(norm, sizes)
         # like examples side by side: order by the heaviest term, so that block maxima are tight
         key = np.full(self.n, n_terms, np.int64)
-        full = np.flatnonzero(sizes)
         if len(full):
-            begin = (np.cumsum(sizes) - sizes)[full]
             top = np.repeat(np.maximum.reduceat(weight, begin), sizes[full])
             key[full] = np.minimum.reduceat(np.where(weight == top, term, n_terms), begin)
             del top
         order = np.lexsort((ids, key))
         self.ids, self.toxic = ids[order], toxic[order]
         self.place = {i: at for at, i in enumerate(self.ids.tolist())}
+        if idf is not None:
+            self.norm = norm[order]
         place = np.empty(self.n, np.int32)
         place[order] = np.arange(self.n, dtype=np.int32)
-        at = np.repeat(place, sizes)
-        df = np.bincount(term, minlength=n_terms)
-        often = np.argsort(-df, kind="stable")[:DENSE]
-        often = often[df[often] * DENSE_SHARE > self.n]
-        self.slot = np.full(n_terms, -1, np.int32)
+        # postings by term and example
+        key = term.astype(np.int64) * max(1, self.n) + np.repeat(place, sizes)
+        self.df = np.bincount(term, minlength=n_terms)
+        del term, weight
+        o = np.argsort(key, kind="stable")
+        self.examples = _narrow((key % max(1, self.n))[o])
+        self.counts = _narrow(count[o])
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in _LAID_OUT}
+
+    def __getattr__(self, name):
+        if name not in _LAID_OUT:
+            raise AttributeError(name)
+        self._lay_out()
+        return self.__dict__[name]
+
+    def _lay_out(self) -> None:
+        term, at = np.repeat(np.arange(self.n_terms), self.df), self.examples.astype(np.int32)
+        weight = self.counts if self.norm is None else (1 + np.log(self.counts.astype(float))) * self.idf[term] / self.norm[at]
+        often = np.argsort(-self.df, kind="stable")[:DENSE]
+        often = often[self.df[often] * DENSE_SHARE > self.n]
+        self.slot = np.full(self.n_terms, -1, np.int32)
         self.slot[often] = np.arange(len(often))
-        slot = self.slot[term] if n_terms else np.zeros(0, np.int32)
+        slot = self.slot[term]
         rare = slot < 0
-        self.common = (slot[~rare], at[~rare], weight[~rare])
-        self.n_dense = len(often)
-        # postings by term and example; arrays go as soon as they are used up, an example has some thousand terms
-        key = term[rare].astype(np.int64) * max(1, self.n) + at[rare]
-        weight = weight[rare]
-        del term, at, slot, rare
-        o = np.argsort(key, kind="stable")
-        key, self.weight = key[o], weight[o]
-        del o, weight
-        self.at = (key % max(1, self.n)).astype(np.int32)
+        self.dense = np.zeros((len(often), self.n))
+        self.dense[slot[~rare], at[~rare]] = weight[~rare]
+        term, self.at, self.weight = term[rare], at[rare], weight[rare]
         # segments: the postings of one term in one block
-        cell = key // max(1, self.n) * self.blocks + self.at // BLOCK
-        del key
+        cell = term * self.blocks + self.at // BLOCK
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
         self.seg_start, self.seg_size = first.astype(np.int32), np.diff(np.r_[first, len(cell)]).astype(np.int32)
         self.seg_block = (cell[first] % self.blocks).astype(np.int32)
         self.seg_top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.term_start = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
-
-    @functools.cached_property
-    def dense(self) -> np.ndarray:
-        """Weights of the common terms by example; laid out where queries are answered, not on the driver."""
-        out = np.zeros((self.n_dense, self.n))
-        slot, at, weight = self.common
-        out[slot, at] = weight
-        return out
+        self.term_start = np.searchsorted(cell[first] // self.blocks, np.arange(self.n_terms + 1)).astype(np.int32)
 
     def _add(self, acc: np.ndarray, seg: np.ndarray, weight: np.ndarray) -> None:
         """Add the products of the examples in the segments."""
@@ -314,13 +337,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
     sizes = pc.list_value_length(got.column("t")).to_numpy().astype(np.int64)
     term, n = (np.concatenate([c.flatten().to_numpy() for c in got.column(x).chunks]) for x in ("t", "n"))
     del got, t
-    w = (1 + np.log(n)) * idf[term]
-    del n
-    full = sizes > 0
-    norm = np.sqrt(np.add.reduceat(w * w, (np.cumsum(sizes) - sizes)[full]))
-    w /= np.repeat(norm, sizes[full])
-    model.index = Index((term, w, sizes), ids, y, len(voc))
-    del term, w
+    model.index = Index((term, n, sizes), ids, y, len(voc), idf)
+    del term, n
     shared_model = share(spark, model)
 
     def left_out(batches):
