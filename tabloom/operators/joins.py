@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import rnd, col
 from .kernels import long_form
 from .ordering import first_per_key
+from .sketches import exact_overlap, possible_pairs
 
 
 @dataclass
@@ -119,17 +120,11 @@ def key_candidates_by_name(left: DataFrame, right: DataFrame) -> DataFrame:
 def key_candidates_by_overlap(left: DataFrame, right: DataFrame, min_ratio: float = 0.5) -> DataFrame:
     """J09 + U01: (left_column, right_column, overlap, left_distinct, ratio) for ratio >= ``min_ratio``.
 
-    Both sides are unpivoted to distinct (column, value-as-string) pairs and
-    joined on value: one job for all column pairs, no driver-side sets.  After
-    the distinct, a value meets at most |left columns| x |right columns> rows.
+    Sketches of all columns (one pass a side, nothing shuffled that grows with the rows) rule out the pairs
+    whose containment is certainly lower; the values of the surviving pairs alone are made distinct and joined.
     """
-    ld = long_form(left, left.columns, "string").where(F.col("value").isNotNull()).distinct()
-    rd = long_form(right, right.columns, "string").where(F.col("value").isNotNull()).distinct()
-    ldc = ld.groupBy(F.col("column").alias("left_column")).agg(F.count(F.lit(1)).alias("left_distinct"))
-    ov = (ld.select(F.col("column").alias("left_column"), "value")
-          .join(rd.select(F.col("column").alias("right_column"), "value"), "value")
-          .groupBy("left_column", "right_column").agg(F.count(F.lit(1)).alias("overlap")))
-    return (ov.join(F.broadcast(ldc), "left_column")
+    pairs = possible_pairs(left, left.columns, right, right.columns, min_ratio)
+    return (exact_overlap(left, right, pairs)
             .withColumn("ratio", F.col("overlap") / F.col("left_distinct"))
             .where(F.col("ratio") >= F.lit(min_ratio)))
 
