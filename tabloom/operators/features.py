@@ -226,10 +226,8 @@ def group_zscore(name: str, train: DataFrame, column: str, group: str) -> Fitted
 # F08 ------------------------------------------------------------------------------------------
 def quantile_bin(name: str, train: DataFrame, column: str, n_bins: int = 4) -> Fitted:
     """Bin index = number of train quantile edges (k / n_bins) strictly below x."""
-    from .kernels import quantile_edges, numeric_value_counts, cumulative_counts
-    probs = [k / n_bins for k in range(1, n_bins)]
-    edges = quantile_edges(cumulative_counts(numeric_value_counts(train, [column]).select("column", "value", "n")),
-                           probs).select("_edges")
+    from .kernels import quantile_edges
+    edges = quantile_edges(None, [k / n_bins for k in range(1, n_bins)], train, [column]).select("_edges")
 
     def fn(df):
         x = col(column).cast("double")

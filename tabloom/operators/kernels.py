@@ -6,8 +6,8 @@
 2. ``moments``: count/mean/std/min/max/skew/kurt per column (optionally per
    class) in long form; one aggregation instead of a per-column loop.
 3. ``quantiles``: exact linear-interpolated quantiles (pandas ``quantile``,
-   DuckDB ``quantile_cont``) read off cumulative counts of the numeric value
-   counts.  No per-group value map is built in one task, unlike the
+   DuckDB ``quantile_cont``), read off cumulative counts where the value counts
+   are there anyway, found by narrowing ranges (``selection``) from the rows.  No per-group value map is built in one task, unlike the
    ``percentile`` aggregate.
 """
 
@@ -134,11 +134,13 @@ def quantiles(df: DataFrame | None, columns: list[str] | None, probs: list[float
 
     For N non-null values the position is h = (N-1)q; the result is
     x[floor h] + (h - floor h)(x[ceil h] - x[floor h]) with x sorted ascending.
-    ``cum`` (from ``cumulative_counts``) may be passed to reuse one ordering pass.
+    ``cum`` (from ``cumulative_counts``) may be passed to reuse one ordering pass.  From the rows alone
+    (``df``) the ranks are found by narrowing ranges; the values are not counted in full.
     """
     if cum is None:
         if vc is None:
-            vc = numeric_value_counts(df, columns)
+            from .selection import select_quantiles
+            return select_quantiles(df, columns, probs)
         cum = cumulative_counts(vc.select("column", "value", "n"))
     totals = cum.groupBy("column").agg(F.sum("n").alias("n_tot"))
     # probe positions: one (column, q) row per requested quantile, two ranks each
@@ -159,9 +161,10 @@ def quantiles(df: DataFrame | None, columns: list[str] | None, probs: list[float
                          (F.col("x_lo") + F.col("frac") * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
 
 
-def quantile_edges(cum: DataFrame, probs: list[float]) -> DataFrame:
-    """(column, _edges array<double>) ascending, from a cumulative value-count table."""
-    q = quantiles(None, None, probs, cum=cum)
+def quantile_edges(cum: DataFrame | None, probs: list[float], df: DataFrame | None = None,
+                   columns: list[str] | None = None) -> DataFrame:
+    """(column, _edges array<double>) ascending, from a cumulative value-count table or the rows."""
+    q = quantiles(df, columns, probs, cum=cum)
     return q.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))),
                                                lambda s: s["value"]).alias("_edges"))
 

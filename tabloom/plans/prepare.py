@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.cols import datetime_columns, numeric_columns
+from ..functions.cols import col, datetime_columns, numeric_columns
 from ..operators import clean as CL
 from ..operators import distribution as DI
 from ..operators import profile as PR
 from ..operators import quality as Q
+from ..operators.heavy import near_constant, near_unique
 from ..session import materialize
 
 
@@ -27,13 +27,14 @@ def prepare_data(df: DataFrame, key: str | None = None, order_by=None, target: s
     # three more passes read the deduplicated table: write it once (shared checkpoint folder)
     out = materialize(out, "prepared")
     excl = [target] if target else []
-    const = CL.constant_columns(out, const_threshold, exclude=excl)
-    out = CL.drop_flagged(out, const)
-    card = CL.high_cardinality_columns(out, card_threshold, exclude=excl)
-    out = CL.drop_flagged(out, card)
-    reasons = (const.where("drop").select("column", F.lit("constant").alias("reason"), F.col("top_share").alias("share"))
-               .unionByName(card.where("drop").select("column", F.lit("high_cardinality").alias("reason"),
-                                                      F.col("unique_ratio").alias("share"))))
+    const = near_constant(out, [c for c in out.columns if c not in excl], const_threshold)
+    out = out.select(*[col(c) for c in out.columns if c not in const])
+    text = [f.name for f in out.schema.fields if f.dataType.simpleString() == "string" and f.name not in excl]
+    card = near_unique(out, text, card_threshold)
+    out = out.select(*[col(c) for c in out.columns if c not in card])
+    reasons = out.sparkSession.createDataFrame(
+        [(c, why, share) for why, found in (("constant", const), ("high_cardinality", card)) for c, share in found.items()],
+        "column string, reason string, share double")
     report = {"type_plan": plan, "duplicates": dropped, "dropped": reasons}
     return out, report | profile_bundle(out, target)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import datetime_columns, rnd, r6
 from ..operators import profile as PR
+from ..operators.heavy import top_counts
 from ..operators.kernels import moments, quantile_wide, numeric_value_counts, top_values, value_counts
 from ..session import materialize
 from ..sources.tables import load
@@ -391,8 +392,8 @@ SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n D
 
 @query("w02_top5_values", W02_SQL)
 def w02(spark, sf):
-    vc = value_counts(load(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"])
-    return top_values(vc, 5).select("column", "value", "n", F.col("rnk").cast("long").alias("rnk"))
+    top = top_counts(load(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"], 5)
+    return top.select("column", "value", "n", F.col("rnk").cast("long").alias("rnk"))
 
 
 U03_SQL = "WITH " + DUP_ORDERS_SQL + """
