@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .gram import correlations, kernel_sums
 from .kernels import cumulative_counts, long_form, moments, numeric_value_counts, quantile_wide
 from .profile import normality as large_normality
 
@@ -92,18 +93,26 @@ def normality(df: DataFrame, columns: list[str], small_n: int = SMALL_N) -> Data
 
 def modality(df: DataFrame, columns: list[str], grid: int = 200) -> DataFrame:
     """Number of strict interior local maxima of a Gaussian KDE (Scott bandwidth
-    std * n^(-1/5)) on ``grid`` points from min to max; n < 2 or std = 0 -> 1 peak.
+    std * n^(-1/5)) on ``grid`` points from min to max; n < 2 or std = 0 -> 1 peak.  One row per column, also
+    for columns without values.
     """
-    st = moments(df, columns).select("column", F.col("n").alias("n_all"), "std")
-    dens = kde_density(df, columns, grid)
-    peaks = (local_maxima(dens, "column", "i", "d")
+    st = _bandwidths(df, columns)
+    peaks = (local_maxima(kernel_sums(df, columns, st, grid), "column", "i", "d")
              .groupBy("column").agg(F.count(F.lit(1)).alias("peaks")))
-    out = st.join(peaks, "column", "left").select(
-        "column", F.when((F.col("n_all") < 2) | F.col("std").isNull() | (F.col("std") == 0), F.lit(1))
-        .otherwise(F.coalesce(F.col("peaks"), F.lit(0))).cast("long").alias("peaks"))
+    named = df.sparkSession.createDataFrame([(c, c in st) for c in columns], "column string, varies boolean")
+    out = named.join(peaks, "column", "left").select(
+        "column", F.when(~F.col("varies"), F.lit(1)).otherwise(F.coalesce(F.col("peaks"), F.lit(0))).cast("long").alias("peaks"))
     return out.withColumn("multimodal", F.col("peaks") > 1)
 
 
+def _bandwidths(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
+    """(min, max, Scott bandwidth) of the columns with at least two values that differ; one row reaches the driver."""
+    from ..functions.cols import col
+    v = {c: F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")) for c in columns}
+    row = df.agg(*[F.struct(F.count(x), F.min(x), F.max(x), F.stddev_samp(x)).alias(f"c{i}") for i, x in enumerate(v.values())]).first()
+    return {c: (lo, hi, std * n ** -0.2) for c, (n, lo, hi, std) in zip(columns, row) if n >= 2 and std}
+
+
 def local_maxima(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Rows whose ``value`` is strictly above both neighbours in ``order`` within ``group``.
 
@@ -117,17 +126,9 @@ def local_maxima(df: DataFrame, group: str, order: str, value: str) -> DataFrame
 def kde_density(df: DataFrame, columns: list[str], grid: int = 200) -> DataFrame:
     """(column, i, g, d): the unnormalised KDE of ``modality`` on its grid.
 
-    Every distinct value adds its kernel to the grid points of its column; the sums are combined
-    map-side, so work is linear in the distinct values and nothing of a column meets in one task.
+    Every task adds its values' kernels to one array of ``grid`` sums per column; only these arrays are shuffled.
     """
-    vc = numeric_value_counts(df, columns).select("column", "value", "n")
-    st = (moments(df, columns).where((F.col("n") >= 2) & (F.col("std") > 0))
-          .select("column", "min", "max", (F.col("std") * F.pow(F.col("n").cast("double"), -0.2)).alias("h")))
-    at = (vc.join(F.broadcast(st), "column")  # one row per profiled column
-          .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-          .withColumn("g", F.col("min") + F.col("i") * (F.col("max") - F.col("min")) / (grid - 1)))
-    z = (F.col("g") - F.col("value")) / F.col("h")
-    return at.groupBy("column", "i", "g").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("d"))
+    return kernel_sums(df, columns, _bandwidths(df, columns), grid)
 
 
 def spread(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -158,20 +159,24 @@ def per_column_pandas(df: DataFrame, columns: list[str], fn, schema: str, min_n:
     return lf.where(~F.col("column").isin(few) if few else F.lit(True)).groupBy("column").applyInPandas(fn, schema)
 
 
+def _double(name: str):
+    from ..functions.cols import col
+    return col(name).cast("double")
+
+
 def vif(df: DataFrame, features: list[str]) -> DataFrame:
     """Variance inflation factors 1 / (1 - R^2), R^2 of each feature on the others.
 
-    The k x k correlation matrix comes from one Spark aggregation (A24, signed); only the k small
-    regressions run on the driver.  A feature that the others determine gets infinity, a constant
+    The k x k correlation matrix comes from one pass over the rows (A24, signed), on the rows where both columns
+    have a value; only the k small regressions run on the driver.  A feature that the others determine gets infinity, a constant
     one NULL (and takes no part in the others' regressions).
     """
-    from ..functions.cols import col
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    row = df.agg(*[F.var_pop(col(f)).alias(f"v{i}") for i, f in enumerate(features)],
-                 *[S.pearson(col(features[i]), col(features[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    at = {f: i for i, f in enumerate(features)}
     r = np.eye(len(features))
-    for i, j in pairs:
-        r[i, j] = r[j, i] = row[f"p{i}_{j}"] or 0.0
+    for p in correlations(df, features).collect():  # k (k - 1) / 2 numbers
+        r[at[p["feature_i"]], at[p["feature_j"]]] = r[at[p["feature_j"]], at[p["feature_i"]]] = p["corr"] or 0.0
+    row = df.agg(*[F.var_pop(F.when(~F.isnan(x), x)).alias(f"v{i}") for i, x in
+                   enumerate(_double(f) for f in features)]).first()
     varies = [i for i in range(len(features)) if row[f"v{i}"]]
     out = []
     for i, f in enumerate(features):

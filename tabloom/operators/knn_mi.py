@@ -6,20 +6,22 @@ r_i = distance to its k_i-th nearest neighbour inside class c, m_i = number of
 points of any class with |x_j - x_i| < r_i (itself included).
 MI = psi(N) + mean psi(k_i) - mean psi(N_c(i)) - mean psi(m_i), clipped at 0.
 
-Plan (no range join, no all-pairs, no single-task window):
+Plan (no range join, no all-pairs, no self-join, no single-task window):
   * position of each point inside (feature, class) from the sliced running total;
   * the k nearest same-class neighbours of a 1-D point lie within k positions on
-    either side: an equi-join on (feature, class, position +- d), d = 1..k, gives
-    at most 2k candidates per point;
+    either side.  A class is cut into slices of ``SLICE`` positions; the k points
+    next to an edge are copied to the slice beyond it (a halo), so that lag and
+    lead inside a slice see every neighbour;
   * m_i from one running count over the union of points and two probes per
     point (x - r placed after equal points, x + r placed before them).
+A feature whose classes all have one point (or no values) has MI 0 and n 0.
 Ties are broken, as in the reference library, by a tiny deterministic jitter
 (here a function of the row id), after scaling each feature to unit variance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import col
@@ -29,6 +31,8 @@ from .kernels import long_form
 from .ordering import row_number_in, running_total
 
 JITTER = 1e-10
+#: positions of one class that a task takes at a time
+SLICE = 1_000_000
 
 
 def _hash_normal(*cols) -> "F.Column":
@@ -58,15 +62,8 @@ def knn_mutual_info(df: DataFrame, features: list[str], target: str, id_col: str
     pts = lf.join(nc, ["column", "_y"]).withColumn("_k", F.least(F.lit(k), F.col("_nc") - 1))
     pts = row_number_in(pts, ["column", "_y"], ["x", "_id"], out="_p")
     pts = materialize(pts, "positions")
-    # r_i: k_i-th smallest distance among the 2k positional neighbours
-    offs = F.array(*[F.lit(d) for d in range(-k, k + 1) if d != 0])
-    cand = pts.select("column", "_y", "_p", "x", "_k", F.explode(offs).alias("_d")) \
-        .withColumn("_q", F.col("_p") + F.col("_d"))
-    other = pts.select("column", "_y", F.col("_p").alias("_q"), F.col("x").alias("_x2"))
-    r = (cand.join(other, ["column", "_y", "_q"])
-         .groupBy("column", "_y", "_p", "x", "_k")
-         .agg(F.sort_array(F.collect_list(F.abs(F.col("x") - F.col("_x2")))).alias("_ds"))
-         .select("column", "_y", "_p", "x", "_k", F.element_at("_ds", F.col("_k").cast("int")).alias("_r")))
+    # r_i: k_i-th smallest distance among the k positions before and after
+    r = neighbour_radius(pts, k)
     # m_i from one running count over points and probes
     points = pts.select("column", F.col("x").alias("_v"), F.lit(1).alias("_tie"), F.lit(1).cast("long").alias("_w"),
                         F.lit(None).cast("string").alias("_py"), F.lit(None).cast("long").alias("_pp"),
@@ -85,13 +82,29 @@ def knn_mutual_info(df: DataFrame, features: list[str], target: str, id_col: str
     m = (swept.where(F.col("_side").isNotNull())
          .groupBy("column", "_py", "_pp")
          .agg((F.sum(F.when(F.col("_side") == "up", F.col("_cum"))) -
-               F.sum(F.when(F.col("_side") == "lo", F.col("_cum")))).alias("_m")))
-    per = (r.join(m, (r["column"] == m["column"]) & (r["_y"].cast("string") == m["_py"]) & (r["_p"] == m["_pp"]))
-           .drop(m["column"]).join(nc, ["column", "_y"]))
-    agg = per.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(digamma_int(F.col("_k"))).alias("_pk"), F.avg(digamma_int(F.col("_nc"))).alias("_pn"),
-        F.avg(digamma_int(F.col("_m"))).alias("_pm"))
+               F.sum(F.when(F.col("_side") == "lo", F.col("_cum")))).alias("_m"))
+         .groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.avg(digamma_int(F.col("_m"))).alias("_pm")))
+    size = F.col("_nc")
+    per_class = nc.groupBy("column").agg(
+        (F.sum(size * digamma_int(F.least(F.lit(k), size - 1))) / F.sum(size)).alias("_pk"),
+        (F.sum(size * digamma_int(size)) / F.sum(size)).alias("_pn"))
+    named = df.sparkSession.createDataFrame([(f,) for f in features], "column string")
+    agg = named.join(m, "column", "left").join(per_class, "column", "left")
+    value = F.greatest(F.lit(0.0), digamma_int(F.col("n")) + F.col("_pk") - F.col("_pn") - F.col("_pm"))
     return agg.select(F.col("column").alias("feature"),
-                      F.greatest(F.lit(0.0), digamma_int(F.col("n")) + F.col("_pk") - F.col("_pn") - F.col("_pm"))
-                      .alias("mutual_info"), "n")
+                      F.when(F.col("n") > 0, value).otherwise(F.lit(0.0)).alias("mutual_info"),
+                      F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def neighbour_radius(pts: DataFrame, k: int, size: int | None = None) -> DataFrame:
+    """(column, _y, _p, x, _k, _r): distance of every point to its _k-th nearest one of its (column, class), from
+    positions _p = 1.. in the order of x."""
+    size = max(size or SLICE, k)
+    own = F.floor((F.col("_p") - 1) / size)
+    at = F.pmod(F.col("_p") - 1, F.lit(size))
+    slices = F.array_compact(F.array(own, F.when(at < k, own - 1), F.when(at >= size - k, own + 1)))
+    rows = pts.select("column", "_y", "_p", "x", "_k", own.alias("_own"), F.explode(slices).alias("_s"))
+    w = Window.partitionBy("column", "_y", "_s").orderBy("_p")
+    near = [F.abs(F.col("x") - step("x", d).over(w)) for d in range(1, k + 1) for step in (F.lag, F.lead)]
+    return (rows.withColumn("_ds", F.sort_array(F.array_compact(F.array(*near)))).where("_s = _own")
+            .select("column", "_y", "_p", "x", "_k", F.element_at("_ds", F.col("_k").cast("int")).alias("_r")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import col, finite
 from ..functions import stats as S
 from ..session import materialize
+from .gram import correlations
 from .kernels import cumulative_counts, long_form, quantile_edges, quantiles, value_counts
 
 # The sentinel for missing numbers, the leak and the collinearity bounds.
@@ -125,38 +126,14 @@ def mi_from_counts(counts: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 
 def corr_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """|pearson| for every feature pair i < j in one wide aggregation.
-
-    Returns long form (feature_i, feature_j, abs_corr).  Cost is one pass with
-    k(k-1)/2 covariance aggregates: meant for candidate sets (k <= ~50).
-    """
-    if len(features) < 2:
-        return df.sparkSession.createDataFrame([], "feature_i string, feature_j string, abs_corr double")
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    aggs = [F.abs(S.pearson(col(a), col(b))).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
-    row = df.agg(*aggs)
-    arr = F.array(*[F.struct(F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"),
-                             F.col(f"p{k}").alias("abs_corr")) for k, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(arr))
-
-
-def gram_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """A24 for wide sets without NULLs: one pass builds the Gram matrix, k x k numbers reach the driver."""
-    import math
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    names = [f"_g{i}" for i in range(len(features))]  # the assembler does not take dotted names
-    plain = df.select(*[col(f).cast("double").alias(n) for f, n in zip(features, names)])
-    r = Correlation.corr(VectorAssembler(inputCols=names, outputCol="_v").transform(plain), "_v").first()[0].toArray()
-    rows = [(a, b, None if math.isnan(r[i, i + 1 + j]) else float(abs(r[i, i + 1 + j])))
-            for i, a in enumerate(features) for j, b in enumerate(features[i + 1:])]
-    return df.sparkSession.createDataFrame(rows, "feature_i string, feature_j string, abs_corr double")
+    """|pearson| for every feature pair i < j, (feature_i, feature_j, abs_corr), in one pass for any number of
+    features; NULLs leave a row out of the pairs they are in."""
+    return correlations(df, features).select("feature_i", "feature_j", F.abs("corr").alias("abs_corr"))
 
 
 def max_corr_table(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, max_corr_with_others, high_collinearity); single feature -> 0."""
-    pairs = gram_pairs(df, features) if len(features) > 12 else corr_pairs(df, features)
+    pairs = corr_pairs(df, features)
     both = pairs.select(F.col("feature_i").alias("feature"), "abs_corr").unionByName(
         pairs.select(F.col("feature_j").alias("feature"), "abs_corr"))
     names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
@@ -250,7 +227,8 @@ def feature_stats(train: DataFrame, features: list[str], target: str, bins: int
     The candidate matrix is persisted once; then two passes: one value-count
     aggregation (-> every per-feature statistic) and one wide pair-covariance
     aggregation (-> collinearity).  Nulls count in null_pct / nunique as NULL and
-    take the sentinel (-999, or -1 for encoded strings) in every other statistic.
+    take the sentinel (-999, or -1 for encoded strings) in every other statistic.  Without rows every feature has
+    zero statistics and a NULL null_pct.
     """
     if not features:
         return train.sparkSession.createDataFrame(
@@ -276,15 +254,18 @@ def feature_stats(train: DataFrame, features: list[str], target: str, bins: int
         F.count(F.when(F.col("n") > F.col("n_null"), F.lit(1))).alias("nunique"))
     enc = base.select(col(target), *[F.coalesce(col(f), F.lit(fills[f])).cast("double").alias(f) for f in features])
     classes = {r[0] for r in base.select(col(target).cast("double")).distinct().limit(3).collect()}
-    st = vc_stats(vc, bins) if classes <= {0.0, 1.0} else graded_stats(enc, features, target, bins)
+    binary = classes <= {0.0, 1.0}
+    st = vc_stats(vc, bins) if binary else graded_stats(enc, features, target, bins)
     mc = max_corr_table(enc, features)
-    return (st.join(nu, "feature").join(mc, "feature")
+    # every feature has a row, also without rows to judge
+    return (mc.join(nu, "feature", "left").join(st, "feature", "left")
             .select("feature",
                     F.coalesce("pearson", F.lit(0.0)).alias("pearson"),
                     F.coalesce("spearman", F.lit(0.0)).alias("spearman"),
                     F.coalesce("mutual_info", F.lit(0.0)).alias("mutual_info"),
-                    F.coalesce("auc", F.lit(0.5)).alias("auc"),
-                    "null_pct", "nunique", "max_corr_with_others", "high_collinearity"))
+                    # a target of more than two values has no AUC
+                    (F.coalesce("auc", F.lit(0.5)) if binary else F.col("auc")).alias("auc"),
+                    "null_pct", F.coalesce("nunique", F.lit(0)).alias("nunique"), "max_corr_with_others", "high_collinearity"))
 
 
 # A28 ------------------------------------------------------------------------------------------

@@ -42,3 +42,34 @@ def test_knn_mi_matches_brute_force(spark):
     assert math.isclose(got["x"], brute(sx, y), abs_tol=1e-9)
     assert math.isclose(got["z"], brute(sz, y), abs_tol=1e-9)
     assert got["x"] > got["z"]
+
+
+def test_slices_with_halo_see_every_neighbour(spark, monkeypatch):
+    import tabloom.operators.knn_mi as K
+    rng = np.random.default_rng(11)
+    y = rng.choice([0, 1, 2, 3], size=300, p=[0.6, 0.3, 0.09, 0.01])
+    x = rng.normal(size=300) * (1 + y)
+    df = spark.createDataFrame(pd.DataFrame({"rid": np.arange(300), "x": x, "y": y.astype("int32")}))
+    want = brute(x / x.std(), y)
+    for size in (3, 7, 50, 1000):
+        monkeypatch.setattr(K, "SLICE", size)
+        got = K.knn_mutual_info(df, ["x"], "y", "rid", jitter=False).first()
+        assert math.isclose(got["mutual_info"], want, abs_tol=1e-9)
+
+
+def test_no_self_join_in_the_plan(spark):
+    from pyspark.sql import functions as F
+
+    from tabloom.operators.knn_mi import neighbour_radius
+    pts = spark.range(50).select(F.lit("a").alias("column"), F.lit(1).alias("_y"), (F.col("id") + 1).alias("_p"),
+                                 (F.col("id") * F.col("id")).cast("double").alias("x"), F.lit(3).alias("_k"))
+    got = {r["_p"]: r["_r"] for r in neighbour_radius(pts, 3, 10).collect()}
+    v = [float(i * i) for i in range(50)]
+    assert got == {i + 1: sorted(abs(v[i] - z) for j, z in enumerate(v) if j != i)[2] for i in range(50)}
+    assert "Join" not in neighbour_radius(pts, 3)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_targets_unique_per_row_and_no_values(spark):
+    df = spark.createDataFrame([(i, float(i), None, i) for i in range(20)], "rid long, x double, none double, y long")
+    got = {r["feature"]: (r["mutual_info"], r["n"]) for r in knn_mutual_info(df, ["x", "none"], "y", "rid").collect()}
+    assert got == {"x": (0.0, 0), "none": (0.0, 0)}
