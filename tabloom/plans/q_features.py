@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.cols import r6
+from ..functions.cols import r6, rnd
 from ..operators import features as FE
 from ..operators import joins as JN
 from ..operators.kernels import exact_mean
+from ..operators.rolling import recent_against_year
 from ..sources.tables import load
 from . import problems
 from .fixtures import line_fx, line_fx_sql
@@ -373,6 +374,26 @@ def a32(spark, sf):
         "user_id", *[r6(F.col(f.name)).alias(f.name) for f in fits])
 
 
+@query("a32_recent_against_year", """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS cust, o_orderdate,
+                  CAST(o_totalprice AS DECIMAL(28,8)) AS v FROM orders),
+s AS (SELECT o_orderkey,
+             CAST(sum(v) OVER (PARTITION BY cust ORDER BY o_orderdate RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE) AS recent,
+             count(v) OVER (PARTITION BY cust ORDER BY o_orderdate RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS recent_n,
+             CAST(sum(v) OVER (PARTITION BY cust ORDER BY o_orderdate RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE)
+               * (30.0::DOUBLE / 365.0::DOUBLE) AS yearly_mean
+      FROM o)
+SELECT o_orderkey, round(recent, 4) + 0.0 AS recent, recent_n, round(yearly_mean, 4) + 0.0 AS yearly_mean,
+       round(recent / nullif(yearly_mean, 0), 6) + 0.0 AS recent_ratio FROM s""")
+def a32_year(spark, sf):
+    """Each order against its customer's last 30 days and year; one customer is given a third of the orders."""
+    o = load(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("o_custkey")).alias("cust"), "o_orderdate", "o_totalprice")
+    out = recent_against_year(o, o, "cust", "o_orderkey", "o_orderdate", "o_orderdate", "o_totalprice")
+    return out.select("o_orderkey", rnd(F.col("recent"), 4).alias("recent"), "recent_n", rnd(F.col("yearly_mean"), 4).alias("yearly_mean"),
+                      r6(F.col("recent_ratio")).alias("recent_ratio"))
+
+
 # F20 ------------------------------------------------------------------------------------------
 F20_NUMS = ["o_custkey", "o_totalprice", "c_acctbal", "c_nationkey"]
 
