@@ -9,6 +9,8 @@ from ..session import scratch_path
 from ..sources import files as FS
 from ..sources.tables import TABLES, Catalog, load
 from . import problems
+from ..sources.pairs import read_pair, write_pair
+from .q_clean import both_sides
 from .registry import query
 
 
@@ -111,22 +113,55 @@ def s08(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("s09_sink_train_test")
+@query("s09_sink_train_test", problems.with_sql("docs") + """
+SELECT v.format, t.side, t.doc_id, t.quality, t.toxic
+FROM (SELECT 'train' AS side, doc_id, quality, toxic FROM docs_train
+      UNION ALL SELECT 'test', doc_id, NULL, toxic FROM docs_test) t, (VALUES ('csv'), ('parquet')) v(format)""")
 def s09(spark, sf):
+    """Both sides written as one version of a pair, and read back through its manifest."""
     p = problems.docs(spark, sf)
-    rows = []
-    for name, df in (("train", p.train), ("test", p.test)):
-        for fmt in ("csv", "parquet"):
-            path = FS.write_table(df, scratch_path(spark, f"{name}_{fmt}"), fmt)
-            back = FS.read_csv(spark, path) if fmt == "csv" else spark.read.parquet(path)
-            rows.append(back.agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(name).alias("side"), F.lit(fmt).alias("format"), "rows"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    out = None
+    for fmt in ("csv", "parquet"):
+        path = scratch_path(spark, f"pair_{fmt}")
+        write_pair(p.train, p.test, path, fmt)
+        both = both_sides(*read_pair(spark, path)).select(F.lit(fmt).alias("format"), "side", "doc_id", "quality", "toxic")
+        out = both if out is None else out.unionByName(both)
     return out
 
 
+@query("s01_quoted_records", """
+SELECT doc_id, md5(text) AS text_md5, 'say ""' || source || '"", ok' AS quoted FROM documents""")
+def s01_quoted(spark, sf):
+    """Texts with line breaks, separators and quotes, through a delimited file."""
+    path = scratch_path(spark, "quoted")
+    docs = load(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit('say ""'), "source", F.lit('"", ok')).alias("quoted"))
+    (docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    back = FS.read_csv(spark, path, schema="doc_id long, text string, quoted string")
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "quoted")
+
+
+@query("s04_folder_catalog", """
+SELECT 'customer' AS "table", ';' AS separator, count(*) AS "rows", 5 AS cols, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns,
+       CAST(NULL AS VARCHAR) AS error FROM customer
+UNION ALL SELECT 'orders', chr(9), count(*), 4, 'o_orderkey,o_custkey,o_orderstatus,o_orderdate', NULL FROM orders
+UNION ALL SELECT 'ragged', ',', count(*), 2, 'o_orderkey,o_custkey', 'records with more fields than the header' FROM orders
+UNION ALL SELECT 'joined', NULL, count(*), 2, 'o_orderkey,c_name', NULL FROM orders JOIN customer ON o_custkey = c_custkey""")
+def s04_folder(spark, sf):
+    """A folder of tables in several files each, one of which has records with too many fields."""
+    folder = scratch_path(spark, "folder")
+    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
+    c.write.option("header", True).option("sep", ";").csv(f"{folder}/customer")
+    o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").write.option("header", True).option("sep", "\t").csv(f"{folder}/orders")
+    extra = F.when(F.col("o_orderkey") % 7 == 0, F.lit(",1")).otherwise(F.lit(""))
+    lines = o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_custkey").cast("string"), extra).alias("value"))
+    lines.withColumnRenamed("value", "o_orderkey,o_custkey").write.option("header", True).option("quote", "").option(
+        "sep", "|").csv(f"{folder}/ragged")
+    joined = JN.join(o, c, "o_custkey", "c_custkey", "inner").select("o_orderkey", "c_name")
+    got = FS.folder_catalog(spark, folder, {"joined": joined})
+    return got.select("table", "separator", "rows", "cols", "columns", "error")
+
+
 @query("s10_drop_target", problems.with_sql("docs") + " SELECT doc_id, toxic FROM docs_folds WHERE fold = 0")
 def s10(spark, sf):
     f = problems.docs(spark, sf).folds
