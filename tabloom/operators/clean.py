@@ -297,7 +297,10 @@ def _json_safe(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.ArrayType):
         return F.transform(c, lambda x: _json_safe(x, dt.elementType))
     if isinstance(dt, T.StructType):
-        return F.struct(*[_json_safe(c[f.name], f.dataType).alias(f.name) for f in dt.fields])
+        inner = F.struct(*[_json_safe(c[f.name], f.dataType).alias(f.name) for f in dt.fields])
+        return F.when(c.isNotNull(), inner)
+    if isinstance(dt, T.MapType):
+        return F.transform_values(c, lambda k, v: _json_safe(v, dt.valueType))
     return c
 
 

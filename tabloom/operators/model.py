@@ -93,6 +93,54 @@ def score_set(train: DataFrame, features: list[str], target: str, fold: str, max
     return summary, importances
 
 
+def fit_scorer(train: DataFrame, features: list[str], target: str, path: str, max_iter: int = GBT_ITERATIONS):
+    """Fit on all training rows and save what scoring needs under ``path``: the label dictionaries of the text
+    columns, the assembler and the trees, as one pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer
+    text = [f for f in features if dict(train.dtypes)[f] in ("string", "boolean")]
+    names = {f: f"_x{i}" for i, f in enumerate(features)}
+    design = with_balanced_weight(_scorer_input(train, features).withColumn(target, col(target).cast("double")), target)
+    # unseen and missing labels are numbered last, like a label of their own
+    steps = [StringIndexer(inputCol=f"_t{features.index(f)}", outputCol=names[f], stringOrderType="alphabetAsc", handleInvalid="keep") for f in text]
+    steps += [VectorAssembler(inputCols=[names[f] for f in features], outputCol="_features"), gbt(max_iter, target)]
+    Pipeline(stages=steps).fit(design).write().overwrite().save(path)
+    return path
+
+
+def _scorer_input(df: DataFrame, features: list[str]) -> DataFrame:
+    kinds = dict(df.dtypes)
+    out = {}
+    for i, f in enumerate(features):
+        if kinds[f] in ("string", "boolean"):
+            out[f"_t{i}"] = col(f).cast("string")
+        else:
+            x = col(f).cast("double")
+            out[f"_x{i}"] = F.coalesce(F.when(~F.isnan(x), x), F.lit(Q.SENTINEL))
+    return df.withColumns(out)
+
+
+def score_hidden(test: DataFrame, hidden: DataFrame, features: list[str], id_col: str, target: str, path: str
+                 ) -> tuple[DataFrame, DataFrame]:
+    """M01, test side: (scored rows, summary) of the scorer saved under ``path``.
+
+    The hidden labels are joined by id (J12); rows without one are scored but not judged.  Summary: test_rows,
+    labelled_rows, test_auc, test_gini (NULL when only one class is labelled)."""
+    from pyspark.ml import PipelineModel
+    model = PipelineModel.load(path)
+    scored = model.transform(_scorer_input(test, features).withColumn("_w", F.lit(1.0))).select(
+        col(id_col), vector_to_array("probability")[1].alias("score"))
+    rows = scored.join(hidden.select(col(id_col), col(target).cast("double").alias("label")), id_col, "left")
+    from ..session import materialize
+    rows = materialize(rows, "scored")
+    judged = rows.where("label is not null")
+    table = Q.spearman_auc_table(judged.select("score", "label"), ["score"], "label")
+    n = rows.agg(F.count(F.lit(1)).alias("test_rows"), F.count("label").alias("labelled_rows"))
+    from .joins import one_row_join
+    auc_row = table.agg(F.max("auc").alias("test_auc"))
+    return rows, one_row_join(n, auc_row).withColumn("test_gini", 2 * F.col("test_auc") - 1)
+
+
 def importance_ranking(train: DataFrame, features: list[str], target: str, max_iter: int = 100) -> DataFrame:
     """Boosted-tree importances, ranked descending (feature, importance, rank)."""
     design = _assemble(with_balanced_weight(numeric_matrix(train, features, target), target)

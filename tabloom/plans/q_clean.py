@@ -230,19 +230,21 @@ def p17(spark, sf):
 
 @query("p18_json_safe_records", """
 SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS ratio, c_custkey % 4 <> 3 AS ratio_is_null,
-       CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS nested
+       CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS nested, CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS in_map,
+       c_custkey % 4 <> 3 AS map_is_null
 FROM customer""")
 def p18(spark, sf):
-    """NaN and both infinities, also inside arrays, read back from the JSON text."""
+    """NaN and both infinities, also inside arrays and maps, read back from the JSON text."""
     c = load(spark, sf, "customer")
     k = F.col("c_custkey") % 4
     bad = (F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).otherwise(F.col("c_acctbal")))
-    noisy = c.withColumn("ratio", bad).withColumn("list", F.array(F.lit(1.0), bad))
+    noisy = c.withColumn("ratio", bad).withColumn("list", F.array(F.lit(1.0), bad)).withColumn("map", F.create_map(F.lit("m"), bad))
     at = lambda path: F.get_json_object("json", path)
     return CL.to_json_safe(noisy).select(
         at("$.c_custkey").cast("long").alias("c_custkey"), at("$.c_name").alias("c_name"),
         at("$.ratio").cast("double").alias("ratio"), F.col("json").contains('"ratio":null').alias("ratio_is_null"),
-        F.nullif(at("$.list[1]"), F.lit("null")).cast("double").alias("nested"))
+        F.nullif(at("$.list[1]"), F.lit("null")).cast("double").alias("nested"),
+        F.nullif(at("$.map.m"), F.lit("null")).cast("double").alias("in_map"), F.col("json").contains('"m":null').alias("map_is_null"))
 
 
 # P21 / P23 ------------------------------------------------------------------------------------

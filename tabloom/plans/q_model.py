@@ -10,7 +10,7 @@ from ..operators import model as MD
 from ..operators import validate as V
 from ..sources.tables import load
 from . import problems
-from .controller import fallback_ladder, two_round
+from .controller import fallback_ladder, top_up, two_round
 from .q_clean import both_sides
 from .q_features import OC_SQL, orders_with_customer
 from .q_quality import FEATURES, orders_matrix
@@ -29,6 +29,19 @@ def m01(spark, sf):
     return summary
 
 
+@query("m01_test_side")
+def m01_test(spark, sf):
+    """Saved scorer, loaded again for the held-back rows: AUC and Gini against their hidden labels, twice over
+    (as one number per set, and by the ranking of the scored rows)."""
+    from ..session import scratch_path
+    p, every, tr = orders_with_customer(spark, sf)
+    feats = ["o_totalprice", "c_acctbal", "o_orderstatus", "c_mktsegment"]
+    path = MD.fit_scorer(tr, feats, "target", scratch_path(spark, "scorer"), max_iter=100)
+    hidden = p.folds.where(F.col("fold") == 0).select("o_orderkey", "target")
+    _, summary = MD.score_hidden(every.where(F.col("fold") == 0).drop("target"), hidden, feats, "o_orderkey", "target", path)
+    return summary
+
+
 @query("t03_top20_importances")
 def t03(spark, sf):
     feats = ["o_totalprice", "c_acctbal", "fe_te_status", "fe_freq_segment", "fe_price_z"]
@@ -98,6 +111,26 @@ def m09(spark, sf):
                                      *[r6(F.col(f)).alias(f) for f in feats])
 
 
+@query("m09_top_up", problems.with_sql("docs") + """,
+d AS (SELECT doc_id, min(lang) AS lang, min(source) AS source, min(n_chars) AS n_chars FROM documents GROUP BY doc_id),
+med AS (SELECT quantile_cont(CAST(n_chars AS DOUBLE), 0.5) AS m FROM d),
+fl AS (SELECT lang AS c, count(*) / (SELECT count(lang) FROM documents) AS f FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+fs AS (SELECT source AS c, count(*) / (SELECT count(source) FROM documents) AS f FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT t.side, t.doc_id, t.quality, t.toxic, CASE WHEN t.side = 'train' THEN doc_id % 7 ELSE 0 END + 0.0 AS fe_train_only, doc_id % 5 + 0.0 AS fe_mod,
+       round(coalesce(fl.f, 0.0), 6) + 0.0 AS fb_freq_lang, round(coalesce(fs.f, 0.0), 6) + 0.0 AS fb_freq_source,
+       round(coalesce(CAST(d.n_chars AS DOUBLE), med.m), 6) + 0.0 AS fb_map_n_chars
+FROM (SELECT 'train' AS side, doc_id, quality, toxic FROM docs_train
+      UNION ALL SELECT 'test', doc_id, NULL, toxic FROM docs_test) t LEFT JOIN d USING (doc_id) LEFT JOIN fl ON d.lang = fl.c LEFT JOIN fs ON d.source = fs.c CROSS JOIN med""")
+def m09_top_up(spark, sf):
+    """Two features are left after the leak filter (one of them on the train side only): three more fill the set."""
+    p = problems.docs(spark, sf)
+    tr = p.train.withColumn("fe_train_only", (F.col("doc_id") % 7).cast("double")).withColumn("fe_mod", (F.col("doc_id") % 5).cast("double"))
+    te = p.test.withColumn("fe_mod", (F.col("doc_id") % 5).cast("double"))
+    docs = load(spark, sf, "documents")
+    tr, te, feats = top_up(tr, te, ["fe_train_only", "fe_gone", "fe_mod"], {"documents": docs}, {"documents": ("doc_id", "doc_id")})
+    return both_sides(tr, te).select("side", "doc_id", "quality", "toxic", *[r6(F.col(f)).alias(f) for f in feats])
+
+
 # M10 / M11 / M13 ------------------------------------------------------------------------------
 @query("m10_target_detection", problems.with_sql("orders") + """
 SELECT 'o_flag' AS "column", 0 AS position, count(DISTINCT o_orderkey % 3) AS n_distinct, false AS chosen FROM orders_train

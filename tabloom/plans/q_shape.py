@@ -82,10 +82,7 @@ SELECT "column", count(value) AS non_null, count(DISTINCT value) AS unique_count
 
 @query("p19_prepare_pipeline", P19_SQL)
 def p19(spark, sf):
-    from ..session import materialize
-    # the raw text table is the input of the prepare pipeline: written once like an input file
-    raw = materialize(line_fx(spark, sf).select(*P19_IN), "p19-input")
-    out, _ = prepare_data(raw)
+    out, _ = prepare_data(line_fx(spark, sf).select(*P19_IN))
     vc = value_counts(out, out.columns)
     return vc.groupBy("column").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
                                     .cast("long").alias("non_null"), F.count("value").alias("unique_count"))
@@ -107,12 +104,26 @@ def p19_dropped(spark, sf):
     return rep["dropped"].select("column", "reason", r6(F.col("share")).alias("share"))
 
 
-@query("p20_train_test_processing")
+def _clip(c):
+    return f"round(least(greatest(CAST(s.{c} AS DOUBLE), b.{c}_lo), b.{c}_hi), 6) + 0.0 AS {c}"
+
+
+P20_NUMS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@query("p20_train_test_processing", problems.with_sql("orders") + f""",
+b AS (SELECT {", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.01) AS {c}_lo, quantile_cont(CAST({c} AS DOUBLE), 0.99) AS {c}_hi" for c in P20_NUMS)}
+      FROM orders_train),
+s AS (SELECT 'train' AS side, * FROM orders_train UNION ALL SELECT 'test', *, NULL FROM orders_test)
+SELECT s.side, {", ".join(_clip(c) for c in P20_NUMS)}, {_clip("o_totalprice").replace("AS o_totalprice", "AS price_text")},
+       s.o_orderstatus, s.o_orderdate, s.target
+FROM s CROSS JOIN b""")
 def p20(spark, sf):
     p = problems.orders(spark, sf)
     tr = p.train.withColumn("price_text", F.col("o_totalprice").cast("string"))
     te = p.test.withColumn("price_text", F.col("o_totalprice").cast("string"))
-    return both_sides(*process_pair(tr, te, "target"))
+    both = both_sides(*process_pair(tr, te, "target"))
+    return both.select("side", *[r6(F.col(c)).alias(c) for c in [*P20_NUMS, "price_text"]], "o_orderstatus", "o_orderdate", "target")
 
 
 @query("p21_output_projection", problems.with_sql("docs") + """,
