@@ -37,6 +37,7 @@ LEAST_FACTOR = 0.1
 NEIGHBOURS = 15
 BLOCK = 64
 FIRST_BLOCKS = 4
+STEP = 1 << 18  # postings laid out at a time
 DENSE, DENSE_SHARE, DENSE_ROWS = 1024, 32, 128  # terms at most, in one example of so many, queries at once
 SHRINK = 0.3
 _EDGE = ".,!?;:%$*&#|()[]{}\"'`<>"
@@ -141,28 +142,42 @@ class Index:
         return self.__dict__[name]
 
     def _lay_out(self) -> None:
-        term, at = np.repeat(np.arange(self.n_terms), self.df), self.examples.astype(np.int32)
-        weight = self.counts if self.norm is None else (1 + np.log(self.counts.astype(float))) * self.idf[term] / self.norm[at]
+        """Dense matrix of the common terms, postings and segments (the postings of one term in one block) of the
+        others; some hundred thousand postings at a time, so that nothing of full length is made on the way."""
         often = np.argsort(-self.df, kind="stable")[:DENSE]
         often = often[self.df[often] * DENSE_SHARE > self.n]
         self.slot = np.full(self.n_terms, -1, np.int32)
         self.slot[often] = np.arange(len(often))
-        slot = self.slot[term]
-        rare = slot < 0
         self.dense = np.zeros((len(often), self.n))
-        self.dense[slot[~rare], at[~rare]] = weight[~rare]
-        term, self.at, self.weight = term[rare], at[rare], weight[rare]
-        # segments: the postings of one term in one block
-        cell = term * self.blocks + self.at // BLOCK
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.seg_start, self.seg_size = first.astype(np.int32), np.diff(np.r_[first, len(cell)]).astype(np.int32)
-        self.seg_block = (cell[first] % self.blocks).astype(np.int32)
-        self.seg_top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.term_start = np.searchsorted(cell[first] // self.blocks, np.arange(self.n_terms + 1)).astype(np.int32)
+        begin = np.r_[0, np.cumsum(self.df)]
+        rare = int(self.df.sum() - self.df[often].sum())
+        self.at, self.weight = np.empty(rare, self.examples.dtype), np.empty(rare)
+        cuts = np.unique(np.r_[np.searchsorted(begin, np.arange(0, begin[-1], STEP)), self.n_terms])
+        done, segs = 0, []
+        for lo, hi in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist()):
+            part = slice(begin[lo], begin[hi])
+            term, at = np.repeat(np.arange(lo, hi), self.df[lo:hi]), self.examples[part]
+            w = self.counts[part]
+            w = w if self.norm is None else (1 + np.log(w.astype(float))) * self.idf[term] / self.norm[at]
+            slot = self.slot[term]
+            m = slot >= 0
+            self.dense[slot[m], at[m]] = w[m]
+            term, at, w = term[~m], at[~m], w[~m]
+            if not len(term):
+                continue
+            self.at[done: done + len(at)], self.weight[done: done + len(at)] = at, w
+            cell = term * self.blocks + at // BLOCK
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            segs.append(((first + done).astype(np.int32), np.diff(np.r_[first, len(cell)]).astype(np.uint8),
+                         _narrow(cell[first] % self.blocks), np.maximum.reduceat(w, first), term[first].astype(np.int32)))
+            done += len(at)
+        segs = [np.concatenate(x) for x in zip(*segs)] if segs else [np.zeros(0, np.int32)] * 3 + [np.zeros(0), np.zeros(0, np.int32)]
+        self.seg_start, self.seg_size, self.seg_block, self.seg_top, of = segs
+        self.term_start = np.searchsorted(of, np.arange(self.n_terms + 1)).astype(np.int32)
 
     def _add(self, acc: np.ndarray, seg: np.ndarray, weight: np.ndarray) -> None:
         """Add the products of the examples in the segments."""
-        size = self.seg_size[seg]
+        size = self.seg_size[seg].astype(np.int64)
         p = _ranges(self.seg_start[seg], size)
         acc += np.bincount(self.at[p], np.repeat(weight, size) * self.weight[p], minlength=self.n)
 
