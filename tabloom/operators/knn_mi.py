@@ -13,7 +13,8 @@ Plan (no range join, no all-pairs, no self-join, no single-task window):
     next to an edge are copied to the slice beyond it (a halo), so that lag and
     lead inside a slice see every neighbour;
   * m_i from one running count over the union of points and two probes per
-    point (x - r placed after equal points, x + r placed before them).
+    point (x - r placed after equal points, x + r placed before them; where r
+    is 0 it counts the points equal to x_i).
 A feature whose classes all have one point (or no values) has MI 0 and n 0.
 Ties are broken, as in the reference library, by a tiny deterministic jitter
 (here a function of the row id), after scaling each feature to unit variance.
@@ -71,10 +72,13 @@ def knn_mutual_info(df: DataFrame, features: list[str], target: str, id_col: str
     # probes just inside the radius: the k-th neighbour at exactly r must not be counted even
     # when x + r rounds past it (shrink 1e-12 relative, far below the tie jitter)
     rr = F.col("_r") * (1 - 1e-12)
-    up = r.select("column", (F.col("x") + rr).alias("_v"), F.lit(0).alias("_tie"),
+    # a radius of 0 (equal values) or below the spacing of numbers at x leaves the probes at x itself: they take in
+    # the points equal to x, of which the point is one
+    over, under = F.col("x") + rr, F.col("x") - rr
+    up = r.select("column", over.alias("_v"), F.when(over > F.col("x"), 0).otherwise(2).alias("_tie"),
                   F.lit(0).cast("long").alias("_w"), F.col("_y").cast("string").alias("_py"), F.col("_p").alias("_pp"),
                   F.lit("up").alias("_side"))
-    lo = r.select("column", (F.col("x") - rr).alias("_v"), F.lit(2).alias("_tie"),
+    lo = r.select("column", under.alias("_v"), F.when(under < F.col("x"), 2).otherwise(0).alias("_tie"),
                   F.lit(0).cast("long").alias("_w"), F.col("_y").cast("string").alias("_py"), F.col("_p").alias("_pp"),
                   F.lit("lo").alias("_side"))
     swept = running_total(points.unionByName(up).unionByName(lo), ["column"], ["_v", "_tie"], weight="_w",

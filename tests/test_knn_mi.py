@@ -57,6 +57,23 @@ def test_slices_with_halo_see_every_neighbour(spark, monkeypatch):
         assert math.isclose(got["mutual_info"], want, abs_tol=1e-9)
 
 
+def test_equal_values_have_radius_zero(spark):
+    """A point whose neighbours equal it counts the points equal to it (itself included): no psi(0)."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 200)
+    x = np.where(rng.random(200) < 0.5, rng.integers(0, 4, 200) + 0.0, rng.normal(size=200))
+    pdf = pd.DataFrame({"rid": np.arange(200), "x": x, "c": np.full(200, 1e6), "y": y.astype("int32")})
+    got = {r["feature"]: r for r in knn_mutual_info(spark.createDataFrame(pdf), ["x", "c"], "y", "rid", jitter=False).collect()}
+    s, parts = x / x.std(), []
+    for i in range(200):
+        same = s[y == y[i]]
+        r = np.sort(np.abs(same - s[i]))[3]
+        near = np.abs(s - s[i])
+        parts.append(_psi(3) - _psi(len(same)) - _psi(int(np.sum(near < r) if r > 0 else np.sum(near == 0))))
+    assert math.isclose(got["x"]["mutual_info"], max(0.0, _psi(200) + np.mean(parts)), abs_tol=1e-9)
+    assert got["c"]["mutual_info"] == 0.0 and got["c"]["n"] == 200
+
+
 def test_no_self_join_in_the_plan(spark):
     from pyspark.sql import functions as F
 
