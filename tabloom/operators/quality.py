@@ -62,9 +62,14 @@ def pearson_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 def rank_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Value counts with average rank per value (ties share the mean rank)."""
-    vc = value_counts(df, features, target, "double").where(F.col("value").isNotNull())
-    cum = cumulative_counts(vc)
-    return cum.withColumn("avg_rank", F.col("cum_before") + (F.col("n") + 1) / 2.0)
+    return ranks_of(value_counts(df, features, target, "double").where(F.col("value").isNotNull()))
+
+
+def ranks_of(vc: DataFrame) -> DataFrame:
+    """Average ranks from (column, value, n).  The counts and the ranks are written once: the running total reads its
+    input several times and the sums read the ranks twice."""
+    cum = cumulative_counts(materialize(vc, "value-counts"))
+    return materialize(cum.withColumn("avg_rank", F.col("cum_before") + (F.col("n") + 1) / 2.0), "ranks")
 
 
 def spearman_auc_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -74,7 +79,11 @@ def spearman_auc_table(df: DataFrame, features: list[str], target: str) -> DataF
     and everything reduces to sums over the value-count table (one row per
     distinct value), centred for numerical stability.
     """
-    rt = rank_table(df, features, target)
+    return spearman_auc_of(rank_table(df, features, target))
+
+
+def spearman_auc_of(rt: DataFrame) -> DataFrame:
+    """Spearman rho and ROC AUC from the rank table (column, n, sum_y, avg_rank)."""
     g = rt.groupBy(F.col("column").alias("feature")).agg(
         F.sum("n").alias("n_tot"), F.sum("sum_y").alias("n_pos"),
         F.sum(F.col("avg_rank") * F.col("sum_y")).alias("R_pos"))
@@ -96,12 +105,12 @@ def spearman_auc_table(df: DataFrame, features: list[str], target: str) -> DataF
 def mi_binned(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
     """Plug-in mutual information (nats) between decile bins of each feature and the target.
 
-    Edges are the exact train quantiles k/bins; bin = number of edges strictly
-    below x.  Returns (feature, mutual_info), never negative.
+    Edges are the exact train quantiles k/bins, found by narrowing (no value is counted that is not near one of
+    them); bin = number of edges strictly below x.  Returns (feature, mutual_info), never negative.
     """
+    df = materialize(df.select(col(target), *[col(f) for f in features]), "binned-input")  # read four times
     lf = long_form(df, features, "double", [target]).where(F.col("value").isNotNull())
-    probs = [k / bins for k in range(1, bins)]
-    edges = _edges(lf, probs)
+    edges = quantile_edges(None, [k / bins for k in range(1, bins)], df, features)
     binned = (lf.join(F.broadcast(edges), "column")
               .select("column", col(target).alias("_y"),
                       F.size(F.filter("_edges", lambda e: e < F.col("value"))).alias("bin")))
@@ -109,11 +118,6 @@ def mi_binned(df: DataFrame, features: list[str], target: str, bins: int = 10) -
                           "column", "bin", "_y").withColumnRenamed("column", "feature")
 
 
-def _edges(lf: DataFrame, probs: list[float]) -> DataFrame:
-    vc = lf.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return quantile_edges(cumulative_counts(vc), probs)
-
-
 def mi_from_counts(counts: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """sum p(x,y) ln(p(x,y) / (p(x) p(y))) per group from (group, x, y, n)."""
     wx = Window.partitionBy(group, x)
