@@ -340,30 +340,12 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, voc: Vocabulary):
         chosen_path.append(p)
     v, _, _ = best()
 
-    def pieces_of(d, s):
-        """(places, lengths) of sample s of text d."""
-        a, z = bounds[d], bounds[d + 1]
-        if s == 0:
-            own, where, size = paths[0][1]
-            i, j = np.searchsorted(own, [a, z])
-            return where[i:j], size[i:j]
-        occ = int(paths[s][2][d])
-        w0, s0 = pieces_of(d, int(chosen_path[s][d]))
-        begin = lat.begin[chunk[a:occ]]
-        head = int((lat.end[chunk[a:occ]] - begin).sum())
-        cut = int(np.searchsorted(np.cumsum(s0), head, "right")) if head else 0
-        seg = np.array(paths[s][3][occ], np.int64)
-        at = lat.begin[chunk[occ]] + np.cumsum(seg) - seg
-        own, where, size = paths[s][1]
-        i, j = np.searchsorted(own, [occ + 1, z])
-        return np.concatenate([w0[:cut], at, where[i:j]]), np.concatenate([s0[:cut], seg, size[i:j]])
-
     for d in range(n):
         if not alive[d]:
             out[d] = [(np.zeros(0, np.int32), 0.0, float(value[d]), 1.0)]
             continue
         for s, g in emitted[d]:
-            where, size = pieces_of(d, s)
+            where, size = _pieces_of(d, s, lat, chunk, bounds, paths, chosen_path)
             ids, _ = lat.piece_ids(where, size, voc)
             lp = float(paths[s][0][bounds[d]: bounds[d + 1]].sum())
             inc = -math.expm1(-math.exp(min(lp - v[d], 700.0))) if np.isfinite(v[d]) else 1.0
@@ -371,6 +353,25 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, voc: Vocabulary):
     return out
 
 
+def _pieces_of(d: int, s: int, lat: Lattices, chunk: np.ndarray, bounds: np.ndarray, paths: list, chosen_path: list):
+    """(places, lengths) of sample s of text d.  Not nested in ``sample_texts``: a nested function that calls itself is
+    a reference cycle, which keeps all lattices of a part until Python's next full collection."""
+    a, z = bounds[d], bounds[d + 1]
+    own, where, size = paths[s][1]
+    if s == 0:
+        i, j = np.searchsorted(own, [a, z])
+        return where[i:j], size[i:j]
+    occ = int(paths[s][2][d])
+    w0, s0 = _pieces_of(d, int(chosen_path[s][d]), lat, chunk, bounds, paths, chosen_path)
+    begin = lat.begin[chunk[a:occ]]
+    head = int((lat.end[chunk[a:occ]] - begin).sum())
+    cut = int(np.searchsorted(np.cumsum(s0), head, "right")) if head else 0
+    seg = np.array(paths[s][3][occ], np.int64)
+    at = lat.begin[chunk[occ]] + np.cumsum(seg) - seg
+    i, j = np.searchsorted(own, [occ + 1, z])
+    return np.concatenate([w0[:cut], at, where[i:j]]), np.concatenate([s0[:cut], seg, size[i:j]])
+
+
 def _log_of(lat: Lattices, chunk: int, seg) -> float:
     at, q = int(lat.begin[chunk]), 0.0
     for n in seg:

@@ -171,6 +171,22 @@ def test_piece_sampling_exact_distribution():
     assert abs(np.mean([sum(math.exp(y[1]) / y[3] for y in x) for x in two]) - 1) < 0.05
 
 
+def test_piece_sampling_frees_its_lattices():
+    """Lattices of a part go when it is done, without a collection of reference cycles."""
+    import gc
+    import public_tokenizers
+    from tabloom.llm.pieces import Lattices, Vocabulary, sample_texts
+    voc = Vocabulary(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read(), 1.0)
+    gc.collect()
+    gc.disable()
+    try:
+        got = sample_texts(["the cat sat", "", "on the mat"], np.arange(3, dtype=np.uint64), 2, voc)
+        assert [len(x) for x in got] == [2, 1, 2]
+        assert not any(isinstance(x, Lattices) for x in gc.get_objects())
+    finally:
+        gc.enable()
+
+
 def test_piece_sampling_round_trip(docs, odd_docs, no_docs):
     import public_tokenizers
     from tabloom.llm.pieces import decode, sample_encode
