@@ -22,7 +22,6 @@ score is 0, so that no document is rejected.  Terms are known by 64-bit hashes;
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_batches, share, shared_value
+from .common import cut, fresh, map_batches
 
 EXAMPLES = 8000
 LEAST_FACTOR = 0.1
@@ -44,33 +43,71 @@ _EDGE = ".,!?;:%$*&#|()[]{}\"'`<>"
 _SIGN = 1 << 63
 
 
+def _terms(word: bytes) -> list[bytes]:
+    """A word's terms."""
+    if word.isascii():
+        w = word.strip(_EDGE.encode())
+        return [w, *[w[:k] + b"*" for k in range(3, min(len(w), 8))]] if len(w) > 1 else []
+    w = word.decode("utf-8", "replace").strip(_EDGE)
+    return [t.encode("utf-8", "replace") for t in (w, *(w[:k] + "*" for k in range(3, min(len(w), 8))))] if len(w) > 1 else []
+
+
 def terms_of(word: bytes) -> list[int]:
     """64-bit hashes (signed) of a word's terms."""
     import xxhash
-    w = word.decode("utf-8", "replace").strip(_EDGE)
-    n = len(w)
-    terms = [w, *(w[:k] + "*" for k in range(3, min(n, 8)))] if n > 1 else []
-    return [(xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) ^ _SIGN) - _SIGN for t in terms]
+    return [(xxhash.xxh3_64_intdigest(t) ^ _SIGN) - _SIGN for t in _terms(word)]
+
+
+class _Numbers(dict):
+    """Words numbered as they come; ``new`` holds those whose terms are not looked up yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 class TermIds:
-    """Vocabulary ids of a word's terms, kept for words seen before."""
+    """Vocabulary ids (places in the sorted ``vocabulary``) of the terms of texts; those of words seen before are
+    kept, as arrays, and emptied between batches when there are ``limit`` words."""
 
     def __init__(self, vocabulary: np.ndarray, limit: int = 400_000):
-        self.ids = dict(zip(vocabulary.tolist(), range(len(vocabulary))))
-        self.seen, self.limit = {}, limit
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out = {}
-        seen, ids = self.seen, self.ids
-        for w, n in Counter(text.encode("utf-8", "replace").lower().split()).items() if text else ():
-            hit = seen.get(w)
-            if hit is None:
-                if len(seen) >= self.limit:
-                    seen.clear()
-                hit = seen[w] = tuple(ids[t] for t in terms_of(w) if t in ids)
-            for t in hit:
-                out[t] = out.get(t, 0) + n
+        self.vocabulary, self.limit = vocabulary, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        # the terms of word n are flat[begin[n]: begin[n + 1]]
+        self.seen, self.flat, self.begin = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _look_up(self) -> None:
+        from xxhash import xxh3_64_intdigest
+        terms = [_terms(w) for w in self.seen.new]
+        word = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        h = np.array([xxh3_64_intdigest(x) for t in terms for x in t], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), max(0, len(self.vocabulary) - 1))
+        hit = self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(len(h), bool)
+        self.flat = np.concatenate([self.flat, at[hit].astype(np.int32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.bincount(word[hit], minlength=len(terms)))])
+        self.seen.new.clear()
+
+    def counts(self, texts) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, how often each occurs) of every text, the terms ascending."""
+        if len(self.seen) >= self.limit:
+            self._clear()
+        number = self.seen.__getitem__
+        words = [np.array([number(w) for w in x.encode("utf-8", "replace").lower().split()] if x else (), np.int64) for x in texts]
+        if self.seen.new:
+            self._look_up()
+        out = []
+        for w in words:
+            begin = self.begin[w]
+            term = np.sort(self.flat[_ranges(begin, self.begin[w + 1] - begin)])
+            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+            out.append((term[first], np.diff(np.r_[first, len(term)])))
         return out
 
 
@@ -84,7 +121,12 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint16) if x.dtype.kind in "iu" and (not len(x) or x.max() < 1 << 16) else x
 
 
-_LAID_OUT = {"slot", "dense", "at", "weight", "seg_start", "seg_size", "seg_block", "seg_top", "term_start"}
+def _rounded_up(x: np.ndarray) -> np.ndarray:
+    """In four bytes each and not below x: a bound stays one."""
+    return np.nextafter(x.astype(np.float32), np.float32(np.inf))
+
+
+_LAID_OUT = {"slot", "dense", "at", "weight", "posting", "seg_start", "seg_size", "seg_block", "seg_top", "term_start"}
 
 
 class Index:
@@ -150,7 +192,8 @@ class Index:
         self.slot[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.n))
         begin = np.r_[0, np.cumsum(self.df)]
-        rare = int(self.df.sum() - self.df[often].sum())
+        own = np.where(self.slot < 0, self.df, 0)
+        self.posting, rare = np.r_[0, np.cumsum(own)].astype(np.int32), int(own.sum())
         self.at, self.weight = np.empty(rare, self.examples.dtype), np.empty(rare)
         cuts = np.unique(np.r_[np.searchsorted(begin, np.arange(0, begin[-1], STEP)), self.n_terms])
         done, segs = 0, []
@@ -169,9 +212,9 @@ class Index:
             cell = term * self.blocks + at // BLOCK
             first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             segs.append(((first + done).astype(np.int32), np.diff(np.r_[first, len(cell)]).astype(np.uint8),
-                         _narrow(cell[first] % self.blocks), np.maximum.reduceat(w, first), term[first].astype(np.int32)))
+                         _narrow(cell[first] % self.blocks), _rounded_up(np.maximum.reduceat(w, first)), term[first].astype(np.int32)))
             done += len(at)
-        segs = [np.concatenate(x) for x in zip(*segs)] if segs else [np.zeros(0, np.int32)] * 3 + [np.zeros(0), np.zeros(0, np.int32)]
+        segs = [np.concatenate(x) for x in zip(*segs)] if segs else [np.zeros(0, np.int32)] * 3 + [np.zeros(0, np.float32), np.zeros(0, np.int32)]
         self.seg_start, self.seg_size, self.seg_block, self.seg_top, of = segs
         self.term_start = np.searchsorted(of, np.arange(self.n_terms + 1)).astype(np.int32)
 
@@ -181,6 +224,12 @@ class Index:
         p = _ranges(self.seg_start[seg], size)
         acc += np.bincount(self.at[p], np.repeat(weight, size) * self.weight[p], minlength=self.n)
 
+    def _add_all(self, acc: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
+        """Add the products of all examples: the postings of a term lie side by side."""
+        size = (self.posting[terms + 1] - self.posting[terms]).astype(np.int64)
+        p = _ranges(self.posting[terms], size)
+        acc += np.bincount(self.at[p], np.repeat(weight, size) * self.weight[p], minlength=self.n)
+
     def products(self, queries) -> np.ndarray:
         """Products of the dense terms, a row per query (terms, weights)."""
         m = np.zeros((len(queries), len(self.dense)))
@@ -193,9 +242,10 @@ class Index:
         """(positions, cosines) of the k best examples with a positive cosine, best first.
 
         The blocks with the highest bounds give a first k-th cosine; then every block whose bound
-        reaches it is scored, and no other can hold one of the k best.  ``acc``: the query's ``products``."""
+        reaches it is scored (all at once where most do), and no other can hold one of the k best.  ``acc``: the query's ``products``."""
         terms, weight = (np.array(list(q), np.int64), np.array(list(q.values()))) if isinstance(q, dict) else q
-        acc = self.products([(terms, weight)])[0] if acc is None else acc
+        common = self.products([(terms, weight)])[0] if acc is None else acc
+        of_term, acc = weight, common.copy()
         size = self.term_start[terms + 1] - self.term_start[terms]
         seg, weight = _ranges(self.term_start[terms], size), np.repeat(weight, size)
         block = self.seg_block[seg]
@@ -210,8 +260,12 @@ class Index:
         kth = np.partition(acc, -k)[-k] if self.n > k else 0.0
         rest = (bound > 0) & (bound >= kth - 1e-12) & ~first
         if rest.any():
-            m = rest[block]
-            self._add(acc, seg[m], weight[m])
+            if 2 * np.count_nonzero(rest) > self.blocks:
+                acc = common.copy()
+                self._add_all(acc, terms, of_term)
+            else:
+                m = rest[block]
+                self._add(acc, seg[m], weight[m])
             if without is not None:
                 acc[without] = 0
         acc = np.round(acc, 12)  # equal examples are equal whatever the order of the sums
@@ -225,6 +279,24 @@ class Model:
     def __init__(self, vocabulary, idf, index, rate, weight, steps=None):
         self.vocabulary, self.idf, self.index, self.rate, self.weight = vocabulary, idf, index, rate, weight
         self.steps = steps  # isotonic fit: (votes, scores)
+        self.sent = None
+
+    def send(self, spark):
+        """Broadcast of the model without its isotonic fit, made once.  Plain arrays, which tasks use as they come: neither
+        executors nor the driver hold a pickled copy beside them."""
+        if self.sent is None:
+            index = self.index.__getstate__() if self.index else None
+            self.sent = spark.sparkContext.broadcast((self.vocabulary, self.idf, index, self.rate, self.weight))
+        return self.sent
+
+    @staticmethod
+    def received(value, steps=None) -> Model:
+        vocabulary, idf, state, rate, weight = value
+        index = None
+        if state is not None:
+            index = Index.__new__(Index)
+            index.__dict__.update(state)
+        return Model(vocabulary, idf, index, rate, weight, steps)
 
     def vector(self, terms, counts):
         """(terms, weights) of length one."""
@@ -317,23 +389,23 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
     t = t.orderBy("term").select("term", F.coalesce(F.greatest(F.lit(LEAST_FACTOR), F.least(F.lit(1.0), F.col("chi") / least)),
                                                     F.lit(LEAST_FACTOR)).alias("factor")).toArrow()
     voc, factor = t.column("term").to_numpy(), t.column("factor").to_numpy()
-    shared = share(spark, voc)
+    shared = spark.sparkContext.broadcast(voc)
 
     def vectors(batches):
-        ids = TermIds(shared_value(shared))
+        ids = TermIds(shared.value)
         for b in batches:
-            got = [ids.counts(x) for x in b.column(1).to_pylist()]
+            got = ids.counts(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([list(g) for g in got], pa.list_(pa.int32())),
-                 pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "t", "n"])
+                [b.column(0), b.column(2), *(pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1))],
+                names=["doc_id", "toxic", "t", "n"])
 
     def frequency(batches):
-        ids = TermIds(shared_value(shared))
-        df, n = np.zeros(len(ids.ids), np.int64), 0
+        ids = TermIds(shared.value)
+        df, n = np.zeros(len(ids.vocabulary), np.int64), 0
         for b in batches:
             n += b.num_rows
-            for x in b.column(0).to_pylist():
-                df[list(ids.counts(x))] += 1
+            for t, _ in ids.counts(b.column(0).to_pylist()):
+                df[t] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], n])], names=["pos", "df"])
     got = map_batches(docs.select("text"), frequency, "pos long, df long").groupBy("pos").agg(F.sum("df").alias("df")).toArrow()
@@ -354,12 +426,12 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
     del got, t
     model.index = Index((term, n, sizes), ids, y, len(voc), idf)
     del term, n
-    shared_model = share(spark, model)
+    sent = model.send(spark)
 
     def left_out(batches):
-        m = shared_value(shared_model)
+        m = Model.received(sent.value)
         for b in batches:
-            queries = [m.vector(a, n) for a, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            queries = [m.vector(a, n) for a, n in zip(*(b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)))]
             votes = [v[0] for v in m.votes(queries, [m.index.place[i] for i in b.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(votes, pa.float64())], names=["toxic", "vote"])
     got = map_batches(sample, left_out, "toxic int, vote double").toArrow()
@@ -370,12 +442,12 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
 
 def with_scores(docs: DataFrame, model: Model, names: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """``docs`` with four more columns: score, predicted, neighbour ids and their cosines."""
-    shared = share(docs.sparkSession, model)
+    sent, steps = model.send(docs.sparkSession), model.steps
     at = docs.columns.index(text_col)
 
     def run(batches):
         import xxhash
-        m = shared_value(shared)
+        m = Model.received(sent.value, steps)
         ids, known = TermIds(m.vocabulary), {}
         for b in batches:
             texts = b.column(at).to_pylist()
@@ -383,15 +455,17 @@ def with_scores(docs: DataFrame, model: Model, names: tuple[str, ...], text_col:
             if len(known) > 50_000:
                 known.clear()
             new = {k: x for k, x in zip(keys, texts) if k not in known}
-            counts = [ids.counts(x) for x in new.values()]
-            votes = m.votes([m.vector(list(c), list(c.values())) for c in counts])
-            for key, (vote, near, sim) in zip(new, votes):
-                known[key] = (m.score(vote), m.index.ids[near].tolist() if near else [], [round(x, 6) for x in sim])
+            votes = m.votes([m.vector(t, n) for t, n in ids.counts(new.values())])
+            for key, (vote, near, sim) in zip(new, votes):  # kept as bytes: lists of numbers take four times as much
+                near = m.index.ids[near] if near else np.zeros(0, np.int64)
+                known[key] = (m.score(vote), near.astype(np.int64).tobytes(), np.array([round(x, 6) for x in sim], float).tobytes())
             got = [known[k] for k in keys]
+            off = pa.array(np.r_[0, np.cumsum([len(g[1]) // 8 for g in got])].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(off, pa.array(np.frombuffer(b"".join([g[i] for g in got]), kind)))
+                     for i, kind in ((1, np.int64), (2, np.float64))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([g[0] for g in got], pa.float64()),
-                 pa.array([int(g[0] >= 0.5) for g in got], pa.int32()),
-                 pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
+                 pa.array([int(g[0] >= 0.5) for g in got], pa.int32()), *lists],
                 names=[*b.schema.names, *names])
     from pyspark.sql import types as T
     kinds = (T.DoubleType(), T.IntegerType(), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType()))

@@ -132,6 +132,57 @@ def test_copies_of_toxic_examples_without_telling_words(llm):
     assert used and not used & {r["doc_id"] - 1000 for r in drop_toxic(docs, labels).collect() if (r["doc_id"] or 0) > 5999}
 
 
+def test_term_ids_keep_no_copy_of_the_vocabulary():
+    import tracemalloc
+    from collections import Counter
+    from tabloom.llm.toxicity import TermIds, terms_of
+    text = "The cat, the CAT and catalogues: abc*d naïveté naïve x ##"
+    every = sorted({t for w in text.encode().lower().split() for t in terms_of(w)})
+    big = np.unique(np.r_[np.arange(300_000), np.array(every[::2], np.int64)])
+    tracemalloc.start()
+    try:
+        ids = TermIds(big)
+        got = ids.counts([text, None, "", "cat unknown cat", text])
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20  # a dict of the vocabulary takes some 30 MB
+    finally:
+        tracemalloc.stop()
+    for t, (term, n) in zip([text, "", "", "cat unknown cat", text], got):
+        want = Counter(h for w in t.encode().lower().split() for h in terms_of(w) if h in set(every[::2]))
+        assert dict(zip(big[term].tolist(), n.tolist())) == want and (np.diff(term) > 0).all()
+    ids.limit = 1
+    again = ids.counts([text])[0]  # emptied before the batch
+    assert [x.tolist() for x in again] == [x.tolist() for x in got[0]]
+
+
+def test_sent_model_holds_arrays_and_finds_the_same():
+    """What is broadcast is no pickle of the model beside the model, and blocks scored all at once give the same cosines."""
+    from tabloom.llm.toxicity import Index, Model
+    r = np.random.default_rng(8)
+    sizes = r.integers(1, 40, 700)
+    term = np.concatenate([r.choice(3000, n, replace=False) for n in sizes])
+    idf = r.random(3000) + 0.5
+    model = Model(np.arange(3000), idf, Index((term, r.integers(1, 5, len(term)), sizes), np.arange(700), np.zeros(700, int), 3000, idf),
+                  0.5, (1.0, 1.0))
+
+    class Context:
+        broadcast = staticmethod(lambda value: value)
+
+    class Session:
+        sparkContext = Context
+    value = model.send(Session)
+    assert model.send(Session) is value and not any(isinstance(x, (bytes, Model, Index)) for x in value)
+    sent = Model.received(value)
+    queries = [model.vector(r.choice(3000, 30, replace=False), r.integers(1, 5, 30)) for _ in range(40)]
+    dense = np.zeros((700, 3000))
+    begin = np.r_[0, np.cumsum(sizes)]
+    for i, at in enumerate(model.index.ids):
+        dense[i, term[begin[at]: begin[at + 1]]] = 1
+    for t, w in queries:
+        a, b = model.index.nearest((t, w), 9), sent.index.nearest((t, w), 9)
+        assert a == b and len(a[0]) == min(9, int((dense[:, t].sum(axis=1) > 0).sum()))
+        assert all(dense[i, t].any() for i in a[0])
+
+
 def test_neighbours_are_exact():
     from tabloom.llm.toxicity import Index
     r = np.random.default_rng(2)
