@@ -12,7 +12,8 @@ class, never all pairs); links are confirmed on full sets (100 * intersection >=
 components are formed.  Keys whose classes still lie in several components go through their members in
 blocks of at most ``BLOCK``: pairs across components whose signatures agree in at least the threshold
 less SLACK standard deviations (a true link fails that with probability 2e-5) are compared on full sets
-in the task, and only links that join components are emitted.  A pair is looked at under the first key it
+in the task, and only links that join components are emitted.  Full sets are fetched only for members of such a pair:
+unrelated classes that share a key by chance, whose number grows faster than the input, go no further than signatures.  A pair is looked at under the first key it
 shares.  No member is left out of a block.
 
 Null text counts as empty.  Rows with a repeated id are classified each by its own text.  Rows without
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, connected_components, cut, map_batches, mix, release, shingle_hashes, words_of
+from .common import WordHash, connected_components, cut, likely, map_batches, mix, release, shingle_hashes, words_of
 
 PERMS, ROWS = 80, 5
 WIDTH, PERCENT = 5, 80
@@ -118,20 +119,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def joining_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links of ``members`` (key, m, digest, root, n, bands, sig, s; m rows per key) that join
-    components; a pair is compared under the first key it shares."""
+def _partners(t: pa.Table, percent: int):
+    """Of the members of one cell (key, half, digest, root, n, bands, sig) each with a partner: its place and the
+    places of those across components, likeliest first, whose size and signature allow a link.  A pair is looked at
+    under the first key it shares."""
     share = percent / 100
     least = share - SLACK * (share * (1 - share) / (2 * PERMS)) ** 0.5
+    key = t.column("key")[0].as_py()
+    dig, root = t.column("digest").to_numpy(), t.column("root").to_numpy()
+    n, half = t.column("n").to_numpy(), t.column("half").to_numpy()
+    sig = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()])
+    bands = np.stack(t.column("bands").to_numpy(zero_copy_only=False))
+    cross = half.min() != half.max()  # a cell of two blocks: pairs inside a block belong to another cell
+    for i in range(len(dig)):
+        y = np.flatnonzero((half[i] < half if cross else dig[i] < dig) & (root != root[i])
+                           & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n)))
+        if not len(y):
+            continue
+        agree = (sig[i] == sig[y]).mean(axis=1)
+        y, agree = y[agree >= least], agree[agree >= least]
+        if not len(y):
+            continue
+        y = y[np.argsort(-agree, kind="stable")]
+        y = y[bands[i][(bands[i] == bands[y]).argmax(axis=1)] == key]
+        if len(y):
+            yield i, y
+
+
+def with_partner(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Cells of ``members`` (key, m, digest, root, n, bands, sig; m rows per key): the rows that are in a pair whose full
+    sets have to be compared, with their cell (key, c1, c2) and half of it."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    cells = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    # a key of more than one block: every pair of blocks is one cell, and a row goes to the cells of its block
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("blk", "other").alias("c1"), F.greatest("blk", "other").alias("c2"),
+                         (F.col("blk") > F.col("other")).cast("int").alias("half"), "digest", "root", "n", "bands", "sig")
 
     def run(t: pa.Table) -> pa.Table:
-        key = t.column("key")[0].as_py()
+        found = np.zeros(t.num_rows, bool)
+        for i, y in _partners(t, percent):
+            found[i] = True
+            found[y] = True
+        return t.filter(pa.array(found))
+    return cells.groupBy("key", "c1", "c2").applyInArrow(run, cells.schema)
+
+
+def joining_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of ``members`` (as for ``with_partner``) that join components; ``sets`` (digest, s) are the full ones."""
+    def run(t: pa.Table) -> pa.Table:
         dig, root = t.column("digest").to_numpy(), t.column("root").to_numpy()
-        n, half = t.column("n").to_numpy(), t.column("half").to_numpy()
-        sig = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()])
-        bands = np.stack(t.column("bands").to_numpy(zero_copy_only=False))
         sets = [np.sort(x) for x in t.column("s").to_numpy(zero_copy_only=False)]
-        cross = half.min() != half.max()  # a cell of two blocks: pairs inside a block belong to another cell
         up = {}
 
         def top(x):
@@ -139,17 +177,7 @@ def joining_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataF
                 x = up[x]
             return x
         out = []
-        for i in range(len(dig)):
-            y = np.flatnonzero((half[i] < half if cross else dig[i] < dig) & (root != root[i])
-                               & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n)))
-            if not len(y):
-                continue
-            agree = (sig[i] == sig[y]).mean(axis=1)
-            y, agree = y[agree >= least], agree[agree >= least]
-            if not len(y):
-                continue
-            y = y[np.argsort(-agree, kind="stable")]
-            y = y[bands[i][(bands[i] == bands[y]).argmax(axis=1)] == key]
+        for i, y in _partners(t, percent):
             for j in y.tolist():
                 a, b = top(root[i]), top(root[j])
                 if a == b:
@@ -161,13 +189,8 @@ def joining_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataF
                     out.append((min(dig[i], dig[j]), max(dig[i], dig[j])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    cells = members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    # a key of more than one block: every pair of blocks is one cell, and a row goes to the cells of its block
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("blk", "other").alias("c1"), F.greatest("blk", "other").alias("c2"),
-                         (F.col("blk") > F.col("other")).cast("int").alias("half"), "digest", "root", "n", "bands", "sig", "s")
-    return cells.groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long")
+    cells = cut(with_partner(members, percent, block), "cells")
+    return cells.join(sets, "digest").groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK,
@@ -186,7 +209,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # rows are fetched by id, those without one by the digest of their set
     wanted = cut(keyed.select("digest").distinct().join(classes.select("digest", "low"), "digest"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = full_sets(texts.join(wanted.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+    low = wanted.where("low is not null").select(F.col("low").alias("doc_id")).distinct()
+    # an inner join with distinct ids: the optimizer would run a semi join first, which shuffles every text
+    sets = full_sets(likely(texts, low, "doc_id").join(low, "doc_id"), width)
     no_id = full_sets(texts.where("doc_id is null"), width).join(wanted.where("low is null"), "digest", "left_semi")
     sets = cut(sets.union(no_id).dropDuplicates(["digest"]), "sets")
     release(spark)
@@ -202,9 +227,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
            .join(roots, F.col("digest") == F.col("node"), "left")
            .select("key", "m", "digest", F.coalesce("root", "digest").alias("root")))
     several = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    members = (now.join(several, "key").join(classes.select("digest", "n", "bands", "sig"), "digest")
-               .join(sets, "digest"))
-    more = cut(joining_links(members, percent, block), "more")
+    members = now.join(several, "key").join(classes.select("digest", "n", "bands", "sig"), "digest")
+    more = cut(joining_links(members, sets, percent, block), "more")
     if not more.isEmpty():
         roots = cut(connected_components(links.union(more)), "roots")
     release(spark)

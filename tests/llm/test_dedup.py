@@ -95,6 +95,36 @@ def test_near_dedup_stage_repeated_ids(llm):
         [("1", " ".join(base)), ("2", clean), ("3", twice), ("None", ""), ("None", "")])
 
 
+def test_full_sets_are_fetched_for_likely_pairs_only(llm):
+    """Classes that share a key by chance go no further than their signatures; a pair counts under its first key."""
+    from tabloom.llm.minhash import PERMS, joining_links, with_partner
+    near = [bytes([1] * 2 * PERMS), bytes([1] * (2 * PERMS - 10) + [9] * 10)]
+    rows = [(7, 6, 1, 1, 10, [5, 7, 8], near[0]), (7, 6, 2, 2, 10, [4, 7, 8], near[1])]  # alike, in two components
+    rows += [(7, 6, d, d, 10, [d * 10, 7, d * 11], bytes([d] * 2 * PERMS)) for d in (3, 4, 5)]  # unrelated
+    rows += [(7, 6, 6, 2, 10, [d, 7, 3], near[1]) for d in (99,)]  # alike with 1 too
+    rows += [(8, 2, *r[2:]) for r in rows[:2]]  # the same pair under another key
+    members = llm.createDataFrame(rows, "key long, m long, digest long, root long, n int, bands array<long>, sig binary")
+    sets = llm.createDataFrame([(1, list(range(10))), (2, list(range(1, 11))), (6, list(range(50, 60)))], "digest long, s array<long>")
+    for block in (1024, 2):
+        got = with_partner(members, 80, block).collect()
+        assert {(r["key"], r["digest"]) for r in got} == {(7, 1), (7, 2), (7, 6)}
+        assert {(r["a"], r["b"]) for r in joining_links(members, sets, 80, block).collect()} == {(1, 2)}
+
+
+def test_likely_rows_lose_no_wanted_one(llm):
+    from tabloom.llm.common import likely
+    rows = llm.createDataFrame([(i, str(i)) for i in range(-3000, 3000)] + [(None, "none"), (7, "again")], "doc_id long, Part string")
+    wanted = llm.createDataFrame([(i,) for i in range(-2999, 3000, 50)] + [(7,), (1 << 60,)], "doc_id long")
+    have = {r["doc_id"] for r in wanted.collect()}
+    for bits, most in ((26, 10), (16, 200)):
+        got = likely(rows, wanted, "doc_id", bits)
+        assert got.columns == rows.columns
+        got = [(r[0], r[1]) for r in got.collect()]
+        assert {x for x in got if x[0] in have} == {(r[0], r[1]) for r in rows.collect() if r[0] in have}
+        assert len(got) == len(set(got)) and sum(x[0] not in have for x in got) <= most
+    assert likely(rows, wanted.limit(0), "doc_id").collect() == []
+
+
 def test_near_duplicates_empty(no_docs):
     assert run_near(no_docs, 2) == []
 
