@@ -55,3 +55,25 @@ def test_frequency_shares_sum_to_one(spark):
     src = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
     t = FE.freq_encoding("f", src, "c").transform(src.distinct())
     assert abs(sum(r["f"] for r in t.where(F.col("c").isNotNull()).collect()) - 1.0) < 1e-12
+
+
+def test_distinct_rows_are_counted_by_hash(spark, capsys):
+    """A task keeps two longs per distinct row, not the row; NULLs, NaN and signed zeros count as rows compare."""
+    from tabloom.operators.joins import duplicate_rows, join_diagnostics
+    nan = float("nan")
+    rows = [(1, None, "a", 0.0), (None, 1, "a", 0.0), (1, None, "a", -0.0), (1, 1, None, nan), (1, 1, None, nan), (1, 1, "", nan),
+            (None, None, None, None), (None, None, None, None), (1, 2, "bc", 1.0), (1, 2, "b", 1.0), (2, 1, "b", 1.0)]
+    df = spark.createDataFrame(rows, "x long, y long, `s t` string, d double")
+    want = df.count() - df.distinct().count()
+    assert want == 3
+    assert tuple(duplicate_rows(df).first()) == (11, want)
+    got = join_diagnostics(df, df, ["y", "s t"])
+    r = got.first()
+    assert (r["rows_before"], r["rows_after"], r["duplicate_rows"]) == (11, 11, want)
+    assert [x["null_pct"] for x in r["new_column_null_pct"]] == [36.36, 36.36]
+    duplicate_rows(df).explain()
+    assert "xxhash64" in capsys.readouterr().out
+    nested = spark.createDataFrame([([1, None],), ([None, 1],), ([1, None],)], "a array<int>")
+    assert tuple(duplicate_rows(nested).first()) == (3, 1)
+    wide = spark.createDataFrame([(None, *[1] * 70), (1, *[1] * 69, None), (None, *[1] * 70)], ", ".join(f"c{i} int" for i in range(71)))
+    assert tuple(duplicate_rows(wide).first()) == (3, 1)
