@@ -105,43 +105,42 @@ class Lattices:
         self.off = off = np.cumsum(room) - room
         cells = int(room.sum())
         w, self.ids = np.full(cells, -np.inf), np.full(cells, -1, np.int32)
-        h, ok, reach = np.zeros(total, np.uint64), np.flatnonzero(left > 0), []
+        order = np.argsort(left, kind="stable")
+        bounds = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
+        # places with most characters left first: those with more than j are the first ones
+        ok = order[::-1][: total - bounds[0]]
+        h, own = np.zeros(len(ok), np.uint64), off[ok]
         for j in range(k):
             if j:
-                ok = ok[left[ok] > j]
-            reach.append(ok)
-            x = h[ok] * np.uint64(_HASH) + code[ok + j] + np.uint64(1)
-            h[ok] = x
+                ok = ok[: total - bounds[j]] if j < len(bounds) else ok[:0]
+                h = h[: len(ok)]
+            h = h * np.uint64(_HASH) + code[ok + j] + np.uint64(1)
             table, ids, weight, seen = voc.tables[j]
             if not len(table):
                 continue
-            f = seen[(x * _STEP >> np.uint64(44)).astype(np.int64)]
-            c, x = ok[f], x[f]
+            f = np.flatnonzero(seen[(h * _STEP >> np.uint64(44)).view(np.int64)])
+            x = h[f]
             i = np.minimum(np.searchsorted(table, x), len(table) - 1)
-            hit = table[i] == x
-            cell = off[c[hit]] + j
-            w[cell], self.ids[cell] = weight[i[hit]], ids[i[hit]]
-        some = off[reach[0]]
-        w[some[~np.isfinite(w[some])]] = voc.fallback
+            hit = np.flatnonzero(table[i] == x)
+            cell, i = own[f[hit]] + j, i[hit]
+            w[cell], self.ids[cell] = weight[i], ids[i]
+        w[own[~np.isfinite(w[own])]] = voc.fallback
         beta = np.zeros(total)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
+        self.cum, self.last = np.empty(cells, np.float32), np.zeros(total, np.int8)
         for r in range(1, len(bounds)):
             p = order[bounds[r - 1]: bounds[r]]
             m = min(k, r)
             step = np.arange(m)[:, None]
-            x = w[off[p] + step] + beta[p + 1 + step]
+            cell = off[p] + step
+            x = w[cell] + beta[p + 1 + step]
             top = x.max(axis=0)
-            beta[p] = top + np.log(np.exp(x - top).sum(axis=0))
-            w[off[p] + step] = x - beta[p]  # now log conditional probabilities
+            beta[p] = all_of = top + np.log(np.exp(x - top).sum(axis=0))
+            x -= all_of
+            w[cell] = x  # now log conditional probabilities
+            mass = np.exp(x)
+            self.cum[cell] = np.cumsum(mass.astype(np.float32), axis=0)
+            self.last[p] = m - 1 - (mass > 0)[::-1].argmax(axis=0)
         self.logp, self.code, self.room = w, code, room
-        mass = np.exp(w)
-        self.cum, self.last = mass.astype(np.float32), np.zeros(total, np.int8)
-        for j, ok in enumerate(reach):
-            cell = off[ok] + j
-            if j:
-                self.cum[cell] += self.cum[cell - 1]
-            self.last[ok[mass[cell] > 0]] = j
 
     def edges(self, pos: int) -> np.ndarray:
         """Log probabilities of the pieces of length 1, 2, ... from a place."""
@@ -242,11 +241,19 @@ def _others(logp: np.ndarray) -> np.ndarray:
     return np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
 
 
+class _Numbers(dict):
+    """Chunks numbered as they come."""
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        return n
+
+
 def sample_texts(texts: list[str], keys: np.ndarray, k: int, voc: Vocabulary):
     """For every text a list of (ids, log p, value, inclusion score), best value first."""
-    chunks, types, bounds = {}, [], [0]
+    chunks, types, bounds = _Numbers(), [], [0]
     for t in texts:
-        types += [chunks.setdefault(c, len(chunks)) for c in CHUNKS.findall(voc.normal(t))]
+        types += map(chunks.__getitem__, CHUNKS.findall(voc.normal(t)))
         bounds.append(len(types))
     chunk, bounds = np.array(types, np.int64), np.array(bounds)
     n = len(texts)
