@@ -9,8 +9,10 @@ to length one.  No term of an example is left out.
 
 Neighbours are exact.  The terms that most examples share are a dense matrix, whose products with a batch of
 queries are taken at once.  For all other terms examples are laid out in blocks; the inverted index keeps, per
-term and block, the postings and their largest weight.  A query's bound for a block is the sum of its weights times these maxima and the largest dense product; blocks are
-scored in descending order of the bound until it falls below the k-th best cosine (ties: smaller id).
+term and block, the postings and their largest weight.  A query's bound for a block is the sum of its weights times these
+maxima and the largest dense product; blocks whose bound is below the k-th best dense product are left out.  These scores
+are sums of four-byte numbers with a known bound of their error; the cosines of all examples that can be among the k best
+within it are taken in full from their own terms (ties: smaller id).
 The vote weighs every neighbour by its squared cosine and its class's sampling weight, shrunk to the
 base rate; an isotonic fit on leave-one-out votes of the examples makes it a calibrated score.
 
@@ -34,28 +36,54 @@ from .common import cut, fresh, map_batches
 EXAMPLES = 8000
 LEAST_FACTOR = 0.1
 NEIGHBOURS = 15
-BLOCK = 64
-FIRST_BLOCKS = 4
+BLOCK = 512
 STEP = 1 << 18  # postings laid out at a time
-DENSE, DENSE_SHARE, DENSE_ROWS = 1024, 32, 128  # terms at most, in one example of so many, queries at once
+DENSE, DENSE_SHARE, DENSE_ROWS = 2048, 32, 256  # terms at most, in one example of so many, queries at once
 SHRINK = 0.3
 _EDGE = ".,!?;:%$*&#|()[]{}\"'`<>"
 _SIGN = 1 << 63
 
 
-def _terms(word: bytes) -> list[bytes]:
-    """A word's terms."""
-    if word.isascii():
-        w = word.strip(_EDGE.encode())
-        return [w, *[w[:k] + b"*" for k in range(3, min(len(w), 8))]] if len(w) > 1 else []
-    w = word.decode("utf-8", "replace").strip(_EDGE)
-    return [t.encode("utf-8", "replace") for t in (w, *(w[:k] + "*" for k in range(3, min(len(w), 8))))] if len(w) > 1 else []
+def _stripped(word: bytes) -> bytes | str:
+    """A word without surrounding punctuation: bytes where it is ASCII."""
+    return word.strip(_EDGE.encode()) if word.isascii() else word.decode("utf-8", "replace").strip(_EDGE)
+
+
+def term_hashes(words) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the terms of all words, the place of the word each is of).
+
+    An ASCII prefix and its mark fit eight bytes, which are its hash; those of all words are taken at once."""
+    from xxhash import xxh3_64_intdigest
+    core = [_stripped(w) for w in words]
+    plain = [i for i, w in enumerate(core) if len(w) > 1 and type(w) is bytes]
+    odd = [i for i, w in enumerate(core) if len(w) > 1 and type(w) is str]
+    whole = [xxh3_64_intdigest(core[i]) for i in plain] + [xxh3_64_intdigest(core[i].encode("utf-8", "replace")) for i in odd]
+    out, of = [np.array(whole, np.uint64)], [np.array(plain + odd, np.int64)]
+    if plain:
+        at = np.array(plain, np.int64)
+        size = np.array([len(core[i]) for i in plain], np.int64)
+        head = np.array([core[i][:7] for i in plain], "S8").view("<u8")
+        for k in range(3, 8):
+            m = np.flatnonzero(size > k)
+            low = np.uint64((1 << 8 * k) - 1)
+            out.append((head[m] & low) | np.uint64(ord("*") << 8 * k))
+            of.append(at[m])
+    more = []
+    for i in odd:
+        for k in range(3, min(len(core[i]), 8)):
+            t = core[i][:k]
+            b = (t + "*").encode("utf-8", "replace")
+            h = int.from_bytes(b, "little") if t.isascii() else xxh3_64_intdigest(b)
+            more.append((h, i))
+    if more:
+        out.append(np.array([h for h, _ in more], np.uint64))
+        of.append(np.array([i for _, i in more], np.int64))
+    return np.concatenate(out).view(np.int64), np.concatenate(of)
 
 
 def terms_of(word: bytes) -> list[int]:
     """64-bit hashes (signed) of a word's terms."""
-    import xxhash
-    return [(xxhash.xxh3_64_intdigest(t) ^ _SIGN) - _SIGN for t in _terms(word)]
+    return term_hashes([word])[0].tolist()
 
 
 class _Numbers(dict):
@@ -75,7 +103,7 @@ class TermIds:
     """Vocabulary ids (places in the sorted ``vocabulary``) of the terms of texts; those of words seen before are
     kept, as arrays, and emptied between batches when there are ``limit`` words."""
 
-    def __init__(self, vocabulary: np.ndarray, limit: int = 400_000):
+    def __init__(self, vocabulary: np.ndarray, limit: int = 150_000):
         self.vocabulary, self.limit = vocabulary, limit
         self._clear()
 
@@ -84,14 +112,15 @@ class TermIds:
         self.seen, self.flat, self.begin = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _look_up(self) -> None:
-        from xxhash import xxh3_64_intdigest
-        terms = [_terms(w) for w in self.seen.new]
-        word = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        h = np.array([xxh3_64_intdigest(x) for t in terms for x in t], np.uint64).view(np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), max(0, len(self.vocabulary) - 1))
-        hit = self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(len(h), bool)
+        n = len(self.seen.new)
+        h, word = term_hashes(self.seen.new)
+        o = np.argsort(h)  # neighbours in the vocabulary one after the other
+        at = np.empty(len(h), np.int64)
+        at[o] = np.minimum(np.searchsorted(self.vocabulary, h[o]), max(0, len(self.vocabulary) - 1))
+        hit = np.flatnonzero(self.vocabulary[at] == h) if len(self.vocabulary) else np.zeros(0, np.int64)
+        hit = hit[np.argsort(word[hit], kind="stable")]
         self.flat = np.concatenate([self.flat, at[hit].astype(np.int32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.bincount(word[hit], minlength=len(terms)))])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.bincount(word[hit], minlength=n))])
         self.seen.new.clear()
 
     def counts(self, texts) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -126,7 +155,7 @@ def _rounded_up(x: np.ndarray) -> np.ndarray:
     return np.nextafter(x.astype(np.float32), np.float32(np.inf))
 
 
-_LAID_OUT = {"slot", "dense", "at", "weight", "posting", "seg_start", "seg_size", "seg_block", "seg_top", "term_start"}
+_LAID_OUT = {"slot", "dense", "at", "weight", "posting", "seg_start", "seg_block", "seg_top", "term_start", "scratch", "asked"}
 
 
 class Index:
@@ -135,44 +164,41 @@ class Index:
     def __init__(self, vectors, ids: np.ndarray, toxic: np.ndarray, n_terms: int, idf: np.ndarray | None = None):
         """``vectors``: a list of {term: weight}, or with ``idf`` the (terms, counts, terms of each example) end to end.
 
-        Kept and sent to tasks are the counts; weights, blocks and the dense matrix are laid out where the first
-        query is answered."""
+        Kept and sent to tasks are the counts by example; weights, postings, blocks and the dense matrix are laid out
+        where the first query is answered."""
         if isinstance(vectors, list):
             sizes = np.array([len(v) for v in vectors], np.int64)
             term = np.array([t for v in vectors for t in v], np.int32)
             count = weight = np.array([w for v in vectors for w in v.values()], float)
-            self.norm = None
         else:
             term, count, sizes = vectors
             weight = (1 + np.log(count)) * idf[term]
         self.idf, self.n, self.blocks, self.n_terms = idf, len(sizes), -(-max(1, len(sizes)) // BLOCK), n_terms
         full = np.flatnonzero(sizes)
-        begin = (np.cumsum(sizes) - sizes)[full]
-        if idf is not None:
-            norm = np.ones(self.n)
-            if len(full):
-                norm[full] = np.sqrt(np.add.reduceat(weight * weight, begin))
-            weight /= np.repeat(norm, sizes)
-        # like examples side by side: order by the heaviest term, so that block maxima are tight
-        key = np.full(self.n, n_terms, np.int64)
+        begin = np.cumsum(sizes) - sizes
+        norm, key = np.ones(self.n), np.full(self.n, n_terms, np.int64)
+        self.longest = 1.0
         if len(full):
-            top = np.repeat(np.maximum.reduceat(weight, begin), sizes[full])
-            key[full] = np.minimum.reduceat(np.where(weight == top, term, n_terms), begin)
+            norm[full] = np.sqrt(np.add.reduceat(weight * weight, begin[full]))
+            if idf is None:
+                self.longest = float(norm.max())
+            # like examples side by side: order by the heaviest term, so that block maxima are tight
+            top = np.repeat(np.maximum.reduceat(weight, begin[full]), sizes[full])
+            key[full] = np.minimum.reduceat(np.where(weight == top, term, n_terms), begin[full])
             del top
+        del weight
         order = np.lexsort((ids, key))
         self.ids, self.toxic = ids[order], toxic[order]
         self.place = {i: at for at, i in enumerate(self.ids.tolist())}
-        if idf is not None:
-            self.norm = norm[order]
-        place = np.empty(self.n, np.int32)
-        place[order] = np.arange(self.n, dtype=np.int32)
-        # postings by term and example
-        key = term.astype(np.int64) * max(1, self.n) + np.repeat(place, sizes)
-        self.df = np.bincount(term, minlength=n_terms)
-        del term, weight
-        o = np.argsort(key, kind="stable")
-        self.examples = _narrow((key % max(1, self.n))[o])
-        self.counts = _narrow(count[o])
+        self.norm = norm[order] if idf is not None else None
+        p = _ranges(begin[order], sizes[order])
+        self.term, self.counts = term.astype(np.int32)[p], _narrow(count[p])
+        del p
+        self.begin = np.r_[0, np.cumsum(sizes[order])]
+        # the first of the examples with the same vector
+        self.first, seen = np.empty(self.n, np.int32), {}
+        for i, (lo, hi) in enumerate(zip(self.begin[:-1].tolist(), self.begin[1:].tolist())):
+            self.first[i] = seen.setdefault((self.term[lo:hi].tobytes(), self.counts[lo:hi].tobytes()), i)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in _LAID_OUT}
@@ -183,96 +209,129 @@ class Index:
         self._lay_out()
         return self.__dict__[name]
 
+    def _weights(self, place, term, example) -> np.ndarray:
+        w = self.counts[place]
+        return w if self.norm is None else (1 + np.log(w.astype(float))) * self.idf[term] / self.norm[example]
+
     def _lay_out(self) -> None:
         """Dense matrix of the common terms, postings and segments (the postings of one term in one block) of the
-        others; some hundred thousand postings at a time, so that nothing of full length is made on the way."""
-        often = np.argsort(-self.df, kind="stable")[:DENSE]
-        often = often[self.df[often] * DENSE_SHARE > self.n]
+        others; some hundred thousand postings at a time, so that nothing of full length is made on the way.  Weights
+        are in four bytes: products find candidates, whose cosines are then taken in full."""
+        df = np.zeros(self.n_terms, np.int64)
+        for lo in range(0, len(self.term), STEP):
+            df += np.bincount(self.term[lo: lo + STEP], minlength=self.n_terms)
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        often = often[df[often] * DENSE_SHARE > self.n]
         self.slot = np.full(self.n_terms, -1, np.int32)
         self.slot[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.n))
-        begin = np.r_[0, np.cumsum(self.df)]
-        own = np.where(self.slot < 0, self.df, 0)
-        self.posting, rare = np.r_[0, np.cumsum(own)].astype(np.int32), int(own.sum())
-        self.at, self.weight = np.empty(rare, self.examples.dtype), np.empty(rare)
-        cuts = np.unique(np.r_[np.searchsorted(begin, np.arange(0, begin[-1], STEP)), self.n_terms])
-        done, segs = 0, []
-        for lo, hi in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist()):
-            part = slice(begin[lo], begin[hi])
-            term, at = np.repeat(np.arange(lo, hi), self.df[lo:hi]), self.examples[part]
-            w = self.counts[part]
-            w = w if self.norm is None else (1 + np.log(w.astype(float))) * self.idf[term] / self.norm[at]
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        df[often] = 0
+        self.posting, rare = np.r_[0, np.cumsum(df)].astype(np.int32), int(df.sum())
+        self.at, self.weight = np.empty(rare, np.uint16 if self.n <= 1 << 16 else np.int32), np.empty(rare, np.float32)
+        fill = self.posting[:-1].copy()
+        for lo in range(0, len(self.term), STEP):
+            term = self.term[lo: lo + STEP]
+            place = np.arange(lo, lo + len(term))
+            example = np.searchsorted(self.begin, place, "right") - 1
+            w = self._weights(place, term, example)
             slot = self.slot[term]
             m = slot >= 0
-            self.dense[slot[m], at[m]] = w[m]
-            term, at, w = term[~m], at[~m], w[~m]
-            if not len(term):
+            self.dense[slot[m], example[m]] = w[m]
+            m = np.flatnonzero(~m)
+            if not len(m):
+                continue
+            key = np.sort(term[m].astype(np.int64) << 32 | np.arange(len(m)))
+            term, m = key >> 32, m[key & 0xFFFFFFFF]
+            start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+            size = np.diff(np.r_[start, len(term)])
+            to = fill[term] + np.arange(len(term)) - np.repeat(start, size)
+            self.at[to], self.weight[to] = example[m], w[m]
+            fill[term[start]] += size.astype(np.int32)
+        segs = []
+        cuts = np.unique(np.r_[np.searchsorted(self.posting, np.arange(0, rare, STEP)), self.n_terms])
+        for lo, hi in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist()):
+            part = slice(self.posting[lo], self.posting[hi])
+            if part.start == part.stop:
                 continue
-            self.at[done: done + len(at)], self.weight[done: done + len(at)] = at, w
-            cell = term * self.blocks + at // BLOCK
-            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            segs.append(((first + done).astype(np.int32), np.diff(np.r_[first, len(cell)]).astype(np.uint8),
-                         _narrow(cell[first] % self.blocks), _rounded_up(np.maximum.reduceat(w, first)), term[first].astype(np.int32)))
-            done += len(at)
-        segs = [np.concatenate(x) for x in zip(*segs)] if segs else [np.zeros(0, np.int32)] * 3 + [np.zeros(0, np.float32), np.zeros(0, np.int32)]
-        self.seg_start, self.seg_size, self.seg_block, self.seg_top, of = segs
+            term = np.repeat(np.arange(lo, hi), df[lo:hi])
+            cell = term * self.blocks + self.at[part] // BLOCK
+            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            segs.append(((start + part.start).astype(np.int32), _narrow(cell[start] % self.blocks),
+                         _rounded_up(np.maximum.reduceat(self.weight[part], start)), term[start].astype(np.int32)))
+        segs = [np.concatenate(x) for x in zip(*segs)] if segs else [np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.float32), np.zeros(0, np.int32)]
+        self.seg_start, self.seg_block, self.seg_top, of = segs
+        self.seg_start = np.append(self.seg_start, np.int32(rare))  # a segment ends where the next one starts
         self.term_start = np.searchsorted(of, np.arange(self.n_terms + 1)).astype(np.int32)
-
-    def _add(self, acc: np.ndarray, seg: np.ndarray, weight: np.ndarray) -> None:
-        """Add the products of the examples in the segments."""
-        size = self.seg_size[seg].astype(np.int64)
-        p = _ranges(self.seg_start[seg], size)
-        acc += np.bincount(self.at[p], np.repeat(weight, size) * self.weight[p], minlength=self.n)
-
-    def _add_all(self, acc: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
-        """Add the products of all examples: the postings of a term lie side by side."""
-        size = (self.posting[terms + 1] - self.posting[terms]).astype(np.int64)
-        p = _ranges(self.posting[terms], size)
+        self.scratch, self.asked = np.zeros(self.n_terms), np.zeros(self.n_terms, bool)
+
+    def _add(self, acc: np.ndarray, start: np.ndarray, stop: np.ndarray, weight: np.ndarray) -> None:
+        """Add the products of the postings from ``start`` to ``stop``."""
+        if not len(start):
+            return
+        size = (stop - start).astype(np.int64)
+        p = _ranges(start, size)
         acc += np.bincount(self.at[p], np.repeat(weight, size) * self.weight[p], minlength=self.n)
 
     def products(self, queries) -> np.ndarray:
-        """Products of the dense terms, a row per query (terms, weights)."""
-        m = np.zeros((len(queries), len(self.dense)))
+        """Products of the dense terms, a row per query (terms, weights), in four bytes."""
+        m = np.zeros((len(queries), len(self.dense)), np.float32)
         for row, (t, w) in zip(m, queries):
             slot = self.slot[t]
             row[slot[slot >= 0]] = w[slot >= 0]
         return m @ self.dense
 
+    def cosines(self, terms, weight, examples: np.ndarray) -> np.ndarray:
+        """Products with the vectors of the examples, over all terms and in full."""
+        one, which = np.unique(self.first[examples], return_inverse=True)
+        ends = list(zip(self.begin[one].tolist(), self.begin[one + 1].tolist()))
+        term = np.concatenate([self.term[a:z] for a, z in ends]) if ends else self.term[:0]
+        self.asked[terms] = True
+        hit = np.flatnonzero(self.asked[term])
+        self.asked[terms] = False
+        term = term[hit]
+        off = np.cumsum([0] + [z - a for a, z in ends])
+        row = np.searchsorted(off, hit, "right") - 1
+        w = self._weights(self.begin[one][row] + hit - off[row], term, one[row])
+        self.scratch[terms] = weight
+        q = self.scratch[term]
+        # equal examples are equal whatever the order of the sums
+        return np.round(np.bincount(row, q * w, minlength=len(one)), 12)[which]
+
     def nearest(self, q, k: int, without: int | None = None, acc: np.ndarray | None = None):
         """(positions, cosines) of the k best examples with a positive cosine, best first.
 
-        The blocks with the highest bounds give a first k-th cosine; then every block whose bound
-        reaches it is scored (all at once where most do), and no other can hold one of the k best.  ``acc``: the query's ``products``."""
+        The k-th product of the dense terms is a first bound of the k-th cosine; only blocks whose bound reaches it are
+        scored.  Scores are off by ``slack`` at most (they are sums of four-byte numbers), so that no example outside
+        twice that below the k-th score can be one of the k best; the others' cosines are taken in full.  ``acc``: the
+        query's ``products``."""
         terms, weight = (np.array(list(q), np.int64), np.array(list(q.values()))) if isinstance(q, dict) else q
-        common = self.products([(terms, weight)])[0] if acc is None else acc
-        of_term, acc = weight, common.copy()
-        size = self.term_start[terms + 1] - self.term_start[terms]
-        seg, weight = _ranges(self.term_start[terms], size), np.repeat(weight, size)
-        block = self.seg_block[seg]
-        bound = np.bincount(block, weight * self.seg_top[seg], minlength=self.blocks)
-        bound = bound + np.maximum.reduceat(acc, np.arange(0, self.n, BLOCK))
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        m = first[block]
-        self._add(acc, seg[m], weight[m])
-        if without is not None:
-            acc[without] = 0
-        kth = np.partition(acc, -k)[-k] if self.n > k else 0.0
-        rest = (bound > 0) & (bound >= kth - 1e-12) & ~first
-        if rest.any():
-            if 2 * np.count_nonzero(rest) > self.blocks:
-                acc = common.copy()
-                self._add_all(acc, terms, of_term)
-            else:
-                m = rest[block]
-                self._add(acc, seg[m], weight[m])
+        acc = (self.products([(terms, weight)])[0] if acc is None else acc).astype(float)
+        slack = (len(self.dense) + 64) * 2.0 ** -24 * math.sqrt(float((weight * weight).sum())) * self.longest
+        rare = np.flatnonzero(self.posting[terms + 1] > self.posting[terms])
+        own, own_weight = terms[rare], weight[rare]
+        live = np.ones(self.blocks, bool)
+        if self.n > k and self.blocks > 1:
             if without is not None:
                 acc[without] = 0
-        acc = np.round(acc, 12)  # equal examples are equal whatever the order of the sums
+            least = np.partition(acc, -k)[-k]
+            size = self.term_start[own + 1] - self.term_start[own]
+            seg = _ranges(self.term_start[own], size)
+            bound = np.bincount(self.seg_block[seg], np.repeat(own_weight, size) * self.seg_top[seg], minlength=self.blocks)
+            live = bound + np.maximum.reduceat(acc, np.arange(0, self.n, BLOCK)) + 2 * slack >= least
+        if live.all():
+            self._add(acc, self.posting[own], self.posting[own + 1], own_weight)
+        else:
+            m = live[self.seg_block[seg]]
+            seg = seg[m]
+            self._add(acc, self.seg_start[seg], self.seg_start[seg + 1], np.repeat(own_weight, size)[m])
+        if without is not None:
+            acc[without] = 0
         kth = np.partition(acc, -k)[-k] if self.n > k else 0.0
-        at = np.flatnonzero((acc > 0) & (acc >= kth))
-        at = at[np.lexsort((self.ids[at], -acc[at]))[:k]]
-        return at.tolist(), acc[at].tolist()
+        at = np.flatnonzero((acc > 0) & (acc >= kth - 2 * slack))
+        sim = self.cosines(terms, weight, at)
+        at, sim = at[sim > 0], sim[sim > 0]
+        best = np.lexsort((self.ids[at], -sim))[:k]
+        return at[best].tolist(), sim[best].tolist()
 
 
 class Model:
@@ -373,7 +432,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, mod: int
         for b in batches:
             got = {}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for t in {t for w in set((text or "").encode("utf-8", "replace").lower().split()) for t in terms_of(w)}:
+                words = list(set((text or "").encode("utf-8", "replace").lower().split()))
+                for t in np.unique(term_hashes(words)[0]).tolist():
                     got.setdefault(t, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(got), pa.int64()), *(pa.array([v[i] for v in got.values()], pa.int64()) for i in (0, 1))],

@@ -293,3 +293,31 @@ def test_pipeline_stages(llm, tmpdir_path):
     got = corpus_pipeline.run(llm, tmpdir_path)
     assert sorted(map(str, got.select("doc_id", "start", "length", "ids_crc32").collect())) == \
         sorted(map(str, at.select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_toxicity_candidates_and_terms():
+    """Cosines are those of a full product whatever the four-byte scores say (equal examples: smaller ids first), terms of
+    many words are those of each, and what is laid out for queries stays below the eight-byte matrix of before."""
+    from tabloom.llm.toxicity import Index, term_hashes, terms_of
+    r = np.random.default_rng(12)
+    n, terms = 1500, 4000
+    full = np.where(r.random((n, terms)) < r.random(terms) ** 4 * 0.3, r.random((n, terms)) + 0.1, 0.0)
+    full[700:1100] = full[700]  # a large group of copies
+    full[1200] = full[1201] * (1 + 1e-7)  # apart by less than four bytes tell
+    vec = [{int(t): float(x[t]) for t in np.flatnonzero(x)} for x in full]
+    ids = r.permutation(n) * 2
+    index = Index(vec, ids, np.zeros(n, int), terms)
+    for i in (0, 5, 700, 900, 1200, 1201):
+        sim = np.round(full @ full[i], 12)
+        want = sorted((-s, j) for s, j in zip(sim, ids) if s > 0)[:15]
+        at, got = index.nearest(vec[i], 15)
+        assert np.allclose(got, [-s for s, _ in want], atol=1e-10) and [int(index.ids[a]) for a in at] == [j for _, j in want]
+        at, _ = index.nearest(vec[i], 15, index.place[int(ids[i])])
+        assert [int(index.ids[a]) for a in at] == [j for _, j in sorted((-s, j) for s, j in zip(sim, ids) if s > 0 and j != ids[i])[:15]]
+    assert index.dense.dtype == np.float32 and index.weight.dtype == np.float32
+    words = [b"Cat!", b"catalogue", "naïveté".encode(), "abcdé".encode(), b"##", b"x", b"abcdefghijk", b"\xff\xfeabc"]
+    h, of = term_hashes(words)
+    for i, w in enumerate(words):
+        assert sorted(h[of == i].tolist()) == sorted(terms_of(w))
+    assert len(set(terms_of("abcdé".encode())) & set(terms_of(b"abcdef"))) == 2  # abc*, abcd*
+    assert len(terms_of(b"abcdefghijk")) == 6 and terms_of(b"##") == []
