@@ -65,11 +65,14 @@ class Vocabulary:
             h = np.zeros(len(own), np.uint64)
             for j in range(length):
                 h = h * np.uint64(_HASH) + code[:, j] + np.uint64(1)
+            h *= _STEP
             o = np.argsort(h)
             seen = np.zeros(1 << 20, bool)
-            seen[(h * _STEP >> np.uint64(44)).astype(np.int64)] = True
+            seen[(h >> np.uint64(44)).astype(np.int64)] = True
+            # where the hashes with the same upper 16 bits begin, and how many there are at most
+            begin = np.searchsorted(h[o] >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.int32)
             self.tables.append((h[o], np.array([text[own[i]] for i in o], np.int32),
-                                np.array([weight[own[i]] for i in o]), seen))
+                                np.array([weight[own[i]] for i in o]), seen, begin[:-1], int(np.diff(begin).max(initial=0))))
         size = n
         self.bytes_of = [b""] * size
         for p, i in text.items():
@@ -99,52 +102,71 @@ class Lattices:
         code[at] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
         left = np.zeros(total, np.int64)
         left[at] = np.repeat(self.end, lens) - at
-        # the cells of a place: one for every piece length that still fits its chunk
+        # the cells of a place: one for every piece length that still fits its chunk.  Those of all places with as many
+        # characters left are one matrix, a row per length: cell (place, length) is off + stride * (length - 1)
         k = max(1, min(voc.most, int(lens.max(initial=0))))
         room = np.minimum(left, k)
-        self.off = off = np.cumsum(room) - room
-        cells = int(room.sum())
-        w, self.ids = np.full(cells, -np.inf), np.full(cells, -1, np.int32)
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         bounds = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
+        many = np.diff(bounds)
+        height = np.minimum(np.arange(1, len(bounds)), k)
+        first = np.r_[0, np.cumsum(many * height)]
+        cells = int(first[-1])
+        self.off, self.stride = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        fitting = order[bounds[0]:]
+        self.off[fitting] = np.arange(len(fitting)) + np.repeat(first[:-1] - (bounds[:-1] - bounds[0]), many)
+        self.stride[fitting] = np.repeat(many, many)
+        w, self.ids = np.full(cells, -np.inf), np.full(cells, -1, np.int32)
+        self.last = np.zeros(total, np.int8)
         # places with most characters left first: those with more than j are the first ones
-        ok = order[::-1][: total - bounds[0]]
-        h, own = np.zeros(len(ok), np.uint64), off[ok]
+        ok = fitting[::-1]
+        h, own, stride = np.zeros(len(ok), np.uint64), self.off[ok], self.stride[ok]
         for j in range(k):
             if j:
                 ok = ok[: total - bounds[j]] if j < len(bounds) else ok[:0]
                 h = h[: len(ok)]
-            h = h * np.uint64(_HASH) + code[ok + j] + np.uint64(1)
-            table, ids, weight, seen = voc.tables[j]
+            h *= np.uint64(_HASH)
+            h += code[ok + j]
+            h += np.uint64(1)
+            table, ids, weight, seen, begin, run = voc.tables[j]
             if not len(table):
                 continue
-            f = np.flatnonzero(seen[(h * _STEP >> np.uint64(44)).view(np.int64)])
-            x = h[f]
-            i = np.minimum(np.searchsorted(table, x), len(table) - 1)
-            hit = np.flatnonzero(table[i] == x)
-            cell, i = own[f[hit]] + j, i[hit]
+            x = h * _STEP
+            f = np.flatnonzero(seen[(x >> np.uint64(44)).view(np.int64)])
+            x = x[f]
+            i = begin[(x >> np.uint64(48)).view(np.int64)]
+            for _ in range(run - 1):  # to the first hash of the run that is not below
+                i = np.where(table[i] < x, np.minimum(i + 1, len(table) - 1), i)
+            hit = np.flatnonzero(table[np.minimum(i, len(table) - 1)] == x)
+            f, i = f[hit], i[hit]
+            cell = own[f] + j * stride[f]
             w[cell], self.ids[cell] = weight[i], ids[i]
+            self.last[ok[f]] = j  # the longest piece of a place
         w[own[~np.isfinite(w[own])]] = voc.fallback
         beta = np.zeros(total)
-        self.cum, self.last = np.empty(cells, np.float32), np.zeros(total, np.int8)
+        self.cum = np.empty(cells, np.float32)
         for r in range(1, len(bounds)):
             p = order[bounds[r - 1]: bounds[r]]
+            if not len(p):
+                continue
             m = min(k, r)
-            step = np.arange(m)[:, None]
-            cell = off[p] + step
-            x = w[cell] + beta[p + 1 + step]
+            x = w[first[r - 1]: first[r]].reshape(m, len(p))  # a view: turned into log conditional probabilities
+            x += beta[p + 1 + np.arange(m)[:, None]]
             top = x.max(axis=0)
-            beta[p] = all_of = top + np.log(np.exp(x - top).sum(axis=0))
+            mass = np.exp(x - top)
+            total_mass = mass.sum(axis=0)
+            beta[p] = all_of = top + np.log(total_mass)
             x -= all_of
-            w[cell] = x  # now log conditional probabilities
-            mass = np.exp(x)
-            self.cum[cell] = np.cumsum(mass.astype(np.float32), axis=0)
-            self.last[p] = m - 1 - (mass > 0)[::-1].argmax(axis=0)
+            mass /= total_mass
+            np.cumsum(mass.astype(np.float32), axis=0, out=self.cum[first[r - 1]: first[r]].reshape(m, len(p)))
         self.logp, self.code, self.room = w, code, room
 
+    def cell(self, pos, length):
+        return self.off[pos] + self.stride[pos] * (length - 1)
+
     def edges(self, pos: int) -> np.ndarray:
         """Log probabilities of the pieces of length 1, 2, ... from a place."""
-        return self.logp[self.off[pos]: self.off[pos] + self.room[pos]]
+        return self.logp[self.off[pos]: self.off[pos] + self.stride[pos] * self.room[pos]: max(1, self.stride[pos])]
 
     def draw(self, chunk: np.ndarray, key: np.ndarray, stream: int):
         """A segmentation of every chunk occurrence: its log probability and, in order of occurrence,
@@ -158,17 +180,17 @@ class Lattices:
             u = uniform(key[live] + np.uint64((step * int(_STEP) + stream * int(_WORD)) & 0xFFFFFFFFFFFFFFFF))
             p = pos[live]
             j = np.zeros(len(live), np.int64)
-            cell, last = self.off[p], self.last[p]
+            cell, last, stride = self.off[p], self.last[p], self.stride[p]
             more = np.flatnonzero((u > self.cum[cell]) & (last > 0))
             n = 1
             while len(more):
                 j[more] = n
-                more = more[(u[more] > self.cum[cell[more] + n]) & (last[more] > n)]
+                more = more[(u[more] > self.cum[cell[more] + n * stride[more]]) & (last[more] > n)]
                 n += 1
             own.append(live)
             where.append(p)
             size.append(j + 1)
-            logp[live] += self.logp[cell + j]
+            logp[live] += self.logp[cell + j * stride]
             p = p + j + 1
             pos[live] = p
             live = live[p < stop[live]]
@@ -188,7 +210,7 @@ class Lattices:
             for t in mine:
                 q, at = 0.0, pos
                 for n in t[len(path):]:
-                    q += float(self.logp[self.off[at] + n - 1])
+                    q += float(self.logp[self.cell(at, n)])
                     at += n
                 probs[t[len(path)] - 1] -= math.exp(q)
             probs = np.maximum(probs, 0)
@@ -198,7 +220,7 @@ class Lattices:
                     probs[n - 1] = 0
             c = np.cumsum(probs)
             j = int(min(np.searchsorted(c, rng() * c[-1], "right"), np.flatnonzero(probs)[-1]))
-            logp += float(self.logp[self.off[pos] + j])
+            logp += float(self.logp[self.cell(pos, j + 1)])
             path.append(j + 1)
             pos += j + 1
         return path, logp
@@ -212,7 +234,7 @@ class Lattices:
 
     def piece_ids(self, where: np.ndarray, size: np.ndarray, voc: Vocabulary):
         """Ids of the pieces (bytes where a character has none) and how many ids each piece gives."""
-        ids = self.ids[self.off[where] + size - 1]
+        ids = self.ids[self.cell(where, size)]
         n = np.ones(len(ids), np.int64)
         miss = np.flatnonzero(ids < 0)
         if not len(miss):
@@ -382,7 +404,7 @@ def _pieces_of(d: int, s: int, lat: Lattices, chunk: np.ndarray, bounds: np.ndar
 def _log_of(lat: Lattices, chunk: int, seg) -> float:
     at, q = int(lat.begin[chunk]), 0.0
     for n in seg:
-        q += float(lat.logp[lat.off[at] + n - 1])
+        q += float(lat.logp[lat.cell(at, n)])
         at += n
     return q
 

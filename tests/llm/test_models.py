@@ -321,3 +321,37 @@ def test_toxicity_candidates_and_terms():
         assert sorted(h[of == i].tolist()) == sorted(terms_of(w))
     assert len(set(terms_of("abcdé".encode())) & set(terms_of(b"abcdef"))) == 2  # abc*, abcd*
     assert len(terms_of(b"abcdefghijk")) == 6 and terms_of(b"##") == []
+
+
+def test_lattice_cells_of_equal_rest_are_one_matrix():
+    """Edges out of a place have probabilities in proportion to their weight times that of what follows; the cells of all
+    places with as many characters left lie side by side, so that no pass gathers them."""
+    import math
+    import public_tokenizers
+    from tabloom.llm.pieces import MARK, Lattices, Vocabulary
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        voc = Vocabulary(f.read(), 1.0)
+    chunks = [MARK + "the", MARK + "extraordinarily", "x", MARK + "日本é", MARK * 3, MARK + "q" * 40, MARK + "then"]
+    lat = Lattices(chunks, voc)
+    weights = {}
+    for i in range(voc.sp.get_piece_size()):
+        if not (voc.sp.is_byte(i) or voc.sp.is_control(i) or voc.sp.is_unknown(i) or voc.sp.is_unused(i)):
+            weights[voc.sp.id_to_piece(i)] = i
+    first = min(weights.values())
+    for c, begin in zip(chunks, lat.begin.tolist()):
+        beta = [0.0] * (len(c) + 1)
+        for at in range(len(c) - 1, -1, -1):
+            edge = {n: -math.log(2 + weights[c[at: at + n]] - first) for n in range(1, min(len(c) - at, voc.most) + 1)
+                    if c[at: at + n] in weights}
+            edge.setdefault(1, voc.fallback)
+            beta[at] = math.log(sum(math.exp(w + beta[at + n]) for n, w in edge.items()))
+            got = lat.edges(begin + at)
+            want = [edge[n] + beta[at + n] - beta[at] if n in edge else -math.inf for n in range(1, len(got) + 1)]
+            assert np.allclose(got, want) and lat.last[begin + at] == max(edge) - 1
+            assert abs(lat.cum[lat.cell(begin + at, len(got))] - 1) < 1e-5
+            for n in edge:
+                i = lat.ids[lat.cell(begin + at, n)]
+                assert i == weights.get(c[at: at + n], -1)
+    rest = np.concatenate([np.arange(len(c), -1, -1) for c in chunks])
+    for r in range(1, rest.max() + 1):
+        assert (np.diff(np.sort(lat.off[rest == r])) == 1).all()
