@@ -37,8 +37,9 @@ EXAMPLES = 8000
 LEAST_FACTOR = 0.1
 NEIGHBOURS = 15
 BLOCK = 512
-STEP = 1 << 18  # postings laid out at a time
-DENSE, DENSE_SHARE, DENSE_ROWS = 2048, 32, 256  # terms at most, in one example of so many, queries at once
+STEP = 1 << 16  # postings laid out at a time
+SOME = 64  # examples whose cosines are taken at a time
+DENSE, DENSE_SHARE, DENSE_ROWS = 1024, 32, 128  # terms at most, in one example of so many, queries at once
 SHRINK = 0.3
 _EDGE = ".,!?;:%$*&#|()[]{}\"'`<>"
 _SIGN = 1 << 63
@@ -103,7 +104,7 @@ class TermIds:
     """Vocabulary ids (places in the sorted ``vocabulary``) of the terms of texts; those of words seen before are
     kept, as arrays, and emptied between batches when there are ``limit`` words."""
 
-    def __init__(self, vocabulary: np.ndarray, limit: int = 150_000):
+    def __init__(self, vocabulary: np.ndarray, limit: int = 100_000):
         self.vocabulary, self.limit = vocabulary, limit
         self._clear()
 
@@ -218,8 +219,8 @@ class Index:
         others; some hundred thousand postings at a time, so that nothing of full length is made on the way.  Weights
         are in four bytes: products find candidates, whose cosines are then taken in full."""
         df = np.zeros(self.n_terms, np.int64)
-        for lo in range(0, len(self.term), STEP):
-            df += np.bincount(self.term[lo: lo + STEP], minlength=self.n_terms)
+        for lo in range(0, len(self.term), 4 * STEP):
+            df += np.bincount(self.term[lo: lo + 4 * STEP], minlength=self.n_terms)
         often = np.argsort(-df, kind="stable")[:DENSE]
         often = often[df[often] * DENSE_SHARE > self.n]
         self.slot = np.full(self.n_terms, -1, np.int32)
@@ -283,19 +284,21 @@ class Index:
     def cosines(self, terms, weight, examples: np.ndarray) -> np.ndarray:
         """Products with the vectors of the examples, over all terms and in full."""
         one, which = np.unique(self.first[examples], return_inverse=True)
-        ends = list(zip(self.begin[one].tolist(), self.begin[one + 1].tolist()))
-        term = np.concatenate([self.term[a:z] for a, z in ends]) if ends else self.term[:0]
-        self.asked[terms] = True
-        hit = np.flatnonzero(self.asked[term])
+        out = np.zeros(len(one))
+        self.asked[terms], self.scratch[terms] = True, weight
+        for lo in range(0, len(one), SOME):  # near copies of a query may be thousands
+            some = one[lo: lo + SOME]
+            ends = list(zip(self.begin[some].tolist(), self.begin[some + 1].tolist()))
+            term = np.concatenate([self.term[a:z] for a, z in ends])
+            hit = np.flatnonzero(self.asked[term])
+            term = term[hit]
+            off = np.cumsum([0] + [z - a for a, z in ends])
+            row = np.searchsorted(off, hit, "right") - 1
+            w = self._weights(self.begin[some][row] + hit - off[row], term, some[row])
+            out[lo: lo + SOME] = np.bincount(row, self.scratch[term] * w, minlength=len(some))
         self.asked[terms] = False
-        term = term[hit]
-        off = np.cumsum([0] + [z - a for a, z in ends])
-        row = np.searchsorted(off, hit, "right") - 1
-        w = self._weights(self.begin[one][row] + hit - off[row], term, one[row])
-        self.scratch[terms] = weight
-        q = self.scratch[term]
         # equal examples are equal whatever the order of the sums
-        return np.round(np.bincount(row, q * w, minlength=len(one)), 12)[which]
+        return np.round(out, 12)[which]
 
     def nearest(self, q, k: int, without: int | None = None, acc: np.ndarray | None = None):
         """(positions, cosines) of the k best examples with a positive cosine, best first.
@@ -512,7 +515,7 @@ def with_scores(docs: DataFrame, model: Model, names: tuple[str, ...], text_col:
         for b in batches:
             texts = b.column(at).to_pylist()
             keys = [xxhash.xxh3_128_digest((x or "").encode("utf-8", "replace")) for x in texts]
-            if len(known) > 50_000:
+            if len(known) > 16_384:
                 known.clear()
             new = {k: x for k, x in zip(keys, texts) if k not in known}
             votes = m.votes([m.vector(t, n) for t, n in ids.counts(new.values())])
