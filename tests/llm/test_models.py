@@ -49,6 +49,71 @@ def test_scores_past_the_broadcast_keep_every_bigram(docs):
     assert np.allclose([r[2] for r in past], [r[2] for r in kept], rtol=0.01)
 
 
+def test_scores_past_the_broadcast_by_brute_force(docs, monkeypatch):
+    from tabloom.llm import lm
+    from tabloom.llm.common import WordHash
+    rows, hashes = text_rows(), WordHash()
+    flat = [[hashes[w] for w in (t or "").encode().lower().split()] + [lm.END] for _, t in rows]
+    pairs = [[(a >> 32, b & 0xFFFFFFFF) for a, b in zip([lm.START, *h], h)] for h in flat]
+    held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    one = Counter(w for h, x in zip(flat, held) if not x for w in h)
+    two = Counter(p for ps, x in zip(pairs, held) if not x for p in ps)
+    v1, v2 = lm.values(lm.B1), lm.values(lm.B2)
+    level = lambda c, base: int(1 + np.floor(np.log(c) / np.log(base) + 1e-9)) if c else 0
+    t, u = Counter(), Counter()
+    for (a, b), c in two.items():
+        t[a] += int(v2[level(c, lm.B2)])
+        u[a] += 1
+    n1, n2 = (sum(c == k for c in two.values()) for k in (1, 2))
+    d, total = n1 / (n1 + 2 * n2), sum(v1[level(c, lm.B1)] for c in one.values()) + len(one) + 1
+
+    def score(h, ps):
+        out = 0.0
+        for w, (a, b) in zip(h, ps):
+            p1 = (v1[level(one[w], lm.B1)] + 1) / total
+            top, k = v1[level(t[a], lm.B1) + 1], v1[level(u[a], lm.B1)]
+            out += np.log10(min(1.0, max(v2[level(two[a, b], lm.B2)] - d, 0) / top + d * k / top * p1 if u[a] else p1))
+        return round(out, 6)
+
+    want = sorted((str(i), len(h), score(h, ps)) for (i, _), h, ps in zip(rows, flat, pairs))
+    for chunk, shard in ((lm.CHUNK_TOKENS, lm.SHARD_TOKENS), (500, 200), (3000, 8)):  # shards by the word alone, and by context too
+        monkeypatch.setattr(lm, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(lm, "SHARD_TOKENS", shard)
+        got = lm.scores(docs, max_shards=0).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in got) == want
+
+
+def test_scores_past_the_broadcast_write_no_row_per_document_and_bigram(llm, monkeypatch):
+    """What is written on the way: 3 bytes a token (17 with lists of every document's bigrams)."""
+    import os
+    from tabloom.llm import lm
+    rows = [(i, " ".join(make_words(300 + i, 600, 3000)), "en", "s", None) for i in range(150)]
+    written, cut = [], lm.cut
+
+    def weighed(df, name):
+        out = cut(df, name)
+        written.extend(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lm, "cut", weighed)
+    assert lm.scores(llm.createDataFrame(rows, DOCS).repartition(2), max_shards=0).count() == 150
+    assert sum(written) < 8 * 150 * 601
+
+
+def test_spread_keys_come_back():
+    from tabloom.llm import lm
+    from tabloom.llm.common import mix, pack_sorted, unpack_sorted
+    key = np.r_[mix(np.arange(5000, dtype=np.uint64)), np.array([0, 2 ** 64 - 1], np.uint64)]
+    for bits in (1, 3, 4, 5, 11, 16):
+        out = lm._spread(key, bits)
+        assert (lm._gather(out, bits) == key).all()
+        out.sort()
+        assert (unpack_sorted(pack_sorted(out), len(out)) == out).all()
+        ends = lm._cuts(out, bits)
+        assert ends[0] == 0 and ends[-1] == len(out) and len(ends) == (1 << bits) + 1
+        assert all(len(set((out[lo:hi] >> np.uint64(64 - bits)).tolist())) <= 1 for lo, hi in zip(ends[:-1], ends[1:]))
+
+
 def test_word_levels_are_a_tenth_apart():
     from tabloom.llm import lm
     v = lm.values(lm.B1, 120)
