@@ -90,3 +90,46 @@ def test_targets_unique_per_row_and_no_values(spark):
     df = spark.createDataFrame([(i, float(i), None, i) for i in range(20)], "rid long, x double, none double, y long")
     got = {r["feature"]: (r["mutual_info"], r["n"]) for r in knn_mutual_info(df, ["x", "none"], "y", "rid").collect()}
     assert got == {"x": (0.0, 0), "none": (0.0, 0)}
+
+
+def _odd(spark):
+    """Text classes (one of a single point, one rare), ties, constants, nulls, NaN and an infinite value."""
+    rng = np.random.default_rng(3)
+    n = 700
+    y = rng.choice(["a", "b", "c"], size=n, p=[0.6, 0.39, 0.01]).astype(object)
+    y[5], y[6:9] = "alone", None
+    x = rng.normal(size=n) + (y == "a")
+    cols = {"x": x, "ties": np.round(x), "one": np.full(n, 7.0), "gaps": np.where(rng.random(n) < 0.2, np.nan, x * 1e9),
+            "far": np.where(np.arange(n) == 11, np.inf, x)}
+    rows = [(int(i), y[i], None if i % 13 == 0 else float(cols["x"][i]), *[float(cols[c][i]) for c in ("ties", "one", "gaps", "far")], None)
+            for i in range(n)]
+    return spark.createDataFrame(rows + rows[:40], "rid long, `y.z` string, x double, ties double, one double, gaps double, far double, "
+                                                   "none double")
+
+
+def test_blocks_and_windows_agree(spark, monkeypatch):
+    import tabloom.operators.knn_mi as K
+    df, names = _odd(spark), ["x", "ties", "one", "gaps", "far", "none"]
+    for jitter in (True, False):
+        got = {}
+        for classes, size, points in ((0, 1000, 1000), (256, 1000, 100_000), (256, 2, 100_000), (256, 40, 90)):
+            for name, value in (("CLASSES", classes), ("SLICE", size), ("POINTS", points)):
+                monkeypatch.setattr(K, name, value)
+            rows = K.knn_mutual_info(df, names, "y.z", "rid", jitter=jitter).collect()
+            got[classes, size] = {r["feature"]: (round(r["mutual_info"], 9), r["n"]) for r in rows}
+        want = got.pop((0, 1000))
+        assert want["x"][0] > 0.05 and want["none"] == (0.0, 0)
+        assert all(g == want for g in got.values())
+
+
+def test_input_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(300).selectExpr("id as rid", "sin(id) as x", "cos(id * id) as z", "cast(id % 2 as int) as y")
+    got = knn_mutual_info(df.mapInArrow(run, df.schema), ["x", "z"], "y", "rid").collect()
+    assert {r["n"] for r in got} == {300} and seen.value == 300
